@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .mixing import OP2_SQL, op2_poisson_mix
+from .simhash import op7_simhash_pivots
 from .urlfilter import op4_link_graph_filter
 
 QUERIES = {
     "op2_poisson_mix": op2_poisson_mix,
     "op4_link_graph_filter": op4_link_graph_filter,
+    "op7_simhash_pivots": op7_simhash_pivots,
 }
 
 ORACLE_SQL = {"op2_poisson_mix": OP2_SQL}

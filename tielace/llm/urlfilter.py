@@ -70,7 +70,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     for _ in range(rounds):
         moved = steps.join(scores.withColumnRenamed("host", "from_host"), ["kind", "from_host"]).select("kind", F.col("to_host").alias("host"), (F.col("share") * F.col("score")).alias("score"))
         later = scratch.save(moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score")))
-        if id(scores) in scratch.paths:
+        if scores is not seeds:
             scratch.drop(scores)
         scores = later
     return scores
