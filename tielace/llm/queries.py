@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .itq import op10_itq_near_dups
 from .mixing import OP2_SQL, op2_poisson_mix
 from .simhash import op7_simhash_pivots
+from .topk import OP8_SQL, op8_kdtree_topk
 from .urlfilter import op4_link_graph_filter
 
 QUERIES = {
     "op2_poisson_mix": op2_poisson_mix,
     "op4_link_graph_filter": op4_link_graph_filter,
     "op7_simhash_pivots": op7_simhash_pivots,
+    "op8_kdtree_topk": op8_kdtree_topk,
+    "op10_itq_near_dups": op10_itq_near_dups,
 }
 
-ORACLE_SQL = {"op2_poisson_mix": OP2_SQL}
+ORACLE_SQL = {"op2_poisson_mix": OP2_SQL, "op8_kdtree_topk": OP8_SQL}
