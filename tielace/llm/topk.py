@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     def run(queries: DataFrame, at, keep) -> DataFrame:
         """queries with column floor, each against the shards of the array column at."""
-        asks = queries.withColumn("shard", F.explode(at))
+        asks = scratch.save(queries).withColumn("shard", F.explode(at))
         has = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter(keep)
         by = ("shard", "block", "dim")
         return has.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(search, out)
