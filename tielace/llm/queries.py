@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .itq import op10_itq_near_dups
+from .langid import op6_language_id
 from .mixing import OP2_SQL, op2_poisson_mix
+from .pii import op1_pii_feistel
 from .simhash import op7_simhash_pivots
 from .topk import OP8_SQL, op8_kdtree_topk
 from .urlfilter import op4_link_graph_filter
 
 QUERIES = {
+    "op1_pii_feistel": op1_pii_feistel,
     "op2_poisson_mix": op2_poisson_mix,
     "op4_link_graph_filter": op4_link_graph_filter,
+    "op6_language_id": op6_language_id,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op8_kdtree_topk": op8_kdtree_topk,
     "op10_itq_near_dups": op10_itq_near_dups,
