@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,24 @@ MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter or a mark."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Small-letter code points of all texts, each between spaces; starts and lengths."""
+    """Code points of the small letters of all texts, each text and word between single spaces; starts and lengths."""
     small = [f" {t.lower()} " for t in texts]
     lengths = np.fromiter(map(len, small), np.int64, len(small))
     codes = np.frombuffer("".join(small).encode("utf-32-le"), np.uint32)
-    return codes, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64), lengths
+    starts = np.cumsum(lengths) - lengths
+    letter = letters()[codes]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # of other characters, the first after a letter is the space
+    kept[starts] = True
+    lengths = np.add.reduceat(kept, starts, dtype=np.int64)
+    return np.where(letter, codes, np.uint32(32))[kept], np.cumsum(lengths) - lengths, lengths
 
 
 def grams(codes: np.ndarray, lengths: np.ndarray):
