@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .dac import op5_dac_tokens
 from .itq import op10_itq_near_dups
 from .langid import op6_language_id
 from .mixing import OP2_SQL, op2_poisson_mix
+from .packing import op3_pattern_packing
 from .pii import op1_pii_feistel
 from .simhash import op7_simhash_pivots
 from .topk import OP8_SQL, op8_kdtree_topk
@@ -13,7 +15,9 @@ from .urlfilter import op4_link_graph_filter
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
     "op2_poisson_mix": op2_poisson_mix,
+    "op3_pattern_packing": op3_pattern_packing,
     "op4_link_graph_filter": op4_link_graph_filter,
+    "op5_dac_tokens": op5_dac_tokens,
     "op6_language_id": op6_language_id,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op8_kdtree_topk": op8_kdtree_topk,
