@@ -8,6 +8,7 @@ from .langid import op6_language_id
 from .mixing import OP2_SQL, op2_poisson_mix
 from .packing import op3_pattern_packing
 from .pii import op1_pii_feistel
+from .repeats import op9_prefix_free_repeats
 from .simhash import op7_simhash_pivots
 from .topk import OP8_SQL, op8_kdtree_topk
 from .urlfilter import op4_link_graph_filter
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_simhash_pivots": op7_simhash_pivots,
     "op8_kdtree_topk": op8_kdtree_topk,
+    "op9_prefix_free_repeats": op9_prefix_free_repeats,
     "op10_itq_near_dups": op10_itq_near_dups,
 }
 
