@@ -20,21 +20,21 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 LOWER, UPPER, DIGITS, HEXES = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
-#: One branch a kind. Numbers and dates are validated afterwards; what fails stays as it is.
-FOUND = re.compile(
-    r"""
-    (?P<email>[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,})
-  | (?P<secret>\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_\-]{6,}))
-  | \bA[KS]IA(?P<access>[A-Z0-9]{16})\b
-  | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-  | (?P<date>(?<![\d./\-])(?:(?:19|20)\d\d(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)(?:19|20)\d\d)(?![\d/\-]|\.\d))
-  | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))
-  | (?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))
-  | (?P<card>(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-]))
-  | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?<![\w+])\+\d{8,15}(?!\w))
-    """,
-    re.VERBOSE,
-)
+#: A pattern a kind, tried in this order at a place. Numbers and dates are validated afterwards; what fails stays.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "value": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<own>[A-Za-z0-9+/_\-]{6,})",
+    "access": r"\bA[KS]IA(?P<own>[A-Z0-9]{16})\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
+    "date": r"(?<![\d./\-])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?![\d/\-]|\.\d)",
+    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d])",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\+\d{8,15})(?![\w\-])",
+}
+COMPILED = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+#: Where any of them may begin; the groups within are numbered anew.
+BEGINS = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,256}@|\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]|\bA[KS]IA[A-Z0-9]|\b[A-Z]{2}\d{2}[ A-Z0-9]|(?<!\w)[+(]?\d(?=[\d ().\-/]{6})")
 #: Every match has one of these.
 HINT = re.compile(r"[0-9@]|[=:]")
 
@@ -111,7 +111,7 @@ def luhn(digits: str) -> int:
 
 def _card(p: Pseudonyms, text: str) -> str | None:
     digits = "".join(c for c in text if c in DIGITS)
-    if luhn(digits) or len(set(digits)) == 1:
+    if not 13 <= len(digits) <= 19 or luhn(digits) or len(set(digits)) == 1:
         return None
     body = digits[0] + p.spelled("card", digits[1:-1], [DIGITS] * (len(digits) - 2))
     return onto(text, body + str(-luhn(body + "0") % 10))
@@ -201,21 +201,35 @@ def _access(p: Pseudonyms, text: str) -> str:
 KINDS: dict[str, Callable[[Pseudonyms, str], str | None]] = {"email": _email, "value": _value, "access": _access, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+def found_at(text: str, at: int, names: Pseudonyms) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, pseudonym) of what begins at a place; a number may end before any of its separators."""
+    for kind, pattern in COMPILED.items():
+        if not (match := pattern.match(text, at)):
+            continue
+        start, end = match.span("own" if "own" in pattern.groupindex else 0)
+        ends = [end]
+        if kind in ("card", "iban"):
+            ends += [start + m.start() for m in re.finditer(r"[ \-]", match[0])][::-1]
+        for e in ends:
+            if e - start >= 13 or kind not in ("card", "iban"):
+                name = names.replaced(kind, text[start:e])
+                if name is not None:
+                    return kind, start, e, name
+    return None
+
+
 def pseudonymise(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its matches replaced, and (kind, start, end) of each in the text given."""
     if not HINT.search(text):
         return text, []
     parts, spans, done, at = [], [], 0, 0
-    while match := FOUND.search(text, at):
-        kind = next(k for k in KINDS if match[k])
-        start, end = match.span(kind)
-        found = names.replaced(kind, text[start:end])
-        if found is None:  # another kind may still begin inside it
-            at = start + 1
-            while at < end and text[at - 1].isalnum() and text[at].isalnum():
-                at += 1
+    while match := BEGINS.search(text, at):
+        found = found_at(text, match.start(), names)
+        if found is None:
+            at = match.start() + 1
             continue
-        parts += [text[done:start], found]
+        kind, start, end, name = found
+        parts += [text[done:start], name]
         spans.append((kind, start, end))
         done = at = end
     return "".join([*parts, text[done:]]), spans
