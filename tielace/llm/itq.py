@@ -28,29 +28,29 @@ def random_rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def learn_rotation(unit: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, directions): principal directions turned so that signs of projections lose the least.
+def learn_rotation(unit: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
+    """Principal directions turned so that the signs of projections lose the least.
 
-    Alternates codes = sign(data @ rotation) with the rotation that fits them best (orthogonal Procrustes).
+    Alternates codes = sign(data @ rotation) with the rotation that fits them best (orthogonal Procrustes), from a
+    random start that spreads the data evenly over the bits. The data isn't centred: signs then differ in proportion
+    to the angle between two vectors, whatever their mean, which the number of tables relies on.
     """
     dim = unit.shape[1]
-    mean = unit.mean(axis=0) if len(unit) else np.zeros(dim)
     if len(unit) < 2:
-        return mean, random_rotation(dim, seed)
-    centred = unit - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    data, turn = centred @ axes[:, ::-1], random_rotation(dim, seed)
+        return random_rotation(dim, seed)
+    _, axes = np.linalg.eigh(unit.T @ unit)
+    data, turn = unit @ axes[:, ::-1], random_rotation(dim, seed)
     for _ in range(rounds):
         codes = np.where(data @ turn >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(codes.T @ data)
         turn = (left @ right).T
-    return mean, axes[:, ::-1] @ turn
+    return axes[:, ::-1] @ turn
 
 
 @lru_cache(maxsize=64)
-def unlearned(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def unlearned(dim: int, seed: int) -> np.ndarray:
     """For vectors of another length than the sample's."""
-    return np.zeros(dim), random_rotation(dim, seed)
+    return random_rotation(dim, seed)
 
 
 def plan(rows: int, dim: int, threshold: float) -> tuple[int, int]:
@@ -62,11 +62,11 @@ def plan(rows: int, dim: int, threshold: float) -> tuple[int, int]:
     return bits, tables
 
 
-def parts_of(unit: np.ndarray, turns: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
+def parts_of(unit: np.ndarray, turns: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """[vector, table]: the tables' keys, parts of bits signs of each rotation in turn."""
     found, weights = [], 1 << np.arange(bits)
-    for mean, directions in turns:
-        signs = (unit - mean) @ directions >= 0
+    for directions in turns:
+        signs = unit @ directions >= 0
         for at in range(0, signs.shape[1] - bits + 1, bits):
             found.append(signs[:, at : at + bits] @ weights)
     return np.stack(found[:tables], axis=1).astype(np.uint16)
