@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch, pick, text_batches
-from .tokens import encoder, public_file, with_end
+from .tokens import WordEncoder, public_file, with_end
 
 #: Ids of a shard, about; a document is never divided.
 SHARD_IDS = 1 << 19
@@ -107,7 +107,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -122,7 +122,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in text_batches(batches):
-            ids, lengths = with_end(*encoder(tokenizer).encode(batch.column("text")), end_id)
+            ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
             cuts = np.cumsum(lengths)
             part_of = (cuts - 1) // SHARD_IDS

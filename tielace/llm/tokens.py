@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
-KEPT_WORDS = 500_000
+#: Words whose ids a task keeps at hand, in each of two generations: what the older one has and the newer one
+#: doesn't ask for goes when the newer one is full.
+KEPT_WORDS = 250_000
+#: Words that are encoded as one text.
+JOINED = 64
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
@@ -20,6 +23,32 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
+class _Words:
+    """Words with their ids, all ids in one array."""
+
+    def __init__(self):
+        self.slot: dict[str, int] = {}
+        self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.slot), len(words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + m > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.length[n : n + m] = sizes
+        self.used += len(ids)
+        self.slot.update(zip(words, range(n, n + m), strict=True))
+
+
 class WordEncoder:
     """ids of texts by a tokenizers file; special tokens' strings are ordinary text.
 
@@ -37,35 +66,53 @@ class WordEncoder:
             self.tokenizer = Tokenizer.from_str(f.read())
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = self.tokenizer.normalizer is None
-        self._empty()
-
-    def _empty(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat, self.start, self.length, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, m = len(self.slot), int(sizes.sum())
-            while self.used + m > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + m] = [i for x in ids for i in x]
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.length[n : n + len(part)] = sizes
-            self.used += m
-            self.slot.update(zip(part, range(n, n + len(part)), strict=True))
+        # Ids that begin a word with its space, or that end a word.
+        self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.marks[i] = token.startswith("\u0120") if self.keeps_space else token.endswith("</w>")
+        self.new, self.old = _Words(), _Words()
+
+    def _joinable(self, word: str) -> bool:
+        """Whether the word's ids have just one mark, and can be told from its neighbours' by it."""
+        if self.keeps_space:
+            return word[0:1] == " " and not word[1:2].isspace() and len(word.split()) == 1
+        return word.isalpha() and max(word) <= "\xff"
+
+    def _ids_of(self, words: list[str]) -> list[np.ndarray]:
+        together = [self._joinable(w) for w in words]
+        found: list[np.ndarray | None] = [None] * len(words)
+        at = [i for i, x in enumerate(together) if x]
+        between = "" if self.keeps_space else " "
+        parts = [between.join([words[i] for i in at[k : k + JOINED]]) for k in range(0, len(at), JOINED)]
+        if parts:
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+            marks = np.flatnonzero(self.marks[ids])
+            own = np.split(ids, marks[1:] if self.keeps_space else marks[:-1] + 1)
+            assert len(own) == len(at), "a word without its mark"
+            for i, x in zip(at, own, strict=True):
+                found[i] = x
+        alone = [i for i, x in enumerate(together) if not x]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, np.uint32)
+        return found
 
     def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slot) + len(words) > KEPT_WORDS:
-            self._empty()
-        new = [w for w in words if w not in self.slot]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        """Where the newer generation has these words, all of which it has afterwards."""
+        if len(self.new.slot) > KEPT_WORDS:
+            self.old, self.new = self.new, _Words()
+        has, older = self.new.slot, self.old.slot
+        lacks = [w for w in words if w not in has]
+        if lacks:
+            known = [w for w in lacks if w in older]
+            if known:
+                at = np.fromiter(map(older.__getitem__, known), np.int64, len(known))
+                self.new.add(known, _gather(self.old.flat, self.old.start[at], self.old.length[at]), self.old.length[at])
+            unknown = [w for w in lacks if w not in older]
+            for k in range(0, len(unknown), 20_000):
+                part = unknown[k : k + 20_000]
+                ids = self._ids_of(part)
+                self.new.add(part, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.fromiter(map(has.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32 bit) one after the other, and the number of ids of each text; null is empty."""
@@ -84,9 +131,8 @@ class WordEncoder:
             distinct, codes = np.unique(codes * 2 + first, return_inverse=True)
             names = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in distinct.tolist()]
         slots = self._slots(names)[codes]
-        sizes = self.length[slots]
-        before = np.cumsum(sizes) - sizes
-        ids = self.flat[np.repeat(self.start[slots] - before, sizes) + np.arange(int(sizes.sum()))]
+        sizes = self.new.length[slots]
+        ids = _gather(self.new.flat, self.new.start[slots], sizes)
         counts = np.add.reduceat(sizes, starts) if len(texts) else np.zeros(0, np.int64)
         if whole.any():
             at = np.flatnonzero(whole)
@@ -102,13 +148,3 @@ class WordEncoder:
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text's ids."""
     return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """The worker's own encoder, kept for its next tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
