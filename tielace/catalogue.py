@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import queries_points  # noqa: F401  registers
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
