@@ -117,3 +117,27 @@ def test_bootstrap_covers_the_mean(spark):
     rows = [(str(t), i, float(v)) for t in range(30) for i, v in enumerate(rng.normal(5, 1, 60))]
     got = stats.bootstrap(spark.createDataFrame(rows, "key string, i int, v double"), "key", "v", "i", replicates=200).collect()
     assert sum(r["lo"] <= 5 <= r["hi"] for r in got) >= 24 and all(r["n"] == 60 for r in got)
+
+
+@pytest.mark.parametrize("kind", ["similarity", "affine", "homography"])
+def test_robust_fit_recovers_the_transform(spark, kind):
+    from tielace.operators import robust
+
+    rng = np.random.default_rng(2)
+    truth = {"similarity": [[0.98, -0.1, 12], [0.1, 0.98, -7], [0, 0, 1]], "affine": [[1.02, 0.05, 3], [-0.04, 0.97, 9], [0, 0, 1]], "homography": [[1.02, 0.05, 3], [-0.04, 0.97, 9], [2e-5, -3e-5, 1]]}[kind]
+    rows = []
+    for g in ("a", "b"):
+        src = rng.uniform(0, 512, (400, 2))
+        p = np.c_[src, np.ones(400)] @ np.array(truth, float).T
+        ref = p[:, :2] / p[:, 2:] + rng.normal(0, 0.3, (400, 2))
+        ref[:140] += rng.uniform(-80, 80, (140, 2))
+        rows += [(g, i, *map(float, src[i]), *map(float, ref[i])) for i in range(400)]
+    points = spark.createDataFrame(rows, "group string, tid long, x double, y double, xr double, yr double")
+    got = robust.fit(points, kind, threshold=1.5).collect()
+    assert sorted(r["group"] for r in got) == ["a", "b"]
+    check = np.stack(np.meshgrid(np.linspace(25, 487, 24), np.linspace(25, 487, 24)), -1).reshape(-1, 2)
+    p = np.c_[check, np.ones(len(check))] @ np.array(truth, float).T
+    for r in got:
+        assert np.sqrt((robust.residuals(np.array(r["h"]).reshape(3, 3), check, p[:, :2] / p[:, 2:]) ** 2).mean()) < 0.2
+        assert 230 <= r["n_inliers"] <= 280 and r["n"] == 400
+    assert robust.fit(points.limit(1), kind).count() == 0

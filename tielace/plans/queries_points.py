@@ -301,3 +301,15 @@ def lowe_ratio_match(spark, sf):
     d = table(spark, sf, "embeddings")
     found = ratio_matches(d.filter("vec_id % 2 = 0"), d.filter("vec_id % 2 = 1"), 0.9)
     return found.select("src", "ref", F.round("cosine", 5).alias("cosine"), "correct")
+
+
+@query()
+def robust_affine(spark, sf):
+    """Affine fit of each track's displaced points; tests recover known transforms."""
+    from tielace.operators import robust
+
+    p = points(spark, sf)
+    x, y = expr.apply_homography(H, F.col("x"), F.col("y"))
+    off = F.when(F.col("conf") < 0.2, F.col("sigma") * 90).otherwise(F.col("sigma") * 0.2)
+    fits = robust.fit(p.select(F.col("track").alias("group"), "tid", "x", "y", (x + off).alias("xr"), (y - off).alias("yr")), "affine", 4.0, 100)
+    return fits.select("group", "n", "n_inliers", F.round("rmse", 3).alias("rmse"))
