@@ -26,6 +26,8 @@ from .base import Scratch, text_batches, tidy
 TRIGGER = 32
 #: Places that are hashed at once.
 CHUNK = 1 << 20
+#: Phrases of one trigger that are compared in one task; those of more crowded triggers are counted string by string.
+MOST_PHRASES = 4096
 PLACE = np.uint64((1 << 24) - 1)
 
 _random = np.random.default_rng(987654321)
@@ -98,6 +100,24 @@ def parse(data: np.ndarray, ends: np.ndarray, length: int):
         yield doc, at + first - (ends - sizes)[doc], strings, back, windows[trigger], phrase
 
 
+def string_values(parts: list[bytes], strings: np.ndarray, back: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase number, place in it and hash of every string of these phrases; the hash knows trigger and distance to it."""
+    found, at = [], 0
+    while at < len(parts):  # as many phrases as one set of prefix sums takes
+        size, end = 0, at
+        while end < len(parts) and (end == at or size + len(parts[end]) <= CHUNK):
+            size, end = size + len(parts[end]), end + 1
+        sums = prefix_sums(np.frombuffer(b"".join(parts[at:end]), np.uint8))
+        base = np.cumsum([0] + [len(p) for p in parts[at : end - 1]])
+        which = np.repeat(np.arange(at, end), strings[at:end])
+        step = np.arange(len(which)) - np.repeat(np.cumsum(strings[at:end]) - strings[at:end], strings[at:end])
+        start = base[which - at] + step
+        tag = scramble(key[which] + (back[which] - step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        found.append((which, step, scramble(rolled(sums, start, start + length) ^ tag)))
+        at = end
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unions of stretches sorted by start; stretches that touch are one."""
     far = np.maximum.accumulate(ends)
@@ -136,39 +156,38 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     often = scratch.save(words.filter("n > 1").select(F.col("key").alias("_key"), F.col("phrase").alias("_phrase")))
     twice = mixed.join(often, (F.col("key") == F.col("_key")) & (F.col("phrase") == F.col("_phrase"))).select("doc", "text_hash", span.alias("span"))
 
-    wanted = words.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("key", "n", "first", "strings", "back")).alias("wanted"))
+    crowds = scratch.save(words.groupBy("key").count().filter(F.col("count") > MOST_PHRASES).select(F.col("key").alias("_key"), F.lit(True).alias("crowded")))
+    some = not crowds.isEmpty()
+    if some:
+        words = words.join(crowds, F.col("key") == F.col("_key"), "left").drop("_key").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    else:
+        words = words.withColumn("crowded", F.lit(False))
+    wanted = words.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("key", "n", "first", "strings", "back", "crowded")).alias("wanted"))
     needed = docs.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     # Rows that are equal in doc and text occur twice in every phrase, so fetching them twice changes nothing.
 
     def fetch(batches):
+        """The phrases' bytes; of crowded triggers, their strings' hashes instead (as key, without bytes)."""
         for batch in text_batches(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for doc, text_hash, text, rows in zip(batch.column("doc").to_pylist(), batch.column("text_hash").to_pylist(), texts, batch.column("wanted").to_pylist(), strict=True):
-                n = len(rows)
-                columns = {c: [r[c] for r in rows] for c in ("key", "n", "first", "strings", "back")}
-                stretch = [text[f : f + s + length - 1] for f, s in zip(columns["first"], columns["strings"], strict=True)]
-                kinds = {"key": pa.int64(), "n": pa.int64(), "first": pa.int64(), "strings": pa.int32(), "back": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([text_hash] * n, pa.int64()), *(pa.array(columns[c], kinds[c]) for c in columns), pa.array(stretch, pa.binary())], names=["doc", "text_hash", *columns, "bytes"])
+                made = []
+                for r in rows:
+                    part = text[r["first"] : r["first"] + r["strings"] + length - 1]
+                    if r["crowded"]:
+                        value = string_values([part], np.array([r["strings"]]), np.array([r["back"]]), np.array([r["key"]]).view(np.uint64), length)[2]
+                        made += [(int(v), r["n"], r["first"] + i, 1, 0, None) for i, v in enumerate(value.view(np.int64).tolist())]
+                    else:
+                        made.append((r["key"], r["n"], r["first"], r["strings"], r["back"], part))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(made), pa.int64()), pa.array([text_hash] * len(made), pa.int64()), *columns], names=["doc", "text_hash", "key", "n", "first", "strings", "back", "bytes"])
 
     def compare(batches):
         for table in _runs(batches):
             strings, back = (table.column(c).to_numpy().astype(np.int64) for c in ("strings", "back"))
             key, parts = table.column("key").to_numpy().view(np.uint64), table.column("bytes").to_pylist()
-            order = []
-            at = 0
-            while at < len(parts):  # as many phrases as one set of prefix sums takes
-                size, end = 0, at
-                while end < len(parts) and (end == at or size + len(parts[end]) <= CHUNK):
-                    size, end = size + len(parts[end]), end + 1
-                sums = prefix_sums(np.frombuffer(b"".join(parts[at:end]), np.uint8))
-                base = np.cumsum([0] + [len(p) for p in parts[at : end - 1]])
-                which = np.repeat(np.arange(at, end), strings[at:end])
-                step = np.arange(len(which)) - np.repeat(np.cumsum(strings[at:end]) - strings[at:end], strings[at:end])
-                start = base[which - at] + step
-                tag = scramble(key[which] + (back[which] - step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                order.append((which, step, scramble(rolled(sums, start, start + length) ^ tag)))
-                at = end
-            which, step, value = (np.concatenate(c) for c in zip(*order, strict=True))
+            which, step, value = string_values(parts, strings, back, key, length)
             sorted_at = np.argsort(value, kind="stable")
             same = value[sorted_at][1:] == value[sorted_at][:-1]
             repeat = np.zeros(len(value), bool)
@@ -184,8 +203,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([table.column("doc").combine_chunks().take(pa.array(row)), table.column("text_hash").combine_chunks().take(pa.array(row)), pa.array(start), pa.array(start + n + length - 1)], names=["doc", "text_hash", "start", "end"])
 
     fetched = needed.select("doc", "text_hash", "text", "wanted").mapInArrow(fetch, "doc long, text_hash long, key long, n long, first long, strings int, back int, bytes binary")
-    partly = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, text_hash long, start long, end long")
+    if some:
+        fetched = scratch.save(fetched)
+    few = fetched.filter("bytes IS NOT NULL") if some else fetched
+    partly = few.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, text_hash long, start long, end long")
     spans = alike.unionByName(twice).unionByName(partly.select("doc", "text_hash", F.struct("start", "end").alias("span")))
+    if some:
+        strings = fetched.filter("bytes IS NULL")
+        equal = scratch.save(strings.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"))
+        hits = strings.filter("n = 1").join(equal, F.col("key") == F.col("_key"))
+        spans = spans.unionByName(hits.select("doc", "text_hash", F.struct(F.col("first").alias("start"), (F.col("first") + length).alias("end")).alias("span")))
     return scratch.save(spans.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("spans")))
 
 
