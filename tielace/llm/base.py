@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python task takes up at once (a longer text is a batch by itself).
-BATCH_BYTES = 4 << 20
+#: Bytes of text that a Python task works on at once (a longer text is a batch by itself).
+BATCH_BYTES = 1 << 20
+#: Bytes of an Arrow batch that Spark hands to a Python task.
+ARROW_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -48,12 +50,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's size of Arrow batches to ARROW_BYTES: texts are long, and two copies of a batch exist at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def tidy(df: DataFrame, needed: Iterable[str], added: Iterable[str] = ()) -> DataFrame:
     """The same rows under unambiguous names.
 
     The first column that matches a needed name (exactly, else in any case) gets it. Any other column whose
     name equals a needed, added or earlier one, in any case, is kept as name__in2, name__in3 and so on.
     """
+    small_batches(df.sparkSession)
     needed = list(needed)
     own: dict[int, str] = {}
     for name in needed:
@@ -83,8 +93,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BATCH_BYTES of text each; every row is whole."""
+def text_batches(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about size bytes of text each; every row is whole."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -92,10 +102,10 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        if sizes.sum() <= BATCH_BYTES:
+        if sizes.sum() <= size:
             yield batch
             continue
-        part = (np.cumsum(sizes) - 1) // BATCH_BYTES
+        part = (np.cumsum(sizes) - 1) // size
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:], strict=False):
             yield batch.slice(start, end - start)

@@ -121,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 2 << 20):
             ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
             cuts = np.cumsum(lengths)

@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
 
     def cut(batches):
         encoder = WordEncoder(tokenizer)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 2 << 20):
             ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
             n = -(-lengths // size)
             row = np.repeat(np.arange(len(n)), n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 KEPT_WORDS = 250_000
 #: Words that are encoded as one text.
 JOINED = 64
+#: A space and then no other white space; Latin letters with at most one full stop or comma after them.
+ONE_PART, LETTERS = re.compile(r" \S+"), re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]?")
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
@@ -72,29 +75,27 @@ class WordEncoder:
             self.marks[i] = token.startswith("\u0120") if self.keeps_space else token.endswith("</w>")
         self.new, self.old = _Words(), _Words()
 
-    def _joinable(self, word: str) -> bool:
-        """Whether the word's ids have just one mark, and can be told from its neighbours' by it."""
-        if self.keeps_space:
-            return word[0:1] == " " and not word[1:2].isspace() and len(word.split()) == 1
-        return word.isalpha() and max(word) <= "\xff"
-
-    def _ids_of(self, words: list[str]) -> list[np.ndarray]:
-        together = [self._joinable(w) for w in words]
-        found: list[np.ndarray | None] = [None] * len(words)
-        at = [i for i, x in enumerate(together) if x]
-        between = "" if self.keeps_space else " "
-        parts = [between.join([words[i] for i in at[k : k + JOINED]]) for k in range(0, len(at), JOINED)]
-        if parts:
+    def _learn(self, words: list[str]) -> None:
+        """Add words: those whose ids can be told apart by their marks are encoded many at once, others alone."""
+        simple = ONE_PART.fullmatch if self.keeps_space else LETTERS.fullmatch
+        joined = [w for w in words if simple(w)]
+        if joined:
+            between = "" if self.keeps_space else " "
+            parts = [between.join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
             marks = np.flatnonzero(self.marks[ids])
-            own = np.split(ids, marks[1:] if self.keeps_space else marks[:-1] + 1)
-            assert len(own) == len(at), "a word without its mark"
-            for i, x in zip(at, own, strict=True):
-                found[i] = x
-        alone = [i for i, x in enumerate(together) if not x]
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, np.uint32)
-        return found
+            if self.keeps_space:
+                sizes = np.diff(np.append(marks, len(ids)))
+            else:  # a full stop or comma after the letters has its own mark
+                n = np.cumsum(np.fromiter((1 + (w[-1] in ".,") for w in joined), np.int64, len(joined)))
+                assert n[-1] == len(marks), "a word without its mark"
+                sizes = np.diff(np.concatenate([[0], marks[n - 1] + 1]))
+            assert len(sizes) == len(joined), "a word without its mark"
+            self.new.add(joined, ids, sizes)
+        alone = [w for w in words if not simple(w)]
+        if alone:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            self.new.add(alone, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _slots(self, words: list[str]) -> np.ndarray:
         """Where the newer generation has these words, all of which it has afterwards."""
@@ -109,9 +110,7 @@ class WordEncoder:
                 self.new.add(known, _gather(self.old.flat, self.old.start[at], self.old.length[at]), self.old.length[at])
             unknown = [w for w in lacks if w not in older]
             for k in range(0, len(unknown), 20_000):
-                part = unknown[k : k + 20_000]
-                ids = self._ids_of(part)
-                self.new.add(part, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+                self._learn(unknown[k : k + 20_000])
         return np.fromiter(map(has.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
