@@ -110,10 +110,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 u = _unit(part.column("embedding").combine_chunks())
                 turned = learned if d == dim else [unlearned(d, seed) for seed in range(-(-tables // max(1, d // min(bits, d))))]
                 codes = parts_of(u, turned, min(bits, d), tables)
-                yield from part.append_column("codes", pa.array([c.tolist() for c in codes], pa.list_(pa.int32()))).to_batches()
+                yield from part.append_column("codes", pa.array([c.view(np.int16).tolist() for c in codes], pa.list_(pa.int16()))).to_batches()
 
-    schema = "label long, rep long, copies long, dim int, embedding array<double>, codes array<int>"
-    source = distinct.select(F.xxhash64("label").alias("label"), "rep", "copies", F.size("embedding").alias("dim"), x.alias("embedding"))
+    # Floats travel as they are given; cosines are taken in doubles.
+    floats = dict(distinct.dtypes)["embedding"] == "array<float>"
+    kept, kind = (F.col("embedding"), "float") if floats else (x.alias("embedding"), "double")
+    schema = f"label long, rep long, copies long, dim int, embedding array<{kind}>, codes array<short>"
+    source = distinct.select(F.xxhash64("label").alias("label"), "rep", "copies", F.size("embedding").alias("dim"), kept)
     coded = scratch.save(source.mapInArrow(encode, schema))
     spread = coded.select("*", F.posexplode("codes").alias("t", "part")).withColumn("bucket", F.xxhash64("label", "dim", "t", "part"))
     heavy = scratch.save(spread.groupBy("bucket").count().filter(F.col("count") > BUCKET).select(F.col("bucket").alias("_b"), F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks")))
@@ -175,3 +178,21 @@ def _unit(embedding: pa.Array) -> np.ndarray:
 
 def op10_itq_near_dups(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: By brute force; equal as long as the tables miss no link.
+OP10_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON r.v = l.a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), least AS (
+  SELECT v, min(c) AS component_id FROM reach GROUP BY v
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN least ON e.vec_id = v LEFT JOIN counts ON e.vec_id = a
+"""

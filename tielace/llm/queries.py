@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .dac import op5_dac_tokens
-from .itq import op10_itq_near_dups
+from .itq import OP10_SQL, op10_itq_near_dups
 from .langid import op6_language_id
 from .mixing import OP2_SQL, op2_poisson_mix
 from .packing import op3_pattern_packing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_itq_near_dups": op10_itq_near_dups,
 }
 
-ORACLE_SQL = {"op2_poisson_mix": OP2_SQL, "op8_kdtree_topk": OP8_SQL}
+ORACLE_SQL = {"op2_poisson_mix": OP2_SQL, "op8_kdtree_topk": OP8_SQL, "op10_itq_near_dups": OP10_SQL}
