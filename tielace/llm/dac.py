@@ -10,43 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch, pick, text_batches
-from .tokens import WordEncoder, public_file, with_end
+from .tokens import kept_encoder, public_file, with_end
 
 #: Ids of a shard, about; a document is never divided.
 SHARD_IDS = 1 << 19
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
+#: Bits of a chunk: a byte, so that levels are read and written as they lie in memory.
+CHUNK_BITS = 8
 
 SHARD_SCHEMA = "part int, seq int, n long, doc_ids binary, lengths binary, widths array<int>, chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
 
 
-def best_widths(ids: np.ndarray) -> list[int]:
-    """The chunk widths, from the low bits up, with the fewest bits for these ids."""
-    sizes = np.bincount(np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.int64), minlength=33) if len(ids) else np.zeros(33, np.int64)
-    longer = np.array([sizes[s + 1 :].sum() for s in range(33)])  # ids that need more than s bits
-    longer[0] = len(ids)
-    top = int(np.flatnonzero(sizes).max(initial=1)) or 1
-    best: dict[int, tuple[int, list[int]]] = {top: (0, [])}
-    for start in range(top - 1, -1, -1):
-        best[start] = min((int(longer[start]) * (w + (start + w < top)) + best[start + w][0], [w, *best[start + w][1]]) for w in range(1, top - start + 1))
-    return best[0][1]
-
-
-def pack(values: np.ndarray, width: int) -> bytes:
-    if width % 8 == 0 and width in (8, 16, 32):
-        return values.astype(f"<u{width // 8}").tobytes()
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def unpack(data: bytes, width: int, start: int, end: int) -> np.ndarray:
-    """Values start to end of a level; only their own bytes are read."""
-    if width in (8, 16, 32):
-        return np.frombuffer(data, f"<u{width // 8}", end - start, start * width // 8).astype(np.uint32)
-    low = start * width
-    raw = np.frombuffer(data, np.uint8, -(-end * width // 8) - low // 8, low // 8)
-    bits = np.unpackbits(raw, bitorder="little")[low % 8 : low % 8 + (end - start) * width].reshape(-1, width)
-    return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+def widths_for(ids: np.ndarray) -> list[int]:
+    """Chunk widths, from the low bits up: whole bytes, as many as the largest id needs."""
+    return [CHUNK_BITS] * max(1, -(-int(ids.max(initial=0)).bit_length() // CHUNK_BITS))
 
 
 class Codes:
@@ -58,10 +36,10 @@ class Codes:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Codes:
-        widths, chunks, bitmaps, ranks, left = best_widths(ids), [], [], [], ids.astype(np.uint64)
+        widths, chunks, bitmaps, ranks, left = widths_for(ids), [], [], [], ids.astype(np.uint32)
         for k, width in enumerate(widths):
-            chunks.append(pack((left & np.uint64((1 << width) - 1)).astype(np.uint32), width))
-            left = left >> np.uint64(width)
+            chunks.append(left.astype(np.uint8).tobytes())  # the low byte
+            left = left >> np.uint32(width)
             if k + 1 < len(widths):
                 more = left > 0
                 bitmaps.append(np.packbits(more, bitorder="little").tobytes())
@@ -83,7 +61,11 @@ class Codes:
         for k, width in enumerate(self.widths):
             if start == end:
                 break
-            found[here] |= unpack(self.chunks[k], width, start, end) << np.uint32(shift)
+            part = np.frombuffer(self.chunks[k], np.uint8, end - start, start).astype(np.uint32)
+            if k:
+                found[here] |= part << np.uint32(shift)
+            else:
+                found = part
             shift += width
             if k + 1 < len(self.widths):
                 raw = np.frombuffer(self.bitmaps[k], np.uint8)[start // 8 : -(-end // 8)]
@@ -107,7 +89,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, kept_encoder(tokenizer)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -121,7 +103,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in text_batches(batches, 2 << 20):
+        for batch in text_batches(batches, 4 << 20):
             ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
             cuts = np.cumsum(lengths)

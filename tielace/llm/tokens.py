@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -14,8 +15,9 @@ import pyarrow.compute as pc
 KEPT_WORDS = 250_000
 #: Words that are encoded as one text.
 JOINED = 64
-#: A space and then no other white space; Latin letters with at most one full stop or comma after them.
-ONE_PART, LETTERS = re.compile(r" \S+"), re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]?")
+#: Latin letters with at most one full stop or comma after them; the same after a space.
+LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]?")
+SPACED = re.compile(f" {LETTERS.pattern}")
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
@@ -66,9 +68,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.tokenizer = Tokenizer.from_str(f.read())
+            text = f.read()
+        self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = self.tokenizer.normalizer is None
+        # The same model without what does nothing to stems of small Latin letters: normalising and the split pattern.
+        bare = json.loads(text)
+        split = {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext", "invert": False} if self.keeps_space else {"type": "WhitespaceSplit"}
+        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, as_bytes]}}
+        self.stems = Tokenizer.from_str(json.dumps(bare))
+        # A full stop or comma after a letter is a part by itself, of one id.
+        self.stops = {"": -1} | {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         # Ids that begin a word with its space, or that end a word.
         self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -76,23 +87,32 @@ class WordEncoder:
         self.new, self.old = _Words(), _Words()
 
     def _learn(self, words: list[str]) -> None:
-        """Add words: those whose ids can be told apart by their marks are encoded many at once, others alone."""
-        simple = ONE_PART.fullmatch if self.keeps_space else LETTERS.fullmatch
-        joined = [w for w in words if simple(w)]
+        """Add words: Latin letters, with at most one stop after them, many at once by their stems; others alone."""
+        simple = (SPACED if self.keeps_space else LETTERS).fullmatch
+        fits = [simple(w) is not None for w in words]
+        joined = [w for w, fit in zip(words, fits, strict=True) if fit]
         if joined:
+            ends = [w[-1] if w[-1] in ".," else "" for w in joined]
+            stems = [w[: len(w) - len(e)] for w, e in zip(joined, ends, strict=True)]
+            if not self.keeps_space:
+                stems = [w.lower() for w in stems]
+            distinct = dict.fromkeys(stems)
+            distinct.update(zip(distinct, range(len(distinct)), strict=True))
+            names = list(distinct)
             between = "" if self.keeps_space else " "
-            parts = [between.join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+            parts = [between.join(names[k : k + JOINED]) for k in range(0, len(names), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.stems.encode_batch_fast(parts, add_special_tokens=False)])
             marks = np.flatnonzero(self.marks[ids])
-            if self.keeps_space:
-                sizes = np.diff(np.append(marks, len(ids)))
-            else:  # a full stop or comma after the letters has its own mark
-                n = np.cumsum(np.fromiter((1 + (w[-1] in ".,") for w in joined), np.int64, len(joined)))
-                assert n[-1] == len(marks), "a word without its mark"
-                sizes = np.diff(np.concatenate([[0], marks[n - 1] + 1]))
-            assert len(sizes) == len(joined), "a word without its mark"
-            self.new.add(joined, ids, sizes)
-        alone = [w for w in words if not simple(w)]
+            assert len(marks) == len(names), "a word without its mark"
+            start = marks if self.keeps_space else np.concatenate([[0], marks[:-1] + 1])
+            size = np.diff(np.append(start, len(ids)))
+            at = np.fromiter(map(distinct.__getitem__, stems), np.int64, len(stems))
+            found, sizes = _gather(ids, start[at], size[at]), size[at]
+            stop = np.fromiter((self.stops[e] for e in ends), np.int64, len(ends))
+            has = stop >= 0
+            found = np.insert(found, np.cumsum(sizes)[has], stop[has].astype(np.uint32))
+            self.new.add(joined, found, sizes + has)
+        alone = [w for w, fit in zip(words, fits, strict=True) if not fit]
         if alone:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
             self.new.add(alone, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
@@ -147,3 +167,13 @@ class WordEncoder:
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text's ids."""
     return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def kept_encoder(path: str) -> WordEncoder:
+    """An encoder that stays with the Python worker, so that its next tasks begin with the words it knows."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
