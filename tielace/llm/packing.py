@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, partitions, pick, text_batches
 from .dac import crc
-from .tokens import WordEncoder, public_file, with_end
+from .tokens import kept_encoder, public_file, with_end
 
 #: Rounds of coordinate steps at most, and steps of a round.
 ROUNDS, STEPS = 600, 256
@@ -144,8 +144,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     salts = max(64, 4 * partitions(spark))
 
     def cut(batches):
-        encoder = WordEncoder(tokenizer)
-        for batch in text_batches(batches, 2 << 20):
+        encoder = kept_encoder(tokenizer)
+        for batch in text_batches(batches, 4 << 20):
             ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
             n = -(-lengths // size)
             row = np.repeat(np.arange(len(n)), n)
