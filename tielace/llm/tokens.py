@@ -136,6 +136,8 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32 bit) one after the other, and the number of ids of each text; null is empty."""
         texts = pc.fill_null(texts, "")
+        if not self.keeps_space:  # all white space vanishes alike
+            texts = pc.replace_substring(texts, "\n", " ")
         whole = np.zeros(len(texts), bool)
         if self.keeps_space:
             whole = pc.match_substring_regex(texts, f" {SPACE}|{SPACE} ").to_numpy(zero_copy_only=False)
