@@ -338,6 +338,30 @@ def test_similar_documents(spark):
     assert got == {i for i in shingles if sets.find(i) == i}
 
 
+def test_similar_copies_linked_only_through_an_original(spark):
+    """Hundreds of copies with edits of their own, alike to an original of a middle doc_id but not to each other."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 604)]
+    texts = {400: " ".join(words)}
+    for i in [*range(100, 400), *range(401, 700)]:
+        own = list(words)
+        for at in rng.choice(604, 10, replace=False):
+            own[at] = f"x{i}y{at}"
+        texts[i] = " ".join(own)
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    groups = Sets()
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    for i in sets:
+        groups.find(i)
+        for j in sets:
+            if i < j and alike(i, j):
+                groups.join(i, j)
+    want = {i for i in sets if groups.find(i) == i}
+    assert sum(alike(i, 400) for i in sets) > 450 and len(want) < 100
+    got = similar.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 # 8 and 10
 
 
