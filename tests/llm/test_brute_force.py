@@ -362,6 +362,20 @@ def test_similar_copies_linked_only_through_an_original(spark):
     assert {r["doc_id"] for r in got.collect()} == want
 
 
+def test_similar_copies_that_repeat_a_line(spark):
+    """A line repeated hundreds of times adds a few shingles to the set, however many it adds to the text."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(12):
+        words = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 1004))
+        line = " ".join(f"v{x}" for x in rng.integers(0, 10**6, 24))
+        texts += [words, " ".join([words, *[line] * 200])]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    assert all(len(a & b) >= 0.95 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = similar.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 24, 2))
+
+
 # 8 and 10
 
 
