@@ -90,6 +90,17 @@ def test_pseudonyms_stay_valid_and_linked():
         assert pii.pseudonymise(bad, names) == (bad, [])
 
 
+def test_phone_numbers_of_any_area_code_get_pseudonyms():
+    names = pii.Pseudonyms(b"k")
+    got, spans = pii.pseudonymise("call +1 (017) 555-7713 or 017-555-7713, then (117) 555-7713", names)
+    assert [k for k, _, _ in spans] == ["phone"] * 3
+    first, second, third = re.findall(r"(\d{3})\D+(\d{3})-(\d{4})", got)
+    assert first == second != third and not {first, third} & {("017", "555", "7713"), ("117", "555", "7713")}
+    assert first[0][0] in "01" and third[0][0] in "01"
+    many = [f"{a:03}-555-{n}" for a in (0, 17, 99, 100, 199, 200, 956) for n in range(7700, 7800)]
+    assert len({names.replaced("phone", m) for m in many}) == len(many)
+
+
 def test_pii_query_is_the_same_row_by_row(spark, texts):
     names = pii.Pseudonyms()
     got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.op1_pii_feistel(spark, SMALL).collect()}

@@ -132,9 +132,8 @@ def _phone(p: Pseudonyms, text: str) -> str | None:
     code = "1" if digits[0] == "1" and len(digits) == 11 else ""
     if len(digits) - len(code) == 10 and (code or not text.startswith("+")):
         own = digits[len(code) :]  # the same with and without +1
-        if own[0] in "01":
-            return None
-        first = p.spelled("phone", own, ["23456789"] + [DIGITS] * 9)
+        # Area codes that begin with 0 or 1 stay among themselves.
+        first = p.spelled("phone", own, ["01" if own[0] in "01" else "23456789"] + [DIGITS] * 9)
         return onto(text, code + first)
     if not 8 <= len(digits) <= 15 or not text.startswith("+"):
         return None
