@@ -78,6 +78,19 @@ def test_greedy_thinning_is_the_sequential_rule(spark, parts):
     assert sorted(r["tid"] for r in got.collect()) == sorted(kept)
 
 
+def test_greedy_thinning_query_covers_every_track(spark, small):
+    from tielace import catalogue
+    from tielace.plans.views import points
+
+    kept = {}
+    for p in sorted(points(spark, small).select("tid", "track", "x", "y", "conf").collect(), key=lambda p: (-p["conf"], p["tid"])):
+        own = kept.setdefault(p["track"], [])
+        if all((p["x"] - k["x"]) ** 2 + (p["y"] - k["y"]) ** 2 > 144 for k in own):
+            own.append(p)
+    got = [r["tid"] for r in catalogue.QUERIES["greedy_thinning"](spark, small).collect()]
+    assert len(kept) == 5 and sorted(got) == sorted(p["tid"] for own in kept.values() for p in own)
+
+
 def test_thinning_of_a_chain_and_of_nothing(spark):
     chain = frame(spark, [(i * 1.0, 0) for i in range(40)], conf=range(40))
     assert sorted(r["tid"] for r in near.greedy_thin(chain, 1.5, F.col("conf")).collect()) == list(range(1, 40, 2))

@@ -47,16 +47,16 @@ def nearest_distance(points: DataFrame, cell: float, keys: tuple[str, ...] = (),
     return points.join(found, "tid", "left")
 
 
-def greedy_thin(points: DataFrame, radius: float, priority: Column) -> DataFrame:
-    """Points kept by greedy thinning: best priority first, a point stays if no kept one is within the radius.
+def greedy_thin(points: DataFrame, radius: float, priority: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points kept by greedy thinning: best priority first, a point stays if no kept one of the same keys is within the radius.
 
     Equal to the sequential rule: a point that is better than all its undecided neighbours is kept, its neighbours go,
     and so on until none is undecided. Ties: the smaller tid is better. The neighbour list is made once; a round is
     two joins on it, written to the checkpoint folder.
     """
-    ranked = points.select("tid", "x", "y", priority.alias("_p"))
+    ranked = points.select("tid", "x", "y", *keys, priority.alias("_p"))
     better = (F.col("n__p") > F.col("_p")) | ((F.col("n__p") == F.col("_p")) & (F.col("n_tid") < F.col("tid")))
-    stronger = near_pairs(ranked, ranked, radius).filter((F.col("tid") != F.col("n_tid")) & better).select("tid", "n_tid")
+    stronger = near_pairs(ranked, ranked, radius, keys).filter((F.col("tid") != F.col("n_tid")) & better).select("tid", "n_tid")
     stronger = cut(stronger)
     state = points.select("tid", F.lit(0).alias("s"))  # 0 undecided, 1 kept, -1 gone
     while True:
