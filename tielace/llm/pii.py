@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
+import math
 import re
 from collections.abc import Callable
 
@@ -19,22 +21,39 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 LOWER, UPPER, DIGITS, HEXES = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+SMALL = str.maketrans(UPPER, LOWER)
+#: Values of more characters than this are permuted character by character, shorter ones as one number.
+LONGEST_NUMBER = 32
+
+#: Country calling codes of one and of two digits; all others have three.
+SHORT_CODES = ("1", "7")
+TWO_DIGIT_CODES = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98",
+)
+
+#: What names the secret that follows it, and what a secret is made of.
+SECRET = r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*"
+OWN = r"[^\s\"'`<>,;&|()\[\]{}]"
 
 #: A pattern a kind, tried in this order at a place. Numbers and dates are validated afterwards; what fails stays.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "value": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<own>[A-Za-z0-9+/_\-]{6,})",
+    "email": r"[\w.%+\-]+@(?:[\w\-]+\.)+[^\W\d_]{2,}",
+    # After a colon, what has neither quotes nor a digit nor a capital within it is a word of prose.
+    "value": rf"{SECRET}(?:=\s*[\"']?|:\s*[\"']|:\s*(?={OWN}*(?:\d|[a-z][A-Z])))(?P<own>{OWN}{{6,}})",
     "access": r"\bA[KS]IA(?P<own>[A-Z0-9]{16})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![\d./\-])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?![\d/\-]|\.\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d])",
-    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\+\d{8,15})(?![\w\-])",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\+\d{1,3}(?:[ .\-/]?\(\d{1,4}\))?(?:[ .\-/]?\d{2,8}){1,5}|\+\d{8,15})(?![\w\-])",
 }
 COMPILED = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 #: Where any of them may begin; the groups within are numbered anew.
-BEGINS = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,256}@|\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]|\bA[KS]IA[A-Z0-9]|\b[A-Z]{2}\d{2}[ A-Z0-9]|(?<!\w)[+(]?\d(?=[\d ().\-/]{6})")
+BEGINS = re.compile(rf"(?<![\w.%+\-])[\w.%+\-]++@|{SECRET}[=:]|\bA[KS]IA[A-Z0-9]|\b[A-Z]{{2}}\d{{2}}[ A-Z0-9]|(?<![\w:.])(?:[0-9A-Fa-f]{{1,4}}|:):[0-9A-Fa-f:]|(?<!\w)[+(]?\d(?=[\d ().\-/]{{6}})")
 #: Every match has one of these.
 HINT = re.compile(r"[0-9@]|[=:]")
 
@@ -46,50 +65,64 @@ class Pseudonyms:
         self.key = hashlib.blake2b(key).digest()
         self.seen: dict[tuple[str, str], str] = {}
 
+    def mixed(self, label: bytes, turn: int, half: bytes, size: int) -> bytes:
+        """size bytes that hang on the key, the label, the round and all of the other half."""
+        return hashlib.shake_256(self.key + len(label).to_bytes(4) + label + bytes([turn]) + half).digest(size)
+
     def permute(self, kind: str, x: int, size: int) -> int:
         """A keyed permutation of range(size): an alternating Feistel network on a grid that covers it, walked until it is back inside."""
         if size < 2:
             return x
-        high = int(size**0.5) if size < 1 << 52 else 1 << (size.bit_length() // 2)
-        while high * high < size and size < 1 << 52:
-            high += 1
+        high = math.isqrt(size - 1) + 1
         low = -(-size // high)
-        tweak = f"{kind}|{size}|".encode()
+        width = -(-high.bit_length() // 8)
+        label = f"{kind}|".encode() + size.to_bytes(2 * width + 1)
         while True:
-            left, right = divmod(x, low)
-            for r in range(ROUNDS):
-                half = right if r % 2 == 0 else left
-                mixed = int.from_bytes(hashlib.blake2b(tweak + b"%d|%d" % (r, half), key=self.key, digest_size=32).digest())
-                if r % 2 == 0:
-                    left = (left + mixed) % high
-                else:
-                    right = (right + mixed) % low
-            x = left * low + right
+            halves, ranges = list(divmod(x, low)), (high, low)
+            for turn in range(ROUNDS):
+                own = turn % 2
+                mixed = self.mixed(label, turn, halves[1 - own].to_bytes(width), width + 16)
+                halves[own] = (halves[own] + int.from_bytes(mixed)) % ranges[own]
+            x = halves[0] * low + halves[1]
             if x < size:
                 return x
 
+    def permute_all(self, kind: str, codes: list[int], sizes: list[int]) -> list[int]:
+        """A keyed permutation of lists with 0 <= codes[i] < sizes[i]: the network's halves are the list's, place by place."""
+        label, half = f"{kind}|".encode() + bytes(sizes), len(codes) // 2
+        halves, ranges = [codes[:half], codes[half:]], [sizes[:half], sizes[half:]]
+        for turn in range(ROUNDS):
+            own = turn % 2
+            mixed = self.mixed(label, turn, bytes(halves[1 - own]), 8 * len(halves[own]))
+            halves[own] = [(c + int.from_bytes(mixed[8 * i : 8 * i + 8])) % n for i, (c, n) in enumerate(zip(halves[own], ranges[own], strict=True))]
+        return halves[0] + halves[1]
+
     def spelled(self, kind: str, text: str, alphabets: list[str | None]) -> str:
         """text with its characters permuted together, each within its alphabet; None keeps a character."""
-        x, size = 0, 1
-        for c, a in zip(text, alphabets, strict=True):
-            if a:
-                x, size = x * len(a) + a.index(c), size * len(a)
-        x, found = self.permute(kind, x, size), []
-        for c, a in zip(reversed(text), reversed(alphabets), strict=True):
-            if a:
-                x, at = divmod(x, len(a))
-                c = a[at]
-            found.append(c)
-        return "".join(reversed(found))
+        at = [i for i, a in enumerate(alphabets) if a]
+        codes, sizes = [alphabets[i].index(text[i]) for i in at], [len(alphabets[i]) for i in at]
+        if len(at) > LONGEST_NUMBER:
+            codes = self.permute_all(kind, codes, sizes)
+        else:
+            x = 0
+            for c, n in zip(codes, sizes, strict=True):
+                x = x * n + c
+            x = self.permute(kind, x, math.prod(sizes))
+            for k in reversed(range(len(at))):
+                x, codes[k] = divmod(x, sizes[k])
+        found = list(text)
+        for i, c in zip(at, codes, strict=True):
+            found[i] = alphabets[i][c]
+        return "".join(found)
 
     def replaced(self, kind: str, text: str) -> str | None:
         """The pseudonym of a match, or None if the text isn't a valid one of its kind."""
         found = self.seen.get((kind, text))
         if found is None:
             found = KINDS[kind](self, text)
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
-            if found is not None:
+            if found is not None and len(text) < 256:
                 self.seen[kind, text] = found
         return found
 
@@ -128,18 +161,21 @@ def _ssn(p: Pseudonyms, text: str) -> str | None:
 
 
 def _phone(p: Pseudonyms, text: str) -> str | None:
-    digits = "".join(c for c in text if c in DIGITS)
+    # The zero of +49 (0)30 isn't part of the number.
+    head, zero, tail = text.partition("(0)") if text.startswith("+") else (text, "", "")
+    digits = "".join(c for c in head + tail if c in DIGITS)
     code = "1" if digits[0] == "1" and len(digits) == 11 else ""
     if len(digits) - len(code) == 10 and (code or not text.startswith("+")):
         own = digits[len(code) :]  # the same with and without +1
         # Area codes that begin with 0 or 1 stay among themselves.
-        first = p.spelled("phone", own, ["01" if own[0] in "01" else "23456789"] + [DIGITS] * 9)
-        return onto(text, code + first)
-    if not 8 <= len(digits) <= 15 or not text.startswith("+"):
+        found = code + p.spelled("phone", own, ["01" if own[0] in "01" else "23456789"] + [DIGITS] * 9)
+    elif 8 <= len(digits) <= 15 and text.startswith("+"):
+        n = 1 if digits.startswith(SHORT_CODES) else 2 if digits.startswith(TWO_DIGIT_CODES) else 3
+        found = digits[:n] + p.spelled("phone", digits[n:], [DIGITS] * (len(digits) - n))
+    else:
         return None
-    lead = re.match(r"\+(\d{1,3})[ .\-(]", text)
-    n = len(lead[1]) if lead else 2
-    return onto(text, digits[:n] + p.spelled("phone", digits[n:], [DIGITS] * (len(digits) - n)))
+    shown = onto(head + tail, found)
+    return shown[: len(head)] + zero + shown[len(head) :]
 
 
 def _ip(p: Pseudonyms, text: str) -> str | None:
@@ -150,6 +186,17 @@ def _ip(p: Pseudonyms, text: str) -> str | None:
     return ".".join(map(str, x.to_bytes(4)))
 
 
+def _ip6(p: Pseudonyms, text: str) -> str | None:
+    groups = [g for g in text.split(":") if g]
+    if len(groups) < 3 and len(groups[:1] and groups[0]) < 4:  # a::b is rather code than an address
+        return None
+    try:
+        x = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(p.permute("ip6", x, 1 << 128)))
+
+
 def _date(p: Pseudonyms, text: str) -> str | None:
     separator = next(c for c in text if c not in DIGITS)
     a, b, c = parts = text.split(separator)
@@ -181,11 +228,11 @@ def _iban(p: Pseudonyms, text: str) -> str | None:
 
 
 def _email(p: Pseudonyms, text: str) -> str:
-    name, _, domain = text.lower().rpartition("@")
+    name, _, domain = text.translate(SMALL).rpartition("@")
     top = domain.rfind(".")
     own = f"{name}@{domain[:top]}"
     found = p.spelled("email", own, classes(own)) + domain[top:]
-    return "".join(n.upper() if o.isupper() else n for o, n in zip(text, found, strict=True))
+    return "".join(n.upper() if o in UPPER else n for o, n in zip(text, found, strict=True))
 
 
 def _value(p: Pseudonyms, text: str) -> str:
@@ -197,7 +244,9 @@ def _access(p: Pseudonyms, text: str) -> str:
     return p.spelled("access", text, [UPPER + DIGITS] * len(text))
 
 
-KINDS: dict[str, Callable[[Pseudonyms, str], str | None]] = {"email": _email, "value": _value, "access": _access, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+KINDS: dict[str, Callable[[Pseudonyms, str], str | None]] = {
+    "email": _email, "value": _value, "access": _access, "iban": _iban, "date": _date, "ip": _ip, "ip6": _ip6, "ssn": _ssn, "card": _card, "phone": _phone,
+}
 
 
 def found_at(text: str, at: int, names: Pseudonyms) -> tuple[str, int, int, str] | None:
@@ -237,10 +286,11 @@ def pseudonymise(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int
 def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """The documents with pseudonyms in text, and spans (array of kind, start, end in the text given).
 
-    Kinds: e-mail and IPv4 addresses, phone, card (Luhn), social security and bank account (mod 97) numbers, dates
+    Kinds: e-mail, IPv4 and IPv6 addresses, phone, card (Luhn), social security and bank account (mod 97) numbers, dates
     of 1900 to 2099, access key ids, and values of password= and the like. A value is validated, permuted within the values of
     its format (check digits are made anew) and written in its own spelling, so equal values give equal pseudonyms
-    in all documents, in whatever separators, and distinct values distinct ones. Invalid numbers stay.
+    in all documents, in whatever separators, and distinct values distinct ones. Invalid numbers stay. A value may be of
+    any length: all of it is mixed. (IPv6 pseudonyms are written in the short form.)
 
     A null text stays null with null spans, an empty one has none. Texts are taken whole, row by row, without a
     shuffle. All columns are kept; one called spans is renamed (see base.tidy). No rows: no rows.
