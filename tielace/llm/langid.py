@@ -15,11 +15,14 @@ from .base import hashed_unit, pick, text_batches, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 17
-#: The classifier is fitted on at most so many labelled texts of a language, and calibrated on so many others.
-FIT_TEXTS = 600
-CALIBRATION_TEXTS = 200
-#: More label values than this are taken for a mistake.
+#: The model learns from at most so many labelled texts of a language and of all languages. One in four of them
+#: calibrates, the others fit; a language with two texts has one of either.
+LANGUAGE_TEXTS = 800
+SAMPLE_TEXTS = 40_000
+#: Languages that are learned: those with the most labelled texts, ties by name. Rarer ones teach nothing.
 MOST_LANGUAGES = 1000
+#: Weights of the model (n-gram buckets times languages). If there would be more, the buckets in most texts have weights.
+WEIGHTS = 1 << 24
 UNKNOWN = "und"
 
 
@@ -65,24 +68,29 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    """weights: [row, language]; row: the row of a bucket, len(weights) where it has none."""
+
     languages: list[str]
     idf: np.ndarray
+    row: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
 
-    def table(self) -> np.ndarray:
-        """What one occurrence of a bucket adds to the logits, times the number of n-grams; a zero row at the end."""
-        scaled = (self.weights * self.idf[:, None] * 100.0).astype(np.float32)
-        return np.vstack([scaled, np.zeros((1, len(self.languages)), np.float32)])
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each bucket and of no bucket, what one n-gram of a row adds to the logits, times their number)."""
+        used = np.flatnonzero(self.row < len(self.weights))
+        scaled = np.zeros((len(self.weights) + 1, len(self.languages)), np.float32)
+        scaled[self.row[used]] = self.weights[self.row[used]] * self.idf[used, None] * 100.0
+        return np.append(self.row, len(self.weights)), scaled
 
-    def logits(self, texts: list[str], table: np.ndarray) -> np.ndarray:
+    def logits(self, texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        row, scaled = table
         codes, starts, lengths = codes_of(texts)
         total = np.zeros((len(codes), len(self.languages)), np.float32)
         for bucket in grams(codes, lengths):
-            total += table[bucket]
+            total += scaled[row[bucket]]
         n = sum(np.maximum(0, lengths - order + 1) for order in ORDERS)
-        # Sums over a text in doubles, piece by piece of 4096 places.
         sums = np.add.reduceat(total, starts, axis=0, dtype=np.float64)
         return sums / n[:, None] + self.bias
 
@@ -92,24 +100,24 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def follow_the_leader(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: int, idf: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 6, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights [bucket, language] and biases by follow-the-regularised-leader with an elastic net.
+def follow_the_leader(samples: list[tuple[np.ndarray, np.ndarray, int]], rows: int, languages: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 6, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights [row, language] and biases by follow-the-regularised-leader with an elastic net.
 
-    samples: buckets, shares of the text's n-grams, and language. A weight is exactly 0 as long as its summed
-    gradients stay within l1; the bias, the last row, is not penalised.
+    samples: rows, their values, and language. A weight is exactly 0 as long as its summed gradients stay within l1;
+    the bias, the last row, is not penalised.
     """
-    z = np.zeros((BUCKETS + 1, languages))
+    z = np.zeros((rows + 1, languages))
     squares = np.zeros_like(z)
 
     def solve(zi, ni, l1, l2):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
-    inputs = [(np.append(b, BUCKETS), np.append(100.0 * share * idf[b], 1.0), y) for b, share, y in samples]
+    inputs = [(np.append(r, rows), np.append(x, 1.0), y) for r, x, y in samples]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for at in order.permutation(len(inputs)):
-            rows, x, y = inputs[at]
-            zi, ni = z[rows], squares[rows]
+            own, x, y = inputs[at]
+            zi, ni = z[own], squares[own]
             w = solve(zi, ni, l1, l2)
             w[-1] = solve(zi[-1], ni[-1], 0.0, 0.0)
             logits = x @ w
@@ -118,8 +126,8 @@ def follow_the_leader(samples: list[tuple[np.ndarray, np.ndarray, int]], languag
             p[y] -= 1.0
             g = x[:, None] * p
             later = ni + g * g
-            z[rows] = zi + g - (np.sqrt(later) - np.sqrt(ni)) / alpha * w
-            squares[rows] = later
+            z[own] = zi + g - (np.sqrt(later) - np.sqrt(ni)) / alpha * w
+            squares[own] = later
     weights = solve(z, squares, l1, l2)
     return weights[:-1], solve(z[-1], squares[-1], 0.0, 0.0)
 
@@ -144,41 +152,49 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(labelled: DataFrame) -> Model | None:
     """A model from doc_id, text, lang rows; rows with null lang, or without a letter, teach nothing. None: no such rows.
 
-    Document frequencies count all rows. The weights are fitted on FIT_TEXTS whole texts of each language and the
-    temperature on CALIBRATION_TEXTS others, those with the smallest hash of their doc_id.
+    Document frequencies count all rows. Of each learned language (see MOST_LANGUAGES), the texts with the smallest
+    hash of their doc_id, as many as LANGUAGE_TEXTS and SAMPLE_TEXTS allow, are taken whole; every fourth of them, from
+    the second on, sets the temperature, the others the weights.
     """
     rows = pick(labelled, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = [r["lang"] for r in counts]
+    languages = sorted(r["lang"] for r in counts)
 
     def frequencies(batches):
         seen, total = np.zeros(BUCKETS + 1, bool), np.zeros(BUCKETS, np.int64)
+        n_texts = 0
         for batch in text_batches(batches):
-            for text in batch.column("text").to_pylist():
-                codes, _, lengths = codes_of([text])
-                for found in (all_found := list(grams(codes, lengths))):
-                    seen[found] = True
-                total += seen[:-1]
-                for found in all_found:
-                    seen[found] = False
+            codes, starts, lengths = codes_of(batch.column("text").to_pylist())
+            found = np.stack(list(grams(codes, lengths)))
+            n_texts += len(starts)
+            for start, size in zip(starts.tolist(), lengths.tolist(), strict=True):
+                own = found[:, start : start + size]
+                seen[own] = True
+                seen[-1] = False
+                has = np.flatnonzero(seen)
+                total[has] += 1
+                seen[has] = False
         has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], names=["bucket", "n"])
+        buckets, sums = np.append(has, -1), np.append(total[has], n_texts)  # -1: all texts
+        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(sums)], names=["bucket", "n"])
 
-    df = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    n_texts = sum(r["count"] for r in counts)
+    found = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    buckets, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
     frequency = np.zeros(BUCKETS)
-    frequency[df.column("bucket").to_numpy()] = df.column("n").to_numpy()
-    idf = np.log((1 + n_texts) / (1 + frequency)) + 1.0
+    frequency[buckets[buckets >= 0]] = n[buckets >= 0]
+    idf = np.log((1 + n[buckets < 0].sum()) / (1 + frequency)) + 1.0
+    # The rows of weights: all buckets that occur, or the most frequent ones.
+    used = np.argsort(-frequency, kind="stable")[: min(int((frequency > 0).sum()), max(1, WEIGHTS // len(languages)))]
+    row = np.full(BUCKETS, len(used), np.int64)
+    row[np.sort(used)] = np.arange(len(used))
 
     # First thin each language to about half more than is wanted, where it stands; then take exactly the first ones.
-    wanted = FIT_TEXTS + CALIBRATION_TEXTS
+    wanted = max(2, min(LANGUAGE_TEXTS, SAMPLE_TEXTS // len(languages)))
     chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * wanted / r["count"] + 20 / r["count"])))])
     draw = hashed_unit(F.lit("language"), F.col("doc_id"))
-    thinned = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(chance, F.col("lang")))
+    thinned = rows.withColumn("draw", draw).filter(F.col("draw") < F.coalesce(F.try_element_at(chance, F.col("lang")), F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
     chosen = thinned.withColumn("place", place).filter(F.col("place") <= wanted)
 
@@ -186,21 +202,23 @@ def train(labelled: DataFrame) -> Model | None:
         for batch in text_batches(batches):
             for text, lang, place in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "place")), strict=True):
                 buckets, n = counted(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([buckets.astype("<i4").tobytes()]), pa.array([(n / n.sum()).astype("<f4").tobytes()]), pa.array([lang]), pa.array([place], pa.int32())], names=["buckets", "shares", "lang", "place"]
-                )
+                known = row[buckets] < len(used)
+                share, own = (n / n.sum())[known].astype("<f4"), buckets[known].astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()]), pa.array([share.tobytes()]), pa.array([lang]), pa.array([place], pa.int32())], names=["buckets", "shares", "lang", "place"])
 
     sample = chosen.select("text", "lang", "place").mapInArrow(features, "buckets binary, shares binary, lang string, place int").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["lang"], r["place"]))
     number = {name: i for i, name in enumerate(languages)}
-    ready = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4").astype(float), number[r["lang"]], r["place"]) for r in sample]
-    fit = [r[:3] for r in ready if r[3] <= FIT_TEXTS]
-    weights, bias = follow_the_leader(fit, len(languages), idf)
-    model = Model(languages, idf, weights, bias)
-    held = [r for r in ready if r[3] > FIT_TEXTS]
+    fit, held = [], []
+    for r in sample:
+        own = np.frombuffer(r["buckets"], "<i4")
+        x = 100.0 * np.frombuffer(r["shares"], "<f4") * idf[own]
+        (held if r["place"] % 4 == 2 else fit).append((row[own], x, number[r["lang"]]))
+    weights, bias = follow_the_leader(fit, len(used), len(languages))
+    model = Model(languages, idf, row, weights.astype(np.float32), bias)
     if held:
-        logits = np.stack([(100.0 * share * idf[b]) @ weights[b] + bias for b, share, _, _ in held])
-        model.temperature = best_temperature(logits, np.array([r[2] for r in held]))
+        logits = np.stack([x @ weights[own] + bias for own, x, _ in held])
+        model.temperature = best_temperature(logits, np.array([y for _, _, y in held]))
     return model
 
 
