@@ -13,6 +13,8 @@ BROADCAST_SOURCES = 2_000
 LARGEST_MEAN = 64.0
 #: With means up to LARGEST_MEAN, the distribution's tail beyond so many counts is below 2**-52.
 LARGEST_COUNT = 190
+#: Copies of a document that one row is exploded into at once.
+COPIES = 1000
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0) -> DataFrame:
@@ -53,28 +55,35 @@ def poisson_table(rates: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """The training mix: every document as often as its Poisson draw says, in a global random order.
 
-    A document's count inverts the Poisson distribution of its source's rate at a number hashed from seed and
-    doc_id, so it is the same in every run and on any cluster; rows with one doc_id get one count. Adds
-    copy (int, from 1) and shuffle_key (string); rows are dealt to partitions by shuffle_key and sorted in them.
+    A document's count inverts the Poisson distribution of its source's rate at a number hashed from seed, doc_id and
+    text, so it is the same in every run and on any cluster; only rows with one doc_id and one text get one count. Adds
+    copy (int, from 1) and shuffle_key (string). Rows are dealt to partitions by a hash of shuffle_key and of their place
+    in the input (which parts even equal rows) and sorted by shuffle_key in them.
     Null and empty texts have size 0: they don't add to their source's size and are repeated like its others.
     Extra columns are kept; those called copy or shuffle_key are renamed (see base.tidy). No rows: no rows.
     """
-    docs = tidy(docs, ("doc_id", "text", "source"), ("copy", "shuffle_key", "_source", "_draws", "_cdf"))
+    own = ("_source", "_draws", "_cdf", "_text", "_unit", "_count", "_block", "_deal")
+    docs = tidy(docs, ("doc_id", "text", "source"), ("copy", "shuffle_key", *own))
     table = poisson_table(source_rates(docs, weights, power, epochs)).select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    drawn = docs.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_source")))
+    known = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    drawn = known.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_source")))
+    drawn_at = lambda draw: hashed_unit(F.lit(seed), F.col("doc_id"), F.col("_text"), draw)
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")),
         F.lit(0),
-        lambda n, draw: n + F.size(F.filter(F.col("_cdf"), lambda c: c <= hashed_unit(F.lit(seed), F.col("doc_id"), draw))),
+        lambda n, draw: n + F.size(F.filter(F.col("_cdf"), lambda c: c <= drawn_at(draw))),
     )
     # A document's draw is hashed once where it takes a single one, as all rates up to LARGEST_MEAN do.
-    unit = F.when(F.col("_draws") == 1, hashed_unit(F.lit(seed), F.col("doc_id"), F.lit(1)))
+    unit = F.when(F.col("_draws") == 1, drawn_at(F.lit(1)))
     once = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_unit")))
-    counted = drawn.withColumn("_unit", unit).withColumn("_count", F.when(F.col("_draws") == 1, once).otherwise(count)).drop("_source", "_draws", "_cdf", "_unit")
-    copies = counted.filter("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    counted = drawn.withColumn("_unit", unit).withColumn("_count", F.when(F.col("_draws") == 1, once).otherwise(count)).drop("_source", "_draws", "_cdf", "_unit").filter("_count > 0")
+    # In two steps, so that no row holds more than COPIES numbers however high its source's rate is.
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / COPIES).cast("int"))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("_block") * COPIES + 1, F.least("_count", (F.col("_block") + 1) * COPIES)))).drop("_count", "_block")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text"), F.col("copy").cast("string")).cast("binary"))
+    dealt = copies.withColumn("shuffle_key", key).drop("_text").withColumn("_deal", F.xxhash64("shuffle_key", F.monotonically_increasing_id()))
+    return dealt.repartition("_deal").drop("_deal").sortWithinPartitions("shuffle_key")
 
 
 def op2_poisson_mix(spark, sf_dir: str) -> DataFrame:
@@ -97,12 +106,12 @@ WITH RECURSIVE sizes AS (
 ), lists AS (
   SELECT source, list(c) AS cs FROM cdf GROUP BY source
 ), drawn AS (
-  SELECT d.*, len(list_filter(l.cs, lambda c: c <= CAST(('0x' || substr(md5('7|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|1'), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS n
+  SELECT d.*, len(list_filter(l.cs, lambda c: c <= CAST(('0x' || substr(md5('7|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(coalesce(d.text, '')) || '|1'), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS n
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
 ), copies AS (
   SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn WHERE n > 0
 )
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
-  md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key
+  md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM copies
 """
