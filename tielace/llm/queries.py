@@ -11,7 +11,7 @@ from .pii import op1_pii_feistel
 from .repeats import op9_prefix_free_repeats
 from .simhash import op7_simhash_pivots
 from .topk import OP8_SQL, op8_kdtree_topk
-from .urlfilter import op4_link_graph_filter
+from .urlfilter import OP4_SQL, op4_link_graph_filter
 
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_itq_near_dups": op10_itq_near_dups,
 }
 
-ORACLE_SQL = {"op2_poisson_mix": OP2_SQL, "op8_kdtree_topk": OP8_SQL, "op10_itq_near_dups": OP10_SQL}
+ORACLE_SQL = {"op4_link_graph_filter": OP4_SQL, "op2_poisson_mix": OP2_SQL, "op8_kdtree_topk": OP8_SQL, "op10_itq_near_dups": OP10_SQL}
