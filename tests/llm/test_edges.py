@@ -51,6 +51,18 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Null and equal ids draw by their texts, so the mean is met; a rate far above one is met in blocks of copies."""
+    rows = spark.range(6000).selectExpr("if(id % 2 = 0, null, 7L) doc_id", "concat('text number ', id + 10000) text", "'a' source")
+    got = mixing.mix(rows, {"a": 1.0}, epochs=2.0)
+    assert got.count() == pytest.approx(12_000, rel=0.05)
+    assert got.select("shuffle_key").distinct().count() == got.count()
+    one = spark.createDataFrame([(1, "x", "small"), (2, "y" * 4000, "large")], "doc_id long, text string, source string")
+    copies = [r["copy"] for r in mixing.mix(one, {"small": 1.0, "large": 1.0}).filter("source = 'small'").collect()]
+    assert sorted(copies) == list(range(1, len(copies) + 1)) and 1700 < len(copies) < 2300
+    assert all(p < 1.5 * 12_000 / got.rdd.getNumPartitions() for p in got.groupBy(F.spark_partition_id()).count().toPandas()["count"])
+
+
 def test_packing(docs, none):
     got = packing.pack_documents(docs, BYTE).collect()
     assert sorted(r["length"] for r in got if r["doc_id"] in (2, 3)) == [1, 1]

@@ -16,13 +16,19 @@ BATCH_BYTES = 1 << 20
 ARROW_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
+_roots: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    A cluster has to name one: a folder of this machine would be lost to its executors.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
@@ -30,11 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that operators of this session wrote; results that weren't written elsewhere are lost."""
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        delete(spark, root)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -46,8 +64,7 @@ class Scratch:
 
     def drop(self, kept: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(kept.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, kept.scratch_path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -83,7 +83,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
 
     A shard is a row of Parquet, so that Spark's writers commit it: part and seq (its place in the order), n (ids),
     doc_ids and lengths (little-endian long and unsigned int arrays) and the levels of its Codes. Null texts count as
-    empty; rows with a null doc_id come first; rows with one doc_id stand together in any order. No rows: no shards.
+    empty; rows with a null doc_id come first; rows with one doc_id stand together in any order, also in several
+    shards if they are many. No rows: no shards.
     """
 
     def run(batches):
@@ -119,10 +120,40 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         if held:
             yield shard()
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash and the place part rows that share a doc_id, so that no task has to take all of them.
+    keyed = pick(docs, "doc_id", "text").withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "_hash", "_place").sortWithinPartitions("doc_id").drop("_hash", "_place")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """part, seq, n, base (ids before the shard) of a folder's shards, from their sizes alone."""
+    sizes = shards.select("part", "seq", "n")
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("all"))  # a row for each task that wrote
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = sizes.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return inside.join(parts.select("part", before.alias("base")), "part").select("part", "seq", "n", (F.col("base") + F.col("inside")).alias("base"))
+
+
+def read_places(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """place, id of the ids at places start to end (not included) of all ids of a folder, in the order written.
+
+    Only shards that hold some of them are read, and of these only the codes asked for. Places beyond the end: no rows.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    wanted = shard_starts(shards).filter((F.col("base") < end) & (F.col("base") + F.col("n") > start)).drop("n")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                codes = Codes(*(row[c] for c in ("widths", "chunks", "bitmaps", "ranks", "n")))
+                first, last = max(0, start - row["base"]), min(row["n"], end - row["base"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last) + row["base"]), pa.array(codes.slice(first, last).astype(np.int64))], names=["place", "id"])
+
+    return shards.drop("doc_ids", "lengths").join(wanted, ["part", "seq"]).mapInArrow(run, "place long, id long")
+
+
 def read_ids(spark: SparkSession, path: str, visit=None, extra: str = "") -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens of a folder of shards, and what visit makes of the ids.
 
@@ -148,11 +179,7 @@ def read_ids(spark: SparkSession, path: str, visit=None, extra: str = "") -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = shards.mapInArrow(run, "part int, seq int, doc_id long, before long, n_tokens long" + (f", {extra}" if extra else ""))
-    sizes = shards.select("part", "seq", "n")
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("all"))  # a row for each task that wrote
-    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts.select("part", before.alias("base")), "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("base"))
+    starts = shard_starts(shards).drop("n")
     return found.join(starts, ["part", "seq"]).withColumn("start", F.col("base") + F.col("before")).drop("part", "seq", "base", "before")
 
 
