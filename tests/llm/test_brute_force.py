@@ -253,6 +253,40 @@ def test_chosen_patterns_use_every_length_once(lengths):
     assert used == Counter(lengths)
 
 
+def test_nearly_all_sequences_come_from_fitted_patterns():
+    """Of the sequences that aren't one full piece, at sf0.1; and no more sequences than best fit alone needs."""
+    import pyarrow.parquet as pq
+
+    lengths = []
+    for batch in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).to_batches(max_chunksize=500):
+        lengths.append(encoders["byte_bpe_50k.json"].encode(batch.column("text"))[1] + 1)
+    n = np.concatenate(lengths)
+    pieces = -(-n // 1024)
+    histogram = np.bincount(n - (pieces - 1) * 1024, minlength=1025)
+    histogram[1024] = 0
+    chosen, left = packing.fitted(histogram, 1024)
+    assert all(sum(p) == 1024 for p in chosen)
+    own, all_ = sum(chosen.values()), sum(packing.choose(histogram, 1024).values())
+    assert own >= 0.9 * all_ and left.sum() <= packing.RESIDUAL
+    assert all_ <= min(sum(packing.best_fit(histogram, 1024).values()), 1.003 * -(-int(histogram @ np.arange(1025)) // 1024))
+    more = sum(packing.choose(histogram * 1000, 1024).values())
+    assert more <= 1.002 * histogram @ np.arange(1025) * 1000 / 1024
+
+
+def test_fitted_counts_are_least_squares():
+    """No single count can be changed to lower the squared error, and few-document patterns are all there."""
+    histogram = np.bincount(np.random.default_rng(8).integers(1, 65, 4000), minlength=65)
+    shapes = packing.patterns(histogram, 64)
+    x = packing.fit_counts(shapes, histogram)
+    a = np.zeros((65, len(x)))
+    for at in range(len(x)):
+        for length, times in shapes.documents(at).items():
+            a[length, at] = times
+    error = lambda y: float(((histogram - a @ y)[1:] ** 2).sum())
+    assert (x >= 0).all() and all(error(np.maximum(0, x + d * np.eye(len(x))[k])) >= error(x) - 0.1 for k in range(0, len(x), 7) for d in (-0.5, 0.5))
+    assert len(x) == sum(1 for i in range(1, 65) for j in range(1, i + 1) if i + j == 64 or 1 <= 64 - i - j <= j)
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.data())
 @settings(max_examples=40, deadline=None)
 def test_codes_round_trip_and_random_access(values, data):

@@ -1,8 +1,13 @@
-"""Packing documents into sequences: length patterns fitted by non-negative least squares."""
+"""Packing documents into sequences: length patterns fitted by non-negative least squares.
+
+Few-document patterns are enumerated from the histogram of lengths, their counts fitted to it and rounded down, again and
+again on what is left; best fit places the last few hundred pieces.
+"""
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,51 +18,82 @@ from .base import Scratch, partitions, pick, text_batches
 from .dac import crc
 from .tokens import kept_encoder, public_file, with_end
 
-#: Rounds of coordinate steps at most, and steps of a round.
-ROUNDS, STEPS = 600, 256
-#: Shares of the fitted counts that are tried; the one that leaves the fewest sequences is taken.
-SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)
+#: Rounds of coordinate steps of a fit at most, and steps of a round.
+ROUNDS, STEPS = 3000, 256
+#: Pieces that are left to best fit.
+RESIDUAL = 600
+
+
+@dataclass
+class Shapes:
+    """Patterns of up to three parts; part k of a pattern is times[:, k] documents of length lengths[:, k] (0: no part)."""
+
+    lengths: np.ndarray
+    times: np.ndarray
 
+    def norms(self) -> np.ndarray:
+        """Squared lengths of the patterns' columns: a length in two parts counts once, with the sum of its times."""
+        found = (self.times**2).sum(axis=1)
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            same = (self.lengths[:, i] == self.lengths[:, j]) & (self.lengths[:, i] > 0)
+            found = found + 2 * same * self.times[:, i] * self.times[:, j]
+        return found.astype(float)
 
-def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
-    """All sets of two or three of these lengths that fill a sequence; rows from long to short, 0 for no third."""
-    has = np.zeros(size + 1, bool)
-    has[lengths] = True
-    a, b = np.meshgrid(lengths, lengths, indexing="ij")
-    a, b = a[a >= b], b[a >= b]
+    def documents(self, at: int) -> dict[int, int]:
+        """How many documents of each length a pattern has."""
+        found: dict[int, int] = defaultdict(int)
+        for length, times in zip(self.lengths[at].tolist(), self.times[at].tolist(), strict=True):
+            if length:
+                found[length] += times
+        return found
+
+
+def patterns(histogram: np.ndarray, size: int) -> Shapes:
+    """All patterns of two or three parts that fill a sequence.
+
+    A part is one document, or 2, 4, 8 ... of one length where none is as long as they are together, so that short
+    documents fill a sequence as well.
+    """
+    length, times = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+    for n in (1 << k for k in range(size.bit_length())):
+        own = np.flatnonzero(histogram[: size // n + 1] >= n)
+        own = own[(own > 0) & (length[own * n] == 0)]
+        length[own * n], times[own * n] = own, n
+    parts = np.flatnonzero(length)
+    a, b = (x.ravel() for x in np.meshgrid(parts, parts, indexing="ij"))
+    a, b = a[(a >= b) & (a + b <= size)], b[(a >= b) & (a + b <= size)]
     c = size - a - b
-    ok = (c >= 0) & (c <= b)
-    ok[ok] &= has[c[ok]] | (c[ok] == 0)
-    return np.stack([a[ok], b[ok], c[ok]], axis=1)
+    some = (c == 0) | ((c <= b) & (length[c] > 0))
+    values = np.stack([a, b, c], axis=1)[some]
+    return Shapes(length[values], times[values])
 
 
-def fit_counts(shapes: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Counts x >= 0 of the patterns (rows of shapes) that least-squares fit their lengths to the histogram.
+def fit_counts(shapes: Shapes, histogram: np.ndarray) -> np.ndarray:
+    """Counts x >= 0 of the patterns that least-squares fit their documents to the histogram.
 
     Coordinate descent: a round sets the counts with the steepest descent, no two of which share a length, to their
-    best values, down to 0 at least. It uses few patterns, so that rounding loses little, and ends when no step
-    changes a count by half a sequence.
+    best values, down to 0 at least, until no step is worth taking.
     """
-    x, left = np.zeros(len(shapes)), histogram.astype(float)
-    if not len(shapes):
-        return x
+    x, left = np.zeros(len(shapes.lengths)), histogram.astype(float)
     left[0] = 0.0
-    a, b, c = shapes.T
-    third = (c > 0).astype(float)
-    norm = 2.0 + third + 2.0 * (a == b) + 2.0 * (b == c) + 2.0 * ((a == b) & (b == c))
+    if not len(x):
+        return x
+    norm, least = shapes.norms(), max(0.02, 1e-5 * float(histogram.max()))
+    columns = [(np.ascontiguousarray(v), np.ascontiguousarray(t).astype(float)) for v, t in zip(shapes.lengths.T, shapes.times.T, strict=True)]
     for _ in range(ROUNDS):
-        gain = np.maximum((left[a] + left[b] + left[c]) / norm, -x)
+        gain = np.maximum(sum(left[v] * t for v, t in columns) / norm, -x)
         worth = gain * gain * norm
         best = np.argpartition(-worth, min(STEPS, len(x) - 1))[:STEPS]
-        used: set[int] = set()
-        for at in best[np.argsort(-worth[best], kind="stable")].tolist():
-            own = [v for v in shapes[at].tolist() if v]
-            if abs(gain[at]) >= 0.5 and used.isdisjoint(own):
+        best = best[np.argsort(-worth[best], kind="stable")]
+        best = best[np.abs(gain[best]) >= least]
+        used: set[int] = {0}
+        for at, step, own, times in zip(best.tolist(), gain[best].tolist(), shapes.lengths[best].tolist(), shapes.times[best].tolist(), strict=True):
+            if used.isdisjoint(v for v in own if v):
                 used.update(own)
-                x[at] += gain[at]
-                for v in own:
-                    left[v] -= gain[at]
-        if not used:
+                x[at] += step
+                for v, t in zip(own, times, strict=True):
+                    left[v] -= t * step
+        if not len(best):
             break
     return x
 
@@ -101,31 +137,38 @@ def best_fit(histogram: np.ndarray, size: int) -> dict[tuple[int, ...], int]:
     return found
 
 
+def fitted(histogram: np.ndarray, size: int) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Patterns with their counts, and the histogram of what is left: RESIDUAL pieces or what no pattern takes.
+
+    Counts are fitted and rounded down, and what is left is fitted again: rounding down leaves a mix of lengths that
+    still fits together. Where all counts are below one, those of a half or more are taken once.
+    """
+    left, chosen = histogram.astype(np.int64), defaultdict(int)
+    while left.sum() > RESIDUAL:
+        shapes, took = patterns(left, size), 0
+        x = fit_counts(shapes, left)
+        n = np.floor(x) if (x >= 1).any() else (x >= 0.5).astype(float)
+        for at in np.argsort(-x, kind="stable")[: int((n > 0).sum())].tolist():
+            own = shapes.documents(at)
+            count = min(int(n[at]), *(int(left[length]) // times for length, times in own.items()))
+            if count > 0:
+                took += count
+                chosen[tuple(sorted((v for v, k in own.items() for _ in range(k)), reverse=True))] += count
+                for length, times in own.items():
+                    left[length] -= count * times
+        if not took:
+            break
+    return chosen, left
+
+
 def choose(histogram: np.ndarray, size: int) -> dict[tuple[int, ...], int]:
-    """Patterns and how many sequences take each: fitted and rounded ones first, then best fit for the residual."""
+    """Patterns and how many sequences take each: fitted ones, which are full, then best fit for the residual."""
     rest = histogram.astype(np.int64)
     full, rest[size] = int(rest[size]), 0
-    shapes = patterns(np.flatnonzero(rest), size)
-    x = fit_counts(shapes, rest)
-    order = np.argsort(-x, kind="stable").tolist()
-    found: list[dict[tuple[int, ...], int]] = []
-    for share in SHARES:
-        left, chosen = rest.copy(), defaultdict(int)
-        for at in order:
-            if x[at] * share < 0.5:
-                break
-            pattern = tuple(v for v in shapes[at].tolist() if v)
-            each = {v: pattern.count(v) for v in pattern}
-            n = min(int(x[at] * share + 0.5), *(int(left[v]) // k for v, k in each.items()))
-            if n > 0:
-                chosen[pattern] += n
-                for v, k in each.items():
-                    left[v] -= n * k
-        for pattern, n in best_fit(left, size).items():
-            chosen[pattern] += n
-        found.append(chosen)
-    best = min(found, key=lambda c: sum(c.values()))
-    return {(size,): full} | best if full else best
+    chosen, left = fitted(rest, size)
+    for pattern, n in best_fit(left, size).items():
+        chosen[pattern] += n
+    return {(size,): full} | chosen if full else chosen
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:
