@@ -554,7 +554,11 @@ def test_runs_stay_whole(keys, limit, step):
     assert pairs == {(i, j) for j in range(len(keys)) for i in range(j) if keys[i] == keys[j]}
 
 
-def test_similar_documents(spark):
+@pytest.mark.parametrize("bucket, block, keys", [(64, 256, 200_000), (2, 8, 0)])
+def test_similar_documents(spark, bucket, block, keys, monkeypatch):
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "BROADCAST_KEYS", keys)
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     sets, shingles = Sets(), {r["doc_id"]: set(simhash.shingle_hashes(r["text"].encode(), 5).tolist()) for r in docs.collect()}
     where = defaultdict(list)
