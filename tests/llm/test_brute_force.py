@@ -652,6 +652,28 @@ def test_embedding_links_whole(spark, monkeypatch):
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in got)
 
 
+@pytest.mark.parametrize("mean", [0.0, 1.0])
+def test_codes_are_balanced_and_find_nearly_all_links(spark, mean):
+    """Also where all vectors lean one way, whose signs alone would put them into a few buckets."""
+    rng = np.random.default_rng(7)
+    centres = mean + rng.standard_normal((1500, 64))
+    x = np.concatenate([c + rng.uniform(0.05, 0.7) * rng.standard_normal((4, 64)) for c in centres]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    plan = itq.Plan.of(unit[rng.permutation(len(unit))[:3000]], len(unit), 0.93)
+    share = np.concatenate([q.bits(unit) for q in plan.quantisers], axis=1).mean(axis=0)
+    assert abs(share - 0.5).max() < 0.05
+    codes = plan.codes(unit)
+    assert max(Counter(plan.keys(codes, plan.tables)[:, 0].tolist()).values()) < 12 * itq.AVERAGE
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    i, j = np.nonzero(linked)
+    far = sum(np.bitwise_count(codes[i, w] ^ codes[j, w]).astype(int) for w in range(codes.shape[1]))
+    assert (far <= plan.limit).all()
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    n = sum(r["n_links"] for r in itq.near_duplicates(frame).collect())
+    assert 0.98 * linked.sum() <= n <= linked.sum()
+
+
 # 9
 
 
@@ -670,6 +692,22 @@ def plain_repeats(texts, length):
     return found
 
 
+@given(st.lists(st.sampled_from([b"abab", b"aa", b"abcabcab", b"\xff\x00", b"b"]), min_size=1, max_size=60), st.integers(1, 40))
+@settings(max_examples=80, deadline=None)
+def test_strings_are_put_in_suffix_order(pieces, length):
+    """Against the plain suffix array, cut to the depth."""
+    data = b"".join(pieces)
+    plain = sorted(range(len(data) - length + 1), key=lambda i: (data[i : i + length], i))
+    ranks = repeats.string_ranks(np.frombuffer(data, np.uint8), length)
+    assert np.lexsort((np.arange(len(ranks)), ranks)).tolist() == plain
+    assert all((ranks[i] == ranks[j]) == (data[i : i + length] == data[j : j + length]) for i, j in zip(plain, plain[1:], strict=False))
+    if len(data) >= length:
+        _, step, again = repeats.repeated_strings([data], np.array([len(data) - length + 1]), length)
+        assert step.tolist() == plain
+        count = Counter(data[i : i + length] for i in plain)
+        assert again.tolist() == [count[data[i : i + length]] > 1 for i in plain]
+
+
 def test_repeats_whole(spark, texts):
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.op9_prefix_free_repeats(spark, SMALL).collect()}
     assert got == plain_repeats(texts, 200)

@@ -1,9 +1,14 @@
-"""Embedding near-duplicates: iterative quantisation, multi-index tables of code parts, exact rerank."""
+"""Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
+
+Centred vectors are turned so that the signs of their projections, cut at the medians, are balanced and lose the least.
+Parts of these codes are the keys of the tables; in a bucket the Hamming distance of the whole codes discards, and the
+vectors decide. Only codes go into the tables; a vector follows where its code has a near one.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +24,10 @@ SAMPLE_ROWS = 20_000
 SAMPLE_NUMBERS = 4_000_000
 #: A bucket of more vectors than this is compared block by block.
 BUCKET = 2048
+#: Vectors that a bucket of the largest label has on average, about.
+AVERAGE = 32
 #: A pair exactly at the threshold is missed by all tables with this probability; closer ones less often.
-MISSED = 0.003
+MISSED = 0.002
 
 
 def random_rotation(dim: int, seed: int) -> np.ndarray:
@@ -28,48 +35,101 @@ def random_rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def learn_rotation(unit: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
-    """Principal directions turned so that the signs of projections lose the least.
+@dataclass
+class Quantiser:
+    """A vector's bits: unit @ directions >= cuts."""
+
+    directions: np.ndarray
+    cuts: np.ndarray
+
+    @classmethod
+    def learn(cls, unit: np.ndarray, seed: int, rounds: int = 30) -> Quantiser:
+        """Alternates codes = sign(data @ rotation) with the rotation that fits them best (orthogonal Procrustes), on centred
+        data in its principal directions; bits are cut at the medians, so that half of the data is on either side."""
+        dim = unit.shape[1]
+        if len(unit) < 2:
+            return cls(random_rotation(dim, seed), np.zeros(dim))
+        centred = unit - unit.mean(axis=0)
+        _, axes = np.linalg.eigh(centred.T @ centred)
+        data, turn = centred @ axes[:, ::-1], random_rotation(dim, seed)
+        for _ in range(rounds):
+            codes = np.where(data @ turn >= 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(codes.T @ data)
+            turn = (left @ right).T
+        directions = axes[:, ::-1] @ turn
+        return cls(directions, np.median(unit @ directions, axis=0))
+
+    def bits(self, unit: np.ndarray) -> np.ndarray:
+        return unit @ self.directions >= self.cuts
+
+
+@dataclass
+class Plan:
+    """bits of a table's key, number of tables, and the largest Hamming distance of whole codes that isn't discarded."""
+
+    quantisers: list[Quantiser]
+    bits: int
+    tables: int
+    limit: int
+
+    @classmethod
+    def of(cls, unit: np.ndarray, rows: int, threshold: float) -> Plan:
+        """As many tables as miss a pair at the threshold with probability MISSED, judged by neighbours made for the sample."""
+        dim = unit.shape[1]
+        bits = max(1, min(dim, 40, math.ceil(math.log2(max(2, rows / AVERAGE)))))
+        first = Quantiser.learn(unit, 0)
+        some = unit[: 4000]
+        aside = np.random.default_rng(3).standard_normal(some.shape)
+        aside -= (aside * some).sum(axis=1, keepdims=True) * some
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+        other = threshold * some + math.sqrt(max(0.0, 1 - threshold**2)) * aside
+        unlike = (first.bits(some) != first.bits(other)).mean(axis=1)
+        hit, tables = (1 - unlike) ** bits, 1
+        while ((1 - hit) ** tables).mean() > MISSED and tables < 4096:
+            tables += 1
+        turns = -(-tables // (dim // bits))
+        limit = math.ceil(turns * dim * unlike.mean() + 6 * turns * math.sqrt(dim) * max(0.5, math.sqrt(dim) * float(unlike.std())))
+        return cls([first, *(Quantiser.learn(unit, seed) for seed in range(1, turns))], bits, tables, min(limit, turns * dim))
 
-    Alternates codes = sign(data @ rotation) with the rotation that fits them best (orthogonal Procrustes), from a
-    random start that spreads the data evenly over the bits. The data isn't centred: signs then differ in proportion
-    to the angle between two vectors, whatever their mean, which the number of tables relies on.
+    def for_dim(self, dim: int) -> Plan:
+        """The same plan for vectors of another length than the sample's: random rotations, no discarding."""
+        own = self.quantisers[0].directions.shape[0]
+        if dim == own:
+            return self
+        bits = min(self.bits, dim)
+        turns = -(-self.tables // (dim // bits))
+        return Plan([Quantiser(random_rotation(dim, seed), np.zeros(dim)) for seed in range(turns)], bits, self.tables, turns * dim)
+
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        """[vector, word]: all bits of all rotations as unsigned 64-bit words."""
+        packed = np.packbits(np.concatenate([q.bits(unit) for q in self.quantisers], axis=1), axis=1, bitorder="little")
+        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+    def keys(self, codes: np.ndarray, tables: int) -> np.ndarray:
+        """[vector, table]: the parts of the codes that are the keys of the first tables."""
+        dim = self.quantisers[0].directions.shape[0]
+        bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+        each, weights = dim // self.bits, 1 << np.arange(self.bits)
+        starts = [k // each * dim + k % each * self.bits for k in range(tables)]
+        return np.stack([bits[:, s : s + self.bits] @ weights for s in starts], axis=1) if tables else np.zeros((len(codes), 0), np.int64)
+
+
+def near_codes(plan: Plan, codes: np.ndarray, table: int, apart: np.ndarray | None):
+    """Pairs i < j of a bucket of a table whose codes are within the limit and that no earlier table has together.
+
+    apart: the block of each vector, where only pairs of unlike blocks count.
     """
-    dim = unit.shape[1]
-    if len(unit) < 2:
-        return random_rotation(dim, seed)
-    _, axes = np.linalg.eigh(unit.T @ unit)
-    data, turn = unit @ axes[:, ::-1], random_rotation(dim, seed)
-    for _ in range(rounds):
-        codes = np.where(data @ turn >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(codes.T @ data)
-        turn = (left @ right).T
-    return axes[:, ::-1] @ turn
-
-
-@lru_cache(maxsize=64)
-def unlearned(dim: int, seed: int) -> np.ndarray:
-    """For vectors of another length than the sample's."""
-    return random_rotation(dim, seed)
-
-
-def plan(rows: int, dim: int, threshold: float) -> tuple[int, int]:
-    """(bits of a table's key, tables): buckets of some 32 of the largest label's vectors, MISSED at the threshold."""
-    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bits = max(1, min(dim, 16, math.ceil(math.log2(max(2, rows / 32)))))
-    hit = same**bits
-    tables = 1 if hit >= 1 - MISSED else max(1, math.ceil(math.log(MISSED) / math.log(1 - hit)))
-    return bits, tables
-
-
-def parts_of(unit: np.ndarray, turns: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
-    """[vector, table]: the tables' keys, parts of bits signs of each rotation in turn."""
-    found, weights = [], 1 << np.arange(bits)
-    for directions in turns:
-        signs = unit @ directions >= 0
-        for at in range(0, signs.shape[1] - bits + 1, bits):
-            found.append(signs[:, at : at + bits] @ weights)
-    return np.stack(found[:tables], axis=1).astype(np.uint16)
+    earlier = plan.keys(codes, table)
+    for at in range(0, len(codes), 512):
+        part = codes[at : at + 512]
+        far = sum(np.bitwise_count(part[:, w, None] ^ codes[None, :, w]).astype(np.int32) for w in range(codes.shape[1]))
+        ok = (far <= plan.limit) & (np.arange(at, at + len(part))[:, None] < np.arange(len(codes)))
+        if apart is not None:
+            ok &= apart[at : at + 512, None] != apart
+        i, j = np.nonzero(ok)
+        i = i + at
+        new = (earlier[i] != earlier[j]).all(axis=1)
+        yield i[new], j[new]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -81,8 +141,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     vec_id, link with nothing (component_id is their own vec_id). Vectors of different lengths don't link.
     Equal vectors of a label are counted, not paired. Repeated rows count and are returned as often as they occur.
 
-    Every vector goes into each table under a part of its binary code; buckets are compared with the original
-    vectors, so no false link is made. A pair counts in the first table that has it in one bucket.
+    Every vector's code goes into each table under a part of it; members of a bucket that have a near code in it are
+    compared by their vectors, so no false link is made. A pair counts in the first table that has it in one bucket.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "itq")
@@ -95,76 +155,94 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = dims["dim"]
     most = distinct.groupBy("label").count().agg(F.max("count")).first()[0]
-    bits, tables = plan(most, dim, threshold)
-    turns = -(-tables // max(1, dim // bits))
     few = max(2, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))
     sample = distinct.filter(F.size("embedding") == dim).orderBy(F.xxhash64("rep", F.lit(10)), "rep").limit(few).select(x.alias("embedding")).toArrow()
-    unit = _unit(sample.column("embedding").combine_chunks())
-    learned = [learn_rotation(unit, seed) for seed in range(turns)]
+    plan = Plan.of(_unit(sample.column("embedding").combine_chunks()), most, threshold)
 
     def encode(batches):
+        plans: dict[int, Plan] = {}
         for batch in batches:
             size = batch.column("dim").to_numpy()
             for d in np.unique(size).tolist():
+                own = plans.setdefault(d, plan.for_dim(d))
                 part = pa.Table.from_batches([batch]).filter(pa.array(size == d)).combine_chunks()
-                u = _unit(part.column("embedding").combine_chunks())
-                turned = learned if d == dim else [unlearned(d, seed) for seed in range(-(-tables // max(1, d // min(bits, d))))]
-                codes = parts_of(u, turned, min(bits, d), tables)
-                yield from part.append_column("codes", pa.array([c.view(np.int16).tolist() for c in codes], pa.list_(pa.int16()))).to_batches()
+                codes = own.codes(_unit(part.column("embedding").combine_chunks()))
+                keys = own.keys(codes, own.tables)
+                made = part.drop_columns(["embedding"]).append_column("code", pa.array([c.tobytes() for c in codes], pa.binary()))
+                yield from made.append_column("keys", pa.array(list(keys), pa.list_(pa.int64()))).to_batches()
 
-    # Floats travel as they are given; cosines are taken in doubles.
+    # Floats travel as they are given; cosines are taken in doubles. A vector's place is its rep and hash.
     floats = dict(distinct.dtypes)["embedding"] == "array<float>"
-    kept, kind = (F.col("embedding"), "float") if floats else (x.alias("embedding"), "double")
-    schema = f"label long, rep long, copies long, dim int, embedding array<{kind}>, codes array<short>"
-    source = distinct.select(F.xxhash64("label").alias("label"), "rep", "copies", F.size("embedding").alias("dim"), kept)
-    coded = scratch.save(source.mapInArrow(encode, schema))
-    spread = coded.select("*", F.posexplode("codes").alias("t", "part")).withColumn("bucket", F.xxhash64("label", "dim", "t", "part"))
+    kept = F.col("embedding") if floats else x.alias("embedding")
+    source = distinct.select(F.xxhash64("label").alias("label"), "rep", F.xxhash64("label", "embedding").alias("own"), "copies", F.size("embedding").alias("dim"), kept)
+    codes = source.select("label", "rep", "own", "dim", "embedding").mapInArrow(encode, "label long, rep long, own long, dim int, code binary, keys array<long>")
+    spread = codes.select("label", "rep", "own", "dim", "code", F.posexplode("keys").alias("t", "part")).withColumn("bucket", F.xxhash64("label", "dim", "t", "part")).drop("part")
+    spread = scratch.save(spread)
     heavy = scratch.save(spread.groupBy("bucket").count().filter(F.col("count") > BUCKET).select(F.col("bucket").alias("_b"), F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks")))
     if heavy.isEmpty():
         dealt = spread.withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
     else:
-        own = spread.join(heavy, F.col("bucket") == F.col("_b"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = own.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = own.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    dealt = dealt.withColumn("key", F.xxhash64("bucket", "low", "high")).select("key", "label", "rep", "copies", "dim", "embedding", "codes", "t", "block", "low", "high")
+        some = spread.join(heavy, F.col("bucket") == F.col("_b"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        some = some.withColumn("block", F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = some.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    columns = ("key", "label", "rep", "own", "dim", "t", "block", "low", "high", "code")
+    dealt = dealt.withColumn("key", F.xxhash64("bucket", "low", "high")).select(*columns)
 
-    def compare(batches):
+    def buckets(batches):
+        """Table, start and size, dim, table number, codes and near pairs of each bucket."""
+        plans: dict[int, Plan] = {}
         for table, _ in whole_runs(batches, "key", 1 << 30):
-            columns = {c: table.column(c).to_numpy() for c in ("key", "label", "rep", "copies", "dim", "t", "block", "low", "high")}
-            links, counts = [], []
-            for start, size in zip(*(a.tolist() for a in run_lengths(columns["key"])), strict=True):
-                if size < 2:
-                    continue
-                run = {c: v[start : start + size] for c, v in columns.items()}
-                if len(np.unique(run["dim"])) > 1:
-                    continue  # keys of two buckets that fell together; the other tables have these pairs
-                u = _unit(table.column("embedding").slice(start, size).combine_chunks())
-                codes = table.column("codes").slice(start, size).combine_chunks().flatten().to_numpy().reshape(size, -1)
-                for at in range(0, size, 1024):
-                    i, j = np.nonzero(u[at : at + 1024] @ u.T >= threshold)
-                    i = i + at
-                    ok = (i < j) & (run["label"][i] == run["label"][j])
-                    ok &= (run["low"][i] == run["high"][i]) | (run["block"][i] != run["block"][j])
-                    i, j = i[ok], j[ok]
-                    first = (codes[i, : run["t"][0]] != codes[j, : run["t"][0]]).all(axis=1) & (codes[i, run["t"][0]] == codes[j, run["t"][0]])
-                    i, j = i[first], j[first]
-                    if len(i):
-                        n = np.bincount(i, run["copies"][j], size) + np.bincount(j, run["copies"][i], size)
-                        has = np.flatnonzero(n)
-                        counts.append((run["rep"][has], n[has].astype(np.int64)))
-                        links.append(spanning(run["rep"][i], run["rep"][j]))
-            if links:
-                a, b = (np.concatenate(c) for c in zip(*links, strict=True))
-                rep, n = (np.concatenate(c) for c in zip(*counts, strict=True))
+            held = {c: table.column(c).to_numpy() for c in ("key", "label", "dim", "t", "block", "low", "high")}
+            for start, size in zip(*(a.tolist() for a in run_lengths(held["key"])), strict=True):
+                run = {c: v[start : start + size] for c, v in held.items()}
+                if size < 2 or len(np.unique(run["dim"])) > 1:
+                    continue  # (keys of two buckets that fell together: the other tables have these pairs)
+                own = plans.setdefault(int(run["dim"][0]), plan.for_dim(int(run["dim"][0])))
+                codes = np.frombuffer(b"".join(table.column("code").slice(start, size).to_pylist()), np.uint64).reshape(size, -1)
+                blocks = run["block"] if run["low"][0] != run["high"][0] else None
+                for i, j in near_codes(own, codes, int(run["t"][0]), blocks):
+                    same = run["label"][i] == run["label"][j]
+                    yield table, start, size, i[same], j[same]
+
+    def discard(batches):
+        """The members of buckets that have a near code there."""
+        seen, hits = None, None
+        for table, start, size, i, j in buckets(batches):
+            if seen is None or table is not seen[0] or start != seen[1]:
+                if hits is not None and hits.any():
+                    yield from seen[0].slice(seen[1], len(hits)).filter(pa.array(hits)).to_batches()
+                seen, hits = (table, start), np.zeros(size, bool)
+            hits[i] = hits[j] = True
+        if hits is not None and hits.any():
+            yield from seen[0].slice(seen[1], len(hits)).filter(pa.array(hits)).to_batches()
+
+    def compare(batches):
+        seen, unit = None, None
+        for table, start, size, i, j in buckets(batches):
+            if seen is None or table is not seen[0] or start != seen[1]:
+                seen, unit = (table, start), _unit(table.column("embedding").slice(start, size).combine_chunks())
+                rep, copies = (table.column(c).slice(start, size).to_numpy() for c in ("rep", "copies"))
+            near = np.concatenate([(unit[i[k : k + 65536]] * unit[j[k : k + 65536]]).sum(axis=1) >= threshold for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            i, j = i[near], j[near]
+            if len(i):
+                n = np.bincount(i, copies[j], size) + np.bincount(j, copies[i], size)
+                has = np.flatnonzero(n)
+                a, b = spanning(rep[i], rep[j])
                 no = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), no(len(a))], names=["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(rep), no(len(rep)), pa.array(n)], names=["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), no(len(a)), no(len(a))], names=["a", "b", "own", "n"])
+                own = pa.array(table.column("own").slice(start, size).to_numpy()[has])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[has]), no(len(has)), own, pa.array(n[has].astype(np.int64))], names=["a", "b", "own", "n"])
 
-    found = scratch.save(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, n long"))
+    types = "key long, label long, rep long, own long, dim int, t int, block int, low int, high int, code binary"
+    left = scratch.save(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(discard, types))
+    vectors_of = source.select(F.col("rep").alias("_rep"), F.col("own").alias("_own"), "copies", "embedding")
+    asked = left.join(vectors_of, (F.col("rep") == F.col("_rep")) & (F.col("own") == F.col("_own"))).select(*columns, "copies", "embedding")
+    found = scratch.save(asked.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, own long, n long"))
     linked = connected_components(found.filter("b IS NOT NULL"), scratch)
-    counted = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("n"))
-    own = distinct.join(linked, F.col("rep") == F.col("node"), "left").join(counted, F.col("rep") == F.col("_a"), "left")
-    groups = scratch.save(own.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
+    counted = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("_a"), F.col("own").alias("_own")).agg(F.sum("n").alias("n"))
+    known = distinct.withColumn("own", F.xxhash64("label", "embedding"))
+    merged = known.join(linked, F.col("rep") == F.col("node"), "left").join(counted, (F.col("rep") == F.col("_a")) & (F.col("own") == F.col("_own")), "left")
+    groups = scratch.save(merged.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
     joined = rows.join(groups, F.col("good") & (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")), "left")
     component = F.coalesce("component", "vec_id")
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
