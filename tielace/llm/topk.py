@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .base import Scratch, pick
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 4096
+QUERY_ROWS = 16384
 LEAF_ROWS = 128
 LONG = 2**63 - 1
 
