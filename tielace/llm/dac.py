@@ -104,7 +104,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in text_batches(batches, 4 << 20):
+        for batch in text_batches(batches, 8 << 20):
             ids, lengths = with_end(*encoder.encode(batch.column("text")), end_id)
             doc_ids = batch.column("doc_id").to_pylist()
             cuts = np.cumsum(lengths)
@@ -120,9 +120,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         if held:
             yield shard()
 
-    # The hash and the place part rows that share a doc_id, so that no task has to take all of them.
-    keyed = pick(docs, "doc_id", "text").withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
-    ordered = keyed.repartitionByRange("doc_id", "_hash", "_place").sortWithinPartitions("doc_id").drop("_hash", "_place")
+    # The place parts rows that share a doc_id, so that no task has to take all of them.
+    keyed = pick(docs, "doc_id", "text").withColumn("_place", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange("doc_id", "_place").sortWithinPartitions("doc_id").drop("_place")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +14,10 @@ import pyarrow.compute as pc
 KEPT_WORDS = 250_000
 #: Words that are encoded as one text.
 JOINED = 64
-#: Latin letters with at most one full stop or comma after them; the same after a space.
-LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,]?")
-SPACED = re.compile(f" {LETTERS.pattern}")
+#: New words that are encoded at once.
+LEARNED = 50_000
+#: Latin letters with at most one full stop or comma after them.
+LETTERS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,]?"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
@@ -35,14 +35,14 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class _Words:
-    """Words with their ids, all ids in one array."""
+    """Distinct words with their ids, all ids in one array."""
 
     def __init__(self):
-        self.slot: dict[str, int] = {}
+        self.names = pa.chunked_array([pa.array([], pa.string())])
         self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.slot), len(words)
+    def add(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.names), len(names)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + m > len(self.start):
@@ -51,7 +51,11 @@ class _Words:
         self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + m] = sizes
         self.used += len(ids)
-        self.slot.update(zip(words, range(n, n + m), strict=True))
+        self.names = pa.chunked_array([*self.names.chunks, names])
+
+    def slots(self, names: pa.Array) -> np.ndarray:
+        """Where they are; -1 for unknown ones."""
+        return pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int64)
 
 
 class WordEncoder:
@@ -79,26 +83,27 @@ class WordEncoder:
         bare |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, as_bytes]}}
         self.stems = Tokenizer.from_str(json.dumps(bare))
         # A full stop or comma after a letter is a part by itself, of one id.
-        self.stops = {"": -1} | {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
+        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         # Ids that begin a word with its space, or that end a word.
         self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.marks[i] = token.startswith("\u0120") if self.keeps_space else token.endswith("</w>")
         self.new, self.old = _Words(), _Words()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         """Add words: Latin letters, with at most one stop after them, many at once by their stems; others alone."""
-        simple = (SPACED if self.keeps_space else LETTERS).fullmatch
-        fits = [simple(w) is not None for w in words]
-        joined = [w for w, fit in zip(words, fits, strict=True) if fit]
-        if joined:
-            ends = [w[-1] if w[-1] in ".," else "" for w in joined]
-            stems = [w[: len(w) - len(e)] for w, e in zip(joined, ends, strict=True)]
+        fits = pc.match_substring_regex(words, f"^{' ' if self.keeps_space else ''}{LETTERS}$")
+        joined, alone = words.filter(fits), words.filter(pc.invert(fits))
+        if len(joined):
+            last = pc.utf8_slice_codeunits(joined, -1)
+            stop = np.full(len(joined), -1, np.int64)
+            for c, i in self.stops.items():
+                stop[pc.equal(last, c).to_numpy(zero_copy_only=False)] = i
+            stems = pc.utf8_rtrim(joined, ".,")
             if not self.keeps_space:
-                stems = [w.lower() for w in stems]
-            distinct = dict.fromkeys(stems)
-            distinct.update(zip(distinct, range(len(distinct)), strict=True))
-            names = list(distinct)
+                stems = pc.utf8_lower(stems)
+            distinct = stems.dictionary_encode()
+            names, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy().astype(np.int64)
             between = "" if self.keeps_space else " "
             parts = [between.join(names[k : k + JOINED]) for k in range(0, len(names), JOINED)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.stems.encode_batch_fast(parts, add_special_tokens=False)])
@@ -106,32 +111,30 @@ class WordEncoder:
             assert len(marks) == len(names), "a word without its mark"
             start = marks if self.keeps_space else np.concatenate([[0], marks[:-1] + 1])
             size = np.diff(np.append(start, len(ids)))
-            at = np.fromiter(map(distinct.__getitem__, stems), np.int64, len(stems))
-            found, sizes = _gather(ids, start[at], size[at]), size[at]
-            stop = np.fromiter((self.stops[e] for e in ends), np.int64, len(ends))
-            has = stop >= 0
+            found, sizes, has = _gather(ids, start[at], size[at]), size[at], stop >= 0
             found = np.insert(found, np.cumsum(sizes)[has], stop[has].astype(np.uint32))
             self.new.add(joined, found, sizes + has)
-        alone = [w for w, fit in zip(words, fits, strict=True) if not fit]
-        if alone:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        if len(alone):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(alone.to_pylist(), add_special_tokens=False)]
             self.new.add(alone, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def _slots(self, words: list[str]) -> np.ndarray:
-        """Where the newer generation has these words, all of which it has afterwards."""
-        if len(self.new.slot) > KEPT_WORDS:
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """Where the newer generation has these distinct words, all of which it has afterwards."""
+        if len(self.new.names) > KEPT_WORDS:
             self.old, self.new = self.new, _Words()
-        has, older = self.new.slot, self.old.slot
-        lacks = [w for w in words if w not in has]
-        if lacks:
-            known = [w for w in lacks if w in older]
-            if known:
-                at = np.fromiter(map(older.__getitem__, known), np.int64, len(known))
-                self.new.add(known, _gather(self.old.flat, self.old.start[at], self.old.length[at]), self.old.length[at])
-            unknown = [w for w in lacks if w not in older]
-            for k in range(0, len(unknown), 20_000):
-                self._learn(unknown[k : k + 20_000])
-        return np.fromiter(map(has.__getitem__, words), np.int64, len(words))
+        slots = self.new.slots(words)
+        if (lacks := np.flatnonzero(slots < 0)).size:
+            missing, first = words.take(pa.array(lacks)), len(self.new.names)
+            at = self.old.slots(missing)
+            if (known := at >= 0).any():
+                own = at[known]
+                self.new.add(missing.filter(pa.array(known)), _gather(self.old.flat, self.old.start[own], self.old.length[own]), self.old.length[own])
+            unknown = missing.filter(pa.array(~known))
+            for k in range(0, len(unknown), LEARNED):
+                self._learn(unknown.slice(k, LEARNED))
+            added = pa.chunked_array(self.new.names.slice(first).chunks)
+            slots[lacks] = first + pc.index_in(missing, value_set=added).to_numpy().astype(np.int64)
+        return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32 bit) one after the other, and the number of ids of each text; null is empty."""
@@ -143,14 +146,15 @@ class WordEncoder:
             whole = pc.match_substring_regex(texts, f" {SPACE}|{SPACE} ").to_numpy(zero_copy_only=False)
         words = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         found = words.flatten().dictionary_encode()
-        codes, names = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+        codes, names = found.indices.to_numpy().astype(np.int64), found.dictionary
         ends = np.cumsum(pc.list_value_length(words).to_numpy().astype(np.int64))
         starts = np.concatenate([[0], ends[:-1]])
         if self.keeps_space:
             first = np.zeros(len(codes), np.int64)
             first[starts] = 1
             distinct, codes = np.unique(codes * 2 + first, return_inverse=True)
-            names = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in distinct.tolist()]
+            names = names.take(pa.array(distinct >> 1))
+            names = pc.if_else(pa.array(distinct & 1 == 1), names, pc.binary_join_element_wise(" ", names, ""))
         slots = self._slots(names)[codes]
         sizes = self.new.length[slots]
         ids = _gather(self.new.flat, self.new.start[slots], sizes)
