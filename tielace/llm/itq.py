@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, pick
 from .components import connected_components, spanning
-from .runs import run_lengths, whole_runs
+from .runs import pairs_in_runs, whole_runs
 
 #: The rotations are learned from at most so many vectors and so many numbers, those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -88,7 +88,8 @@ class Plan:
         while ((1 - hit) ** tables).mean() > MISSED and tables < 4096:
             tables += 1
         turns = -(-tables // (dim // bits))
-        limit = math.ceil(turns * dim * unlike.mean() + 6 * turns * math.sqrt(dim) * max(0.5, math.sqrt(dim) * float(unlike.std())))
+        # Codes of such neighbours lie farther apart than six deviations once in a hundred million times.
+        limit = math.ceil(turns * dim * (unlike.mean() + 6 * float(unlike.std())))
         return cls([first, *(Quantiser.learn(unit, seed) for seed in range(1, turns))], bits, tables, min(limit, turns * dim))
 
     def for_dim(self, dim: int) -> Plan:
@@ -114,22 +115,22 @@ class Plan:
         return np.stack([bits[:, s : s + self.bits] @ weights for s in starts], axis=1) if tables else np.zeros((len(codes), 0), np.int64)
 
 
-def near_codes(plan: Plan, codes: np.ndarray, table: int, apart: np.ndarray | None):
-    """Pairs i < j of a bucket of a table whose codes are within the limit and that no earlier table has together.
+def near_codes(plan: Plan, key: np.ndarray, table: np.ndarray, codes: np.ndarray, apart: np.ndarray):
+    """Pairs i < j of equal neighbouring keys whose codes are within the limit and that no earlier table has together.
 
-    apart: the block of each vector, where only pairs of unlike blocks count.
+    apart: numbers that pairs must not share (the blocks of a bucket met crosswise), -1 where they may.
     """
-    earlier = plan.keys(codes, table)
-    for at in range(0, len(codes), 512):
-        part = codes[at : at + 512]
-        far = sum(np.bitwise_count(part[:, w, None] ^ codes[None, :, w]).astype(np.int32) for w in range(codes.shape[1]))
-        ok = (far <= plan.limit) & (np.arange(at, at + len(part))[:, None] < np.arange(len(codes)))
-        if apart is not None:
-            ok &= apart[at : at + 512, None] != apart
-        i, j = np.nonzero(ok)
-        i = i + at
-        new = (earlier[i] != earlier[j]).all(axis=1)
-        yield i[new], j[new]
+    keys = plan.keys(codes, plan.tables)
+    for i, j in pairs_in_runs(key):
+        far = np.zeros(len(i), np.uint8 if plan.limit < 200 else np.int32)
+        for w in range(codes.shape[1]):
+            far += np.bitwise_count(codes[i, w] ^ codes[j, w])
+        ok = (far <= plan.limit) & ((apart[i] < 0) | (apart[i] != apart[j]))
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), 1 << 16):
+            own, other = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            seen = ((keys[own] == keys[other]) & (np.arange(plan.tables) < table[own, None])).any(axis=1)
+            yield own[~seen], other[~seen]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -188,50 +189,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     columns = ("key", "label", "rep", "own", "dim", "t", "block", "low", "high", "code")
     dealt = dealt.withColumn("key", F.xxhash64("bucket", "low", "high")).select(*columns)
 
-    def buckets(batches):
-        """Table, start and size, dim, table number, codes and near pairs of each bucket."""
+    def parts(batches):
+        """Tables of whole buckets, of vectors of one length each, with their near pairs."""
         plans: dict[int, Plan] = {}
         for table, _ in whole_runs(batches, "key", 1 << 30):
-            held = {c: table.column(c).to_numpy() for c in ("key", "label", "dim", "t", "block", "low", "high")}
-            for start, size in zip(*(a.tolist() for a in run_lengths(held["key"])), strict=True):
-                run = {c: v[start : start + size] for c, v in held.items()}
-                if size < 2 or len(np.unique(run["dim"])) > 1:
-                    continue  # (keys of two buckets that fell together: the other tables have these pairs)
-                own = plans.setdefault(int(run["dim"][0]), plan.for_dim(int(run["dim"][0])))
-                codes = np.frombuffer(b"".join(table.column("code").slice(start, size).to_pylist()), np.uint64).reshape(size, -1)
-                blocks = run["block"] if run["low"][0] != run["high"][0] else None
-                for i, j in near_codes(own, codes, int(run["t"][0]), blocks):
-                    same = run["label"][i] == run["label"][j]
-                    yield table, start, size, i[same], j[same]
+            size = table.column("dim").to_numpy()
+            for d in np.unique(size).tolist():
+                own = plans.setdefault(d, plan.for_dim(d))
+                part = table.filter(pa.array(size == d)) if size.min() != size.max() else table
+                key, label, t, block, low, high = (part.column(c).to_numpy() for c in ("key", "label", "t", "block", "low", "high"))
+                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint64).reshape(part.num_rows, -1)
+                pairs = near_codes(own, key, t, codes, np.where(low != high, block, -1))
+                yield part, ((i[label[i] == label[j]], j[label[i] == label[j]]) for i, j in pairs)
 
     def discard(batches):
         """The members of buckets that have a near code there."""
-        seen, hits = None, None
-        for table, start, size, i, j in buckets(batches):
-            if seen is None or table is not seen[0] or start != seen[1]:
-                if hits is not None and hits.any():
-                    yield from seen[0].slice(seen[1], len(hits)).filter(pa.array(hits)).to_batches()
-                seen, hits = (table, start), np.zeros(size, bool)
-            hits[i] = hits[j] = True
-        if hits is not None and hits.any():
-            yield from seen[0].slice(seen[1], len(hits)).filter(pa.array(hits)).to_batches()
+        for part, pairs in parts(batches):
+            hits = np.zeros(part.num_rows, bool)
+            for i, j in pairs:
+                hits[i] = hits[j] = True
+            yield from part.filter(pa.array(hits)).to_batches()
 
     def compare(batches):
-        seen, unit = None, None
-        for table, start, size, i, j in buckets(batches):
-            if seen is None or table is not seen[0] or start != seen[1]:
-                seen, unit = (table, start), _unit(table.column("embedding").slice(start, size).combine_chunks())
-                rep, copies = (table.column(c).slice(start, size).to_numpy() for c in ("rep", "copies"))
-            near = np.concatenate([(unit[i[k : k + 65536]] * unit[j[k : k + 65536]]).sum(axis=1) >= threshold for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-            i, j = i[near], j[near]
-            if len(i):
-                n = np.bincount(i, copies[j], size) + np.bincount(j, copies[i], size)
-                has = np.flatnonzero(n)
-                a, b = spanning(rep[i], rep[j])
-                no = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), no(len(a)), no(len(a))], names=["a", "b", "own", "n"])
-                own = pa.array(table.column("own").slice(start, size).to_numpy()[has])
-                yield pa.RecordBatch.from_arrays([pa.array(rep[has]), no(len(has)), own, pa.array(n[has].astype(np.int64))], names=["a", "b", "own", "n"])
+        for part, pairs in parts(batches):
+            unit, rep, copies = _unit(part.column("embedding").combine_chunks()), part.column("rep").to_numpy(), part.column("copies").to_numpy()
+            n = np.zeros(part.num_rows, np.int64)
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i, j in pairs:
+                near = (unit[i] * unit[j]).sum(axis=1) >= threshold
+                i, j = i[near], j[near]
+                n += (np.bincount(i, copies[j], len(n)) + np.bincount(j, copies[i], len(n))).astype(np.int64)
+                a, b = spanning(np.concatenate([a, rep[i]]), np.concatenate([b, rep[j]]))
+            has = np.flatnonzero(n)
+            no = lambda k: pa.nulls(k, pa.int64())
+            own = pa.array(part.column("own").to_numpy()[has])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), no(len(a)), no(len(a))], names=["a", "b", "own", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[has]), no(len(has)), own, pa.array(n[has])], names=["a", "b", "own", "n"])
 
     types = "key long, label long, rep long, own long, dim int, t int, block int, low int, high int, code binary"
     left = scratch.save(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(discard, types))
