@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tielace.functions import expr
-from tielace.operators import near, raster, stats, uniform
+from tielace.operators import near, nearest, raster, stats, uniform
 
 
 def frame(spark, xy, **columns):
@@ -44,14 +44,17 @@ def test_errors_of_a_known_shift(spark):
     assert [known.agg(stats.success_rate(F.col("v"), t)).first()[0] for t in (1.0, 3.0, 5.0, 10.0)] == [0.25, 0.5, 0.75, 0.75]
 
 
-def test_chi_square_tail():
-    for dof, x in ((1, 3.841459), (8, 15.507313), (63, 82.528727), (99, 123.225221)):  # tabulated 5 % points
-        assert uniform.chi2_survival(x, dof) == pytest.approx(0.05, abs=2e-5)
+def test_chi_square_tail(spark):
+    table = ((1, 3.841459), (2, 5.991465), (3, 7.814728), (8, 15.507313), (63, 82.528727), (99, 123.225221))  # tabulated 5 % points
+    rows = spark.createDataFrame([(x, d) for d, x in table], "x double, d int")
+    assert [r[0] for r in rows.select(uniform.chi2_p("x", "d")).collect()] == pytest.approx([0.05] * len(table), abs=2e-5)
+    edges = spark.createDataFrame([(0.0, 5), (None, 5), (9.0, 0), (0.3, 1), (8.5, 1)], "x double, d int")
+    assert [r[0] for r in edges.select(uniform.chi2_p("x", "d")).collect()] == [1.0, None, 1.0, pytest.approx(math.erfc(0.15**0.5)), pytest.approx(math.erfc(4.25**0.5))]
 
 
 def test_clark_evans_of_known_patterns(spark):
     rng = np.random.default_rng(1)
-    ratio = lambda xy: uniform.clark_evans(frame(spark, xy), 512.0**2, 16.0, "track").first()["ratio"]
+    ratio = lambda xy: uniform.clark_evans(frame(spark, xy), 512.0**2, "track").first()["ratio"]
     grid = np.stack(np.meshgrid(np.linspace(12, 500, 20), np.linspace(12, 500, 20)), -1).reshape(-1, 2)
     assert ratio(rng.uniform(0, 512, (2000, 2))) == pytest.approx(1.0, abs=0.06)
     assert ratio(grid) > 1.8
@@ -60,10 +63,35 @@ def test_clark_evans_of_known_patterns(spark):
 
 def test_nearest_distance_of_far_points(spark):
     xy = np.array([[0, 0], [1, 1], [400, 400], [511, 0]])
-    got = {r["tid"]: r["nn"] for r in near.nearest_distance(frame(spark, xy), 4.0).collect()}
+    got = {r["tid"]: r["nn"] for r in near.nearest_distance(frame(spark, xy)).collect()}
     want = [min(np.hypot(*(a - b)) for j, b in enumerate(xy) if j != i) for i, a in enumerate(xy)]
     assert [got[i] for i in range(4)] == pytest.approx(want)
-    assert near.nearest_distance(frame(spark, xy[:1]), 4.0).first()["nn"] is None
+    assert near.nearest_distance(frame(spark, xy[:1])).first()["nn"] is None
+
+
+@pytest.mark.parametrize("tile", [2048, 50])
+def test_nearest_points_are_those_of_all_pairs(spark, tile, monkeypatch):
+    """Even, crowded and coincident points, whole and split into tiles, with a radius, and with a value to exceed."""
+    monkeypatch.setattr(nearest, "TILE", tile)
+    rng = np.random.default_rng(0)
+    xy = np.concatenate([rng.uniform(0, 512, (500, 2)), rng.normal(100, 3, (300, 2)), np.repeat([[5.0, 5.0]], 60, 0)])
+    group, q = rng.integers(0, 2, len(xy)), rng.uniform(0, 1, len(xy))
+    rows = [(i, "ab"[group[i]], float(x), float(y), float(q[i]), float(q[i] / 0.9)) for i, (x, y) in enumerate(xy)]
+    points = spark.createDataFrame([*rows, (9999, "a", None, 1.0, 0.5, 0.5), (9998, "b", float("nan"), 1.0, 0.5, 0.5)], "tid long, track string, x double, y double, q double, need double")
+    for k, radius, above in ((1, None, None), (4, 24.0, None), (1, None, ("need", "q"))):
+        got = {}
+        for r in nearest.nearest(points, points, k, radius, ("track",), above).collect():
+            got.setdefault(r["tid"], {})[r["rank"]] = (r["n_tid"], r["d"])
+        assert not {9998, 9999} & set(got)
+        for i in range(len(xy)):
+            d = np.hypot(*(xy - xy[i]).T)
+            ok = (group == group[i]) & (np.arange(len(xy)) != i) & (d <= (radius or np.inf))
+            ok &= q > q[i] / 0.9 if above else True
+            best = np.flatnonzero(ok)
+            best = best[np.lexsort((best, d[best]))][:k]
+            own = got.get(i, {})
+            assert [own[n][1] for n in sorted(own)] == pytest.approx(d[best].tolist())
+            assert above or [own[n][0] for n in sorted(own)] == best.tolist()
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
@@ -111,7 +139,7 @@ def test_farthest_points_are_the_sequential_rule(spark):
 
 
 def test_shadow_falls_away_from_the_sun(spark):
-    pixels = spark.createDataFrame([(r, c, 10.0 if (r, c) == (5, 5) else 0.0) for r in range(11) for c in range(11)], "r int, c int, v double")
+    pixels = spark.createDataFrame([(1, r, c, 10.0 if (r, c) == (5, 5) else 0.0) for r in range(11) for c in range(11)], "image int, r int, c int, v double")
     got = {(r["r"], r["c"]) for r in raster.horizon_shadow(pixels, 0, 1, 2.0, [1, 2, 3, 4, 5, 6]).collect() if r["shadowed"]}
     assert got == {(5, c) for c in range(1, 5)}
     flat = pixels.withColumn("v", F.lit(0.0))
@@ -119,7 +147,7 @@ def test_shadow_falls_away_from_the_sun(spark):
 
 
 def test_normals_of_a_plane(spark):
-    plane = spark.createDataFrame([(r, c, 2.0 * c - 1.0 * r) for r in range(8) for c in range(8)], "r int, c int, v double")
+    plane = spark.createDataFrame([(1, r, c, 2.0 * c - 1.0 * r) for r in range(8) for c in range(8)], "image int, r int, c int, v double")
     got = raster.normals(plane).collect()
     size = math.sqrt(6)
     assert all((r["nx"], r["ny"], r["nz"]) == pytest.approx((-2 / size, -1 / size, 1 / size)) for r in got)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tielace.operators import localmodel, robust, tiles
+from tielace.operators import localmodel, raster, tiles
 from tielace.plans import sinks
 from tielace.sources import labels, rasters
 from tielace.streaming import stages
@@ -31,26 +31,22 @@ def test_tiles_have_their_borders(spark):
     assert sorted(r["count"] for r in got if r["tile_row"] < 2 and r["tile_col"] < 2) == [25, 25, 25, 25]
 
 
-def test_matching_recovers_a_shift(spark):
-    a = terrain(192)
-    source, reference = a[20:180, 20:180], a[16:176, 23:183] * 0.7 + 0.1  # reference(x - 3, y + 4) shows source(x, y)
-    m = tiles.match_tiles(pixels(spark, source), pixels(spark, reference))
-    points = m.filter("peak > 0.4").select(F.lit("p").alias("group"), F.monotonically_increasing_id().alias("tid"), F.col("xs").alias("x"), F.col("ys").alias("y"), F.col("xr"), F.col("yr"))
-    rows = points.collect()
-    assert len(rows) >= 15
-    off = np.array([(r["xr"] - r["x"], r["yr"] - r["y"]) for r in rows])
-    assert np.abs(np.median(off, axis=0) - (-3, 4)).max() < 0.3
-    fit = robust.fit(spark.createDataFrame(rows, points.schema), "similarity", 1.0, 50).first()
-    check = np.stack(np.meshgrid(np.linspace(10, 150, 10), np.linspace(10, 150, 10)), -1).reshape(-1, 2)
-    assert np.sqrt((robust.residuals(np.array(fit["h"]).reshape(3, 3), check, check + (-3, 4)) ** 2).mean()) < 1.0
+def test_a_shift_is_found_again_whatever_the_light(spark):
+    a = terrain(112)
+    source, reference = a[20:84, 20:84], a[17:81, 22:86] * 0.7 + 0.1  # reference(r + 3, c - 2) shows source(r, c)
+    both = pixels(spark, source).withColumn("image", F.lit(1)), pixels(spark, reference).withColumn("image", F.lit(1))
+    got = raster.best_shift(*both, 32, 4).collect()
+    assert len(got) == 4 and all((r["dr"], r["dc"]) == (3, -2) and r["ncc"] > 0.999 and r["ratio"] > 1 for r in got)
+    assert raster.best_shift(both[0].limit(0), both[1], 32, 4).count() == 0
 
 
-def test_phase_congruency_marks_an_edge(spark):
-    a = np.zeros((64, 64))
-    a[:, 32:] = 1.0
-    got = tiles.phase_congruency(pixels(spark, a + 0.001 * terrain(64)).withColumn("image", F.lit(1).cast("long"))).filter("r BETWEEN 20 AND 44").groupBy("c").agg(F.avg("pc").alias("pc")).collect()
-    by = {r["c"]: r["pc"] for r in got}
-    assert max(by[31], by[32]) > 0.5 and np.median(list(by.values())) < 0.2
+def test_orientation_of_an_edge_survives_a_change_of_light(spark):
+    a = np.zeros((16, 16))
+    a[:, 8:] = 1.0
+    for light in (1.0, 0.25):
+        got = raster.orientation_energy(pixels(spark, a * light).withColumn("image", F.lit(1))).collect()
+        edge = [r for r in got if r["c"] == 8]
+        assert all(r["strongest"] == 0 and r["energy"] == pytest.approx([0.8165, 0.4082, 0.0, 0.4082], abs=1e-3) for r in edge)
 
 
 def test_quadratic_field(spark):
@@ -67,18 +63,26 @@ def test_spline_choice(spark):
     smooth = pd.DataFrame({"g": "a", "tid": range(60), "u": u, "v": v, "dx": np.sin(2 * u), "dy": u * v})
     noisy = smooth.assign(g="b", dx=rng.normal(0, 1, 60), dy=rng.normal(0, 1, 60))
     got = {r["g"]: r for r in localmodel.spline_choice(spark.createDataFrame(pd.concat([smooth, noisy])), "g").collect()}
-    assert got["a"]["smoothing"] <= 0.01 and got["a"]["loocv"] < 0.1 and got["b"]["smoothing"] >= 1.0
+    assert got["a"]["smoothing"] <= 0.01 and got["a"]["loocv"] < 0.1 and got["b"]["smoothing"] >= 1.0 and got["a"]["n"] == 60
 
 
 def test_jitter_between_rows(spark):
     known = spark.createDataFrame([(0, 1, 0.0, 1.0), (10, 1, 1.0, 3.0)], "row long, n long, dx double, dy double")
     got = {r["row"]: (r["dx"], r["dy"]) for r in localmodel.jitter_at(spark.createDataFrame([(-5,), (0,), (4,), (99,)], "row long"), known).collect()}
     assert got == {-5: (0.0, 1.0), 0: (0.0, 1.0), 4: (pytest.approx(0.4), pytest.approx(1.8)), 99: (1.0, 3.0)}
+    same = {r["row"]: (r["dx"], r["dy"]) for r in localmodel.jitter_at(spark.createDataFrame([(-5,), (0,), (4,), (99,)], "row long"), known, 3).collect()}
+    assert same == got
 
 
 @pytest.mark.parametrize("kind, bits, dtype", [(k, b, d) for k, b, d in rasters.SAMPLE_TYPES])
 def test_sample_types(kind, bits, dtype):
-    assert rasters.sample_type(kind.lower(), bits) == dtype
+    assert rasters.sample_type(kind.upper(), bits) == dtype
+
+
+def test_sample_types_beyond_the_table():
+    assert [rasters.sample_type(*k) for k in (("SUN_REAL", 32), ("MSB_UNSIGNED_INTEGER", 64), ("VAX_INTEGER", 64))] == [">f4", ">u8", "<i8"]
+    with pytest.raises(ValueError, match="unknown samples"):
+        rasters.sample_type("IEEE_REAL", 24)
 
 
 def test_detached_labels(spark, tmp_path):

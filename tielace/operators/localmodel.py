@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import nearest
+
 TERMS = ("1", "u", "v", "u * u", "u * v", "v * v")
 
 
@@ -50,26 +52,32 @@ def spline(xy: np.ndarray, values: np.ndarray, at: np.ndarray, smoothing: float)
     return kernel(at, xy) @ w[:n] + np.c_[np.ones(len(at)), at] @ w[n:]
 
 
-def spline_choice(points: DataFrame, key: str, smoothings: tuple[float, ...] = (0.0, 0.01, 0.1, 1.0, 10.0), most: int = 200) -> DataFrame:
-    """key, smoothing, n, loocv: the first smoothing with the least leave-one-out error of each group.
+def spline_choice(points: DataFrame, key: str, smoothings: tuple[float, ...] = (0.0, 0.01, 0.1, 1.0, 10.0), around: int = 24) -> DataFrame:
+    """key, smoothing, n, loocv: the smoothing with the least leave-one-out error of each group, the first of equal ones.
 
-    A fit needs all its points, so a group is a sample of most points with the smallest hashes (a window over few rows a
-    partition); a task is one group and one smoothing, so they run side by side. Points need u, v, dx, dy, tid.
+    Every point is predicted by splines through its nearest others, around of them, so all points take part, each with a
+    small system of its own, and a group of any size is dealt to all tasks. Points need u, v, dx, dy, tid; groups of fewer
+    than five points have no row.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key).orderBy(F.xxhash64("tid", F.lit(3)), "tid")
-    some = points.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= most).drop("_at")
-    tasks = some.withColumn("smoothing", F.explode(F.array(*[F.lit(float(s)) for s in smoothings])))
+    place = points.select(key, "tid", F.col("u").alias("x"), F.col("v").alias("y"), "dx", "dy")
+    near = nearest(place, place, around, keys=(key,))
+    row = F.struct("rank", "n_x", "n_y", "n_dx", "n_dy")
+    lists = near.groupBy(key, "tid").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.sort_array(F.collect_list(row)).alias("near"))
+    lists = lists.filter(F.size("near") >= 4)
 
-    def leave_one_out(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("tid")
-        xy, d = f[["u", "v"]].to_numpy(), f[["dx", "dy"]].to_numpy()
-        errors = [float(((spline(np.delete(xy, i, 0), np.delete(d, i, 0), xy[i : i + 1], f["smoothing"].iloc[0])[0] - d[i]) ** 2).sum()) for i in range(len(xy))] if len(xy) > 4 else []
-        return pd.DataFrame({key: [f[key].iloc[0]], "smoothing": [f["smoothing"].iloc[0]], "n": [len(xy)], "loocv": [float(np.sqrt(np.mean(errors))) if errors else None]})
+    def predict(frames):
+        for f in frames:
+            errors = []
+            for x, y, dx, dy, near_ in zip(f["x"], f["y"], f["dx"], f["dy"], f["near"], strict=True):
+                xy, d = np.array([[r["n_x"], r["n_y"]] for r in near_]), np.array([[r["n_dx"], r["n_dy"]] for r in near_])
+                errors.append([float(((spline(xy, d, np.array([[x, y]]), s)[0] - (dx, dy)) ** 2).sum()) for s in smoothings])
+            yield pd.DataFrame({key: f[key], "errors": errors})
 
-    tried = tasks.select(key, "smoothing", "tid", "u", "v", "dx", "dy").groupBy(key, "smoothing").applyInPandas(leave_one_out, f"{key} string, smoothing double, n long, loocv double")
-    return tried.filter("loocv IS NOT NULL").groupBy(key).agg(F.min_by(F.struct("smoothing", "n", "loocv"), F.struct(F.round("loocv", 12), "smoothing")).alias("b")).select(key, "b.*")
+    found = lists.mapInPandas(predict, f"{key} string, errors array<double>").select(key, F.posexplode("errors").alias("at", "e"))
+    tried = found.groupBy(key, "at").agg(F.count("*").alias("n"), F.sqrt(F.avg("e")).alias("loocv"))
+    values = F.array(*[F.lit(float(s)) for s in smoothings])
+    best = tried.groupBy(key).agg(F.min_by(F.struct("at", "n", "loocv"), F.struct(F.round("loocv", 12), "at")).alias("b"))
+    return best.select(key, F.get(values, F.col("b.at")).alias("smoothing"), "b.n", "b.loocv")
 
 
 def row_jitter(points: DataFrame, step: float = 1.0) -> DataFrame:
@@ -77,17 +85,20 @@ def row_jitter(points: DataFrame, step: float = 1.0) -> DataFrame:
     return points.groupBy(F.floor(F.col("y") / step).cast("long").alias("row")).agg(F.count("*").alias("n"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
 
 
-def jitter_at(rows: DataFrame, jitter: DataFrame) -> DataFrame:
+def jitter_at(rows: DataFrame, jitter: DataFrame, block: int = 1024) -> DataFrame:
     """rows (row) with the jitter of their row, or between the nearest known rows linearly, held beyond the ends.
 
-    Known and asked rows are put in one order by window; the last known before and the first known after bracket.
+    Rows are put in order in blocks; the last known row of the blocks before and the first of those after come from a
+    table of one row a block.
     """
-    from pyspark.sql import Window
-
     known = jitter.select("row", F.struct("row", "dx", "dy").alias("k"), F.lit(False).alias("asked"))
     asked = rows.select("row", F.lit(None).cast(known.schema["k"].dataType).alias("k"), F.lit(True).alias("asked"))
-    order = Window.partitionBy(F.lit(0)).orderBy("row", "asked")  # one row a source row: an image's height bounds it
-    both = known.unionByName(asked).withColumns({"b": F.last("k", True).over(order), "a": F.first("k", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    both = known.unionByName(asked).withColumn("block", F.floor(F.col("row") / block))
+    ends = both.groupBy("block").agg(F.max_by("k", F.when(~F.col("asked"), F.col("row"))).alias("last"), F.min_by("k", F.when(~F.col("asked"), F.col("row"))).alias("first"))
+    over = Window.orderBy("block")  # one row a block of source rows
+    ends = ends.select("block", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("prior"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    order = Window.partitionBy("block").orderBy("row", "asked")
+    both = both.join(ends, "block").withColumns({"b": F.coalesce(F.last("k", True).over(order), "prior"), "a": F.coalesce(F.first("k", True).over(order.rowsBetween(0, Window.unboundedFollowing)), "later")})
     both = both.filter("asked").withColumns({"b": F.coalesce("b", "a"), "a": F.coalesce("a", "b")})
     t = F.coalesce(F.try_divide(F.col("row") - F.col("b.row"), F.col("a.row") - F.col("b.row")), F.lit(0.0))
     return both.select("row", *[(F.col(f"b.{c}") + t * (F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in ("dx", "dy")])

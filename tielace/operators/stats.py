@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +54,71 @@ def calibration(rows: DataFrame, sigma: str, residual: str, bins: int = 8) -> Da
     return found.filter("n >= 3")
 
 
-def bootstrap(rows: DataFrame, key: str, value: str, order: str, replicates: int = 50, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """key, n, mean, lo, hi: percentile interval of the mean over resamples with replacement.
+def bootstrap(rows: DataFrame, key: str, value: str, order: str, replicates: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """key, n, mean, lo, hi: percentile interval of the mean over resamples of as many values with replacement.
 
-    A draw is hashed from key, replicate and slot, so it is the same everywhere. Values are numbered within their key;
-    each slot of each replicate is one row that joins the value it draws, and only sums by key and replicate remain.
+    Every row counts how often each replicate draws it: a Poisson count of mean 1 at a hash of the row's number (order) and
+    the replicate's, with the replicate's mean taken over its own number of draws. So a replicate needs no numbering of the
+    rows, no join and no gathering: each task sums its rows into one pair of sums a key and replicate. With one value the
+    interval is that value.
     """
-    known = rows.filter(F.col(value).isNotNull())
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    numbered = known.select(key, F.col(value).alias("_v"), place.cast("long").alias("_at"), F.count("*").over(Window.partitionBy(key)).alias("_n"))
-    code = F.md5(F.concat_ws("|", F.col(key), F.col("_rep").cast("string"), F.col("_slot").cast("string")).cast("binary"))
-    drawn = numbered.select(F.col(key).alias("_k"), F.col("_at").alias("_slot"), F.col("_n").alias("_m"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    drawn = drawn.withColumnRenamed("_k", key).withColumn("_at", F.pmod(F.conv(F.substring(code, 1, 8), 16, 10).cast("long"), F.col("_m")))
-    means = drawn.select(key, "_rep", "_at").join(numbered.select(key, "_at", "_v"), [key, "_at"]).groupBy(key, "_rep").agg(F.avg("_v").alias("_mean"))
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).cast("double").alias("_v"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("_o"))
+
+    def sums(batches):
+        held: dict[object, list] = {}
+        for batch in batches:
+            names, values = batch.column(key).to_pylist(), batch.column("_v").to_numpy()
+            codes = batch.column("_o").to_numpy()
+            where = batch.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            for w in np.unique(where):
+                at = np.flatnonzero(where == w)
+                own = held.setdefault(names[at[0]], [np.zeros(replicates), np.zeros(replicates)])
+                for part in np.array_split(at, -(-len(at) // 2048)):
+                    n = drawn(codes[part], replicates)
+                    own[0] += n.sum(axis=0)
+                    own[1] += values[part] @ n
+        if held:
+            reps = np.tile(np.arange(replicates, dtype=np.int32), len(held))
+            made = [pa.array([k for k in held for _ in range(replicates)], batch.schema.field(key).type), pa.array(reps), *(pa.array(np.concatenate([h[i] for h in held.values()])) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(made, names=[key, "rep", "n", "s"])
+
+    kind = known.schema[key].dataType.simpleString()
+    means = known.mapInArrow(sums, f"`{key}` {kind}, rep int, n double, s double").groupBy(key, "rep").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("_mean"))
     ends = means.groupBy(key).agg(F.percentile("_mean", F.lit(low)).alias("lo"), F.percentile("_mean", F.lit(high)).alias("hi"))
-    return known.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ends, key)
+    own = known.groupBy(key).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    alone = F.col("n") == 1
+    return own.join(ends, key).select(key, "n", "mean", F.when(alone, F.col("mean")).otherwise(F.col("lo")).alias("lo"), F.when(alone, F.col("mean")).otherwise(F.col("hi")).alias("hi"))
+
+
+#: Fixed values of the draws: a prime modulus and multipliers, and the distribution function of a Poisson count of mean 1.
+PRIME, MULTIPLIERS = 2**31 - 1, (1_000_003, 48_271, 69_621, 16_807)
+EDGES = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10))
+
+
+def drawn(codes: np.ndarray, replicates: int) -> np.ndarray:
+    """[row, replicate]: how often each replicate draws a row."""
+    rep = np.arange(1, replicates + 1, dtype=np.int64)
+    a, b, c, d = MULTIPLIERS
+    x = (codes[:, None] % PRIME + rep * a) % PRIME * b % PRIME
+    x = (x * x + d) % PRIME
+    unit = (x * c + rep * d) % PRIME / float(PRIME)
+    return np.searchsorted(np.array(EDGES), unit, "right").astype(np.float64)
+
+
+def drawn_sql(code: str, rep: str) -> str:
+    """The same count in SQL, for integers code >= 0 and rep from 1."""
+    a, b, c, d = MULTIPLIERS
+    x = f"((({code}) % {PRIME} + {rep} * {a}) % {PRIME} * {b} % {PRIME})"
+    unit = f"((({x} * {x} + {d}) % {PRIME} * {c} + {rep} * {d}) % {PRIME} / {float(PRIME)!r})"
+    return f"len(list_filter({list(EDGES)!r}::DOUBLE[], lambda e: e <= {unit}))"
+
+
+def bootstrap_all(rows: DataFrame, key: str, values: list[str], order: str, replicates: int = 1000) -> DataFrame:
+    """bootstrap of several columns at once: key, metric, n, mean, lo, hi."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]))
+    long = rows.select(key, order, pairs.alias("_p")).select(F.to_json(F.struct(F.col(key).alias("k"), F.col("_p.metric").alias("m"))).alias("_key"), order, F.col("_p.value").alias("_value"))
+    found = bootstrap(long, "_key", "_value", order, replicates)
+    return found.select(F.get_json_object("_key", "$.k").alias(key), F.get_json_object("_key", "$.m").alias("metric"), "n", "mean", "lo", "hi")
 
 
 def method_summary(pairs: DataFrame, limits: tuple[float, ...] = (50.0, 100.0, 200.0)) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Tile tables: cutting rasters into tiles with borders, structural transforms and matching tile by tile."""
+"""Tile tables: cutting rasters into tiles with borders."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,100 +11,3 @@ def with_borders(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
     span = lambda v: F.sequence(F.floor((v - halo) / tile), F.floor((v + halo) / tile))
     sent = pixels.withColumn("tile_row", F.explode(span(F.col("r")))).withColumn("tile_col", F.explode(span(F.col("c"))))
     return sent.filter("tile_row >= 0 AND tile_col >= 0")
-
-
-def cfog(image: np.ndarray, angles: int = 8) -> np.ndarray:
-    """[angle, r, c]: absolute directional gradients, blurred in place and over neighbouring angles, of unit length."""
-    gy, gx = np.gradient(image)
-    theta = np.arange(angles) * np.pi / angles
-    bank = np.abs(np.cos(theta)[:, None, None] * gx + np.sin(theta)[:, None, None] * gy)
-    weights = np.exp(-0.5 * (np.arange(-4, 5) / 2.0) ** 2)
-    weights /= weights.sum()
-    for axis in (1, 2):
-        pad = [(0, 0)] * 3
-        pad[axis] = (4, 4)
-        wide = np.pad(bank, pad, mode="reflect")
-        bank = sum(w * np.take(wide, np.arange(k, k + bank.shape[axis]), axis) for k, w in enumerate(weights))
-    bank = (np.roll(bank, 1, 0) + 2 * bank + np.roll(bank, -1, 0)) / 4
-    return bank / np.maximum(np.linalg.norm(bank, axis=0), 1e-9)
-
-
-def filled(f: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    """A tile's pixels as an array, holes at the median; its first row and column."""
-    r0, c0 = f["r"].min(), f["c"].min()
-    a = np.full((f["r"].max() - r0 + 1, f["c"].max() - c0 + 1), np.nan)
-    a[f["r"] - r0, f["c"] - c0] = f["v"]
-    return np.where(np.isnan(a), np.nanmedian(a), a), int(r0), int(c0)
-
-
-def match_tiles(source: DataFrame, reference: DataFrame, tile: int = 64, window: int = 12, patch: int = 24, spacing: int = 16) -> DataFrame:
-    """xs, ys, xr, yr, peak, ratio: grid points of the source found again in the reference by gradient channels.
-
-    Both are pixel tables (r, c, v) whose offset is at most window. Tiles with borders meet by their tile key in one
-    cogroup; in it a patch around each grid point is compared at all offsets, and the best one is refined by a
-    parabola each way. ratio is the best value over the best outside a 7 x 7 neighbourhood.
-    """
-    half, halo = patch // 2, patch // 2 + window
-    key = ("tile_row", "tile_col")
-
-    def search(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(a) and len(b):
-            (s, sr, sc), (t, tr, tc) = filled(a), filled(b)
-            if min(s.shape) > patch and min(t.shape) > patch:
-                s, t = cfog(s), cfog(t)
-                for y in range(int(k[0]) * tile, int(k[0]) * tile + tile, spacing):
-                    for x in range(int(k[1]) * tile, int(k[1]) * tile + tile, spacing):
-                        p = s[:, y - half - sr : y + half - sr, x - half - sc : x + half - sc] if y - half >= sr and x - half >= sc else s[:, :0]
-                        q = t[:, max(0, y - halo - tr) : y + halo - tr, max(0, x - halo - tc) : x + halo - tc]
-                        if p.shape[1:] != (patch, patch) or q.shape[1:] != (2 * halo, 2 * halo) or y - halo < tr or x - halo < tc:
-                            continue
-                        views = np.lib.stride_tricks.sliding_window_view(q, (patch, patch), axis=(1, 2))
-                        surface = np.einsum("aijkl,akl->ij", views, p) / patch**2
-                        i, j = np.unravel_index(np.argmax(surface), surface.shape)
-                        if not (0 < i < surface.shape[0] - 1 and 0 < j < surface.shape[1] - 1):
-                            continue
-                        top = lambda m, n, o: 0.0 if abs(m - 2 * n + o) < 1e-12 else float(np.clip((m - o) / (2 * (m - 2 * n + o)), -1, 1))
-                        dy, dx = top(*surface[i - 1 : i + 2, j]), top(*surface[i, j - 1 : j + 2])
-                        rest = surface.copy()
-                        rest[max(0, i - 3) : i + 4, max(0, j - 3) : j + 4] = -np.inf
-                        rows.append((float(x), float(y), x + j - window + dx, y + i - window + dy, float(surface[i, j]), float(surface[i, j] / max(rest.max(), 1e-9))))
-        return pd.DataFrame(rows, columns=["xs", "ys", "xr", "yr", "peak", "ratio"])
-
-    left, right = with_borders(source, tile, halo), with_borders(reference, tile, halo)
-    again = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*key).cogroup(again.groupBy(*key)).applyInPandas(search, "xs double, ys double, xr double, yr double, peak double, ratio double")
-
-
-def phase_congruency(pixels: DataFrame, scales: int = 4, shortest: float = 3.0, step: float = 2.1) -> DataFrame:
-    """image, r, c, pc, orientation of each image of a pixel table (image, r, c, v), by log-Gabor filters.
-
-    The transform wraps at the image's border, so a task has one whole image; many images run side by side.
-    """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        a, r0, c0 = filled(f)
-        fy, fx = np.meshgrid(np.fft.fftfreq(a.shape[0]), np.fft.fftfreq(a.shape[1]), indexing="ij")
-        radius = np.hypot(fx, fy)
-        radius[0, 0] = 1.0
-        low = 1.0 / (1.0 + (radius / 0.45) ** 30)
-        riesz = (1j * fx - fy) / radius
-        spectrum = np.fft.fft2(a)
-        even, odd, total, most, tau = 0.0, 0.0, 0.0, 0.0, None
-        for s in range(scales):
-            gabor = np.exp(-(np.log(radius * shortest * step**s) ** 2) / (2 * np.log(0.55) ** 2)) * low
-            gabor[0, 0] = 0.0
-            e, h = np.fft.ifft2(spectrum * gabor).real, np.fft.ifft2(spectrum * gabor * riesz)
-            amplitude = np.sqrt(e * e + np.abs(h) ** 2)
-            even, odd, total, most = even + e, odd + h, total + amplitude, np.maximum(most, amplitude)
-            tau = np.median(amplitude) / np.sqrt(np.log(4)) if tau is None else tau
-        noise = tau * (1 - step**-scales) / (1 - 1 / step)
-        limit = noise * np.sqrt(np.pi / 2) + 2.0 * noise * np.sqrt((4 - np.pi) / 2)
-        spread = (total / (most + 1e-9) - 1) / (scales - 1)
-        weight = 1 / (1 + np.exp(10 * (0.5 - spread)))
-        energy = np.sqrt(even**2 + np.abs(odd) ** 2)
-        pc = weight * np.maximum(energy - limit, 0) / (total + 1e-9)
-        r, c = np.indices(a.shape)
-        return pd.DataFrame({"image": f["image"].iloc[0], "r": (r + r0).ravel().astype(np.int32), "c": (c + c0).ravel().astype(np.int32), "pc": pc.ravel(), "orientation": np.mod(np.degrees(np.arctan2(odd.imag, odd.real)), 180).ravel()})
-
-    return pixels.select("image", "r", "c", "v").groupBy("image").applyInPandas(run, "image long, r int, c int, pc double, orientation double")

@@ -62,13 +62,17 @@ def sweep_mean(spark, sf):
     return pair_results(spark, sf).groupBy("method", "sweep").agg(F.count("*").alias("n"), F.count("rmse").alias("n_known"), r6(F.avg("rmse")).alias("rmse"))
 
 
-@query(f"""WITH {PAIRS}, p AS (SELECT method, pair_id, rmse FROM pairs WHERE sweep = 1997 AND rmse IS NOT NULL), k AS (SELECT method, rmse, row_number() OVER (PARTITION BY method ORDER BY pair_id) - 1 AS i, count(*) OVER (PARTITION BY method) AS n FROM p),
-d AS (SELECT method, rep, CAST(('0x' || substr(md5(method || '|' || CAST(rep AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) % n AS i FROM k CROSS JOIN range(50) r(rep)),
-m AS (SELECT d.method, rep, avg(rmse) AS mean FROM d JOIN k ON d.method = k.method AND d.i = k.i GROUP BY 1, 2), e AS (SELECT method, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY method)
-SELECT p.method, count(*) AS n, round(avg(rmse), 4) AS mean, round(max(lo), 4) AS lo, round(max(hi), 4) AS hi FROM p JOIN e ON p.method = e.method GROUP BY p.method""")
+@query(f"""WITH {PAIRS}, v AS (SELECT method, pair_id, unnest([struct_pack(metric := 'rmse', value := rmse), struct_pack(metric := 'log_rmse', value := CASE WHEN ok THEN ln(1 + rmse) END), struct_pack(metric := 'ok_share', value := CAST(ok AS DOUBLE))]) AS m FROM pairs),
+k AS (SELECT method, pair_id, m.metric AS metric, m.value AS v FROM v WHERE m.value IS NOT NULL),
+ids AS (SELECT DISTINCT pair_id FROM k), n AS (SELECT pair_id, rep, {stats.drawn_sql("pair_id", "rep")} AS n FROM ids CROSS JOIN range(1, 1001) r(rep)),
+r AS (SELECT method, metric, rep, sum(n * v) / nullif(sum(n), 0) AS mean FROM k JOIN n USING (pair_id) WHERE n > 0 GROUP BY ALL),
+e AS (SELECT method, metric, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM r GROUP BY ALL), o AS (SELECT method, metric, count(*) AS n, avg(v) AS mean FROM k GROUP BY ALL)
+SELECT method, metric, n, round(mean, 4) AS mean, round(CASE WHEN n = 1 THEN mean ELSE lo END, 4) AS lo, round(CASE WHEN n = 1 THEN mean ELSE hi END, 4) AS hi FROM o JOIN e USING (method, metric)""")
 def bootstrap_interval(spark, sf):
-    b = stats.bootstrap(pair_results(spark, sf).filter("sweep = 1997"), "method", "rmse", "pair_id")
-    return b.select("method", "n", *[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")])
+    """Intervals of every metric of every method over all pairs, 1000 replicates."""
+    p = pair_results(spark, sf).select("method", "pair_id", "rmse", F.when(F.col("ok"), F.log1p("rmse")).alias("log_rmse"), F.col("ok").cast("double").alias("ok_share"))
+    b = stats.bootstrap_all(p, "method", ["rmse", "log_rmse", "ok_share"], "pair_id")
+    return b.select("method", "metric", "n", *[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")])
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT method, count(*) AS n, count(rmse) AS n_ok, avg(rmse) AS rmse FROM pairs GROUP BY method)
@@ -112,7 +116,7 @@ _PRODUCTS = "SELECT s_suppkey AS product, ['OHRC', 'TMC2_NADIR', 'IIRS', 'WAC',
 _POLICY = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{refs[0]}', {lo}::DOUBLE, {hi}::DOUBLE)" for p, refs, lo, hi in fixed.REFERENCE_POLICY) + ") AS t(payload, first_choice, lo, hi)"
 
 
-@query(f"""WITH p AS ({_PRODUCTS}), k AS ({_POLICY}), j AS (SELECT p.*, coalesce(k.first_choice, 'SYNTHETIC') AS first_choice, coalesce(lo, 0.01) AS lo, coalesce(hi, 1000.0) AS hi, greatest(gsd, ref_gsd) AS working FROM p LEFT JOIN k USING (payload))
+@query(f"""WITH p AS ({_PRODUCTS}), k AS ({_POLICY}), j AS (SELECT p.*, coalesce(k.first_choice, '{fixed.DEFAULT_POLICY[0][0]}') AS first_choice, coalesce(lo, {fixed.DEFAULT_POLICY[1]}) AS lo, coalesce(hi, {fixed.DEFAULT_POLICY[2]}) AS hi, greatest(gsd, ref_gsd) AS working FROM p LEFT JOIN k USING (payload))
 SELECT product, payload, first_choice, round(ref_gsd / nullif(gsd, 0), 6) AS ratio, working BETWEEN lo AND hi AS within_policy FROM j""")
 def pairing_verdict(spark, sf):
     """Policy lookup with a default row, then the verdict on the working resolution."""
@@ -120,8 +124,9 @@ def pairing_verdict(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("product"), F.get(names, (F.col("s_suppkey") % 5).cast("int")).alias("payload"), (F.abs("s_acctbal") / 100).alias("gsd"), (F.col("s_nationkey") + 1).alias("ref_gsd"))
     j = s.join(F.broadcast(policy(spark)), "payload", "left")
     working = F.greatest("gsd", "ref_gsd")
-    inside = working.between(F.coalesce("least_gsd", F.lit(0.01)), F.coalesce("most_gsd", F.lit(1000.0)))
-    return j.select("product", "payload", F.coalesce(F.get("preferred", F.lit(0)), F.lit("SYNTHETIC")).alias("first_choice"), r6(F.try_divide("ref_gsd", "gsd")).alias("ratio"), inside.alias("within_policy"))
+    names, low, high = fixed.DEFAULT_POLICY
+    inside = working.between(F.coalesce("least_gsd", F.lit(low)), F.coalesce("most_gsd", F.lit(high)))
+    return j.select("product", "payload", F.coalesce(F.get("preferred", F.lit(0)), F.lit(names[0])).alias("first_choice"), r6(F.try_divide("ref_gsd", "gsd")).alias("ratio"), inside.alias("within_policy"))
 
 
 @query("""WITH k AS (SELECT o_orderkey AS label, unnest([struct_pack(k := 'image.sub_solar_azimuth', v := CAST(round(o_totalprice % 360, 2) AS VARCHAR) || ' <deg>', p := 1), struct_pack(k := 'a.b.sun_elev', v := 'elev ' || CAST(o_custkey % 90 AS VARCHAR), p := 2),

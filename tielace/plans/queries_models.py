@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tielace.operators import localmodel, tiles
+from tielace.functions import expr
+from tielace.operators import localmodel
 from tielace.streaming import stages
 
 from . import sinks
@@ -26,8 +27,8 @@ def quadratic_field(spark, sf):
 
 @query()
 def spline_choice(spark, sf):
-    """Smoothing by leave-one-out error, by track."""
-    return localmodel.spline_choice(with_field(spark, sf), "track", most=60).select("track", "smoothing", "n", F.round("loocv", 6).alias("loocv"))
+    """Smoothing by leave-one-out error over all points, each predicted from its nearest others, by track."""
+    return localmodel.spline_choice(with_field(spark, sf), "track").select("track", "smoothing", "n", F.round("loocv", 6).alias("loocv"))
 
 
 _FIELD = f"{POINTS}, f AS (SELECT *, (2 * x / 512 - 1) * 2 - (2 * x / 512 - 1) * (2 * y / 512 - 1) + sigma * 0.1 AS dx, (2 * y / 512 - 1) * (2 * y / 512 - 1) + sigma * 0.1 AS dy FROM points)"
@@ -38,14 +39,6 @@ def row_jitter(spark, sf):
     return localmodel.row_jitter(with_field(spark, sf), 4.0).select("row", "n", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
-@query()
-def phase_congruency(spark, sf):
-    """Structural transform of one raster a line number; tests find a step edge by it."""
-    lines = table(spark, sf, "lineitem")
-    image = lines.groupBy(F.col("l_linenumber").cast("long").alias("image"), (F.col("l_orderkey") % 64).cast("int").alias("r"), (F.col("l_partkey") % 64).cast("int").alias("c")).agg(F.avg("l_quantity").alias("v"))
-    return tiles.phase_congruency(image).select("image", "r", "c", F.round("pc", 4).alias("pc"))
-
-
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_windows(spark, sf):
     """The streams' tumbling window on the table as a batch."""
@@ -61,7 +54,18 @@ def event_sessions(spark, sf):
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query(f"""WITH {POINTS} SELECT tid AS id, round(y, 4) AS src_line, round(x, 4) AS src_sample, round(conf, 4) AS conf, track, round(sigma, 6) AS sigma_x, CAST(conf > 0.5 AS INTEGER) AS inlier FROM points""")
+@query(f"""WITH {POINTS} SELECT tid AS id, round(y, 4) AS src_line, round(x, 4) AS src_sample, round(y * 0.5 + 3, 4) AS ref_line, round(x * 0.5 - 7, 4) AS ref_sample,
+  round(x / 512 * 360 - 180, 6) AS src_lon, round(y / 512 * 180 - 90, 6) AS src_lat, round(CASE WHEN conf > 0.3 THEN x / 512 * 360 - 180 END, 6) AS ref_lon, round(CASE WHEN conf > 0.3 THEN y / 512 * 180 - 90 END, 6) AS ref_lat,
+  round(conf, 4) AS conf, track, round(sigma, 6) AS sigma_x, round(CASE WHEN sigma > 0.1 THEN sigma * 2 END, 6) AS sigma_y, round(sigma * sigma / 10, 8) AS sigma_xy, round(sigma - 0.5, 4) AS residual_x, round(0.5 - conf, 4) AS residual_y,
+  CAST(conf > 0.5 AS INTEGER) AS inlier, CAST(track = 'error' AS INTEGER) AS reseeded, CAST(least(greatest(floor(y * 8 / 512.0), 0), 7) * 8 + least(greatest(floor(x * 8 / 512.0), 0), 7) AS INTEGER) AS cell_id FROM points""")
 def tiepoint_rows(spark, sf):
-    p = points(spark, sf).select(F.col("tid").alias("id"), F.col("y").alias("src_line"), F.col("x").alias("src_sample"), "conf", "track", F.col("sigma").alias("sigma_x"), (F.col("conf") > 0.5).alias("inlier"))
-    return sinks.tiepoint_rows(p).select("id", "src_line", "src_sample", "conf", "track", "sigma_x", "inlier")
+    """All columns of the tie-point table; not a number counts as unknown."""
+    x, y, conf, sigma = (F.col(c) for c in ("x", "y", "conf", "sigma"))
+    lon, lat = x / 512 * 360 - 180, y / 512 * 180 - 90
+    unknown = F.lit(float("nan"))
+    p = points(spark, sf).select(
+        F.col("tid").alias("id"), y.alias("src_line"), x.alias("src_sample"), (y * 0.5 + 3).alias("ref_line"), (x * 0.5 - 7).alias("ref_sample"), lon.alias("src_lon"), lat.alias("src_lat"),
+        F.when(conf > 0.3, lon).otherwise(unknown).alias("ref_lon"), F.when(conf > 0.3, lat).otherwise(unknown).alias("ref_lat"), "conf", "track", sigma.alias("sigma_x"), F.when(sigma > 0.1, sigma * 2).otherwise(unknown).alias("sigma_y"),
+        (sigma * sigma / 10).alias("sigma_xy"), (sigma - 0.5).alias("residual_x"), (0.5 - conf).alias("residual_y"), (conf > 0.5).alias("inlier"), (F.col("track") == "error").alias("reseeded"), expr.cell_id(x, y, SIDE, SIDE, 8, 8).alias("cell_id"),
+    )
+    return sinks.tiepoint_rows(p)

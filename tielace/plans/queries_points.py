@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tielace.functions import expr
-from tielace.operators import gate, near, uniform
-from tielace.operators.lineage import cut
+from tielace.operators import gate, near, nearest, uniform
 
 from .registry import query
 from .views import POINTS, SIDE, points, table
@@ -167,13 +166,13 @@ def occupancy_chi2(spark, sf):
     return u.select("track", "n_points", r6(F.col("chi2")).alias("chi2"), "dof")
 
 
+@query(f"""WITH RECURSIVE {_OCCUPIED}, u AS (SELECT track, sum(n * n) / (sum(n) / count(*)) - sum(n) AS x, count(*) - 1 AS dof FROM occupied GROUP BY track),
+f AS (SELECT track, 1 AS i, 2 * sqrt(x / 2 / pi()) * exp(-x / 2) AS t, 0.0::DOUBLE AS s, x FROM u UNION ALL SELECT track, i + 1, t * (x / 2) / (i + 0.5), s + t, x FROM f WHERE i <= 31)
+SELECT track, 63 AS dof, round(least(1, max(s)), 9) AS p FROM f GROUP BY track""")
 def occupancy_p_value(spark, sf):
-    """Survival function of the occupancy chi-square; checked against tabulated points in the tests."""
+    """Survival function of the occupancy chi-square. (The SQL leaves erfc out, which is below 1e-12 for so many points.)"""
     u = uniform.uniformity(uniform.occupancy(points(spark, sf), SIDE, 8, "track"), "track")
-    return u.select("track", "dof", uniform.chi2_p("chi2", "dof").alias("p"))
-
-
-query()(occupancy_p_value)
+    return u.select("track", F.col("dof").cast("int").alias("dof"), F.round(uniform.chi2_p("chi2", "dof"), 9).alias("p"))
 
 
 _SIXTEEN = "CAST(least(greatest(floor(y * 16 / 512.0), 0), 15) * 16 + least(greatest(floor(x * 16 / 512.0), 0), 15) AS INTEGER)"
@@ -187,13 +186,13 @@ def empty_cells(spark, sf):
     return uniform.all_cells(p, 16, "track").join(has, ["track", "cell"], "left_anti")
 
 
-@query(f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE track IN ('view', 'click')), n AS (
+@query(f"""WITH {POINTS}, n AS (
   SELECT p.tid, p.track, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS nn FROM points p JOIN points q ON p.track = q.track AND p.tid <> q.tid GROUP BY 1, 2)
 SELECT track, count(*) AS n, round(avg(nn), 6) AS mean_nn, round(avg(nn) / (0.5 * sqrt(512.0 * 512.0 / count(*))), 6) AS ratio,
   round((avg(nn) - 0.5 * sqrt(512.0 * 512.0 / count(*))) / (0.26136 / sqrt(CAST(count(*) AS DOUBLE) * count(*) / (512.0 * 512.0))), 6) AS z FROM n GROUP BY track""")
 def clark_evans(spark, sf):
     p = points(spark, sf)
-    found = uniform.clark_evans(p, SIDE * SIDE, 16.0, "track")
+    found = uniform.clark_evans(p, SIDE * SIDE, "track")
     return found.select("track", "n", r6(F.col("mean_nn")).alias("mean_nn"), r6(F.col("ratio")).alias("ratio"), r6(F.col("z")).alias("z"))
 
 
@@ -239,24 +238,17 @@ def gate_counts(spark, sf):
     return one.withColumn("agreement_rate", r6(F.try_divide("n_agreed", "n_b")))
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT * FROM points WHERE track = 'purchase'), q AS (SELECT tid, x, y, {_QUALITY} AS q FROM s),
-e AS (SELECT sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) AS diameter FROM q)
-SELECT a.tid, round(least(coalesce(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), max(diameter)), max(diameter)), 6) AS radius
-FROM q a CROSS JOIN e LEFT JOIN q b ON b.q > a.q / 0.9 AND b.tid <> a.tid GROUP BY a.tid""")
+@query(f"""WITH {POINTS}, q AS (SELECT tid, track, x, y, {_QUALITY} AS q FROM points),
+e AS (SELECT track, sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) AS diameter FROM q GROUP BY track)
+SELECT a.tid, a.track, round(least(coalesce(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), max(diameter)), max(diameter)), 6) AS radius
+FROM q a JOIN e ON a.track = e.track LEFT JOIN q b ON a.track = b.track AND b.q > a.q / 0.9 AND b.tid <> a.tid GROUP BY a.tid, a.track""")
 def suppression_radius(spark, sf):
-    """Distance to the nearest clearly better point; bins grow for the points that have none nearby."""
-    p = with_quality(spark, sf).filter("track = 'purchase'").select("tid", "x", "y", "quality")
-    extent = p.agg(F.sqrt(F.pow(F.max("x") - F.min("x"), 2) + F.pow(F.max("y") - F.min("y"), 2)).alias("diameter"))
-    found, left, cell = None, p, 16.0
-    while True:
-        best = cut(near.near_pairs(left, p, cell).filter((F.col("n_quality") > F.col("quality") / 0.9) & (F.col("tid") != F.col("n_tid"))).groupBy("tid").agg(F.min("d").alias("nn")))
-        found = best if found is None else found.unionByName(best)
-        left = cut(left.join(best.select("tid"), "tid", "left_anti"))
-        if cell > 2 * SIDE or left.isEmpty():
-            break
-        cell *= 4
-    out = p.join(found, "tid", "left").join(F.broadcast(extent))
-    return out.select("tid", r6(F.least(F.coalesce("nn", "diameter"), F.col("diameter"))).alias("radius"))
+    """Distance to the nearest clearly better point of the track, at most the extent of its points."""
+    p = with_quality(spark, sf).select("tid", "track", "x", "y", "quality", (F.col("quality") / 0.9).alias("need"))
+    extent = p.groupBy("track").agg(F.sqrt(F.pow(F.max("x") - F.min("x"), 2) + F.pow(F.max("y") - F.min("y"), 2)).alias("diameter"))
+    found = nearest.nearest(p, p, keys=("track",), above=("need", "quality")).select("tid", "d")
+    out = p.join(found, "tid", "left").join(extent, "track")
+    return out.select("tid", "track", r6(F.least(F.coalesce("d", "diameter"), F.col("diameter"))).alias("radius"))
 
 
 @query(f"""WITH {POINTS} SELECT tid, track FROM points WHERE track = 'view' UNION ALL SELECT tid, track FROM points WHERE track = 'click' UNION ALL SELECT tid, 'reseed' FROM points WHERE track = 'error' AND conf > 0.9""")
@@ -278,9 +270,22 @@ def except_cells(spark, sf):
     return p.filter("track = 'signup' AND conf > 0.5").select("cell").subtract(p.filter("track = 'purchase' AND conf > 0.9").select("cell"))
 
 
-@query()
+def _rounds(most: int) -> str:
+    """Choosing as many points of each cell, a round a table."""
+    found = f"""{POINTS}, {CELLS}, q AS (SELECT track, cell, tid, x, y, {_QUALITY} AS quality FROM cells),
+w AS (SELECT *, min(quality) OVER c AS low, max(quality) OVER c AS high FROM q WINDOW c AS (PARTITION BY track, cell)),
+g1 AS (SELECT track, cell, tid, x, y, quality, (1 + CASE WHEN high - low > 1e-12 THEN sqrt((quality - low) / (high - low)) ELSE 1 END) / 2 AS weight, NULL::DOUBLE AS gap FROM w)"""
+    for k in range(1, most + 1):
+        worth, some = ("quality", "") if k == 1 else ("gap * weight", "WHERE gap > 0")
+        found += f""",
+c{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, cell ORDER BY {worth} DESC, quality DESC, tid) AS k FROM g{k} {some}) WHERE k = 1),
+g{k + 1} AS (SELECT g.track, g.cell, g.tid, g.x, g.y, g.quality, g.weight, least(coalesce(g.gap, 1e300), sqrt((g.x - c.x) * (g.x - c.x) + (g.y - c.y) * (g.y - c.y))) AS gap FROM g{k} g JOIN c{k} c ON g.track = c.track AND g.cell = c.cell AND g.tid <> c.tid)"""
+    return f"WITH {found} " + " UNION ALL ".join(f"SELECT track, cell, tid, {k} AS place FROM c{k}" for k in range(1, most + 1))
+
+
+@query(_rounds(4))
 def farthest_point_quota(spark, sf):
-    """Order-dependent spreading in each cell; tests hold it against the sequential rule."""
+    """Four points of each cell that are good and far from each other."""
     return uniform.farthest_points(with_quality(spark, sf), SIDE, 8, 4, "track")
 
 

@@ -38,15 +38,22 @@ POINTS = """points AS (
 )"""
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r, c, v: mean quantity by order and part number modulo 64; cells without a row are missing."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy((F.col("l_orderkey") % 64).cast("int").alias("r"), (F.col("l_partkey") % 64).cast("int").alias("c")).agg(F.avg("l_quantity").alias("v"))
+#: Order numbers of one image.
+IMAGE = 4096
 
 
-RASTER = """raster AS (
-  SELECT CAST(l_orderkey % 64 AS INTEGER) AS r, CAST(l_partkey % 64 AS INTEGER) AS c, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2
-)"""
+def raster(spark: SparkSession, sf_dir: str, value: str = "l_quantity") -> DataFrame:
+    """image, r, c, v: mean quantity by order number (its rows, 64 of them) and part number modulo 64, an image for each
+    4096 order numbers, so that images grow in number with the table; cells without a row are missing."""
+    place = [(F.floor(F.col("l_orderkey") / IMAGE)).alias("image"), (F.col("l_orderkey") % 64).cast("int").alias("r"), (F.col("l_partkey") % 64).cast("int").alias("c")]
+    return table(spark, sf_dir, "lineitem").groupBy(*place).agg(F.avg(value).alias("v"))
+
+
+def raster_sql(name: str = "raster", value: str = "l_quantity") -> str:
+    return f"{name} AS (SELECT l_orderkey // {IMAGE} AS image, CAST(l_orderkey % 64 AS INTEGER) AS r, CAST(l_partkey % 64 AS INTEGER) AS c, avg({value}) AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+
+RASTER = raster_sql()
 
 
 def pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
