@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tielace.functions import expr
@@ -182,3 +184,29 @@ def test_robust_fit_recovers_the_transform(spark, kind):
         assert np.sqrt((robust.residuals(np.array(r["h"]).reshape(3, 3), check, p[:, :2] / p[:, 2:]) ** 2).mean()) < 0.2
         assert 230 <= r["n_inliers"] <= 280 and r["n"] == 400
     assert robust.fit(points.limit(1), kind).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=20))
+@settings(max_examples=80, deadline=None)
+def test_hull_corners_have_all_points_on_one_side(xy):
+    xy = sorted(set(xy))
+    at = uniform.hull_of(np.array([x for x, _ in xy], float), np.array([y for _, y in xy], float))
+    corners = [xy[i] for i in at]
+    assert len(set(corners)) == len(corners)
+    for a, b in zip(corners, corners[1:] + corners[:1], strict=True):
+        cross = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in xy]
+        assert min(cross) >= 0
+        assert not [p for p, c in zip(xy, cross, strict=True) if c == 0 and p in corners and p not in (a, b)] or len(corners) == 2
+
+
+def test_hull_of_every_track(spark, small):
+    from tielace.plans.views import points
+
+    rows = points(spark, small).collect()
+    got = {}
+    for r in uniform.convex_hull(points(spark, small).repartition(5), "track").orderBy("place").collect():
+        got.setdefault(r["track"], []).append(r["tid"])
+    for track, tids in got.items():
+        own = [r for r in rows if r["track"] == track]
+        at = uniform.hull_of(np.array([r["x"] for r in own]), np.array([r["y"] for r in own]))
+        assert [own[i]["tid"] for i in at] == tids

@@ -115,6 +115,46 @@ def polar_stereographic(lon: Column, lat: Column, north: bool = True) -> tuple[C
     return r * F.sin(F.radians(lon)), -sign * r * F.cos(F.radians(lon))
 
 
+def from_equirectangular(x: Column, y: Column, lon0: float, lat_ts: float) -> tuple[Column, Column]:
+    """Longitude and latitude of a map place."""
+    return F.degrees(x / number(MOON_RADIUS_M * math.cos(math.radians(lat_ts)))) + number(lon0), F.degrees(y / number(MOON_RADIUS_M))
+
+
+def from_polar_stereographic(x: Column, y: Column, north: bool = True) -> tuple[Column, Column]:
+    sign = 1 if north else -1
+    lat = number(90) - 2 * F.degrees(F.atan(F.sqrt(x * x + y * y) / number(2 * MOON_RADIUS_M)))
+    return F.degrees(F.atan2(x, -sign * y)), sign * lat
+
+
+def oblique_stereographic(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """On the sphere, true at its centre."""
+    east, lat = F.radians(lon - number(lon0)), F.radians(lat)
+    s0, c0 = number(math.sin(math.radians(lat0))), number(math.cos(math.radians(lat0)))
+    k = number(2 * MOON_RADIUS_M) / (1 + s0 * F.sin(lat) + c0 * F.cos(lat) * F.cos(east))
+    return k * F.cos(lat) * F.sin(east), k * (c0 * F.sin(lat) - s0 * F.cos(lat) * F.cos(east))
+
+
+def unit_vector(azimuth: float, elevation: float) -> tuple[float, float, float]:
+    """East, north, up of a direction."""
+    a, e = math.radians(azimuth), math.radians(elevation)
+    return math.cos(e) * math.sin(a), math.cos(e) * math.cos(a), math.sin(e)
+
+
+def sigmas(xx: Column, yy: Column, xy: Column) -> tuple[Column, Column, Column]:
+    """Standard deviations and covariance; unknown where a part isn't finite or a variance is negative."""
+    ok = (xx >= 0) & (yy >= 0) & (F.abs(xx) + F.abs(yy) + F.abs(xy) < number(math.inf))
+    return F.when(ok, F.sqrt(xx)), F.when(ok, F.sqrt(yy)), F.when(ok, xy)
+
+
+def patch_inside(x: Column, y: Column, half: float, width: float, height: float) -> Column:
+    return (x >= half) & (y >= half) & (x <= width - half) & (y <= height - half)
+
+
+def is_maximum(hxx: Column, hyy: Column, hxy: Column) -> Column:
+    """Whether both eigenvalues of a 2 x 2 Hessian are below zero."""
+    return (hxx + hyy < 0) & (hxx * hyy - hxy * hxy > TINY_DENOMINATOR)
+
+
 def wrapped_longitude(lon: Column) -> Column:
     return F.pmod(lon + 180, number(360)) - 180
 

@@ -11,6 +11,46 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def best_two(distances: np.ndarray) -> np.ndarray:
+    """[row, 2]: the two smallest of each row, ties to the earlier column."""
+    first = distances.argmin(axis=1)
+    if distances.shape[1] == 1:
+        return first[:, None]
+    rest = distances.astype(float)
+    rest[np.arange(len(rest)), first] = np.inf
+    return np.stack([first, rest.argmin(axis=1)], axis=1)
+
+
+def hamming_matches(source: DataFrame, reference: DataFrame, ratio: float) -> DataFrame:
+    """src, ref, distance of the source codes (vec_id, code) whose nearest reference code is nearer than ratio times the second.
+
+    All against all, in blocks, as ratio_matches; equal distances go to the smaller vec_id.
+    """
+    n, m = (max(1, -(-d.count() // BLOCK)) for d in (source, reference))
+    part = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
+    left = source.select(F.col("vec_id").alias("src"), "code", part(n).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = reference.select(F.col("vec_id").alias("ref"), "code", part(m).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)] * 3
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("ref")
+            a, b = (t.column("code").to_numpy().view(np.uint64) for t in (x, y))
+            src, ref, parts = x.column("src").to_numpy(), y.column("ref").to_numpy(), []
+            for at in range(0, len(a), 512):
+                far = np.bitwise_count(a[at : at + 512, None] ^ b)
+                top = best_two(far)
+                parts.append((np.repeat(src[at : at + 512], top.shape[1]), ref[top].ravel(), np.take_along_axis(far, top, 1).ravel().astype(np.int64)))
+            found = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["src", "ref", "d"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "src long, ref long, d long")
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("d", "ref"))).filter("place <= 2")
+    pick = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
+    two = ranked.groupBy("src").agg(pick("ref", 1).alias("ref"), pick("d", 1).alias("d1"), pick("d", 2).alias("d2"))
+    return two.filter(F.col("d1") < ratio * F.col("d2")).select("src", "ref", F.col("d1").cast("int").alias("distance"))
+
+
 def ratio_matches(source: DataFrame, reference: DataFrame, ratio: float) -> DataFrame:
     """src, ref, cosine, correct (labels agree) of the source descriptors whose best match is clearly better.
 
@@ -29,7 +69,7 @@ def ratio_matches(source: DataFrame, reference: DataFrame, ratio: float) -> Data
             vectors = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
             y = y.sort_by("ref")
             cosines = vectors(x, "u") @ vectors(y, "w").T
-            top = np.argsort(-cosines, axis=1, kind="stable")[:, :2]
+            top = best_two(-cosines)
             src, a = x.column("src").to_pylist(), x.column("a").to_pylist()
             ref, b = y.column("ref").to_pylist(), y.column("b").to_pylist()
             rows = [(src[k], ref[t], float(cosines[k, t]), a[k] == b[t]) for k in range(len(src)) for t in top[k].tolist()]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tielace.functions.expr import agreed_confidence
+from tielace.functions.expr import agreed_confidence, single_confidence
 
 from .near import k_nearest
 
@@ -38,3 +38,16 @@ def unused(track_a: DataFrame, track_b: DataFrame, accepted: DataFrame, radius:
 
 def is_sharp(peak: Column, ratio: Column) -> Column:
     return (ratio > 1.5) & (peak > 0.4)
+
+
+def spacing_radius(tolerance: float) -> tuple[Column, Column]:
+    """Aggregates over nearest distances (nn) of track A: its median spacing, and the radius of the gate."""
+    spacing = F.coalesce(F.median("nn"), F.lit(1.0))
+    return spacing, F.greatest(F.lit(float(tolerance)), 2 * spacing)
+
+
+def single_track(left: DataFrame, most: int) -> DataFrame:
+    """tid, place, confidence of the sharp ones of points (tid, peak, ratio) without agreement, the highest peaks first."""
+    sharp = left.filter(is_sharp(F.col("peak"), F.col("ratio"))).orderBy(F.desc("peak"), "tid").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("peak"), "tid"))  # most rows
+    return sharp.select("tid", place.alias("place"), single_confidence(F.col("peak"), F.col("ratio")).alias("confidence"))

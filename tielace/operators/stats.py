@@ -30,6 +30,29 @@ def adaptive_threshold(sigma: Column, scale: float = 3.0, low: float = 0.75, hig
     return F.greatest(F.lit(low), F.least(F.lit(high), raw))
 
 
+def truth_rmse(estimated: list[Column], true: list[float] | list[Column], width: float, height: float, n: int = 24) -> Column:
+    """RMS distance of two transforms over an n x n grid of the image's inner nine tenths; infinite for an unknown one."""
+    from tielace.functions.expr import apply_homography
+
+    steps = F.sequence(F.lit(0), F.lit(n * n - 1))
+
+    def squared(k: Column) -> Column:
+        x, y = (0.05 + 0.9 * F.floor(k / n) / (n - 1)) * width, (0.05 + 0.9 * (k % n) / (n - 1)) * height
+        ex, ey = apply_homography(estimated, x, y)
+        tx, ty = apply_homography(true, x, y)
+        return (ex - tx) * (ex - tx) + (ey - ty) * (ey - ty)
+
+    total = F.aggregate(steps, F.lit(0.0), lambda s, k: s + squared(k))
+    return F.coalesce(F.sqrt(total / (n * n)), F.lit(math.inf))
+
+
+def cross_consistency(there: list[Column], back: list[Column]) -> Column:
+    """Frobenius distance from the identity of the product of two transforms, scaled to a last element of 1."""
+    both = [sum((there[3 * i + k] * back[3 * k + j] for k in range(1, 3)), there[3 * i] * back[j]) for i in range(3) for j in range(3)]
+    parts = [both[k] / both[8] - (1 if k % 4 == 0 else 0) for k in range(9)]
+    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+
+
 def variance_factor(rows: DataFrame, keys: list[str], sigma: str, residual: str, trim: float = 0.2) -> DataFrame:
     """keys, n, factor: RMS of residual / sigma, a share trimmed at either end if eight remain; 1 below twelve."""
     usable = rows.filter((F.col(sigma) > 1e-9) & F.col(residual).isNotNull()).withColumn("_ratio", F.col(residual) / F.col(sigma))

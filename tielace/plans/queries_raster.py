@@ -134,12 +134,12 @@ def normalised_correlation(spark, sf):
     return p.join(shifted, ["image", "r", "c"]).groupBy("image", tile).agg(F.count("*").alias("n"), F.when(F.count("*") >= 16, r6(F.corr("v", "y"))).alias("ncc"))
 
 
-@query(f"""WITH {RASTER}, {raster_sql("other", "l_extendedprice / 1000")}
+@query(f"""WITH {RASTER}, {raster_sql("other", "l_extendedprice / 1024")}
 SELECT image, r, c, round(CASE WHEN (r // 8 + c // 8) % 2 = 0 THEN raster.v ELSE other.v END, 4) AS v FROM raster JOIN other USING (image, r, c)""")
 def checkerboard(spark, sf):
     """Squares of two co-registered rasters in turn."""
     even = (F.floor(F.col("r") / 8) + F.floor(F.col("c") / 8)) % 2 == 0
-    other = raster(spark, sf, F.col("l_extendedprice") / 1000).withColumnRenamed("v", "w")
+    other = raster(spark, sf, F.col("l_extendedprice") / 1024).withColumnRenamed("v", "w")
     return raster(spark, sf).join(other, ["image", "r", "c"]).select("image", "r", "c", F.round(F.when(even, F.col("v")).otherwise(F.col("w")), 4).alias("v"))
 
 
