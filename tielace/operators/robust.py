@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,14 +33,14 @@ def residuals(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
 def fit(points: DataFrame, kind: str = "affine", threshold: float = 2.0, hypotheses: int = 200, rounds: int = 4) -> DataFrame:
     """group, kind, h (9 numbers), n, n_inliers, rmse for each group of tid, x, y, xr, yr rows.
 
-    Each hypothesis of a group takes the points with its smallest hashes, a bounded sample made by one window over a
-    few rows a partition; the transforms, a bounded table, go back to all tasks, which sum truncated squared residuals.
-    The best one is refined by reweighted least squares from moment sums, so no group is ever in one task.
-    Groups with fewer points than the kind needs have no row.
+    The points are put in a random order by hash, and each hypothesis takes the next ones of all points, none twice, as many
+    as the kind needs (small groups begin again); the transforms, a bounded table, go back to all tasks, which sum truncated
+    squared residuals. The best one is refined by reweighted least squares from moment sums, so no group is ever in one task
+    and nothing passes through the driver. Groups with fewer points than the kind needs have no row.
     """
-    spark, need = points.sparkSession, MINIMAL[kind]
+    need = MINIMAL[kind]
     p = cut(points.select("group", "tid", "x", "y", "xr", "yr"))
-    seeds = 64  # candidates of each group from which the hypotheses draw
+    seeds = hypotheses * need  # the first of each group: a window that keeps few rows a partition
     order = Window.partitionBy("group").orderBy(F.xxhash64("tid", F.lit(11)), "tid")
     some = p.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= seeds).drop("place")
 
@@ -47,9 +48,12 @@ def fit(points: DataFrame, kind: str = "affine", threshold: float = 2.0, hypothe
         src = np.stack([table.column(c).to_numpy() for c in ("x", "y")], 1)
         ref = np.stack([table.column(c).to_numpy() for c in ("xr", "yr")], 1)
         group, rng, rows = table.column("group")[0].as_py(), np.random.default_rng(17), []
+        order_ = rng.permutation(len(src))
         if len(src) >= need:
             for i in range(hypotheses):
-                at = rng.choice(len(src), need, replace=False)
+                at = order_[i * need : (i + 1) * need]
+                if len(at) < need:
+                    at = rng.choice(len(src), need, replace=False)
                 h = solve(kind, src[at], ref[at])
                 if h is not None:
                     rows.append((group, i, h.ravel().tolist()))
@@ -100,19 +104,21 @@ def fit(points: DataFrame, kind: str = "affine", threshold: float = 2.0, hypothe
 
     n = {"similarity": 4, "affine": 6, "homography": 8}[kind]
     size = n * n + n
+
+    def refined(frames):
+        """The solution of each group's normal equations; its former transform where they don't fix one."""
+        for f in frames:
+            found = []
+            for m, old in zip(f["m"], f["h"], strict=True):
+                left, right = np.asarray(m[: n * n], float).reshape(n, n), np.asarray(m[n * n :], float)
+                fixed = np.isfinite(left).all() and np.linalg.matrix_rank(left) == n
+                found.append(shaped(kind, np.linalg.solve(left, right)).ravel().tolist() if fixed else list(old))
+            yield pd.DataFrame({"group": f["group"], "h": found})
+
     for _ in range(rounds):
         with_h = p.join(now.withColumnRenamed("group", "_g"), F.col("group") == F.col("_g")).drop("_g")
         moments = with_h.mapInArrow(sums, "group string, " + ", ".join(f"m{i} double" for i in range(size))).groupBy("group").agg(F.array(*[F.sum(f"m{i}") for i in range(size)]).alias("m"))
-        solved = []
-        for row in moments.toLocalIterator():  # one small row a group
-            m = np.array(row["m"])
-            left, right = m[: n * n].reshape(n, n), m[n * n :]
-            if np.linalg.matrix_rank(left) == n:
-                solved.append((row["group"], shaped(kind, np.linalg.solve(left, right)).ravel().tolist()))
-        if not solved:
-            break
-        fresh = spark.createDataFrame(solved, "group string, h array<double>")
-        now = cut(now.join(fresh.withColumnRenamed("h", "f"), "group", "left").select("group", F.coalesce("f", "h").alias("h")))
+        now = cut(moments.join(now, "group").mapInPandas(refined, "group string, h array<double>"))
     h = [F.get("h", F.lit(i)) for i in range(9)]
     from tielace.functions.expr import apply_homography
 
