@@ -628,6 +628,21 @@ def test_top_k_whole(spark, shard, monkeypatch):
     assert sorted(tuple(r) for r in topk.op8_kdtree_topk(spark, SMALL).collect()) == sorted(want)
 
 
+def test_top_k_of_equal_large_and_lopsided_vectors(spark, monkeypatch):
+    """Equal vectors that no median splits, scores beyond doubles, vectors of two lengths, and blocks of few queries."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(4)
+    rows = [[1.0, 2.0, -1.0]] * 60 + (3 + rng.standard_normal((100, 3))).tolist() + (1e6 * rng.standard_normal((40, 3))).tolist() + rng.standard_normal((30, 2)).tolist()
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    v = [[int(np.floor(256 * x)) for x in r] for r in rows]
+    want = []
+    for q in range(0, len(v), 7):
+        best = sorted((-sum(a * b for a, b in zip(v[q], w, strict=True)), c) for c, w in enumerate(v) if c != q and len(w) == len(v[q]))[:5]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 7 == 0).collect()) == want
+
+
 def test_embedding_links_whole(spark, monkeypatch):
     monkeypatch.setattr(itq, "BUCKET", 40)
     rng = np.random.default_rng(5)
