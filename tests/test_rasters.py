@@ -80,20 +80,63 @@ def test_sample_types(kind, bits, dtype):
 
 
 def test_sample_types_beyond_the_table():
-    assert [rasters.sample_type(*k) for k in (("SUN_REAL", 32), ("MSB_UNSIGNED_INTEGER", 64), ("VAX_INTEGER", 64))] == [">f4", ">u8", "<i8"]
-    with pytest.raises(ValueError, match="unknown samples"):
-        rasters.sample_type("IEEE_REAL", 24)
+    assert [rasters.sample_type(*k) for k in (("SUN_REAL", 32), ("MSB_UNSIGNED_INTEGER", 64), ("VAX_INTEGER", 64), ("msb_real", 16))] == ["<f4", ">u8", "<i8", ">f4"]
+    assert [rasters.pds4_type(k) for k in ("IEEE754MSBSingle", "IEEE754LSBDouble", "UnsignedMSB2", "SignedByte", "UnsignedByte", "SignedLSB4")] == [">f4", "<f8", ">u2", "<i1", "<u1", "<i4"]
+
+
+def values(spark, path):
+    return {(r["product"], r["plane"], r["band"], r["r"], r["c"]): r["v"] for r in rasters.read_pixels(spark, str(path)).collect()}
 
 
 def test_detached_labels(spark, tmp_path):
     a = np.arange(24, dtype=">i2").reshape(2, 3, 4)
     (tmp_path / "p1.img").write_bytes(a.tobytes())
     (tmp_path / "p1.lbl").write_text('^IMAGE = "P1.IMG"\nLINES = 3\nLINE_SAMPLES = 4\nBANDS = 2\nSAMPLE_TYPE = MSB_INTEGER\nSAMPLE_BITS = 16 <bits>\nEND\nLINES = 99\n')
-    got = {(r["band"], r["r"], r["c"]): r["v"] for r in rasters.read_pixels(spark, str(tmp_path)).collect()}
-    assert len(got) == 24 and got[1, 2, 3] == 23.0
+    got = values(spark, tmp_path)
+    assert len(got) == 24 and got["p1", "image", 1, 2, 3] == 23.0
+    assert values(spark, tmp_path / "p1.img") == got  # the label beside it
     (tmp_path / "p1.lbl").write_text("LINES = 3\nEND\n")
     with pytest.raises(Exception, match="LINE_SAMPLES"):
         rasters.read_pixels(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError, match="unsupported extension"):
+        rasters.read_pixels(spark, str(tmp_path / "p1.xyz"))
+
+
+def test_attached_labels_and_record_pointers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rasters, "BLOCK_ROWS", 2)
+    a = np.arange(15, dtype="<u2").reshape(5, 3)
+    head = "LINES = 5\r\nLINE_SAMPLES = 3\r\nSAMPLE_TYPE = LSB_UNSIGNED_INTEGER\r\nSAMPLE_BITS = 16\r\n"
+    (tmp_path / "after.img").write_bytes((head + "END\r\n").encode() + a.tobytes())
+    (tmp_path / "record.img").write_bytes((head + "RECORD_BYTES = 256\r\n^IMAGE = 2\r\nEND\r\n").encode().ljust(256) + a.tobytes())
+    (tmp_path / "other.lbl").write_text(head + 'RECORD_BYTES = 6\r\n^IMAGE = ("Samples.DAT", 3)\r\nEND\r\n')
+    (tmp_path / "samples.dat").write_bytes(b"\0" * 12 + a.tobytes())
+    got = values(spark, tmp_path)
+    for name in ("after", "record", "other"):
+        assert [got[name, "image", 0, r, c] for r in range(5) for c in range(3)] == list(range(15))
+    (tmp_path / "samples.dat").unlink()
+    with pytest.raises(Exception, match="no raster"):
+        rasters.read_pixels(spark, str(tmp_path / "other.lbl")).collect()
+
+
+def test_xml_labels_with_planes(spark, tmp_path):
+    cube, plane = np.arange(24, dtype=">f4").reshape(2, 3, 4), np.arange(12, dtype="<i2").reshape(3, 4)
+    (tmp_path / "cube.dat").write_bytes(cube.tobytes() + plane.tobytes())
+    axis = lambda n, k: f"<p:Axis_Array><p:elements>{n}</p:elements><p:sequence_number>{k}</p:sequence_number></p:Axis_Array>"
+    array = lambda tag, name, at, kind, axes: f"<p:{tag}><p:name>{name}</p:name><p:offset unit='byte'>{at}</p:offset><p:Element_Array><p:data_type>{kind}</p:data_type></p:Element_Array>{axes}</p:{tag}>"
+    image = array("Array_3D_Spectrum", "radiance", 0, "IEEE754MSBSingle", axis(2, 1) + axis(3, 2) + axis(4, 3))
+    side = array("Array_2D", "Incidence angle", 96, "SignedLSB2", axis(3, 1) + axis(4, 2))
+    (tmp_path / "cube.xml").write_text(f"<p:Product xmlns:p='http://x/y'><p:title>IIRS</p:title><p:File_Area><p:File><p:file_name>cube.dat</p:file_name></p:File>{side}{image}</p:File_Area></p:Product>")
+    got = values(spark, tmp_path)
+    assert len(got) == 36 and got["cube", "image", 1, 2, 3] == 23.0 and got["cube", "incidence", 0, 2, 3] == 11.0
+
+
+def test_sensors_cameras_and_bands(spark):
+    words = spark.createDataFrame([("Chandrayaan OHRC",), ("tmc2 aft view",), ("TMC",), ("imaging infrared spectrometer",), ("x",)], "t string")
+    assert [r[0] for r in words.select(rasters.sensor_of(F.col("t"))).collect()] == ["OHRC", "TMC2_AFT", "TMC2_NADIR", "IIRS", "SYNTHETIC"]
+    names = spark.createDataFrame([("LROC NACR", "a"), (None, "M1LE"), ("WAC", None), (None, None)], "i string, p string")
+    assert [r[0] for r in names.select(rasters.camera_of(F.col("i"), F.col("p"))).collect()] == ["NAC_R", "NAC_L", "WAC", "NAC_L"]
+    bands = spark.createDataFrame([([1.0, 2.0], 2), ([1.0], 43), (None, 3)], "w array<double>, n int")
+    assert [r[0] and (r[0][0], r[0][-1], len(r[0])) for r in bands.select(rasters.wavelengths(F.col("w"), F.col("n"))).collect()] == [(1.0, 2.0, 2), (800.0, 5000.0, 43), None]
 
 
 def test_label_numbers_and_times(spark):
