@@ -155,6 +155,17 @@ def test_normals_of_a_plane(spark):
     assert all((r["nx"], r["ny"], r["nz"]) == pytest.approx((-2 / size, -1 / size, 1 / size)) for r in got)
 
 
+@pytest.mark.parametrize("slack", [0.01, 0.2])
+def test_quantiles_are_exact(spark, slack):
+    rng = np.random.default_rng(6)
+    groups = {"even": rng.uniform(0, 1, 3000), "ties": rng.integers(0, 3, 2000).astype(float), "one": np.array([5.0]), "two": np.array([1.0, 2.0]), "same": np.full(100, 7.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("even", None), ("two", float("nan"))]
+    shares = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares, slack).collect()}
+    for g, x in groups.items():
+        assert got[g][0] == len(x) and got[g][1] == pytest.approx(np.quantile(x, shares).tolist())
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = np.random.default_rng(3)
     rows = [(str(t), i, float(v)) for t in range(30) for i, v in enumerate(rng.normal(5, 1, 60))]

@@ -36,7 +36,8 @@ def nearest_distance(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
     tid tells points apart.
     """
-    found = nearest(points.select("tid", "x", "y", *keys), points.select("tid", "x", "y", *keys), keys=keys)
+    place = points.select("tid", "x", "y", *keys)
+    found = nearest(place, place, keys=keys)
     return points.join(found.select("tid", F.col("d").alias("nn")), "tid", "left")
 
 

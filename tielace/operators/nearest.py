@@ -118,10 +118,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float | None
     points = here(right).withColumn("_key", key).withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n")
     asked = here(left).withColumn("_key", key)
 
-    counts = points.groupBy("_key").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    size = max(TILE, -(-total // TILES))
-    large = {r["_key"]: r["count"] for r in counts.filter(F.col("count") > size).collect()}  # TILES at most
+    many = F.collect_list(F.when(F.col("count") > TILE, F.struct("_key", "count")))  # one for each TILE points at most
+    total, many = points.groupBy("_key").count().agg(F.sum("count"), many).first()
+    size = max(TILE, -(-(total or 0) // TILES))
+    large = {r["_key"]: r["count"] for r in many if r["count"] > size}
     trees, numbers = {}, []
     if large:
         share = min(1.0, SAMPLE / size)
@@ -151,9 +151,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float | None
     asked = tiled(asked)
     own_names, n_names = [c for c in asked.columns if not c.startswith("_")], [c for c in points.columns if not c.startswith("_")]
     # Left rows are dealt in parts, so that no task has all of a tile that many of them fall into.
-    crowds = asked.groupBy("_key", "_tile").count().filter(F.col("count") > 4 * size).select(F.col("_key").alias("_k"), F.col("_tile").alias("_t"), F.ceil(F.col("count") / (4 * size)).cast("int").alias("_parts"))
-    crowds = cut(crowds)
-    crowded = not crowds.isEmpty()
+    crowded = []
+    if left is not right:
+        by_tile = asked.groupBy("_key", "_tile").count().filter(F.col("count") > 4 * size)
+        crowded = by_tile.select("_key", "_tile", F.ceil(F.col("count") / (4 * size)).cast("int")).collect()  # few: each has 4 * size rows
+    crowds = left.sparkSession.createDataFrame(crowded, "_k string, _t int, _parts int") if crowded else None
 
     def dealt(frame: DataFrame, by: str, each: bool) -> DataFrame:
         if not crowded:

@@ -53,15 +53,56 @@ def cross_consistency(there: list[Column], back: list[Column]) -> Column:
     return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], slack: float = 0.01) -> DataFrame:
+    """keys, n, q: exact linearly interpolated quantiles of a column's known values, as an array.
+
+    A sketch brackets each quantile; only what lies in a bracket is ranked, distinct value by distinct value, and the rest is
+    counted. So no group, not even that of a whole table, is sorted or held in one task.
+    """
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = [e for s in shares for e in (max(0.0, s - slack), min(1.0, s + slack))]
+    sketch = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, int(10 / slack)).alias("_e"))
+    few = F.col("n") <= 4 / slack  # all of a small group is ranked
+    low = lambda i: F.when(few, F.lit(-math.inf)).otherwise(F.get("_e", F.lit(2 * i)))
+    high = lambda i: F.when(few, F.lit(math.inf)).otherwise(F.get("_e", F.lit(2 * i + 1)))
+    both = known.join(sketch, keys) if keys else known.join(F.broadcast(sketch))
+    below = F.array(*[F.count_if(F.col("_v") < low(i)) for i in range(len(shares))]).alias("_below")
+    counted = both.groupBy(*keys).agg(F.first("n").alias("n"), below)
+    inside = F.filter(F.array(*[F.when((F.col("_v") >= low(i)) & (F.col("_v") <= high(i)), F.lit(i)) for i in range(len(shares))]), lambda i: i.isNotNull())
+    near = both.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_k"))
+    placed = near.join(counted, keys) if keys else near.join(F.broadcast(counted))
+    last = F.sum("_k").over(Window.partitionBy(*keys, "_i").orderBy("_v")) + F.get("_below", F.col("_i"))
+    placed = placed.withColumn("_last", last).withColumn("_rank", F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("_i")) * (F.col("n") - 1) + 1)
+    at = lambda r: F.min(F.when(F.col("_last") >= r, F.col("_v")))  # noqa: E731  the first value whose last place is as far
+    ranks = F.floor("_rank"), F.ceil("_rank")
+    found = placed.groupBy(*keys, "_i").agg(F.first("n").alias("n"), F.first("_rank").alias("_rank"), at(ranks[0]).alias("_a"), at(ranks[1]).alias("_b"))
+    each = F.col("_a") + (F.col("_rank") - F.floor("_rank")) * (F.col("_b") - F.col("_a"))
+    return found.groupBy(*keys).agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("_i", each.alias("q")))), lambda z: z["q"]).alias("q"))
+
+
 def variance_factor(rows: DataFrame, keys: list[str], sigma: str, residual: str, trim: float = 0.2) -> DataFrame:
-    """keys, n, factor: RMS of residual / sigma, a share trimmed at either end if eight remain; 1 below twelve."""
-    usable = rows.filter((F.col(sigma) > 1e-9) & F.col(residual).isNotNull()).withColumn("_ratio", F.col(residual) / F.col(sigma))
-    by = Window.partitionBy(*keys)
-    placed = usable.withColumns({"_n": F.count("*").over(by), "_at": F.row_number().over(by.orderBy("_ratio", "tid"))})
-    cut = F.floor(F.col("_n") * trim)
-    inside = (F.col("_n") - 2 * cut < 8) | ((F.col("_at") > cut) & (F.col("_at") <= F.col("_n") - cut))
-    factor = F.greatest(F.lit(0.2), F.least(F.lit(50.0), F.sqrt(F.avg(F.when(inside, F.col("_ratio") * F.col("_ratio"))))))
-    return placed.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") < 12, F.lit(1.0)).otherwise(factor).alias("factor"))
+    """keys, n, factor: RMS of residual / sigma, a share trimmed at either end if eight remain; 1 below twelve.
+
+    The rows at which trimming begins and ends are found as in quantiles, so no group is sorted whole; equal ratios count alike.
+    """
+    usable = rows.filter((F.col(sigma) > 1e-9) & F.col(residual).isNotNull()).select(*keys, (F.col(residual) / F.col(sigma)).alias("_r"))
+    n = usable.groupBy(*keys).agg(F.count("*").alias("n"))
+    cut = F.when(F.col("n") - 2 * F.floor(F.col("n") * trim) < 8, F.lit(0)).otherwise(F.floor(F.col("n") * trim))
+    # Around the cuts, ratios are counted one by one; those between the brackets are all inside.
+    ends = [max(0.0, trim - 0.01), trim + 0.01, 1 - trim - 0.01, min(1.0, 1 - trim + 0.01)]
+    sketch = usable.groupBy(*keys).agg(F.percentile_approx("_r", ends, 1000).alias("_e"))
+    e = lambda i: F.get("_e", F.lit(i))
+    zone = F.when(F.col("_cut") == 0, 2).when(F.col("n") <= 400, F.when(F.col("_r") <= e(1), 1).otherwise(3)).when(F.col("_r") < e(0), 0).when(F.col("_r") <= e(1), 1).when(F.col("_r") < e(2), 2).when(F.col("_r") <= e(3), 3).otherwise(4)
+    marked = usable.join(n.withColumn("_cut", cut), keys).join(sketch, keys).withColumn("_z", zone)
+    square = F.col("_r") * F.col("_r")
+    sums = marked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("_cut").alias("_cut"), F.sum(F.when(F.col("_z") == 2, square)).alias("_mid"), F.count_if(F.col("_z") == 0).alias("_c0"), F.count_if(F.col("_z") < 3).alias("_c3"))
+    edges = marked.filter(F.col("_z").isin(1, 3)).groupBy(*keys, "_z", "_r").agg(F.count("*").alias("_k")).join(sums.select(*keys, "n", "_cut", "_c0", "_c3"), keys)
+    last = F.sum("_k").over(Window.partitionBy(*keys, "_z").orderBy("_r")) + F.when(F.col("_z") == 1, F.col("_c0")).otherwise(F.col("_c3"))
+    kept = F.greatest(F.lit(0), F.least(last, F.col("n") - F.col("_cut")) - F.greatest(last - F.col("_k"), F.col("_cut")))
+    part = edges.withColumn("_kept", kept).groupBy(*keys).agg(F.sum(F.col("_kept") * square).alias("_edge"))
+    mean = (F.coalesce("_mid", F.lit(0.0)) + F.coalesce("_edge", F.lit(0.0))) / (F.col("n") - 2 * F.col("_cut"))
+    factor = F.greatest(F.lit(0.2), F.least(F.lit(50.0), F.sqrt(mean)))
+    return sums.join(part, keys, "left").select(*keys, "n", F.when(F.col("n") < 12, F.lit(1.0)).otherwise(factor).alias("factor"))
 
 
 def calibration(rows: DataFrame, sigma: str, residual: str, bins: int = 8) -> DataFrame:
@@ -70,8 +111,8 @@ def calibration(rows: DataFrame, sigma: str, residual: str, bins: int = 8) -> Da
     The edges are one row (distinct quantiles), which is joined to all rows; the groups are as many as bins.
     """
     usable = rows.filter(F.col(sigma) > 0)
-    quantiles = F.percentile(F.col(sigma), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    edges = usable.agg(F.array_distinct(quantiles).alias("e")).select(F.posexplode(F.arrays_zip(F.slice("e", 1, F.size("e") - 1).alias("lo"), F.slice("e", 2, F.size("e") - 1).alias("hi"))).alias("bin", "z")).select("bin", "z.lo", "z.hi")
+    edges = quantiles(usable, [], sigma, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("e"))
+    edges = edges.select(F.posexplode(F.arrays_zip(F.slice("e", 1, F.size("e") - 1).alias("lo"), F.slice("e", 2, F.size("e") - 1).alias("hi"))).alias("bin", "z")).select("bin", "z.lo", "z.hi")
     inside = usable.join(F.broadcast(edges), F.col(sigma).between(F.col("lo"), F.col("hi")))
     found = inside.groupBy("bin").agg(F.avg(sigma).alias("sigma_pred"), F.sqrt(F.avg(F.col(residual) * F.col(residual))).alias("residual_rms"), F.count("*").alias("n"))
     return found.filter("n >= 3")
