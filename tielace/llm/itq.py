@@ -115,22 +115,25 @@ class Plan:
         return np.stack([bits[:, s : s + self.bits] @ weights for s in starts], axis=1) if tables else np.zeros((len(codes), 0), np.int64)
 
 
-def near_codes(plan: Plan, key: np.ndarray, table: np.ndarray, codes: np.ndarray, apart: np.ndarray):
-    """Pairs i < j of equal neighbouring keys whose codes are within the limit and that no earlier table has together.
+def near_codes(plan: Plan, key: np.ndarray, table: np.ndarray, codes: np.ndarray, apart: np.ndarray, once: bool):
+    """Pairs i < j of equal neighbouring keys whose codes are within the limit.
 
-    apart: numbers that pairs must not share (the blocks of a bucket met crosswise), -1 where they may.
+    apart: numbers that pairs must not share (the blocks of a bucket met crosswise), -1 where they may. once: without the
+    pairs that an earlier table has together.
     """
-    keys = plan.keys(codes, plan.tables)
+    keys = np.ascontiguousarray(plan.keys(codes, plan.tables).T) if once else None
+    words = np.ascontiguousarray(codes.T)
     for i, j in pairs_in_runs(key):
-        far = np.zeros(len(i), np.uint8 if plan.limit < 200 else np.int32)
-        for w in range(codes.shape[1]):
-            far += np.bitwise_count(codes[i, w] ^ codes[j, w])
+        far = np.zeros(len(i), np.int16)
+        for w in words:
+            far += np.bitwise_count(w[i] ^ w[j])
         ok = (far <= plan.limit) & ((apart[i] < 0) | (apart[i] != apart[j]))
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 1 << 16):
-            own, other = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            seen = ((keys[own] == keys[other]) & (np.arange(plan.tables) < table[own, None])).any(axis=1)
-            yield own[~seen], other[~seen]
+        if once:
+            for t in range(int(table.max(initial=0))):  # most pairs of a dense bucket go at the first tables
+                new = (keys[t][i] != keys[t][j]) | (table[i] <= t)
+                i, j = i[new], j[new]
+        yield i, j
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -189,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     columns = ("key", "label", "rep", "own", "dim", "t", "block", "low", "high", "code")
     dealt = dealt.withColumn("key", F.xxhash64("bucket", "low", "high")).select(*columns)
 
-    def parts(batches):
+    def parts(batches, once):
         """Tables of whole buckets, of vectors of one length each, with their near pairs."""
         plans: dict[int, Plan] = {}
         for table, _ in whole_runs(batches, "key", 1 << 30):
@@ -199,19 +202,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 part = table.filter(pa.array(size == d)) if size.min() != size.max() else table
                 key, label, t, block, low, high = (part.column(c).to_numpy() for c in ("key", "label", "t", "block", "low", "high"))
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint64).reshape(part.num_rows, -1)
-                pairs = near_codes(own, key, t, codes, np.where(low != high, block, -1))
+                pairs = near_codes(own, key, t, codes, np.where(low != high, block, -1), once)
                 yield part, ((i[label[i] == label[j]], j[label[i] == label[j]]) for i, j in pairs)
 
     def discard(batches):
         """The members of buckets that have a near code there."""
-        for part, pairs in parts(batches):
+        for part, pairs in parts(batches, False):
             hits = np.zeros(part.num_rows, bool)
             for i, j in pairs:
                 hits[i] = hits[j] = True
             yield from part.filter(pa.array(hits)).to_batches()
 
     def compare(batches):
-        for part, pairs in parts(batches):
+        for part, pairs in parts(batches, True):
             unit, rep, copies = _unit(part.column("embedding").combine_chunks()), part.column("rep").to_numpy(), part.column("copies").to_numpy()
             n = np.zeros(part.num_rows, np.int64)
             a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
