@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster shares (spark.checkpoint.dir), or in one of our own if unset."""
+    """A checkpoint in the folder that the cluster shares (spark.checkpoint.dir); a local session without one uses its own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
