@@ -122,6 +122,20 @@ def test_similar(docs, none):
     assert similar.drop_near_duplicates(none).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Two texts under one id, and many rows without one."""
+    rows = [(7, "the cat sat on the mat today"), (7, "quite another text stands here"), (9, "the cat sat on the mat today")] + [(None, f"row number {i} of many") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [tuple(r) for r in simhash.near_duplicates(frame).collect()]
+    assert len(prints) == len(rows) and {r[2] for r in prints if r[0] == 9} == {7}
+    assert len([r for r in similar.drop_near_duplicates(frame).collect() if r["doc_id"] == 7]) == 2
+    folder = f"{Scratch(spark, 'edges').root}/shared"
+    dac.write_ids(frame, folder, WORD)
+    got = dac.read_ids(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 50 + [7, 7, 9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 VECTORS = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (10, [float("inf"), 0.0], 1), (11, [], 1)]
 
 

@@ -60,3 +60,11 @@ def test_packing_stage(spark, states):
 def test_run_is_the_stages(spark, states):
     got = corpus_pipeline.run(spark, SMALL)
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in states[5].collect())
+
+
+def test_run_on_nothing_and_on_nulls(spark, tmp_path):
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, "a", 0), (None, "of the and in that", "en", None, 18), (3, "of the and in that was", None, "a", 22)])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r["doc_id"] for r in got} <= {None, 3} and not (name == "none" and got)
