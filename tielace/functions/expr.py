@@ -159,6 +159,14 @@ def wrapped_longitude(lon: Column) -> Column:
     return F.pmod(lon + 180, number(360)) - 180
 
 
+def label_corners(corners: Sequence[Column]) -> list[Column]:
+    """Latitude and longitude of four corners in turn, longitudes wrapped; unknown all together where one is."""
+    known = corners[0].isNotNull()
+    for c in corners[1:]:
+        known &= c.isNotNull()
+    return [F.when(known, wrapped_longitude(c) if k % 2 else c) for k, c in enumerate(corners)]
+
+
 def projection_kind(lat: Column, extent_km: Column) -> Column:
     return F.when(F.abs(lat) > 60, "polar_stereographic").when(extent_km > 50, "oblique_stereographic").otherwise("equirectangular")
 

@@ -342,3 +342,36 @@ def gate_single_track(spark, sf):
 def convex_hull(spark, sf):
     """Corners of the convex hull of each track's points; tests hold it against all half-planes."""
     return uniform.convex_hull(points(spark, sf), "track").select("track", "place", "tid")
+
+
+@query("""WITH p AS (SELECT p_partkey AS product, 'LROC ' || CASE p_size % 4 WHEN 0 THEN 'nacr' WHEN 1 THEN 'NACL' WHEN 2 THEN 'Wac' ELSE '' END AS i, p_name || CASE WHEN p_size % 3 = 0 THEN 'RE' ELSE '' END AS n FROM part)
+SELECT product, CASE WHEN contains(upper(i), 'NACR') OR ends_with(upper(n), 'RE') THEN 'NAC_R' WHEN contains(upper(i), 'NACL') OR ends_with(upper(n), 'LE') THEN 'NAC_L' WHEN contains(upper(i), 'WAC') THEN 'WAC' ELSE 'NAC_L' END AS camera FROM p""")
+def camera_names(spark, sf):
+    """The camera of each product from its instrument's name or its own suffix."""
+    from tielace.sources.rasters import camera_of
+
+    size = F.col("p_size")
+    instrument = F.concat(F.lit("LROC "), F.when(size % 4 == 0, "nacr").when(size % 4 == 1, "NACL").when(size % 4 == 2, "Wac").otherwise(""))
+    name = F.concat("p_name", F.when(size % 3 == 0, "RE").otherwise(""))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("product"), camera_of(instrument, name).alias("camera"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS product, p_size AS bands FROM part), w AS (SELECT product, bands, CASE WHEN bands % 5 = 0 THEN list_transform(range(bands), lambda k: k * 10.0 + 500) WHEN bands > 32 THEN list_transform(range(bands), lambda k: 800 + k * 4200.0 / (bands - 1)) END AS w FROM b)
+SELECT product, CAST(i AS INTEGER) AS band, round(w[i + 1]::DOUBLE, 6) AS nanometres FROM w, range(50) r(i) WHERE i < len(w)""")
+def band_wavelengths(spark, sf):
+    """Band centres of each product: its own where it names one a band, else evenly spread over many bands."""
+    from tielace.sources.rasters import wavelengths
+
+    bands = F.col("p_size")
+    given = F.when(bands % 5 == 0, F.transform(F.sequence(F.lit(0), bands - 1), lambda k: k * F.lit(10.0) + 500))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("product"), F.posexplode(wavelengths(given, bands)).alias("band", "nm")).select("product", "band", r6(F.col("nm")).alias("nanometres"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS product, c_acctbal / 20 AS lon, c_custkey % 160 - 80 AS lat, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_nationkey END AS known FROM customer)
+SELECT product, round(CASE WHEN known IS NOT NULL THEN ((lon + 180) % 360 + 360) % 360 - 180 END, 6) AS ul_lon, round(CASE WHEN known IS NOT NULL THEN ((lon + 2 + 180) % 360 + 360) % 360 - 180 END, 6) AS lr_lon, CAST(CASE WHEN known IS NOT NULL THEN lat END AS DOUBLE) AS ul_lat FROM c""")
+def label_corners(spark, sf):
+    """Corners from label keywords: all four or none, longitudes from -180 to 180."""
+    lon, lat, known = F.col("c_acctbal") / 20, (F.col("c_custkey") % 160 - 80).cast("double"), F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey"))
+    corners = [lat, lon, lat, lon + 2, lat - 2, lon + 2, lat - 2, F.when(known.isNotNull(), lon)]
+    ul_lat, ul_lon, _, _, _, lr_lon, _, _ = expr.label_corners(corners)
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("product"), r6(ul_lon).alias("ul_lon"), r6(lr_lon).alias("lr_lon"), ul_lat.alias("ul_lat"))

@@ -19,9 +19,25 @@ def with_field(spark, sf):
     return p.withColumns({"dx": F.col("u") * 2 - F.col("u") * F.col("v") + F.col("sigma") * 0.1, "dy": F.col("v") * F.col("v") + F.col("sigma") * 0.1})
 
 
-@query()
+_FIELD = f"{POINTS}, f AS (SELECT *, (2 * x / 512 - 1) * 2 - (2 * x / 512 - 1) * (2 * y / 512 - 1) + sigma * 0.1 AS dx, (2 * y / 512 - 1) * (2 * y / 512 - 1) + sigma * 0.1 AS dy FROM points)"
+
+
+def _eliminated(ridge: float = 1e-3) -> str:
+    """The ridge normal equations of each track, solved by Gauss-Jordan steps, one a table."""
+    terms, right = [f"({t})" for t in localmodel.TERMS], ["dx", "dy"]
+    cells = [(i, j) for i in range(6) for j in range(8)]
+    first = ", ".join(f"sum({terms[i]} * {terms[j] if j < 6 else right[j - 6]}){f' + {ridge!r} * count(*)' if i == j and i else ''} AS a{i}{j}" for i, j in cells)
+    steps = f"{_FIELD}, g AS (SELECT track, 2 * x / 512 - 1 AS u, 2 * y / 512 - 1 AS v, dx, dy FROM f), s0 AS (SELECT track, count(*) AS n, {first} FROM g GROUP BY track)"
+    for k in range(6):
+        made = ", ".join((f"a{k}{j} / a{k}{k}" if i == k else f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k}") + f" AS a{i}{j}" for i, j in cells)
+        steps += f", s{k + 1} AS (SELECT track, n, {made} FROM s{k})"
+    lists = ", ".join(f"[{', '.join(f'round(a{i}{j}, 6)' for i in range(6))}] AS {name}" for j, name in ((6, "cx"), (7, "cy")))
+    return f"WITH {steps} SELECT track, n, {lists} FROM s6"
+
+
+@query(_eliminated())
 def quadratic_field(spark, sf):
-    """Ridge quadratic by track; tests recover known coefficients."""
+    """Ridge quadratic by track."""
     return localmodel.quadratic(with_field(spark, sf), "track").select("track", "n", *[F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("cx", "cy")])
 
 
@@ -31,9 +47,6 @@ def spline_choice(spark, sf):
     return localmodel.spline_choice(with_field(spark, sf), "track").select("track", "smoothing", "n", F.round("loocv", 6).alias("loocv"))
 
 
-_FIELD = f"{POINTS}, f AS (SELECT *, (2 * x / 512 - 1) * 2 - (2 * x / 512 - 1) * (2 * y / 512 - 1) + sigma * 0.1 AS dx, (2 * y / 512 - 1) * (2 * y / 512 - 1) + sigma * 0.1 AS dy FROM points)"
-
-
 @query(f"""WITH {_FIELD} SELECT CAST(floor(y / 4) AS BIGINT) AS row, count(*) AS n, round(avg(dx), 6) AS dx, round(avg(dy), 6) AS dy FROM f GROUP BY 1""")
 def row_jitter(spark, sf):
     return localmodel.row_jitter(with_field(spark, sf), 4.0).select("row", "n", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
