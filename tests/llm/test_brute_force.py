@@ -47,13 +47,13 @@ class Sets:
 
 
 def test_queries_are_all_there():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     want = duckdb.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, SMALL)

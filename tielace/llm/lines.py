@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import pick, tidy
+from .base import Scratch, pick, tidy
 
 #: What is stripped at the ends of a line, and the letters that are lower-cased.
 WHITE = " \t\n\x0b\x0c\r"
@@ -37,7 +37,7 @@ def common_lines(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return found.filter(F.col("n") >= least_docs).select("h1", "h2", "top")
 
 
-def drop_common_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+def drop_common_lines(docs: DataFrame, scratch: Scratch, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """All columns, and n_lines, n_dropped (long) and kept, the text without its dropped lines.
 
     A text is split at line feeds; a null or empty text is one empty line. A line's key is the line without white space at its ends and in lower
@@ -47,11 +47,12 @@ def drop_common_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_d
     empty one. A column of the input called as one of the new ones is kept as name__in2.
 
     Only hashes and places are shuffled by key; what goes is gathered by row (doc_id and a hash of the text; at most
-    a text's own lines), and the texts are shuffled once, to meet it.
+    a text's own lines), and the texts are shuffled once, to meet it. The common keys are written to the shared folder first: lines
+    then meet them in a join of two plain tables, which adaptive execution broadcasts if they are few, and splits where one line is in very many documents.
     """
     rows = tidy(docs, ["doc_id", "text"], ADDED)
     lines = keyed_lines(rows.select("doc_id", "text"), least_length)
-    doomed = lines.join(common_lines(lines, least_docs), ["h1", "h2"]).filter("doc_id IS NULL OR doc_id < top")
+    doomed = lines.join(scratch.save(common_lines(lines, least_docs)), ["h1", "h2"]).filter("doc_id IS NULL OR doc_id < top")
     gone = doomed.groupBy(F.col("doc_id").alias("gone_id"), F.col("own").alias("gone_own")).agg(F.collect_set("pos").alias("gone"))
     met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_own")), "left")
     split = met.withColumn("split", _lines(F.col("text"))).withColumn("n_lines", F.size("split").cast("long"))
@@ -65,7 +66,7 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's count of lines, of dropped ones, and a hash of what stays; edge cases as in drop_common_lines."""
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return drop_common_lines(docs, Scratch(spark, "lines")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP12_SQL = """
