@@ -7,7 +7,9 @@ import hashlib
 import ipaddress
 import math
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,10 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 LOWER, UPPER, DIGITS, HEXES = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 SMALL = str.maketrans(UPPER, LOWER)
+#: What a secret may hold besides letters and digits.
+SYMBOLS = "!#$%*+-./:=?@\\^_~"
+#: Letters outside ASCII are permuted within their block of so many code points, by category where that has LEAST_ALIKE letters there.
+BLOCK, LEAST_ALIKE = 128, 8
 #: Values of more characters than this are permuted character by character, shorter ones as one number.
 LONGEST_NUMBER = 32
 
@@ -120,6 +126,7 @@ class Pseudonyms:
         found = self.seen.get((kind, text))
         if found is None:
             found = KINDS[kind](self, text)
+            found = None if found == text else found  # of one character that has no other: nothing is replaced
             if len(self.seen) > 50_000:
                 self.seen.clear()
             if found is not None and len(text) < 256:
@@ -127,9 +134,22 @@ class Pseudonyms:
         return found
 
 
-def classes(text: str) -> list[str | None]:
-    """Each character's own class: small, capital, digit, or None."""
-    return [next((a for a in (LOWER, UPPER, DIGITS) if c in a), None) for c in text]
+@cache
+def block_alphabets(block: int) -> dict[str, str]:
+    """The alphabet of each letter and digit of a block of code points beyond ASCII; alphabets don't overlap."""
+    alike: dict[str, str] = {}
+    for c in map(chr, range(block * BLOCK, (block + 1) * BLOCK)):
+        if c.isalnum():
+            kind = unicodedata.category(c)
+            alike[kind] = alike.get(kind, "") + c
+    rest = "".join(a for a in alike.values() if len(a) < LEAST_ALIKE)
+    return {c: a if len(a) >= LEAST_ALIKE else rest for a in alike.values() for c in a}
+
+
+def classes(text: str, others: str = "") -> list[str | None]:
+    """Each character's own class: small, capital, digit, one of the others, letters of its block beyond ASCII, or None."""
+    ascii_classes = (LOWER, UPPER, DIGITS, others)
+    return [next((a for a in ascii_classes if c in a), None) if c.isascii() else block_alphabets(ord(c) // BLOCK).get(c) for c in text]
 
 
 def onto(text: str, digits: str) -> str:
@@ -199,7 +219,7 @@ def _ip6(p: Pseudonyms, text: str) -> str | None:
 
 def _date(p: Pseudonyms, text: str) -> str | None:
     separator = next(c for c in text if c not in DIGITS)
-    a, b, c = parts = text.split(separator)
+    a, _, _ = parts = text.split(separator)
     if len(a) == 4:
         order = "ymd"
     elif separator == "/" and int(a) <= 12:
@@ -208,12 +228,18 @@ def _date(p: Pseudonyms, text: str) -> str | None:
         order = "dmy"
     own = dict(zip(order, map(int, parts), strict=True))
     try:
-        day = datetime.date(own["y"], own["m"], own["d"]).toordinal()
+        day = datetime.date(own["y"], own["m"], own["d"])
     except ValueError:
         return None
-    day = datetime.date.fromordinal(FIRST_DAY + p.permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-    shown = {"y": f"{day.year}", "m": f"{day.month:02}", "d": f"{day.day:02}"}
-    # Dates that can be read both ways stay readable in the same way: a day over 12 comes second in mdy only.
+    # Days over 12 stay among themselves: a date with slashes is read day first only if its day is one.
+    x = day.toordinal() - FIRST_DAY
+    while True:
+        x = p.permute("date", x, LAST_DAY - FIRST_DAY + 1)
+        found = datetime.date.fromordinal(FIRST_DAY + x)
+        if (found.day > 12) == (day.day > 12):
+            break
+    width = 1 if min(map(len, parts)) == 1 else 2  # without leading zeros where the given one has none
+    shown = {"y": f"{found.year}", "m": f"{found.month:0{width}}", "d": f"{found.day:0{width}}"}
     return separator.join(shown[o] for o in order)
 
 
@@ -235,9 +261,18 @@ def _email(p: Pseudonyms, text: str) -> str:
     return "".join(n.upper() if o in UPPER else n for o, n in zip(text, found, strict=True))
 
 
+def is_hex(text: str) -> bool:
+    return all(c in HEXES for c in text) and not all(c in DIGITS for c in text)
+
+
 def _value(p: Pseudonyms, text: str) -> str:
-    hexes = all(c in HEXES for c in text) and not text.isdigit()
-    return p.spelled("secret", text, [HEXES] * len(text) if hexes else classes(text))
+    """Hexadecimal values stay so; others keep each character's class and stay others, so no two values meet."""
+    own = is_hex(text)
+    found, alphabets = text, [HEXES] * len(text) if own else classes(text, SYMBOLS)
+    while True:
+        found = p.spelled("secret", found, alphabets)
+        if is_hex(found) == own:
+            return found
 
 
 def _access(p: Pseudonyms, text: str) -> str:
@@ -290,7 +325,8 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFra
     of 1900 to 2099, access key ids, and values of password= and the like. A value is validated, permuted within the values of
     its format (check digits are made anew) and written in its own spelling, so equal values give equal pseudonyms
     in all documents, in whatever separators, and distinct values distinct ones. Invalid numbers stay. A value may be of
-    any length: all of it is mixed. (IPv6 pseudonyms are written in the short form.)
+    any length: all of it is mixed. Letters of any script are replaced by others of their block and case. What a
+    permutation leaves as it is isn't reported as replaced. (IPv6 pseudonyms are written in the short form.)
 
     A null text stays null with null spans, an empty one has none. Texts are taken whole, row by row, without a
     shuffle. All columns are kept; one called spans is renamed (see base.tidy). No rows: no rows.

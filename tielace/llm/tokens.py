@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +60,12 @@ class _Words:
 
 
 class WordEncoder:
-    """ids of texts by a tokenizers file; special tokens' strings are ordinary text.
+    """ids of texts by a tokenizers file, as the library gives them: an added token's string in a text is that token.
 
     Both kinds of tokenizer here split at a lone space before anything else looks at both of its sides, so a text's
     ids are those of its words, put together: with the byte-level kind a word takes the space before it, with the
     other kind spaces vanish. Texts in which a space stands beside other white space go to the tokenizer whole where
-    that matters.
+    that matters, and so do texts with an added token's string.
     """
 
     def __init__(self, path: str):
@@ -74,7 +75,8 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             text = f.read()
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
+        # The strings of added tokens, in whatever case: a tokenizer may look for them after lowering.
+        self.added = "|".join(re.escape(t["content"]) for t in json.loads(text)["added_tokens"])
         self.keeps_space = self.tokenizer.normalizer is None
         # The same model without what does nothing to stems of small Latin letters: normalising and the split pattern.
         bare = json.loads(text)
@@ -144,6 +146,8 @@ class WordEncoder:
         whole = np.zeros(len(texts), bool)
         if self.keeps_space:
             whole = pc.match_substring_regex(texts, f" {SPACE}|{SPACE} ").to_numpy(zero_copy_only=False)
+        if self.added:
+            whole |= pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)
         words = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         found = words.flatten().dictionary_encode()
         codes, names = found.indices.to_numpy().astype(np.int64), found.dictionary
