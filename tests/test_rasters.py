@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tielace.operators import localmodel, raster, tiles
+from tielace.operators import localmodel, raster, resample, tiles
 from tielace.plans import sinks
 from tielace.sources import labels, rasters
 from tielace.streaming import stages
@@ -167,3 +167,72 @@ def test_streams(spark, small, tmp_path):
     assert spark.table("t_w").agg(F.sum("n")).first()[0] == n
     assert spark.table("t_s").agg(F.sum("n")).first()[0] == n
     assert spark.table("t_o").count() == n
+
+
+def values(found, rows, cols, column="v"):
+    out = np.full((rows, cols), np.nan)
+    for r in found.collect():
+        out[r["r"], r["c"]] = np.nan if r[column] is None else r[column]
+    return out
+
+
+def imaged(spark, a, image=1):
+    return pixels(spark, a).withColumn("image", F.lit(image))
+
+
+@pytest.mark.parametrize("kernel", ["nearest", "linear", "cubic", "lanczos"])
+def test_kernels_add_up_and_keep_pixels(kernel):
+    t = np.linspace(0, 0.999, 50)
+    assert np.allclose(resample.weights(kernel, t).sum(-1), 1)
+    a = terrain(24)
+    rows, cols = np.mgrid[4:20, 4:20].astype(float)
+    assert np.allclose(resample.sampled(a, cols, rows, kernel, None), a[4:20, 4:20])
+    moved = resample.sampled(a, cols + 0.4, rows, kernel, None)
+    want = [sum(w * a[r, int(first) + k] for k, w in enumerate(resample.weights(kernel, np.array([0.4]))[0])) for r in range(4, 20) for first in resample.first_taps(kernel, np.arange(4, 20) + 0.4)]
+    assert np.allclose(moved.ravel(), want)
+
+
+def test_a_warp_across_tiles_and_images(spark):
+    """Tiles of 16: rotation and scale from many source tiles; holes and what lies beyond the source; an image without pixels."""
+    a = terrain(50)
+    a[20, 20] = np.nan
+    turn = np.array([[0.9, -0.4, 12.0], [0.35, 0.95, -3.0], [0.001, 0.0, 1.0]])
+    both = imaged(spark, a).union(imaged(spark, a[:30, :20] * 2, 2))
+    targets = spark.createDataFrame([(1, 60, 45, turn.ravel().tolist()), (2, 10, 12, np.eye(3).ravel().tolist()), (3, 5, 5, np.eye(3).ravel().tolist())], "image int, rows int, cols int, h array<double>")
+    for border in (None, 0.0):
+        found = resample.warp(both, targets, "cubic", border, tile=16).cache()
+        cols, rows = np.meshgrid(np.arange(45.0), np.arange(60.0))
+        xs, ys = resample.applied(np.linalg.inv(turn), cols, rows)
+        want = resample.sampled(a, xs, ys, "cubic", border)
+        got = values(found.filter("image = 1"), 60, 45)
+        assert np.allclose(got, want, equal_nan=True) and np.isnan(got).any() == (border is None)
+        inside = values(found.filter("image = 1"), 60, 45, "covered").astype(bool)
+        assert (inside == ((xs >= 0) & (ys >= 0) & (xs < 50) & (ys < 50))).all() and 0.2 < inside.mean() < 1
+        assert np.allclose(values(found.filter("image = 2"), 10, 12)[2:, 2:], a[2:10, 2:12] * 2)
+        assert found.filter("image = 3").count() == 0
+    assert resample.warp(both.limit(0), targets, tile=16).count() == 0
+
+
+def test_nodes_say_what_the_homography_does(spark):
+    a = terrain(40)
+    targets = spark.createDataFrame([(1, 40, 40)], "image int, rows int, cols int")
+    nodes = resample.nodes_of(targets, 8, F.col("gx") * 0.9 + 1.5, F.col("gy") + F.col("gx") * 0.05)
+    got = values(resample.warp_by_nodes(imaged(spark, a), targets, nodes, "linear", None, tile=16, step=8), 40, 40)
+    cols, rows = np.meshgrid(np.arange(40.0), np.arange(40.0))
+    assert np.allclose(got, resample.sampled(a, cols * 0.9 + 1.5, rows + cols * 0.05, "linear", None), equal_nan=True)
+    with pytest.raises(ValueError):
+        resample.node_maps(targets, nodes, 20, 8)
+
+
+def test_orthorectified_halves_what_is_far_too_fine(spark):
+    """A step of ten source pixels: two halvings (as rows of means), then cubic weights; without heights nothing leans."""
+    a = terrain(96)
+    h = [10.0, 0.0, 0.0, 0.0, -10.0, 90.0, 0.0, 0.0, 1.0]
+    grids = spark.createDataFrame([(1, 9, 9, 0.0, 9.0, 1.0, h, 20.0, 0.0)], "image int, rows int, cols int, x0 double, y1 double, gsd double, h array<double>, emission double, azimuth double")
+    got = values(resample.orthorectify(imaged(spark, a), grids, tile=16), 9, 9)
+    small = a.reshape(24, 4, 24, 4).mean(axis=(1, 3))
+    cols, rows = np.meshgrid(np.arange(9.0), np.arange(9.0))
+    want = resample.sampled(small, ((cols + 0.5) * 10 + 0.5) / 4 - 0.5, ((rows + 0.5) * 10 + 0.5) / 4 - 0.5, "cubic", None)
+    assert np.allclose(got, want, equal_nan=True) and np.isfinite(got[1:-1, 1:-1]).all()
+    flat = imaged(spark, np.full((5, 4), 7.0))
+    assert np.allclose(values(resample.orthorectify(imaged(spark, a), grids, flat, tile=16), 9, 9), want, equal_nan=True)
