@@ -5,6 +5,7 @@ import itertools
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,11 +85,13 @@ aligner = align.Aligner(A, B)
 
 @given(st.lists(st.one_of(st.text(st.sampled_from("ab Z,.'\n\t ́é<|>9 　sΣ▁\x00\x1c "), max_size=30), st.text(max_size=20)), min_size=1, max_size=8))
 @settings(max_examples=200, deadline=None)
-def test_words_are_aligned_as_whole_texts(tokenizers, many):
+def test_texts_are_aligned_one_by_one(tokenizers, many):
     many = [t for t in many if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
-    for text, (words, pairs, times) in zip(many, aligner.texts(many), strict=True):
+    counts, written, pairs_of, times_of = aligner.align(pa.array(many, pa.string()))
+    for text, own, found, pairs, times in zip(many, counts.T.tolist(), written.to_pylist(), pairs_of, times_of, strict=True):
         groups = plain_groups(tokenizers, text)
-        assert ";".join(w.groups for w in words) == ";".join(f"{','.join(map(str, g[0]))}|{','.join(map(str, g[1]))}" for g in groups)
+        assert found == ";".join(f"{','.join(map(str, g[0]))}|{','.join(map(str, g[1]))}" for g in groups)
+        assert own == [sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), sum(len(g[0]) * len(g[1]) for g in groups)]
         want = Counter(x << 32 | y for g in groups for x in g[0] for y in g[1])
         assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == want
 
@@ -102,8 +105,9 @@ def test_alignment_edges(spark, tokenizers, monkeypatch):
         got = align.link_scores(docs, A, B, Scratch(spark, "edges"), broadcast)
         assert sorted(map(tuple, got.collect()), key=str) == want
     assert [r[1:] for r in want if r[0] in (2, 3, 5)] == [(0, 0, 0, 0, 0, 0, "")] * 3
-    monkeypatch.setattr(align, "KEPT_WORDS", 3)
-    assert [len(x[0]) for x in align.Aligner(A, B).texts(["a b c d", "e f g h", "a b"])] == [4, 4, 2]
+    monkeypatch.setattr(align, "WIDE_SLICE", 1)
+    for (_, text), wide in zip(rows, aligner.align(pa.array([t for _, t in rows]))[3], strict=True):
+        assert wide.sum() == sum(len(g[0]) * len(g[1]) for g in plain_groups(tokenizers, text))
     kept = align.align(docs, A, B)
     assert {"n_a__in2", "pairs__in2", "TEXT__in2", "groups"} <= set(kept.columns) and kept.count() == len(rows)
     assert align.link_scores(docs.limit(0), A, B, Scratch(spark, "edges")).count() == 0
