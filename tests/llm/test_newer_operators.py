@@ -51,10 +51,15 @@ def plain_groups(tokenizers, text):
     if b"".join(x for _, x in own_a) != raw or b"".join(x for _, x in own_b) != raw:
         return []
     ends = [list(itertools.accumulate(len(x) for _, x in own)) for own in (own_a, own_b)]
-    groups, before = [], 0
-    for cut in [e for e in ends[0] if e in set(ends[1])]:
-        groups.append(tuple([i for (i, _), e in zip(own, end, strict=True) if before < e <= cut] for own, end in zip((own_a, own_b), ends, strict=True)))
-        before = cut
+    groups, both, at = [], set(ends[1]), [0, 0]
+    for cut in [e for e in ends[0] if e in both]:
+        own = []
+        for side, tokens in enumerate((own_a, own_b)):
+            start = at[side]
+            while at[side] < len(tokens) and ends[side][at[side]] <= cut:
+                at[side] += 1
+            own.append([i for i, _ in tokens[start : at[side]]])
+        groups.append(tuple(own))
     return groups
 
 
