@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_rasters import imaged, terrain
 
-from tielace.operators import structure, tiles
+from tielace.operators import refine, structure, tiles
 
 
 def stacked(found, rows, cols, n=8):
@@ -66,3 +66,98 @@ def test_crowded_tiles_become_several_rows(spark):
     points = spark.range(1000).selectExpr("1 image", "id key", "20.0D x", "20.0D y")
     held = structure.met(points, tiles.cut(imaged(spark, a), 64), "x", "y", 64, "key").select(F.size("points").alias("n"), "v").collect()
     assert sum(r["n"] for r in held) == 1000 and len(held) == 8 and max(r["n"] for r in held) < 200
+
+
+def shifted(a, dx, dy):
+    """A periodic image whose content lies (dx, dy) further, by its spectrum."""
+    fy, fx = np.meshgrid(np.fft.fftfreq(a.shape[0]), np.fft.fftfreq(a.shape[1]), indexing="ij")
+    return np.fft.ifft2(np.fft.fft2(a) * np.exp(-2j * np.pi * (fx * dx + fy * dy))).real
+
+
+def smooth(n, seed=4, spread=2.0):
+    """A periodic terrain without what interpolation can't follow."""
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(n), np.fft.fftfreq(n)))
+    a = np.fft.ifft2(np.fft.fft2(np.random.default_rng(seed).standard_normal((n, n))) * np.exp(-2 * (np.pi * f * spread) ** 2)).real
+    return (a - a.mean()) / a.std()
+
+
+@pytest.mark.parametrize(("dx", "dy"), [(0.0, 0.0), (1.26, -2.38), (-3.5, 0.14)])
+def test_phase_shifts_to_a_twentieth_of_a_pixel(dx, dy):
+    a = terrain(64)
+    got = refine.phase_shift(a, shifted(a, dx, dy) * 2 + 1, 50)
+    assert got[:2] == pytest.approx((dx, dy), abs=0.05)
+    assert refine.phase_shift(np.ones((16, 16)), a[:16, :16]) is None
+
+
+def test_least_squares_matching_recovers_shift_scale_and_light():
+    a = smooth(96)
+    blocks, wants = [], []
+    v, u = np.mgrid[0:48, 0:48].astype(float)
+    for k, (dx, dy) in enumerate([(0.3, -0.4), (-0.8, 0.55), (0.0, 0.0), (0.1, 0.9)]):
+        turn = np.array([[1.0, 0.02 * k], [-0.015 * k, 1 - 0.01 * k]])
+        xs, ys = turn[0, 0] * (u - 23.5 - dx) + turn[0, 1] * (v - 23.5 - dy) + 47.5, turn[1, 0] * (u - 23.5 - dx) + turn[1, 1] * (v - 23.5 - dy) + 47.5
+        blocks.append(3 + 1.7 * refine.interpolated(a[None], xs[None], ys[None])[0])
+        wants.append((dx, dy))
+    own = np.stack([a[24:72, 24:72]] * 4)
+    got = refine.least_squares(own, np.stack(blocks))
+    assert got["converged"].all() and (got["rounds"] <= 12).all()
+    assert np.allclose(np.stack([got["dx"], got["dy"]], 1), wants, atol=0.05) and np.isfinite(got["cov"]).all()
+    flat = refine.least_squares(np.stack([np.ones((48, 48)), own[0]]), np.stack([own[0], np.random.default_rng(0).standard_normal((48, 48))]))
+    assert not flat["converged"][0] and np.isnan(flat["cov"][0]).all()
+
+
+def test_sigma_is_that_of_the_errors():
+    """Noise on both patches: the errors of 80 matches spread as their covariances say, within a factor of two."""
+    a, rng = smooth(64), np.random.default_rng(3)
+    own, other = (np.stack([a[8:56, 8:56] + 0.15 * rng.standard_normal((48, 48)) for _ in range(80)]) for _ in range(2))
+    got = refine.least_squares(own, other)
+    error = np.sqrt((got["dx"] ** 2 + got["dy"] ** 2)[got["converged"]].mean())
+    said = np.sqrt((got["cov"][:, 0] + got["cov"][:, 1])[got["converged"]].mean())
+    assert got["converged"].mean() > 0.9 and 0.5 < error / said < 2
+
+
+def test_paraboloids():
+    y, x = np.mgrid[-1:2, -1:2]
+    dx, dy, cov = refine.paraboloid(3 - (x - 0.3) ** 2 - 2 * (y + 0.2) ** 2 + 0.1 * x * y)
+    assert -2 * (dx - 0.3) + 0.1 * dy == pytest.approx(0) and -4 * (dy + 0.2) + 0.1 * dx == pytest.approx(0) and np.allclose(cov, 0)
+    assert np.isnan(refine.paraboloid((x * x - y * y).astype(float))[2]).all()
+    assert np.isfinite(refine.surface_covariance(smooth(32), smooth(32), 4)).all()
+
+
+def test_matches_are_refined_across_tiles(spark):
+    a = smooth(200)
+    source, reference = a[20:180, 20:180], shifted(a, 1.3, -0.7)[20:180, 20:180] * 0.5 + 4
+    rows = [(1, f"k{k}", 45.0 + 17.3 * (k % 4), 45.0 + 22.9 * (k // 4), 45.0 + 17.3 * (k % 4) + 2, 45.0 + 22.9 * (k // 4), None) for k in range(12)]
+    rows += [(1, "edge", 10.0, 60.0, 60.0, 60.0, None), (1, "far", 60.0, 60.0, 70.0, 60.0, None), (2, "none", 60.0, 60.0, 60.0, 60.0, None), (1, "turned", 80.0, 80.0, 81.0, 79.0, [1.0, 0.0, 0.0, 1.0])]
+    points = spark.createDataFrame(rows, "image int, key string, xs double, ys double, xr double, yr double, turn array<double>")
+    for tile in (48, 256):
+        got = {r["key"]: r for r in refine.refine(points, imaged(spark, source), imaged(spark, reference), 40, 4.0, tile=tile).collect()}
+        assert len(got) == len(rows)
+        for _, k, xs, ys, xr, yr, _ in [*rows[:12], rows[-1]]:
+            assert (got[k]["x"], got[k]["y"]) == pytest.approx((xs + 1.3, ys - 0.7), abs=0.05) and got[k]["method"] == "lsm" and got[k]["reason"] is None
+            assert 0 < got[k]["var_x"] < 0.01 and got[k]["shift"] == pytest.approx(np.hypot(got[k]["x"] - xr, got[k]["y"] - yr))
+        assert got["edge"]["reason"] == got["none"]["reason"] == "patch" and got["far"]["reason"] == "drift" and got["far"]["x"] == 70
+    only = refine.refine(points.filter("key = 'k1'"), imaged(spark, source), imaged(spark, reference), 40, 4.0, squares=False).collect()[0]
+    assert only["method"] == "paraboloid" and only["x"] == pytest.approx(rows[1][2] + 1.3, abs=0.5)
+    assert refine.refine(points.limit(0), imaged(spark, source), imaged(spark, reference), 40).count() == 0
+
+
+def test_the_query_finds_the_moved_place(spark, small):
+    from tielace.plans.queries_structure import lattice, refined_matches
+
+    at = {(r["image"], r["key"]): r for r in lattice(spark, small).collect()}
+    got = refined_matches(spark, small).collect()
+    assert len(got) == len(at)
+    good = [r for r in got if r["reason"] is None and abs(r["x"] - at[r["image"], r["key"]]["xs"] + 2) < 0.05 and abs(r["y"] - at[r["image"], r["key"]]["ys"] - 1) < 0.05]
+    assert len(good) >= 0.9 * len(got)
+
+
+def test_paraboloids_as_joins_are_those_of_the_patches(spark):
+    a = terrain(20)
+    peaks = spark.createDataFrame([(1, r, c) for r in range(20) for c in range(20)], "image int, r int, c int")
+    got = {(r["r"], r["c"]): r for r in refine.paraboloids(imaged(spark, a), peaks).collect()}
+    assert sorted(got) == [(r, c) for r in range(1, 19) for c in range(1, 19)]
+    for (r, c), row in got.items():
+        dx, dy, cov = refine.paraboloid(a[r - 1 : r + 2, c - 1 : c + 2])
+        assert (row["dx"], row["dy"]) == pytest.approx((dx, dy), abs=1e-7)
+        assert np.isnan(cov[0]) == (row["var_x"] is None) and (np.isnan(cov[0]) or np.allclose(cov, [row["var_x"], row["var_y"], row["cov_xy"]], rtol=1e-4, atol=1e-9))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tielace.operators import structure
+from tielace.operators import raster as ops
+from tielace.operators import refine, structure
 
 from .queries_warp import _FILLED, filled
 from .registry import query
@@ -75,3 +76,31 @@ def structural_match(spark, sf):
     source = filled(spark, sf)
     found = structure.template_match(lattice(spark, sf), source, moved(source), _PATCH, _WINDOW, tile=32)
     return found.select("image", "key", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("peak", 5).alias("peak"), F.round("sharpness", 4).alias("sharpness"))
+
+
+@query(f"""WITH {_FILLED}, a AS (SELECT *, max(v) OVER (PARTITION BY image, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM f),
+b AS (SELECT *, max(t) OVER (PARTITION BY image, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS u FROM a),
+p AS (SELECT image, r, c FROM b WHERE v = u QUALIFY row_number() OVER (PARTITION BY image, r // 16, c // 16 ORDER BY v DESC, r, c) <= 4),
+m AS (SELECT p.image, p.r, p.c, sum((f.c - p.c) * v) / 6 AS kx, sum((f.r - p.r) * v) / 6 AS ky, sum((3 * (f.c - p.c) * (f.c - p.c) - 2) * v) / 3 AS xx, sum((3 * (f.r - p.r) * (f.r - p.r) - 2) * v) / 3 AS yy, sum((f.c - p.c) * (f.r - p.r) * v) / 4 AS xy,
+  sum((5 - 3 * (f.c - p.c) * (f.c - p.c) - 3 * (f.r - p.r) * (f.r - p.r)) * v) / 9 AS c0 FROM p JOIN f ON f.image = p.image AND abs(f.r - p.r) <= 1 AND abs(f.c - p.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
+e AS (SELECT m.*, sum(pow(v - c0 - kx * (f.c - m.c) - ky * (f.r - m.r) - xx * (f.c - m.c) * (f.c - m.c) / 2 - yy * (f.r - m.r) * (f.r - m.r) / 2 - xy * (f.c - m.c) * (f.r - m.r), 2)) / 3 AS s
+  FROM m JOIN f ON f.image = m.image AND abs(f.r - m.r) <= 1 AND abs(f.c - m.c) <= 1 GROUP BY ALL),
+g AS (SELECT *, xx * yy - xy * xy AS det, (xx + yy) / 2 + sqrt((xx - yy) * (xx - yy) / 4 + xy * xy) < -1e-12 AS top FROM e)
+SELECT image, r, c, round(CASE WHEN top THEN greatest(-1, least(1, (xy * ky - yy * kx) / det)) ELSE 0 END, 5) + 0.0 AS dx, round(CASE WHEN top THEN greatest(-1, least(1, (xy * kx - xx * ky) / det)) ELSE 0 END, 5) + 0.0 AS dy,
+  CASE WHEN top THEN round(-s * yy / det, 4) END AS var_x, CASE WHEN top THEN round(-s * xx / det, 4) END AS var_y, CASE WHEN top THEN round(s * xy / det, 4) + 0.0 END AS cov_xy FROM g""")
+def peak_covariance(spark, sf):
+    """Sub-pixel offsets and covariances of up to four local maxima of each 16 x 16 block."""
+    source = filled(spark, sf)
+    peaks = ops.local_maxima(source, 1, 16, 4)
+    found = refine.paraboloids(source, peaks)
+    return found.select("image", "r", "c", *[(F.round(c, 5) + 0.0).alias(c) for c in ("dx", "dy")], *[(F.round(c, 4) + 0.0).alias(c) for c in ("var_x", "var_y", "cov_xy")])
+
+
+@query()
+def refined_matches(spark, sf):
+    """Nine points of each image refined in the image moved by a row and two columns, from places up to a pixel off."""
+    source = filled(spark, sf)
+    at = lattice(spark, sf).withColumns({"xr": F.col("xs") - 2 + F.col("key") % 3 - 1, "yr": F.col("ys") + 1})
+    same = moved(source).select("image", "r", "c", (100 - F.col("v")).alias("v"))
+    found = refine.refine(at, source, same, 24, 4.0, tile=32)
+    return found.select("image", "key", *[F.round(c, 4).alias(c) for c in ("x", "y", "var_x", "var_y", "cov_xy", "shift")], "method", "reason")
