@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_rasters import imaged, terrain
 
-from tielace.operators import refine, structure, tiles
+from tielace.operators import descriptors, refine, structure, tiles
 
 
 def stacked(found, rows, cols, n=8):
@@ -161,3 +161,22 @@ def test_paraboloids_as_joins_are_those_of_the_patches(spark):
         dx, dy, cov = refine.paraboloid(a[r - 1 : r + 2, c - 1 : c + 2])
         assert (row["dx"], row["dy"]) == pytest.approx((dx, dy), abs=1e-7)
         assert np.isnan(cov[0]) == (row["var_x"] is None) and (np.isnan(cov[0]) or np.allclose(cov, [row["var_x"], row["var_y"], row["cov_xy"]], rtol=1e-4, atol=1e-9))
+
+
+def test_a_turned_copy_is_matched(spark):
+    """Directions turned by some steps, as a turned image has them: the best of six shifts is the same point."""
+    rng = np.random.default_rng(2)
+    index = rng.integers(0, 6, (80, 80))
+    index = np.repeat(np.repeat(index[::4, ::4], 4, 0), 4, 1)
+    rows = [(1, k, 30.0 + 5 * (k % 5), 30.0 + 5 * (k // 5)) for k in range(25)] + [(1, 99, 5.0, 40.0), (7, 98, 40.0, 40.0)]
+    points = spark.createDataFrame(rows, "image int, key int, x double, y double")
+    make = lambda a: structure.index_descriptors(imaged(spark, a), points, 48, tile=32).withColumnRenamed("image", "pair")
+    own, other = make(index), make((index + 4) % 6)
+    sizes = {r["key"]: r["n"] for r in own.select("key", F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v).alias("n")).collect()}
+    assert all(sizes[k] == pytest.approx(1) for k in range(25)) and sizes[98] == sizes[99] == 0
+    for block in (7, 2048):
+        got = descriptors.pair_matches(own.filter("key < 25"), other.filter("key < 25"), 0.85, 6, block).collect()
+        assert sorted((r["src"], r["ref"]) for r in got) == [(k, k) for k in range(25)] and all(r["cosine"] == pytest.approx(1) for r in got)
+    assert len(descriptors.pair_matches(own.filter("key < 25"), other.filter("key < 25"), 0.85, 1).collect()) < 25
+    assert [r["ref"] for r in descriptors.pair_matches(own.filter("key < 5"), other.filter("key = 3"), 0.85, 6).collect()] == [3] * 5
+    assert descriptors.pair_matches(own.limit(0), other, 0.85, 6).count() == 0

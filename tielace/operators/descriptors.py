@@ -81,3 +81,43 @@ def ratio_matches(source: DataFrame, reference: DataFrame, ratio: float) -> Data
     pick = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
     two = ranked.groupBy("src").agg(pick("ref", 1).alias("ref"), pick("cosine", 1).alias("cosine"), pick("cosine", 2).alias("second"), pick("correct", 1).alias("correct"))
     return two.filter((1 - F.col("cosine")) < ratio * F.greatest(1 - F.col("second"), F.lit(1e-9))).drop("second")
+
+
+def pair_matches(source: DataFrame, reference: DataFrame, ratio: float, shifts: int = 1, block: int = 2048) -> DataFrame:
+    """pair, src, ref, cosine of the source descriptors whose best match within their image pair is clearly better than the second.
+
+    Both sides: pair, key, vector (of length 1). With shifts, a vector is a row of histograms of so many bins, and a source descriptor counts at the best of the
+    cyclic shifts of its bins, which a turned image has. (1 - best) has to be below ratio * (1 - second), but no less than 1e-10; with a single
+    candidate there is no second one to fail against. Ties go to the smaller key.
+
+    Only descriptors of one pair meet: the join is keyed by pair and by blocks of either side, as many as its own numbers ask for.
+    """
+    counts = [d.groupBy("pair").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for d, n in ((source, "n"), (reference, "m"))]
+    blocks = counts[0].join(counts[1], "pair")
+    part = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = source.join(blocks, "pair").select("pair", F.col("key").alias("src"), F.col("vector").alias("u"), part("n").alias("i"), every("m").alias("j"))
+    right = reference.join(blocks, "pair").select("pair", F.col("key").alias("ref"), F.col("vector").alias("w"), part("m").alias("j"), every("n").alias("i"))
+    types = [source.schema[c].dataType.simpleString() for c in ("pair", "key")] + [reference.schema["key"].dataType.simpleString()]
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        pair, src, ref, cosine = [], [], [], []
+        if x.num_rows and y.num_rows:
+            vectors = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            y = y.sort_by("ref")
+            u, w = vectors(x, "u"), vectors(y, "w")
+            cosines = np.full((len(u), len(w)), -np.inf)
+            for s in range(shifts):
+                turned = np.roll(u.reshape(len(u), -1, shifts), s, axis=2).reshape(len(u), -1) if s else u
+                np.maximum(cosines, turned @ w.T, out=cosines)
+            top = best_two(-np.round(cosines, 12))
+            src, ref = np.repeat(x.column("src").to_numpy(zero_copy_only=False), top.shape[1]), y.column("ref").to_numpy(zero_copy_only=False)[top.ravel()]
+            cosine, pair = np.take_along_axis(cosines, top, 1).ravel(), [x.column("pair")[0].as_py()] * len(src)
+        return pa.table([pa.array(pair, x.schema.field("pair").type), pa.array(src, x.schema.field("src").type), pa.array(ref, y.schema.field("ref").type), pa.array(cosine, pa.float64())], names=["pair", "src", "ref", "cosine"])
+
+    found = left.groupBy("pair", "i", "j").cogroup(right.groupBy("pair", "i", "j")).applyInArrow(best, f"pair {types[0]}, src {types[1]}, ref {types[2]}, cosine double")
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("pair", "src").orderBy(F.desc(F.round("cosine", 12)), "ref"))).filter("place <= 2")
+    pick = lambda c, k: F.max(F.when(F.col("place") == k, F.col(c)))
+    two = ranked.groupBy("pair", "src").agg(pick("ref", 1).alias("ref"), pick("cosine", 1).alias("cosine"), pick("cosine", 2).alias("second"))
+    clear = F.col("second").isNull() | ((1 - F.col("cosine")) < ratio * F.greatest(1 - F.col("second"), F.lit(1e-10)))
+    return two.filter(clear).drop("second")

@@ -203,3 +203,32 @@ def template_match(points: DataFrame, source: DataFrame, reference: DataFrame, p
         return [out]
 
     return each_point(met(cut, bordered(reference, tile, wide), "xr", "yr", tile, "key"), searched, "x double, y double, peak double, sharpness double", key_type)
+
+
+def index_descriptors(indices: DataFrame, keypoints: DataFrame, patch: int = 96, grid: int = 6, n: int = 6, tile: int = 256) -> DataFrame:
+    """image, key, vector (array<double>, grid * grid * n values of length 1) of keypoints (image, key, x, y) on a map of indices (image, r, c, v: 0 to n - 1).
+
+    The patch around a keypoint is parted into grid x grid cells, and each has a histogram of its indices. Keypoints whose patch leaves the
+    image, or has a hole, get zeros.
+    """
+    half, sub = patch // 2, patch // grid
+    key_type = keypoints.schema["key"].dataType.simpleString()
+    own = keypoints.select("image", "key", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    where = (np.arange(patch) // sub)[:, None] * grid + np.arange(patch) // sub
+
+    def described(row: dict) -> list:
+        out, side = [], tile + 2 * half
+        block = row["v"].reshape(side, side) if row["v"] is not None else None
+        for p in row["points"]:
+            r, c = int(np.rint(p["y"])) - half, int(np.rint(p["x"])) - half
+            vector = np.zeros(grid * grid * n)
+            if block is not None and r >= 0 and c >= 0 and r + patch <= row["rows"] and c + patch <= row["cols"]:
+                r, c = r - row["tile_row"] * tile + half, c - row["tile_col"] * tile + half
+                own = block[r : r + patch, c : c + patch]
+                if np.isfinite(own).all():
+                    vector = np.bincount((where * n + own.astype(np.int64)).ravel(), minlength=len(vector)).astype(float)
+                    vector /= np.linalg.norm(vector) + TINY
+            out.append({"key": p["key"], "vector": vector})
+        return [out]
+
+    return each_point(met(own, bordered(indices, tile, half), "x", "y", tile, "key"), described, "vector array<double>", key_type)

@@ -104,3 +104,51 @@ def refined_matches(spark, sf):
     same = moved(source).select("image", "r", "c", (100 - F.col("v")).alias("v"))
     found = refine.refine(at, source, same, 24, 4.0, tile=32)
     return found.select("image", "key", *[F.round(c, 4).alias(c) for c in ("x", "y", "var_x", "var_y", "cov_xy", "shift")], "method", "reason")
+
+
+_TURNS = ", ".join(f"greatest(0, xx * pow(cos(pi() * {k} / 6), 2) + xy * 2 * cos(pi() * {k} / 6) * sin(pi() * {k} / 6) + yy * pow(sin(pi() * {k} / 6), 2))" for k in range(6))
+_INDEX = f"""{_FILLED}, ne AS (SELECT image, r, c, v, lag(v) OVER wide AS west, lead(v) OVER wide AS east, lag(v) OVER tall AS up, lead(v) OVER tall AS down FROM f WINDOW wide AS (PARTITION BY image, r ORDER BY c), tall AS (PARTITION BY image, c ORDER BY r)),
+sl AS (SELECT image, r, c, CASE WHEN west IS NULL THEN east - v WHEN east IS NULL THEN v - west ELSE (east - west) / 2 END AS e, CASE WHEN up IS NULL THEN down - v WHEN down IS NULL THEN v - up ELSE (down - up) / 2 END AS s FROM ne),
+sp AS (SELECT image, r, c, e * e AS xx, e * s AS xy, s * s AS yy FROM sl),
+sa AS (SELECT image, r, c, sum(xx) OVER w AS xx, sum(xy) OVER w AS xy, sum(yy) OVER w AS yy FROM sp WINDOW w AS (PARTITION BY image, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+sb AS (SELECT image, r, c, sum(xx) OVER w AS xx, sum(xy) OVER w AS xy, sum(yy) OVER w AS yy FROM sa WINDOW w AS (PARTITION BY image, c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+en AS (SELECT image, r, c, [{_TURNS}] AS e FROM sb), idx AS (SELECT image, r, c, list_position(e, list_max(e)) - 1 AS v FROM en),
+points AS (SELECT image, i * 3 + j AS key, j * 12 + 20 AS c0, i * 12 + 20 AS r0 FROM images, range(3) a(i), range(3) b(j))"""
+
+
+def _described(name: str, moved: int, turned: int) -> str:
+    """SQL: name (pair, key, cell, idx, v), descriptors of the points moved by columns, on the map with its indices turned."""
+    return f"""{name}_h AS (SELECT p.image AS pair, p.key, (i.r - r0 + 18) // 6 * 6 + (i.c - c0 - {moved} + 18) // 6 AS cell, (i.v + {turned}) % 6 AS idx, count(*) AS n FROM points p JOIN idx i ON i.image = p.image
+  AND i.r BETWEEN r0 - 18 AND r0 + 17 AND i.c BETWEEN c0 + {moved} - 18 AND c0 + {moved} + 17 GROUP BY ALL), {name} AS (SELECT *, n / (sqrt(sum(n * n) OVER (PARTITION BY pair, key)) + 1e-10) AS v FROM {name}_h)"""
+
+
+def index_map(spark, sf):
+    """Which of six directions the brightness changes along most, by pixel."""
+    return ops.orientation_energy(filled(spark, sf), 6).select("image", "r", "c", F.col("strongest").alias("v"))
+
+
+def keypoints(spark, sf, moved: int = 0):
+    return lattice(spark, sf).select("image", "key", (F.col("xs") + moved).alias("x"), F.col("ys").alias("y"))
+
+
+@query(f"WITH {_INDEX}, {_described('own', 0, 0)} SELECT pair AS image, key, CAST(cell * 6 + idx AS INTEGER) AS bin, round(v, 6) AS v FROM own")
+def index_descriptors(spark, sf):
+    """Histograms of directions around nine points of each image, bins that aren't empty."""
+    d = structure.index_descriptors(index_map(spark, sf), keypoints(spark, sf), 36, tile=32)
+    return d.select("image", "key", F.posexplode("vector").alias("bin", "v")).filter("v > 0").select("image", "key", "bin", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH {_INDEX}, {_described('own', 0, 0)}, {_described('oth', 1, 2)},
+s AS (SELECT own.pair, own.key AS src, oth.key AS ref, s.s, sum(own.v * oth.v) AS c FROM own, range(6) s(s) JOIN oth ON oth.pair = own.pair AND oth.cell = own.cell AND oth.idx = (own.idx + s.s) % 6 GROUP BY ALL),
+b AS (SELECT pair, src, ref, max(c) AS c FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY pair, src ORDER BY round(c, 12) DESC, ref) AS place FROM b),
+t AS (SELECT pair, src, max(CASE WHEN place = 1 THEN ref END) AS ref, max(CASE WHEN place = 1 THEN c END) AS c1, max(CASE WHEN place = 2 THEN c END) AS c2 FROM k WHERE place <= 2 GROUP BY ALL)
+SELECT pair, src, ref, round(c1, 6) AS cosine FROM t WHERE c2 IS NULL OR 1 - c1 < 0.85 * greatest(1 - c2, 1e-10)""")
+def turned_match(spark, sf):
+    """The same points found among those a column further on a map whose directions are turned by two steps."""
+    from tielace.operators.descriptors import pair_matches
+
+    index = index_map(spark, sf)
+    turned = index.select("image", "r", "c", ((F.col("v") + 2) % 6).alias("v"))
+    own = structure.index_descriptors(index, keypoints(spark, sf), 36, tile=32).withColumnRenamed("image", "pair")
+    other = structure.index_descriptors(turned, keypoints(spark, sf, 1), 36, tile=32).withColumnRenamed("image", "pair")
+    return pair_matches(own, other, 0.85, 6).select("pair", "src", "ref", F.round("cosine", 6).alias("cosine"))
