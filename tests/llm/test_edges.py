@@ -168,3 +168,13 @@ def test_repeats(spark, docs, none):
     assert repeats.remove_repeats(none).count() == 0
     rows = spark.createDataFrame([(1, "é" * 150), (1, "é" * 150), (None, "abc" * 100)], "doc_id long, text string")
     assert sorted((r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(rows).collect()) == [(300, 300)] * 3
+
+
+def test_narrow_ids(spark):
+    """An int doc_id is taken like a long one."""
+    rows = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "the cat sat on the mat"), (None, "")], "doc_id int, text string")
+    assert sorted(str(r["component_id"]) for r in simhash.near_duplicates(rows).collect()) == ["1", "1", "None"]
+    assert packing.pack_documents(rows, BYTE).count() == 3
+    folder = f"{Scratch(spark, 'edges').root}/narrow"
+    dac.write_ids(rows, folder, WORD)
+    assert [r["doc_id"] for r in dac.read_ids(spark, folder).orderBy("start").collect()] == [None, 1, 2]

@@ -68,3 +68,13 @@ def test_run_on_nothing_and_on_nulls(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
         got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert {r["doc_id"] for r in got} <= {None, 3} and not (name == "none" and got)
+
+
+def test_stages_take_columns_that_clash(spark, states):
+    docs = states[0].limit(60)
+    more = docs.withColumns({c: docs.doc_id for c in ("spans", "copy", "score")})
+    more = more.toDF(*more.columns[:-2], "TEXT", "Doc_Id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, SMALL)
+        assert got.columns == list(corpus_pipeline.COLUMNS) and got.count() >= 0
+    assert corpus_pipeline.packed(spark, more, SMALL).count() >= 60

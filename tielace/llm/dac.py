@@ -121,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
             yield shard()
 
     # The place parts rows that share a doc_id, so that no task has to take all of them.
-    keyed = pick(docs, "doc_id", "text").withColumn("_place", F.monotonically_increasing_id())
+    keyed = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_place", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange("doc_id", "_place").sortWithinPartitions("doc_id").drop("_place")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 

@@ -58,15 +58,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     A document's count inverts the Poisson distribution of its source's rate at a number hashed from seed, doc_id and
     text, so it is the same in every run and on any cluster; only rows with one doc_id and one text get one count. Adds
     copy (int, from 1) and shuffle_key (string). Rows are dealt to partitions by a hash of shuffle_key and of their place
-    in the input (which parts even equal rows) and sorted by shuffle_key in them.
+    in the input (which parts even equal rows) and sorted by shuffle_key in them. Places are fixed for an input that is read from
+    files; save one that comes from a shuffle first.
     Null and empty texts have size 0: they don't add to their source's size and are repeated like its others.
     Extra columns are kept; those called copy or shuffle_key are renamed (see base.tidy). No rows: no rows.
     """
-    own = ("_source", "_draws", "_cdf", "_text", "_unit", "_count", "_block", "_deal")
+    own = ("_source", "_draws", "_cdf", "_text", "_unit", "_count", "_block", "_place")
     docs = tidy(docs, ("doc_id", "text", "source"), ("copy", "shuffle_key", *own))
     table = poisson_table(source_rates(docs, weights, power, epochs)).select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    known = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    # Numbered where they are read, before any shuffle whose order a repeated task might not meet again.
+    known = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_place", F.monotonically_increasing_id())
     drawn = known.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_source")))
     drawn_at = lambda draw: hashed_unit(F.lit(seed), F.col("doc_id"), F.col("_text"), draw)
     count = F.aggregate(
@@ -82,8 +84,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / COPIES).cast("int"))))
     copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("_block") * COPIES + 1, F.least("_count", (F.col("_block") + 1) * COPIES)))).drop("_count", "_block")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text"), F.col("copy").cast("string")).cast("binary"))
-    dealt = copies.withColumn("shuffle_key", key).drop("_text").withColumn("_deal", F.xxhash64("shuffle_key", F.monotonically_increasing_id()))
-    return dealt.repartition("_deal").drop("_deal").sortWithinPartitions("shuffle_key")
+    dealt = copies.withColumn("shuffle_key", key).drop("_text")
+    return dealt.repartition(F.xxhash64("shuffle_key", "_place")).drop("_place").sortWithinPartitions("shuffle_key")
 
 
 def op2_poisson_mix(spark, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
             columns = [batch.column("doc_id").take(pa.array(row)), *(pa.array(c) for c in (piece.astype(np.int32), start, length, np.array(crcs, np.int64)))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    made = pick(docs, "doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = scratch.save(made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
     counts = scratch.save(pieces.groupBy("length", "salt").count())
     histogram = np.zeros(size + 1, np.int64)

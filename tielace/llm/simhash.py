@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             found = [fingerprint(shingle_hashes((t or "").encode(), words)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(parts: int) -> np.ndarray:
