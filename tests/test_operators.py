@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tielace.functions import expr
-from tielace.operators import near, nearest, raster, stats, uniform
+from tielace.operators import near, nearest, raster, shadow, stats, uniform
 
 
 def frame(spark, xy, **columns):
@@ -141,11 +141,20 @@ def test_farthest_points_are_the_sequential_rule(spark):
 
 
 def test_shadow_falls_away_from_the_sun(spark):
+    """A peak of ten pixels with the sun at a rise of two in the east: four pixels to its west; far shadows on a long slope, by tiles."""
     pixels = spark.createDataFrame([(1, r, c, 10.0 if (r, c) == (5, 5) else 0.0) for r in range(11) for c in range(11)], "image int, r int, c int, v double")
-    got = {(r["r"], r["c"]) for r in raster.horizon_shadow(pixels, 0, 1, 2.0, [1, 2, 3, 4, 5, 6]).collect() if r["shadowed"]}
-    assert got == {(5, c) for c in range(1, 5)}
-    flat = pixels.withColumn("v", F.lit(0.0))
-    assert raster.horizon_shadow(flat, 0, 1, 0.5, [1, 2, 3]).filter("shadowed").count() == 0
+    sun = lambda az, el: spark.createDataFrame([(1, az, el)], "image int, azimuth double, elevation double")
+    for tile in (4, 256):
+        dark = lambda az, el, tile=tile: {(r["r"], r["c"]) for r in shadow.cast_shadows(pixels, sun(az, el), 1.0, tile).collect() if r["shadowed"]}
+        assert dark(90.0, math.degrees(math.atan(2.1))) == {(5, c) for c in range(1, 5)}
+        assert dark(0.0, math.degrees(math.atan(3.9))) == {(6, 5), (7, 5)} and dark(0.0, 89.95) == set()
+    assert shadow.cast_shadows(pixels.withColumn("v", F.lit(0.0)), sun(10.0, 20.0)).filter("shadowed").count() == 0
+    assert shadow.cast_shadows(pixels.limit(0), sun(10.0, 20.0)).count() == 0
+    far = shadow.steps(300)
+    assert far[:24].tolist() == list(range(1, 25)) and far[-1] == 300 and len(far) <= 56 and shadow.steps(7).tolist() == list(range(1, 8))
+    ridge = spark.createDataFrame([(1, 0, c, 100.0 if c == 299 else 0.0) for c in range(300)], "image int, r int, c int, v double")
+    got = {r["c"] for r in shadow.cast_shadows(ridge, sun(90.0, math.degrees(math.atan(0.401))), 1.0, 64).collect() if r["shadowed"]}
+    assert got == {299 - int(k) for k in shadow.steps(250) if k < 250}
 
 
 def test_normals_of_a_plane(spark):
@@ -197,6 +206,21 @@ def test_robust_fit_recovers_the_transform(spark, kind):
     assert robust.fit(points.limit(1), kind).count() == 0
 
 
+def test_robust_fit_goes_on_until_it_is_sure(spark):
+    """One point in six fits: 200 hypotheses hardly ever hold one of inliers alone, the 2000 that the confidence asks for do."""
+    from tielace.operators import robust
+
+    ask = lambda share, n: spark.range(1).select(robust.needed(F.lit(share), n, 0.9999)).first()[0]
+    assert ask(0.5, 3) == 69 and ask(1 / 6, 3) == 1985 and ask(1.0, 3) == 1 and ask(0.0, 3) > 10_000
+    rng = np.random.default_rng(5)
+    src = rng.uniform(0, 512, (600, 2))
+    ref = src @ np.array([[1.02, -0.04], [0.05, 0.97]]) + [3, 9] + rng.normal(0, 0.2, (600, 2))
+    ref[:500] = rng.uniform(0, 512, (500, 2))
+    rows = [("a", i, *map(float, src[i]), *map(float, ref[i])) for i in range(600)]
+    got = robust.fit(spark.createDataFrame(rows, "group string, tid long, x double, y double, xr double, yr double"), "affine", threshold=1.5, hypotheses=700).collect()[0]
+    assert 95 <= got["n_inliers"] <= 112 and np.allclose(np.array(got["h"]).reshape(3, 3)[:2, :2], [[1.02, 0.05], [-0.04, 0.97]], atol=0.01)
+
+
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=20))
 @settings(max_examples=80, deadline=None)
 def test_hull_corners_have_all_points_on_one_side(xy):

@@ -82,10 +82,18 @@ def bad_pixels(pixels: DataFrame, limit: float = 6.0) -> DataFrame:
     """The pixels with bad: further than limit robust sigmas from their image's median, or missing."""
     mid = pixels.groupBy("image").agg(F.median("v").alias("m"))
     mad = pixels.join(mid, "image").groupBy("image").agg(F.first("m").alias("m"), F.median(F.abs(F.col("v") - F.col("m"))).alias("mad"))
-    far = F.abs(F.col("v") - F.col("m")) > limit * F.col("mad") / 0.6745
+    far = F.abs(F.col("v") - F.col("m")) > limit * F.greatest(F.col("mad") / 0.6745, F.lit(1e-6))
     return pixels.join(mad, "image").select("image", "r", "c", "v", F.coalesce(far, F.lit(True)).alias("bad"))
 
 
+def solar_bands(bands: DataFrame, low: float = 900.0, high: float = 1600.0) -> DataFrame:
+    """image, band of the bands (image, band, nm) between low and high nanometres; the shortest quarter of an image's bands, at least one, where none is."""
+    own = Window.partitionBy("image")
+    solar = F.coalesce(F.col("nm").between(low, high), F.lit(False))
+    judged = bands.select("image", "band", solar.alias("solar"), F.max(solar).over(own).alias("has"), F.row_number().over(own.orderBy("nm", "band")).alias("place"), F.count("*").over(own).alias("n"))
+    return judged.filter(F.col("solar") | (~F.col("has") & (F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4))))).select("image", "band")
+
+
 def filled(grid: DataFrame) -> DataFrame:
     """A dense raster with its holes at the image's median."""
     mid = grid.groupBy("image").agg(F.median("v").alias("m"))
@@ -120,17 +128,6 @@ def local_maxima(grid: DataFrame, half: int, tile: int, most: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("image", "r", "c", "v", "place")
 
 
-def horizon_shadow(heights: DataFrame, dr: int, dc: int, rise: float, steps: list[int]) -> DataFrame:
-    """image, r, c, shadowed: whether a pixel k steps towards the sun stands above the line of sight, for any k of steps.
-
-    One equi-join on the shifted position for all steps together; rise is the height that the ray gains per step.
-    """
-    towards = heights.select("image", F.explode(F.array(*[F.lit(k) for k in steps])).alias("k"), F.col("r").alias("hr"), F.col("c").alias("hc"), F.col("v").alias("hv"))
-    blocks = towards.select("image", (F.col("hr") - dr * F.col("k")).alias("r"), (F.col("hc") - dc * F.col("k")).alias("c"), (F.col("hv") - rise * F.col("k")).alias("line"))
-    worst = blocks.groupBy("image", "r", "c").agg(F.max("line").alias("line"))
-    return heights.join(worst, ["image", "r", "c"], "left").select("image", "r", "c", F.coalesce(F.col("line") > F.col("v"), F.lit(False)).alias("shadowed"))
-
-
 def orientation_energy(grid: DataFrame, directions: int = 4, half: int = 1) -> DataFrame:
     """image, r, c, energy (array of unit length), strongest: how much the brightness changes along each direction nearby.
 

@@ -30,41 +30,51 @@ def residuals(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return np.hypot(*(p[:, :2] / w[:, None] - ref).T)
 
 
-def fit(points: DataFrame, kind: str = "affine", threshold: float = 2.0, hypotheses: int = 200, rounds: int = 4) -> DataFrame:
+def needed(share: F.Column, points: int, confidence: float) -> F.Column:
+    """Hypotheses after which one of inliers alone has been drawn with that confidence."""
+    miss = F.least(F.greatest(1 - F.pow(share, F.lit(points)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return F.ceil(F.log(F.lit(1 - confidence)) / F.log(miss))
+
+
+def fit(points: DataFrame, kind: str = "affine", threshold: float = 2.0, hypotheses: int = 200, rounds: int = 4, confidence: float = 0.9999, most: int = 10_000) -> DataFrame:
     """group, kind, h (9 numbers), n, n_inliers, rmse for each group of tid, x, y, xr, yr rows.
 
-    The points are put in a random order by hash, and each hypothesis takes the next ones of all points, none twice, as many
+    The points are put in a random order by hash, and each hypothesis of a batch takes other ones of the first points, as many
     as the kind needs (small groups begin again); the transforms, a bounded table, go back to all tasks, which sum truncated
-    squared residuals. The best one is refined by reweighted least squares from moment sums, so no group is ever in one task
+    squared residuals. A group gets further hypotheses, so many at a time, until its best one's share of inliers says that with the
+    given confidence one was drawn from inliers alone, or most were tried. The best one is refined by reweighted least squares from moment sums, so no group is ever in one task
     and nothing passes through the driver. Groups with fewer points than the kind needs have no row.
     """
     need = MINIMAL[kind]
     p = cut(points.select("group", "tid", "x", "y", "xr", "yr"))
-    seeds = hypotheses * need  # the first of each group: a window that keeps few rows a partition
     order = Window.partitionBy("group").orderBy(F.xxhash64("tid", F.lit(11)), "tid")
-    some = p.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= seeds).drop("place")
-
-    def propose(table: pa.Table) -> pa.Table:
-        src = np.stack([table.column(c).to_numpy() for c in ("x", "y")], 1)
-        ref = np.stack([table.column(c).to_numpy() for c in ("xr", "yr")], 1)
-        group, rng, rows = table.column("group")[0].as_py(), np.random.default_rng(17), []
-        order_ = rng.permutation(len(src))
-        if len(src) >= need:
-            for i in range(hypotheses):
-                at = order_[i * need : (i + 1) * need]
-                if len(at) < need:
-                    at = rng.choice(len(src), need, replace=False)
-                h = solve(kind, src[at], ref[at])
-                if h is not None:
-                    rows.append((group, i, h.ravel().tolist()))
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.float64())), strict=True)], names=["group", "i", "h"])
-
-    proposed = cut(some.orderBy("group", "tid").groupBy("group").applyInArrow(propose, "group string, i int, h array<double>"))
+
+    def proposals(own: DataFrame, start: int) -> DataFrame:
+        """Transforms start, start + 1, ... of each group, from the points of those places: a window that keeps few rows a partition."""
+        last = (start + hypotheses) * need
+        some = own.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= last).drop("place")
+
+        def propose(table: pa.Table) -> pa.Table:
+            src = np.stack([table.column(c).to_numpy() for c in ("x", "y")], 1)
+            ref = np.stack([table.column(c).to_numpy() for c in ("xr", "yr")], 1)
+            group, rng, rows = table.column("group")[0].as_py(), np.random.default_rng(17 + start), []
+            order_ = rng.permutation(len(src))
+            if len(src) >= need:
+                for i in range(start, start + hypotheses):
+                    at = order_[(i - start) * need : (i - start + 1) * need]
+                    if len(at) < need:
+                        at = rng.choice(len(src), need, replace=False)
+                    h = solve(kind, src[at], ref[at])
+                    if h is not None:
+                        rows.append((group, i, h.ravel().tolist()))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.float64())), strict=True)], names=["group", "i", "h"])
+
+        return cut(some.orderBy("group", "tid").groupBy("group").applyInArrow(propose, "group string, i int, h array<double>"))
+
     # Points in parts of about CHUNK rows, each with all hypotheses of its group.
     parts = p.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).withColumnRenamed("group", "_g")
     dealt = p.join(parts, F.col("group") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).drop("_g", "parts")
-    sent = proposed.join(parts, F.col("group") == F.col("_g")).select("group", "i", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def score(own: pa.Table, tried: pa.Table) -> pa.Table:
         rows = []
@@ -74,14 +84,26 @@ def fit(points: DataFrame, kind: str = "affine", threshold: float = 2.0, hypothe
             group = own.column("group")[0].as_py()
             for i, h in zip(tried.column("i").to_pylist(), tried.column("h").to_pylist(), strict=True):
                 r = np.minimum(residuals(np.array(h).reshape(3, 3), src, ref) / threshold, 1.0)
-                rows.append((group, i, float(r @ r)))
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["group", "i", "loss"])
-
-    scored = dealt.groupBy("group", "part").cogroup(cut(sent).groupBy("group", "part")).applyInArrow(score, "group string, i int, loss double")
-    loss = scored.groupBy("group", "i").agg(F.sum("loss").alias("loss"))
-    best = loss.groupBy("group").agg(F.min_by("i", F.struct("loss", "i")).alias("i"))
-    now = cut(proposed.join(best, ["group", "i"]).select("group", "h"))
+                rows.append((group, i, float(r @ r), int((r < 1).sum()), len(r)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["group", "i", "loss", "inliers", "n"])
+
+    now, open_, start = None, p, 0
+    while True:
+        proposed = proposals(open_, start)
+        sent = proposed.join(parts, F.col("group") == F.col("_g")).select("group", "i", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        scored = dealt.groupBy("group", "part").cogroup(cut(sent).groupBy("group", "part")).applyInArrow(score, "group string, i int, loss double, inliers long, n long")
+        loss = scored.groupBy("group", "i").agg(F.sum("loss").alias("loss"), F.sum("inliers").alias("inliers"), F.sum("n").alias("n"))
+        found = loss.join(proposed, ["group", "i"]).select("group", "i", "h", "loss", (F.col("inliers") / F.col("n")).alias("share"))
+        found = found if now is None else found.unionByName(now)
+        best = found.groupBy("group").agg(F.min_by(F.struct("i", "h", "loss", "share"), F.struct("loss", "i")).alias("b"))
+        now = cut(best.select("group", "b.*"))
+        start += hypotheses
+        left = now.filter(needed(F.col("share"), need, confidence) > start).select(F.col("group").alias("_g"))
+        if start >= most or left.isEmpty():
+            break
+        open_ = p.join(left, F.col("group") == F.col("_g"), "left_semi")
+    now = now.select("group", "h")
 
     def sums(batches):
         """Weighted normal equations of each batch and group."""

@@ -112,21 +112,25 @@ def policy(spark):
     return spark.createDataFrame(rows, "payload string, preferred array<string>, least_gsd double, most_gsd double")
 
 
-_PRODUCTS = "SELECT s_suppkey AS product, ['OHRC', 'TMC2_NADIR', 'IIRS', 'WAC', 'TMC2_AFT'][CAST(s_suppkey % 5 AS INTEGER) + 1] AS payload, abs(s_acctbal) / 100 AS gsd, 1 + s_nationkey AS ref_gsd FROM supplier"
-_POLICY = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{refs[0]}', {lo}::DOUBLE, {hi}::DOUBLE)" for p, refs, lo, hi in fixed.REFERENCE_POLICY) + ") AS t(payload, first_choice, lo, hi)"
+_PAYLOADS, _REFERENCES = ("OHRC", "TMC2_NADIR", "IIRS", "WAC", "TMC2_AFT"), ("NAC_L", "KAGUYA_TC", "WAC", "NAC_R", "SLDEM_HILLSHADE")
+_PRODUCTS = f"SELECT s_suppkey AS product, {list(_PAYLOADS)}[CAST(s_suppkey % 5 AS INTEGER) + 1] AS payload, {list(_REFERENCES)}[CAST(s_nationkey % 5 AS INTEGER) + 1] AS reference, abs(s_acctbal) / 100 AS gsd, 1 + s_nationkey AS ref_gsd FROM supplier"
+_POLICY = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {list(refs)}, {lo}::DOUBLE, {hi}::DOUBLE)" for p, refs, lo, hi in fixed.REFERENCE_POLICY) + ") AS t(payload, preferred, lo, hi)"
 
 
-@query(f"""WITH p AS ({_PRODUCTS}), k AS ({_POLICY}), j AS (SELECT p.*, coalesce(k.first_choice, '{fixed.DEFAULT_POLICY[0][0]}') AS first_choice, coalesce(lo, {fixed.DEFAULT_POLICY[1]}) AS lo, coalesce(hi, {fixed.DEFAULT_POLICY[2]}) AS hi, greatest(gsd, ref_gsd) AS working FROM p LEFT JOIN k USING (payload))
-SELECT product, payload, first_choice, round(ref_gsd / nullif(gsd, 0), 6) AS ratio, working BETWEEN lo AND hi AS within_policy FROM j""")
+@query(f"""WITH p AS ({_PRODUCTS}), k AS ({_POLICY}), j AS (SELECT p.*, coalesce(k.preferred, {list(fixed.DEFAULT_POLICY[0])}) AS preferred, coalesce(lo, {fixed.DEFAULT_POLICY[1]}) AS lo, coalesce(hi, {fixed.DEFAULT_POLICY[2]}) AS hi FROM p LEFT JOIN k USING (payload))
+SELECT product, payload, reference, preferred[1] AS first_choice, round(greatest(gsd, ref_gsd) / greatest(1e-9, least(gsd, ref_gsd)), 3) AS scale_ratio, ref_gsd BETWEEN lo AND hi AS within_gsd_band,
+  ref_gsd BETWEEN lo AND hi AND list_contains(preferred, reference) AS within_policy FROM j""")
 def pairing_verdict(spark, sf):
-    """Policy lookup with a default row, then the verdict on the working resolution."""
-    names = F.array(*[F.lit(x) for x in ("OHRC", "TMC2_NADIR", "IIRS", "WAC", "TMC2_AFT")])
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("product"), F.get(names, (F.col("s_suppkey") % 5).cast("int")).alias("payload"), (F.abs("s_acctbal") / 100).alias("gsd"), (F.col("s_nationkey") + 1).alias("ref_gsd"))
-    j = s.join(F.broadcast(policy(spark)), "payload", "left")
-    working = F.greatest("gsd", "ref_gsd")
+    """Policy lookup with a default row, then the verdict on the reference: its resolution within the band, and its sensor among the preferred ones."""
+    of = lambda names, k: F.get(F.array(*map(F.lit, names)), (F.col(k) % 5).cast("int"))
+    s = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("product"), of(_PAYLOADS, "s_suppkey").alias("payload"), of(_REFERENCES, "s_nationkey").alias("reference"), (F.abs("s_acctbal") / 100).alias("gsd"), (F.col("s_nationkey") + 1).alias("ref_gsd"),
+    )
     names, low, high = fixed.DEFAULT_POLICY
-    inside = working.between(F.coalesce("least_gsd", F.lit(low)), F.coalesce("most_gsd", F.lit(high)))
-    return j.select("product", "payload", F.coalesce(F.get("preferred", F.lit(0)), F.lit(names[0])).alias("first_choice"), r6(F.try_divide("ref_gsd", "gsd")).alias("ratio"), inside.alias("within_policy"))
+    j = s.join(F.broadcast(policy(spark)), "payload", "left").withColumn("preferred", F.coalesce("preferred", F.array(*map(F.lit, names))))
+    inside = F.col("ref_gsd").between(F.coalesce("least_gsd", F.lit(low)), F.coalesce("most_gsd", F.lit(high)))
+    ratio = F.greatest("gsd", "ref_gsd") / F.greatest(F.lit(1e-9), F.least("gsd", "ref_gsd"))
+    return j.select("product", "payload", "reference", F.get("preferred", F.lit(0)).alias("first_choice"), F.round(ratio, 3).alias("scale_ratio"), inside.alias("within_gsd_band"), (inside & F.array_contains("preferred", F.col("reference"))).alias("within_policy"))
 
 
 @query("""WITH k AS (SELECT o_orderkey AS label, unnest([struct_pack(k := 'image.sub_solar_azimuth', v := CAST(round(o_totalprice % 360, 2) AS VARCHAR) || ' <deg>', p := 1), struct_pack(k := 'a.b.sun_elev', v := 'elev ' || CAST(o_custkey % 90 AS VARCHAR), p := 2),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 
 import numpy as np
@@ -251,20 +253,20 @@ def random_subsample(spark, sf):
     return points(spark, sf).select("track", "tid", F.row_number().over(order).alias("place")).filter("place <= 150").drop("place")
 
 
-_BITS = " + ".join(f"(CASE WHEN embedding[{k + 1}] >= 0 THEN {1 << k}::BIGINT ELSE 0 END)" for k in range(62))
+#: The 64 bits of a code as a signed number: the last one is the sign.
+_PLACES = [1 << k for k in range(63)] + [-(1 << 63)]
+_BITS = " + ".join(f"(CASE WHEN embedding[{k + 1}] >= 0 THEN ({p})::BIGINT ELSE 0 END)" for k, p in enumerate(_PLACES))
 
 
 @query(f"""WITH d AS (SELECT vec_id, {_BITS} AS code FROM embeddings), m AS (SELECT a.vec_id AS src, b.vec_id AS ref, bit_count(xor(a.code, b.code)) AS d FROM d a JOIN d b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, ref) AS place FROM m), t AS (SELECT src, max(ref) FILTER (place = 1) AS ref, max(d) FILTER (place = 1) AS d1, max(d) FILTER (place = 2) AS d2 FROM k WHERE place <= 2 GROUP BY src)
 SELECT src, ref, CAST(d1 AS INTEGER) AS distance FROM t WHERE d1 < 0.9 * d2""")
 def hamming_match(spark, sf):
-    """Binary descriptors by Hamming distance, with the ratio test on distances."""
+    """Binary descriptors, the signs of all 64 components, by Hamming distance, with the ratio test on distances."""
     from tielace.operators.descriptors import hamming_matches
 
-    bits = [F.when(F.get("embedding", F.lit(k)) >= 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(62)]
-    code = bits[0]
-    for b in bits[1:]:
-        code = code + b
+    bits = [F.when(F.get("embedding", F.lit(k)) >= 0, F.lit(p)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(_PLACES)]
+    code = reduce(lambda a, b: a.bitwiseOR(b), bits)
     d = table(spark, sf, "embeddings").select("vec_id", code.alias("code"))
     return hamming_matches(d.filter("vec_id % 2 = 0"), d.filter("vec_id % 2 = 1"), 0.9)
 

@@ -316,5 +316,5 @@ def robust_affine(spark, sf):
     p = points(spark, sf)
     x, y = expr.apply_homography(H, F.col("x"), F.col("y"))
     off = F.when(F.col("conf") < 0.2, F.col("sigma") * 90).otherwise(F.col("sigma") * 0.2)
-    fits = robust.fit(p.select(F.col("track").alias("group"), "tid", "x", "y", (x + off).alias("xr"), (y - off).alias("yr")), "affine", 4.0, 100)
+    fits = robust.fit(p.select(F.col("track").alias("group"), "tid", "x", "y", (x + off).alias("xr"), (y - off).alias("yr")), "affine", 4.0)
     return fits.select("group", "n", "n_inliers", F.round("rmse", 3).alias("rmse"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tielace.operators import raster as ops
+from tielace.operators import shadow
 
 from .registry import query
 from .views import IMAGE, RASTER, raster, raster_sql, table
@@ -87,12 +88,19 @@ def local_maxima(spark, sf):
     return ops.local_maxima(grid(spark, sf), 2, 16, 4).select("image", "r", "c", r6(F.col("v")).alias("v"), "place")
 
 
-_SHADOW = f"""{RASTER}, b AS (SELECT image, r - k AS r, c + k AS c, max(v - 0.8 * k) AS line FROM raster CROSS JOIN (SELECT unnest([1, 2, 3, 5, 8, 13]) AS k) GROUP BY 1, 2, 3),
-shade AS (SELECT raster.image, raster.r, raster.c, coalesce(line > v, FALSE) AS shadowed FROM raster LEFT JOIN b ON raster.image = b.image AND raster.r = b.r AND raster.c = b.c)"""
+_SHADOW = f"""{RASTER}, sun AS (SELECT image, (image * 40 + 15) % 360 AS az, 12 + image % 20 AS el, least(greatest(1, least(4096, ceil((max(v) - min(v)) / tan(radians(12 + image % 20))))), greatest(max(r), max(c)) + 1) AS far FROM raster GROUP BY image),
+step AS (SELECT image, az, el, CAST(k AS BIGINT) AS k FROM sun, range(1, 25) t(k) WHERE k <= far UNION SELECT image, az, el, CAST(round_even(25 * pow(far / 25.0::DOUBLE, i / 31.0::DOUBLE), 0) AS BIGINT) FROM sun, range(32) t(i) WHERE far > 24),
+ray AS (SELECT *, CAST(round_even(-cos(radians(az)) * k, 0) AS BIGINT) AS dr, CAST(round_even(sin(radians(az)) * k, 0) AS BIGINT) AS dc FROM step),
+blk AS MATERIALIZED (SELECT raster.image, r - dr AS r, c - dc AS c, k, tan(radians(el)) AS rise, v AS high FROM raster JOIN ray USING (image) WHERE dr <> 0 OR dc <> 0),
+lit AS (SELECT image, r, c, bool_or((high - v) / k > rise) AS s FROM raster JOIN blk USING (image, r, c) GROUP BY ALL),
+shade AS (SELECT raster.image, raster.r, raster.c, coalesce(s, FALSE) AS shadowed FROM raster LEFT JOIN lit USING (image, r, c))"""
 
 
 def shade(spark, sf):
-    return ops.horizon_shadow(raster(spark, sf), 1, -1, 0.8, [1, 2, 3, 5, 8, 13])
+    """Each image lit from a direction of its own."""
+    heights = raster(spark, sf)
+    suns = heights.select("image").distinct().select("image", ((F.col("image") * 40 + 15) % 360).cast("double").alias("azimuth"), (12 + F.col("image") % 20).cast("double").alias("elevation"))
+    return shadow.cast_shadows(heights, suns, 1.0, 64)
 
 
 @query(f"WITH {_SHADOW} SELECT image, r, c, shadowed FROM shade")
@@ -105,19 +113,28 @@ def shadow_fraction(spark, sf):
     return shade(spark, sf).groupBy("image").agg(r6(F.avg(F.col("shadowed").cast("int"))).alias("shadow_fraction"))
 
 
-@query(f"""WITH b AS (SELECT l_orderkey // {IMAGE} AS image, l_linenumber AS band, CAST(l_orderkey % 64 AS INTEGER) AS r, CAST(l_partkey % 64 AS INTEGER) AS c, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+_NM = "CASE WHEN image % 3 = 2 THEN 2000 + 100 * band ELSE 700 + 150 * band END"
+
+
+@query(f"""WITH all_b AS (SELECT l_orderkey // {IMAGE} AS image, l_linenumber AS band, CAST(l_orderkey % 64 AS INTEGER) AS r, CAST(l_partkey % 64 AS INTEGER) AS c, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+nm AS (SELECT image, band, {_NM} AS nm FROM (SELECT DISTINCT image, band FROM all_b)),
+own AS (SELECT image, band, nm BETWEEN 900 AND 1600 AS solar, bool_or(nm BETWEEN 900 AND 1600) OVER (PARTITION BY image) AS has, row_number() OVER (PARTITION BY image ORDER BY nm, band) AS place, count(*) OVER (PARTITION BY image) AS n FROM nm),
+b AS (SELECT all_b.* FROM all_b JOIN own USING (image, band) WHERE solar OR (NOT has AND place <= greatest(1, n // 4))),
 m AS (SELECT image, band, c, median(v) AS m FROM b GROUP BY ALL), s AS (SELECT image, band, median(v) AS s FROM b GROUP BY ALL),
-d AS (SELECT b.image, b.band, b.r, b.c, v - m + s AS v FROM b JOIN m USING (image, band, c) JOIN s USING (image, band) WHERE b.band BETWEEN 2 AND 5),
-q AS (SELECT image, band, median(v) AS q FROM d GROUP BY ALL), k AS (SELECT image, band, max(q) AS q, median(abs(v - q)) AS mad FROM d JOIN q USING (image, band) GROUP BY ALL),
-p AS (SELECT image, r, c, avg(CASE WHEN abs(v - q) <= 6 * mad / 0.6745 THEN v END) AS pan, count(CASE WHEN abs(v - q) <= 6 * mad / 0.6745 THEN v END) AS n_bands FROM d JOIN k USING (image, band) GROUP BY ALL),
+d AS (SELECT b.image, b.band, b.r, b.c, v - m + s AS v FROM b JOIN m USING (image, band, c) JOIN s USING (image, band)),
+q AS (SELECT image, band, median(v) AS q FROM d GROUP BY ALL), k AS (SELECT image, band, max(q) AS q, greatest(median(abs(v - q)) / 0.6745, 1e-6) AS sigma FROM d JOIN q USING (image, band) GROUP BY ALL),
+p AS (SELECT image, r, c, avg(CASE WHEN abs(v - q) <= 6 * sigma THEN v END) AS pan, count(CASE WHEN abs(v - q) <= 6 * sigma THEN v END) AS n_bands FROM d JOIN k USING (image, band) GROUP BY ALL),
 f AS (SELECT image, median(pan) AS f FROM p GROUP BY image)
 SELECT image, r, c, round(coalesce(pan, f), 6) AS pan, n_bands FROM p JOIN f USING (image)""")
 def pseudo_panchromatic(spark, sf):
-    """Bands 2 to 5, each destriped by its own columns and without its bad pixels, averaged by pixel; holes at the image's median."""
-    lines = table(spark, sf, "lineitem").filter("l_linenumber BETWEEN 2 AND 5")
+    """Bands of reflected sunlight (the shortest quarter where an image has none), each destriped by its own columns and without its bad
+    pixels, averaged by pixel; holes at the image's median."""
     place = [F.floor(F.col("l_orderkey") / IMAGE).alias("image"), F.col("l_linenumber").alias("band"), (F.col("l_orderkey") % 64).cast("int").alias("r"), (F.col("l_partkey") % 64).cast("int").alias("c")]
+    every = table(spark, sf, "lineitem").groupBy(*place).agg(F.avg("l_quantity").alias("v"))
+    nm = F.when(F.col("image") % 3 == 2, 2000 + 100 * F.col("band")).otherwise(700 + 150 * F.col("band"))
+    chosen = ops.solar_bands(every.select("image", "band").distinct().withColumn("nm", nm))
     # An image and band are one raster to the operators.
-    bands = lines.groupBy(*place).agg(F.avg("l_quantity").alias("v")).select(F.struct("image", "band").alias("image"), "r", "c", "v")
+    bands = every.join(chosen, ["image", "band"]).select(F.struct("image", "band").alias("image"), "r", "c", "v")
     good = ops.bad_pixels(ops.destripe(bands))
     pan = good.groupBy(F.col("image.image").alias("image"), "r", "c").agg(F.avg(F.when(~F.col("bad"), F.col("v"))).alias("v"), F.count(F.when(~F.col("bad"), F.col("v"))).alias("n_bands"))
     mid = pan.groupBy("image").agg(F.median("v").alias("m"))
