@@ -315,11 +315,17 @@ def backplane_medians(spark, sf):
     return state.agg(r6(F.median("l_quantity")).alias("incidence"), r6(F.median(emission)).alias("emission"), r6(F.median(F.col("l_extendedprice") / 1000) % 360).alias("azimuth"))
 
 
-@query(f"""WITH {POINTS}, k AS (SELECT track, quantile_cont(floor(y / 4), [0, 0.25, 0.5, 0.75, 1]) AS q FROM points GROUP BY track) SELECT track, CAST(i - 1 AS INTEGER) AS knot, q[i] AS row FROM k CROSS JOIN range(1, 6) r(i)""")
+@query(f"""WITH {POINTS}, d AS (SELECT DISTINCT track, floor(y / 4) AS row FROM points), o AS (SELECT track, row, row_number() OVER (PARTITION BY track ORDER BY row) - 1 AS place, count(*) OVER (PARTITION BY track) AS n FROM d),
+c AS (SELECT track, n, min(row) AS low, max(row) AS high, least(12, greatest(2, n // 8)) AS k FROM o GROUP BY ALL HAVING n >= 40), w AS (SELECT *, j / CAST(k + 1 AS DOUBLE) * (n - 1) AS pos FROM c, range(1, 13) t(j) WHERE j <= k),
+q AS (SELECT w.track, w.n, low, high, j, sum(o.row * CASE WHEN o.place = floor(pos) THEN 1 - (pos - floor(pos)) ELSE pos - floor(pos) END) AS v FROM w JOIN o ON o.track = w.track AND o.place IN (floor(pos), floor(pos) + 1) GROUP BY ALL),
+u AS (SELECT track, n, low, high, round(v, 6) AS v, min(j) AS j FROM q WHERE v > low AND v < high GROUP BY ALL)
+SELECT track, n, CAST(row_number() OVER (PARTITION BY track ORDER BY j) - 1 AS INTEGER) AS knot, v AS row FROM u""")
 def jitter_knots(spark, sf):
-    """Knots at the quantiles of the rows seen."""
-    q = F.percentile(F.floor(F.col("y") / 4), F.array(*[F.lit(i / 4) for i in range(5)]))
-    return points(spark, sf).groupBy("track").agg(q.alias("q")).select("track", F.posexplode("q").alias("knot", "row"))
+    """A spline's knots: quantiles of the rows seen, an eighth as many, 12 at most."""
+    from tielace.operators import jitter
+
+    rows = points(spark, sf).select(F.col("track").alias("group"), F.floor(F.col("y") / 4).alias("row")).distinct()
+    return jitter.knots(rows).select(F.col("group").alias("track"), "n", F.posexplode("knots").alias("knot", "row")).withColumn("row", r6(F.col("row")))
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE track = 'view'), nn AS (SELECT p.tid, min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) AS d FROM a p JOIN a q ON p.tid <> q.tid GROUP BY p.tid)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tielace.functions import expr
@@ -52,6 +54,32 @@ def row_jitter(spark, sf):
     return localmodel.row_jitter(with_field(spark, sf), 4.0).select("row", "n", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
+def wobbling(spark, sf):
+    """Each track's points with residuals that follow a wave along the rows, of another length for each kind of track."""
+    p = with_field(spark, sf).withColumn("row", F.floor(F.col("y") / 4).cast("double"))
+    wave = F.sin(F.col("row") * (2 * math.pi / 32))
+    return p.select(F.col("track").alias("group"), "tid", "row", (F.col("dx") * 0.01 + wave).alias("dx"), (F.col("dy") * 0.01).alias("dy"))
+
+
+@query()
+def jitter_spline(spark, sf):
+    """Amplitude and period of each track's jitter by a spline along the rows; tests hold it against one least-squares solution and a known wave."""
+    from tielace.operators import jitter
+
+    shown = [F.round(c, 5).alias(c) for c in ("amplitude", "period", "rms_before", "rms_after")]
+    return jitter.fit(wobbling(spark, sf)).select(F.col("group").alias("track"), "n_knots", "n_rows", *shown)
+
+
+@query()
+def jitter_removed(spark, sf):
+    """What is left of each point's residual when the spline's value at its row is taken away."""
+    from tielace.operators import jitter
+
+    own = wobbling(spark, sf)
+    left = jitter.at_rows(own, jitter.fit(own))
+    return left.select("tid", F.round(F.col("dx") - F.col("jitter_x"), 5).alias("dx"), F.round(F.col("dy") - F.col("jitter_y"), 5).alias("dy"))
+
+
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_windows(spark, sf):
     """The streams' tumbling window on the table as a batch."""
