@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_rasters import imaged, terrain
 
-from tielace.operators import descriptors, refine, structure, tiles
+from tielace.operators import descriptors, refine, reseed, structure, tiles
 
 
 def stacked(found, rows, cols, n=8):
@@ -180,3 +180,34 @@ def test_a_turned_copy_is_matched(spark):
     assert len(descriptors.pair_matches(own.filter("key < 25"), other.filter("key < 25"), 0.85, 1).collect()) < 25
     assert [r["ref"] for r in descriptors.pair_matches(own.filter("key < 5"), other.filter("key = 3"), 0.85, 6).collect()] == [3] * 5
     assert descriptors.pair_matches(own.limit(0), other, 0.85, 6).count() == 0
+
+
+def test_empty_cells_are_reseeded_in_passes(spark):
+    """A 4 x 4 lattice: cells without a candidate, with a weak one and with good ones; the search stays near where the transform leads."""
+    a = terrain(160)
+    other = a.copy()
+    rng = np.random.default_rng(0)
+    other[80:120, 80:120] = a[80:120, 80:120] * 0.35 + rng.standard_normal((40, 40))  # hardly alike
+    reference = np.roll(other, (2, 3), (0, 1))
+    points = spark.createDataFrame([(1, 5.0, 5.0), (1, 150.0, 150.0)], "image int, x double, y double")
+    shapes = spark.createDataFrame([(1, 160, 160)], "image int, rows int, cols int")
+    at = [(1, 10 * i + j, 20.0 + 40 * j, 20.0 + 40 * i + d, 1.0 - d) for i in range(4) for j in range(4) for d in (0.0, 0.25) if (i, j) not in ((0, 0), (1, 1))]
+    at = [(im, k * 2 + (s < 1), x, y, s) for im, k, x, y, s in at] + [(1, 999, 300.0, 20.0, 9.0)]
+    candidates = spark.createDataFrame(at, "image int, key int, x double, y double, strength double")
+    h = spark.createDataFrame([(1, [1.0, 0.0, 4.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0])], "image int, h array<double>")
+    both = imaged(spark, a), imaged(spark, reference)
+    assert {r["cell"] for r in reseed.empty_cells(points, shapes, 4, 4).collect()} == set(range(1, 15))
+    # Patches of 24 and a window of 4 leave the image around the outermost cells' candidates only beyond 16 pixels: all searches fit.
+    got = {r["cell"]: r for r in reseed.reseed(points, candidates, h, *both, shapes, 4, 4, patch=24, window=4, tile=64).collect()}
+    assert set(got) >= set(range(1, 15)) - {5, 10} and 5 not in got and 0 not in got and 15 not in got
+    for cell, r in got.items():
+        if cell != 10:
+            assert (r["x"], r["y"]) == pytest.approx((r["xs"] + 3, r["ys"] + 2), abs=0.2) and r["pass"] == 1 and r["conf"] > 0.9
+    assert 10 not in got or got[10]["conf"] < 0.6
+    few = reseed.reseed(points, candidates, h, *both, shapes, 4, 4, valid=spark.createDataFrame([(1, 1), (1, 5), (1, 0)], "image int, cell int"), patch=24, window=4, tile=64)
+    assert [r["cell"] for r in few.collect()] == [1]
+    told = reseed.report(points, few, shapes, 4, 4).collect()[0]
+    assert (told["passes"], told["cells_targeted"], told["cells_filled"]) == (2, 14 + 13, 1) and told["coverage_after"] == pytest.approx(3 / 16)
+    assert reseed.reseed(points, candidates.limit(0), h, *both, shapes, 4, 4).count() == 0
+    edges = spark.range(1).select(*[c.alias(k) for k, c in reseed.bounds(F.lit(6), F.lit(100), F.lit(60), 5, 4).items()]).first().asDict()
+    assert edges == {"r0": 20, "c0": 30, "r1": 40, "c1": 45}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tielace.operators import raster as ops
-from tielace.operators import refine, structure
+from tielace.operators import refine, reseed, structure
 
 from .queries_warp import _FILLED, filled
 from .registry import query
@@ -54,22 +54,27 @@ def lattice(spark, sf):
 
 
 _PATCH, _WINDOW = 12, 8
-_MATCHED = f"""e AS (SELECT image, CAST((r + 1) % 64 AS INTEGER) AS r, CAST((c + 62) % 64 AS INTEGER) AS c, 100 - v AS v FROM f), {channels_sql("f", "x")}, {channels_sql("e", "y")},
-points AS (SELECT image, i * 3 + j AS key, j * 12 + 20 AS c0, i * 12 + 20 AS r0, j * 12 + 20.25::DOUBLE AS xr, i * 12 + 19.75::DOUBLE AS yr FROM images, range(3) a(i), range(3) b(j)),
-t AS (SELECT p.image, key, ch, r - r0 + {_PATCH // 2} AS dr, c - c0 + {_PATCH // 2} AS dc, v FROM points p JOIN x ON x.image = p.image AND r BETWEEN r0 - {_PATCH // 2} AND r0 + {_PATCH // 2 - 1} AND c BETWEEN c0 - {_PATCH // 2} AND c0 + {_PATCH // 2 - 1}),
-s AS (SELECT p.image, key, ch, r - r0 + {(_PATCH + _WINDOW) // 2} AS dr, c - c0 + {(_PATCH + _WINDOW) // 2} AS dc, v FROM points p JOIN y ON y.image = p.image
-  AND r BETWEEN r0 - {(_PATCH + _WINDOW) // 2} AND r0 + {(_PATCH + _WINDOW) // 2 - 1} AND c BETWEEN c0 - {(_PATCH + _WINDOW) // 2} AND c0 + {(_PATCH + _WINDOW) // 2 - 1}),
+_POINTS = "SELECT image, i * 3 + j AS key, j * 12 + 20 AS c0, i * 12 + 20 AS r0, j * 12 + 20 AS e0, i * 12 + 20 AS f0 FROM images, range(3) a(i), range(3) b(j)"
+
+
+def matched_sql(points: str) -> str:
+    """SQL: surface (image, key, sr, sc, v) and top, its largest value, of points: (c0, r0) in the source, (e0, f0) expected in the moved image."""
+    half, far = _PATCH // 2, (_PATCH + _WINDOW) // 2
+    return f"""e AS (SELECT image, CAST((r + 1) % 64 AS INTEGER) AS r, CAST((c + 62) % 64 AS INTEGER) AS c, 100 - v AS v FROM f), {channels_sql("f", "x")}, {channels_sql("e", "y")},
+points AS ({points}),
+t AS (SELECT p.image, key, ch, r - r0 + {half} AS dr, c - c0 + {half} AS dc, v FROM points p JOIN x ON x.image = p.image AND r BETWEEN r0 - {half} AND r0 + {half - 1} AND c BETWEEN c0 - {half} AND c0 + {half - 1}),
+s AS (SELECT p.image, key, ch, r - f0 + {far} AS dr, c - e0 + {far} AS dc, v FROM points p JOIN y ON y.image = p.image AND r BETWEEN f0 - {far} AND f0 + {far - 1} AND c BETWEEN e0 - {far} AND e0 + {far - 1}),
 k AS (SELECT t.image, t.key, t.ch, a.k AS sr, b.k AS sc, corr(t.v, s.v) AS ncc FROM t, range({_WINDOW + 1}) a(k), range({_WINDOW + 1}) b(k) JOIN s ON s.image = t.image AND s.key = t.key AND s.ch = t.ch AND s.dr = t.dr + a.k AND s.dc = t.dc + b.k GROUP BY ALL),
 surface AS (SELECT image, key, sr, sc, sum(CASE WHEN isnan(ncc) OR ncc IS NULL THEN 0 ELSE ncc END) / 8 AS v FROM k GROUP BY ALL),
 top AS (SELECT * FROM surface QUALIFY row_number() OVER (PARTITION BY image, key ORDER BY round(v, 9) DESC, sr, sc) = 1)"""
 
 
-@query(f"""WITH {_FILLED}, {_FILTERS}, {_MATCHED},
+@query(f"""WITH {_FILLED}, {_FILTERS}, {matched_sql(_POINTS)},
 beside AS (SELECT p.image, p.key, p.sr, p.sc, p.v, max(CASE WHEN s.sr = p.sr - 1 AND s.sc = p.sc THEN s.v END) AS up, max(CASE WHEN s.sr = p.sr + 1 AND s.sc = p.sc THEN s.v END) AS down,
   max(CASE WHEN s.sr = p.sr AND s.sc = p.sc - 1 THEN s.v END) AS west, max(CASE WHEN s.sr = p.sr AND s.sc = p.sc + 1 THEN s.v END) AS east, max(CASE WHEN abs(s.sr - p.sr) > 3 OR abs(s.sc - p.sc) > 3 THEN s.v END) AS second
   FROM top p JOIN surface s USING (image, key) GROUP BY ALL)
-SELECT image, key, round(c0 - {_WINDOW // 2} + sc + coalesce(CASE WHEN abs(west - 2 * v + east) > 1e-12 THEN greatest(-1, least(1, 0.5 * (west - east) / (west - 2 * v + east))) END, 0), 4) AS x,
-  round(r0 - {_WINDOW // 2} + sr + coalesce(CASE WHEN abs(up - 2 * v + down) > 1e-12 THEN greatest(-1, least(1, 0.5 * (up - down) / (up - 2 * v + down))) END, 0), 4) AS y,
+SELECT image, key, round(e0 - {_WINDOW // 2} + sc + coalesce(CASE WHEN abs(west - 2 * v + east) > 1e-12 THEN greatest(-1, least(1, 0.5 * (west - east) / (west - 2 * v + east))) END, 0), 4) AS x,
+  round(f0 - {_WINDOW // 2} + sr + coalesce(CASE WHEN abs(up - 2 * v + down) > 1e-12 THEN greatest(-1, least(1, 0.5 * (up - down) / (up - 2 * v + down))) END, 0), 4) AS y,
   round(v, 5) AS peak, CASE WHEN second > 1e-6 THEN round(v / second, 4) END AS sharpness FROM beside JOIN points USING (image, key)""")
 def structural_match(spark, sf):
     """Nine points of each image found again in the image moved by a row and two columns, with its contrast reversed."""
@@ -152,3 +157,43 @@ def turned_match(spark, sf):
     own = structure.index_descriptors(index, keypoints(spark, sf), 36, tile=32).withColumnRenamed("image", "pair")
     other = structure.index_descriptors(turned, keypoints(spark, sf, 1), 36, tile=32).withColumnRenamed("image", "pair")
     return pair_matches(own, other, 0.85, 6).select("pair", "src", "ref", F.round("cosine", 6).alias("cosine"))
+
+
+#: The lattice of the re-seeding queries, and candidates a cell.
+_CELLS, _MOST = 4, 2
+_SEEDS = f"""SELECT image, key, c AS c0, r AS r0, c - 2 AS e0, r + 1 AS f0, cell FROM (
+  SELECT *, row_number() OVER (PARTITION BY image, cell ORDER BY v DESC, key) AS nth FROM (SELECT image, r * 64 + c AS key, r, c, v, r // 16 * 4 + c // 16 AS cell FROM peaks) WHERE (image, cell) NOT IN (SELECT image, cell FROM have)) WHERE nth <= {_MOST}"""
+_RESEEDED = f"""{_FILLED}, {_FILTERS}, pa AS (SELECT *, max(v) OVER (PARTITION BY image, r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS t FROM f),
+pb AS (SELECT *, max(t) OVER (PARTITION BY image, c ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS u FROM pa),
+peaks AS (SELECT image, r, c, v FROM pb WHERE v = u QUALIFY row_number() OVER (PARTITION BY image, r // 16, c // 16 ORDER BY v DESC, r, c) <= 4),
+have AS (SELECT DISTINCT image, CAST(r AS INTEGER) // 16 * 4 + CAST(c AS INTEGER) // 16 AS cell FROM peaks WHERE (r + c + image) % 3 = 0 AND c < 40), {matched_sql(_SEEDS)},
+best AS (SELECT image, key, cell, c0, r0, e0 - {_WINDOW // 2} + sc AS x, f0 - {_WINDOW // 2} + sr AS y, v AS peak FROM top JOIN points USING (image, key)
+  WHERE c0 >= {_PATCH // 2} AND r0 >= {_PATCH // 2} AND c0 + {_PATCH // 2} <= 64 AND r0 + {_PATCH // 2} <= 64 AND e0 >= {(_PATCH + _WINDOW) // 2} AND f0 >= {(_PATCH + _WINDOW) // 2} AND e0 + {(_PATCH + _WINDOW) // 2} <= 64 AND f0 + {(_PATCH + _WINDOW) // 2} <= 64
+  QUALIFY row_number() OVER (PARTITION BY image, cell ORDER BY round(v, 9) DESC, key) = 1),
+added AS (SELECT *, CASE WHEN peak > 0.4 * 0.6 THEN 1 WHEN peak > 0.4 * 0.36 THEN 2 END AS pass FROM best WHERE peak > 0.4 * 0.36)"""
+
+
+def reseeded(spark, sf):
+    """Points that some local maxima of each image are, and those added to the lattice's empty cells from the others."""
+    source = filled(spark, sf)
+    peaks = ops.local_maxima(source, 2, 16, 4).select("image", (F.col("r") * 64 + F.col("c")).alias("key"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), F.col("v").alias("strength"))
+    own = peaks.filter(((F.col("x") + F.col("y") + F.col("image")) % 3 == 0) & (F.col("x") < 40))
+    at = raster(spark, sf).select("image").distinct()
+    shapes = at.select("image", F.lit(64).alias("rows"), F.lit(64).alias("cols"))
+    h = at.select("image", F.array(*[F.lit(float(v)) for v in (1, 0, -2, 0, 1, 1, 0, 0, 1)]).alias("h"))
+    return own, reseed.reseed(own, peaks, h, source, moved(source), shapes, _CELLS, _CELLS, patch=_PATCH, window=_WINDOW // 2, most=_MOST, tile=32), shapes
+
+
+@query(f"WITH {_RESEEDED} SELECT image, CAST(cell AS INTEGER) AS cell, key, round(peak, 5) AS conf, pass FROM added")
+def reseeded_cells(spark, sf):
+    """The point that each empty cell gets, with the pass that takes it."""
+    return reseeded(spark, sf)[1].select("image", "cell", "key", F.round("conf", 5).alias("conf"), "pass")
+
+
+@query(f"""WITH {_RESEEDED}, cells_n AS (SELECT images.image, 16 - (SELECT count(*) FROM have h WHERE h.image = images.image) AS empty, (SELECT count(*) FROM added a WHERE a.image = images.image) AS filled, (SELECT count(*) FROM added a WHERE a.image = images.image AND pass = 1) AS first FROM images)
+SELECT image, CAST((empty > 0)::INTEGER + (empty - first > 0)::INTEGER AS INTEGER) AS passes, CAST(2 * empty - first AS BIGINT) AS cells_targeted, filled AS cells_filled, round(1 - empty / 16.0::DOUBLE, 6) AS coverage_before, round(1 - (empty - filled) / 16.0::DOUBLE, 6) AS coverage_after FROM cells_n""")
+def reseed_report(spark, sf):
+    """What re-seeding did to the coverage of each image."""
+    own, added, shapes = reseeded(spark, sf)
+    found = reseed.report(own, added, shapes, _CELLS, _CELLS)
+    return found.select("image", "passes", "cells_targeted", "cells_filled", *[F.round(c, 6).alias(c) for c in ("coverage_before", "coverage_after")])
