@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once (a longer text is a batch by itself).
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Bytes of an Arrow batch that Spark hands to a Python task.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 _own_dirs: dict[str, str] = {}
 _roots: dict[str, list[str]] = {}
@@ -126,6 +127,15 @@ def text_batches(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES, col
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:], strict=False):
             yield batch.slice(start, end - start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what a finished task has freed: a Python worker stays for later tasks, of other kinds too, and would keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have their own ways
+    if trim:
+        trim(0)
 
 
 def hashed_unit(*parts) -> F.Column:

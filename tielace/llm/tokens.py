@@ -76,10 +76,10 @@ class WordEncoder:
             text = f.read()
         self.tokenizer = Tokenizer.from_str(text)
         # The strings of added tokens, in whatever case: a tokenizer may look for them after lowering.
-        self.added = "|".join(re.escape(t["content"]) for t in json.loads(text)["added_tokens"])
+        bare = json.loads(text)
+        self.added = "|".join(re.escape(t["content"]) for t in bare["added_tokens"])
         self.keeps_space = self.tokenizer.normalizer is None
         # The same model without what does nothing to stems of small Latin letters: normalising and the split pattern.
-        bare = json.loads(text)
         split = {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext", "invert": False} if self.keeps_space else {"type": "WhitespaceSplit"}
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         bare |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, as_bytes]}}
