@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tielace.operators import localmodel, raster, resample, tiles
 from tielace.plans import sinks
-from tielace.sources import labels, rasters
+from tielace.sources import labels, rasters, windows
 from tielace.streaming import stages
 
 
@@ -81,6 +81,9 @@ def test_sample_types(kind, bits, dtype):
 
 def test_sample_types_beyond_the_table():
     assert [rasters.sample_type(*k) for k in (("SUN_REAL", 32), ("MSB_UNSIGNED_INTEGER", 64), ("VAX_INTEGER", 64), ("msb_real", 16))] == ["<f4", ">u8", "<i8", ">f4"]
+    for kind, bits in (("CHARACTER", 8), ("MSB_BIT_STRING", 16), ("MSB_INTEGER", 12), ("real_integer_x", 32)):
+        with pytest.raises(ValueError, match="can't be read"):
+            rasters.sample_type(kind, bits)
     assert [rasters.pds4_type(k) for k in ("IEEE754MSBSingle", "IEEE754LSBDouble", "UnsignedMSB2", "SignedByte", "UnsignedByte", "SignedLSB4")] == [">f4", "<f8", ">u2", "<i1", "<u1", "<i4"]
 
 
@@ -169,7 +172,7 @@ def test_streams(spark, small, tmp_path):
     assert spark.table("t_o").count() == n
 
 
-def values(found, rows, cols, column="v"):
+def grid_values(found, rows, cols, column="v"):
     out = np.full((rows, cols), np.nan)
     for r in found.collect():
         out[r["r"], r["c"]] = np.nan if r[column] is None else r[column]
@@ -204,11 +207,11 @@ def test_a_warp_across_tiles_and_images(spark):
         cols, rows = np.meshgrid(np.arange(45.0), np.arange(60.0))
         xs, ys = resample.applied(np.linalg.inv(turn), cols, rows)
         want = resample.sampled(a, xs, ys, "cubic", border)
-        got = values(found.filter("image = 1"), 60, 45)
+        got = grid_values(found.filter("image = 1"), 60, 45)
         assert np.allclose(got, want, equal_nan=True) and np.isnan(got).any() == (border is None)
-        inside = values(found.filter("image = 1"), 60, 45, "covered").astype(bool)
+        inside = grid_values(found.filter("image = 1"), 60, 45, "covered").astype(bool)
         assert (inside == ((xs >= 0) & (ys >= 0) & (xs < 50) & (ys < 50))).all() and 0.2 < inside.mean() < 1
-        assert np.allclose(values(found.filter("image = 2"), 10, 12)[2:, 2:], a[2:10, 2:12] * 2)
+        assert np.allclose(grid_values(found.filter("image = 2"), 10, 12)[2:, 2:], a[2:10, 2:12] * 2)
         assert found.filter("image = 3").count() == 0
     assert resample.warp(both.limit(0), targets, tile=16).count() == 0
 
@@ -217,7 +220,7 @@ def test_nodes_say_what_the_homography_does(spark):
     a = terrain(40)
     targets = spark.createDataFrame([(1, 40, 40)], "image int, rows int, cols int")
     nodes = resample.nodes_of(targets, 8, F.col("gx") * 0.9 + 1.5, F.col("gy") + F.col("gx") * 0.05)
-    got = values(resample.warp_by_nodes(imaged(spark, a), targets, nodes, "linear", None, tile=16, step=8), 40, 40)
+    got = grid_values(resample.warp_by_nodes(imaged(spark, a), targets, nodes, "linear", None, tile=16, step=8), 40, 40)
     cols, rows = np.meshgrid(np.arange(40.0), np.arange(40.0))
     assert np.allclose(got, resample.sampled(a, cols * 0.9 + 1.5, rows + cols * 0.05, "linear", None), equal_nan=True)
     with pytest.raises(ValueError):
@@ -229,10 +232,47 @@ def test_orthorectified_halves_what_is_far_too_fine(spark):
     a = terrain(96)
     h = [10.0, 0.0, 0.0, 0.0, -10.0, 90.0, 0.0, 0.0, 1.0]
     grids = spark.createDataFrame([(1, 9, 9, 0.0, 9.0, 1.0, h, 20.0, 0.0)], "image int, rows int, cols int, x0 double, y1 double, gsd double, h array<double>, emission double, azimuth double")
-    got = values(resample.orthorectify(imaged(spark, a), grids, tile=16), 9, 9)
+    got = grid_values(resample.orthorectify(imaged(spark, a), grids, tile=16), 9, 9)
     small = a.reshape(24, 4, 24, 4).mean(axis=(1, 3))
     cols, rows = np.meshgrid(np.arange(9.0), np.arange(9.0))
     want = resample.sampled(small, ((cols + 0.5) * 10 + 0.5) / 4 - 0.5, ((rows + 0.5) * 10 + 0.5) / 4 - 0.5, "cubic", None)
     assert np.allclose(got, want, equal_nan=True) and np.isfinite(got[1:-1, 1:-1]).all()
     flat = imaged(spark, np.full((5, 4), 7.0))
-    assert np.allclose(values(resample.orthorectify(imaged(spark, a), grids, flat, tile=16), 9, 9), want, equal_nan=True)
+    assert np.allclose(grid_values(resample.orthorectify(imaged(spark, a), grids, flat, tile=16), 9, 9), want, equal_nan=True)
+
+
+def test_windows_are_pushed_into_the_source(spark, tmp_path, monkeypatch):
+    """The rows of read_pixels under a filter, from the byte ranges of the window alone."""
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 1000, (3, 40, 64)).astype(">i2"), rng.integers(0, 9, (20, 8, 5)).astype("<f4")
+    (tmp_path / "one.img").write_bytes(a.tobytes())
+    (tmp_path / "one.lbl").write_text('^IMAGE = "ONE.IMG"\nLINES = 40\nLINE_SAMPLES = 64\nBANDS = 3\nSAMPLE_TYPE = MSB_INTEGER\nSAMPLE_BITS = 16\nEND\n')
+    axis = lambda n, k: f"<Axis_Array><elements>{n}</elements><sequence_number>{k}</sequence_number></Axis_Array>"
+    (tmp_path / "two.dat").write_bytes(b.tobytes())
+    (tmp_path / "two.xml").write_text(f"<P><File_Area><File><file_name>two.dat</file_name></File><Array_3D_Image><name>cube</name><offset>0</offset><Element_Array><data_type>IEEE754LSBSingle</data_type></Element_Array>{axis(20, 1)}{axis(8, 2)}{axis(5, 3)}</Array_3D_Image></File_Area></P>")
+    spark.dataSource.register(windows.RasterSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    source, whole = spark.read.format("raster").load(str(tmp_path)), rasters.read_pixels(spark, str(tmp_path))
+    for where in ("true", "r >= 5 AND r < 9 AND c = 3", "band = 1 AND product = 'one' AND c BETWEEN 10 AND 20", "product IN ('two') AND band > 2 AND r <= 1", "r > 39", "v > 500 AND r % 7 = 3", "plane = 'incidence'"):
+        assert sorted(map(tuple, source.filter(where).collect())) == sorted(map(tuple, whole.filter(where).collect()))
+    assert spark.read.format("raster").load(str(tmp_path / "two.xml")).count() == 800
+    # Its reads, counted without Spark.
+    reads = []
+    plain = rasters.read_range
+    monkeypatch.setattr(rasters, "read_range", lambda path, offset, size: reads.append((offset, size)) or plain(path, offset, size))
+    reader = windows.RasterReader(str(tmp_path))
+    left = list(reader.pushFilters([windows.GreaterThanOrEqual(("r",), 10), windows.LessThan(("r",), 12), windows.LessThanOrEqual(("c",), 3), windows.EqualTo(("band",), 2), windows.EqualTo(("product",), "one"), windows.GreaterThan(("v",), 1.0)]))
+    assert [type(f) for f in left] == [windows.GreaterThan]
+    blocks = reader.partitions()
+    reads.clear()
+    got = pd.concat([x.to_pandas() for blk in blocks for x in reader.read(blk)])
+    assert got["v"].tolist() == a[2, 10:12, :4].ravel().tolist() and set(zip(got["r"], got["c"], strict=True)) == {(r, c) for r in (10, 11) for c in range(4)}
+    assert reads == [(2 * (2 * 40 * 64 + r * 64), 8) for r in (10, 11)]
+    reader = windows.RasterReader(str(tmp_path))
+    assert not list(reader.pushFilters([windows.LessThan(("r",), 4), windows.EqualTo(("product",), "one"), windows.EqualTo(("band",), 0)]))
+    blocks = reader.partitions()
+    reads.clear()
+    assert sum(x.num_rows for blk in blocks for x in reader.read(blk)) == 4 * 64 and reads[-1] == (0, 4 * 128) and len(blocks) == 1
+    (tmp_path / "one.img").unlink()
+    with pytest.raises(Exception, match="no raster"):
+        spark.read.format("raster").load(str(tmp_path / "one.lbl")).collect()
