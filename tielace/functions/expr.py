@@ -197,9 +197,3 @@ def agreed_confidence(wa: Column, wb: Column) -> Column:
 
 def single_confidence(conf: Column, ratio: Column) -> Column:
     return clip(0.6 * conf + 0.2 * F.least(ratio / 3, number(1)), 0, 1)
-
-
-def parabola_peak(before: Column, here: Column, after: Column) -> Column:
-    """Sub-step offset of the top of the parabola through three values, within a step."""
-    bend = before - 2 * here + after
-    return F.when(F.abs(bend) < TINY_DENOMINATOR, number(0)).otherwise(clip((before - after) / (2 * bend), -1, 1))

@@ -1,4 +1,4 @@
-"""Near joins on points, and greedy thinning, by equi-joins on grid bins."""
+"""Distances to nearest points, and greedy thinning."""
 
 from __future__ import annotations
 
@@ -9,28 +9,6 @@ from .lineage import cut
 from .nearest import nearest
 
 
-def bins(x: Column, y: Column, radius: float) -> tuple[Column, Column]:
-    return F.floor(x / F.lit(float(radius))), F.floor(y / F.lit(float(radius)))
-
-
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs of rows within a radius, with column d; right's columns get the prefix n_.
-
-    Both sides need x and y. Each left row is sent to the nine bins around it, so pairs meet in one equi-join on
-    the bin (and on keys, which both sides have); no pair further than two bins apart is formed.
-    """
-    bx, by = bins(F.col("x"), F.col("y"), radius)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    sent = left.withColumn("_s", around).withColumns({"_bx": bx + F.col("_s.i"), "_by": by + F.col("_s.j")}).drop("_s")
-    kept = right.select(*[F.col(c).alias(f"n_{c}") for c in right.columns], bx.alias("_nx"), by.alias("_ny"))
-    same = (F.col("_bx") == F.col("_nx")) & (F.col("_by") == F.col("_ny"))
-    for k in keys:
-        same &= F.col(k) == F.col(f"n_{k}")
-    dx, dy = F.col("x") - F.col("n_x"), F.col("y") - F.col("n_y")
-    near = same & (dx * dx + dy * dy <= F.lit(float(radius) ** 2))
-    return sent.join(kept, near).withColumn("d", F.sqrt(dx * dx + dy * dy)).drop("_bx", "_by", "_nx", "_ny")
-
-
 def nearest_distance(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The points with column nn, the distance to their nearest other point of the same keys (null: there is none).
 
