@@ -211,3 +211,16 @@ def test_empty_cells_are_reseeded_in_passes(spark):
     assert reseed.reseed(points, candidates.limit(0), h, *both, shapes, 4, 4).count() == 0
     edges = spark.range(1).select(*[c.alias(k) for k, c in reseed.bounds(F.lit(6), F.lit(100), F.lit(60), 5, 4).items()]).first().asDict()
     assert edges == {"r0": 20, "c0": 30, "r1": 40, "c1": 45}
+
+
+def test_local_normalisation_by_tiles(spark):
+    a = terrain(60)[:50, :45]
+    wide = np.pad(a, 4, mode="symmetric")
+    boxes = np.lib.stride_tricks.sliding_window_view(wide, (9, 9)).reshape(50, 45, -1)
+    want = (a - boxes.mean(axis=2)) / boxes.std(axis=2)
+    for tile in (16, 24, 256):
+        got = np.full(a.shape, np.nan)
+        for r in structure.local_normalise(imaged(spark, a), 9, tile).collect():
+            got[r["r"], r["c"]] = r["z"]
+        assert np.allclose(got, want, atol=1e-6)
+    assert structure.local_normalise(imaged(spark, np.ones((5, 5))), 9, 16).filter("abs(z) > 1e-9").count() == 0

@@ -106,19 +106,6 @@ def decimate(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.groupBy("image", block("r"), block("c")).agg(F.avg("v").alias("v"), F.count("*").alias("n"))
 
 
-def box_normalise(grid: DataFrame, half: int) -> DataFrame:
-    """image, r, c, z: (v - mean) / standard deviation over the box around each pixel; the box ends at the border.
-
-    Sums over the box come from row sums and then column sums, two windows of bounded frames.
-    """
-    by_row, by_col = along("c").rowsBetween(-half, half), along("r").rowsBetween(-half, half)
-    wide = grid.withColumns({"s1": F.sum("v").over(by_row), "s2": F.sum(F.col("v") * F.col("v")).over(by_row), "k": F.count("v").over(by_row)})
-    box = wide.withColumns({"s1": F.sum("s1").over(by_col), "s2": F.sum("s2").over(by_col), "k": F.sum("k").over(by_col)})
-    mean = F.col("s1") / F.col("k")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("k") - mean * mean))
-    return box.filter("v IS NOT NULL").select("image", "r", "c", F.when(spread > 1e-9, (F.col("v") - mean) / spread).otherwise(F.lit(0.0)).alias("z"))
-
-
 def local_maxima(grid: DataFrame, half: int, tile: int, most: int) -> DataFrame:
     """image, r, c, v, place: pixels that are the largest of the box around them, the best few of each tile (ties: r, c)."""
     tall = grid.withColumn("t", F.max("v").over(along("c").rowsBetween(-half, half)))

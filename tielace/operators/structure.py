@@ -16,6 +16,8 @@ from . import tiles
 CHANNELS, SPREAD = 8, 2.0
 #: Keeps lengths of flat places from vanishing (a fixed value).
 TINY = 1e-10
+#: A window whose variance is below this share of its mean square is flat: what is left is rounding.
+FLAT = 1e-12
 #: Pixels beside a peak, along each axis, in which no second one counts.
 APART = 3
 #: Points that meet a tile in one row.
@@ -97,6 +99,34 @@ def channel_tiles(pixels: DataFrame, tile: int = 256, spread: float = SPREAD, n:
     return tiles.each(bordered(pixels, tile, halo), made, ", ".join(f"c{k} array<double>" for k in range(n)), keep=list(KEYS))
 
 
+def local_normalise(pixels: DataFrame, window: int = 31, tile: int = 256) -> DataFrame:
+    """image, r, c, z: each pixel of filled images less the mean of the window around it, over that window's standard deviation.
+
+    Windows are mirrored at the image's edges, edge pixels included. A flat window gives 0.
+    """
+    half = window // 2
+    w = np.full(window, 1 / window)
+
+    def made(row: dict) -> list:
+        side, top, left = tile + 2 * half, row["tile_row"] * tile - half, row["tile_col"] * tile - half
+        r0, r1, c0, c1 = max(0, -top), min(side, row["rows"] - top), max(0, -left), min(side, row["cols"] - left)
+        edge = [(top + r0 == 0, top + r1 == row["rows"]), (left + c0 == 0, left + c1 == row["cols"])]
+        own = np.pad(row["v"].reshape(side, side)[r0:r1, c0:c1], [(half * a, half * b) for a, b in edge], mode="symmetric")
+        mean, square = (along_axis(along_axis(x, w, 0), w, 1) for x in (own, own * own))
+        inner = own[half : half + mean.shape[0], half : half + mean.shape[1]]
+        spread = np.maximum(square - mean * mean, 0)
+        z = np.where(spread > FLAT * square, (inner - mean) / (np.sqrt(spread) + TINY), 0.0)
+        # Where the tile's own pixels lie in that.
+        r, c = half - (r0 if edge[0][0] else r0 + half), half - (c0 if edge[1][0] else c0 + half)
+        high, wide = min(tile, row["rows"] - top - half), min(tile, row["cols"] - left - half)
+        out = np.full((tile, tile), np.nan)
+        out[:high, :wide] = z[r : r + high, c : c + wide]
+        return [out.ravel()]
+
+    found = tiles.each(bordered(pixels, tile, half), made, "z array<double>", keep=list(KEYS))
+    return tiles.pixels(found, tile, "z").filter(~F.isnan("z"))
+
+
 def met(points: DataFrame, tiled: DataFrame, x: str, y: str, tile: int, key: str) -> DataFrame:
     """The tile of each point with points (array of structs of all their columns), at most about POINTS to a row.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tielace.operators import raster as ops
-from tielace.operators import shadow
+from tielace.operators import shadow, structure
 
 from .registry import query
 from .views import IMAGE, RASTER, raster, raster_sql, table
@@ -72,12 +72,13 @@ def decimate(spark, sf):
     return ops.decimate(ops.filled(grid(spark, sf)), 4).select("image", "r", "c", r6(F.col("v")).alias("v"), "n")
 
 
-@query(f"""WITH {_DENSE}, a AS (SELECT image, r, c, v, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2, count(v) OVER w AS k FROM d WINDOW w AS (PARTITION BY image, r ORDER BY c ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-b AS (SELECT image, r, c, v, sum(s1) OVER w AS s1, sum(s2) OVER w AS s2, sum(k) OVER w AS k FROM a WINDOW w AS (PARTITION BY image, c ORDER BY r ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-e AS (SELECT image, r, c, v, s1 / k AS mean, sqrt(greatest(0, s2 / k - s1 / k * (s1 / k))) AS sd FROM b WHERE v IS NOT NULL)
-SELECT image, r, c, round(CASE WHEN sd > 1e-9 THEN (v - mean) / sd ELSE 0 END, 4) + 0.0 AS z FROM e""")
+@query(f"""WITH {_DENSE}, mid AS (SELECT image, median(v) AS m FROM d GROUP BY image), f AS (SELECT image, r, c, coalesce(v, m) AS v FROM d JOIN mid USING (image)),
+k AS (SELECT unnest(range(-3, 4)) AS k), t AS (SELECT f.image, f.r, f.c, sum(g.v) AS s1, sum(g.v * g.v) AS s2 FROM f, k JOIN f g ON g.image = f.image AND g.r = f.r AND g.c = CASE WHEN f.c + k < 0 THEN -(f.c + k) - 1 WHEN f.c + k > 63 THEN 127 - f.c - k ELSE f.c + k END GROUP BY ALL),
+b AS (SELECT f.image, f.r, f.c, any_value(f.v) AS v, sum(s1) / 49 AS mean, sum(s2) / 49 AS sq FROM f, k JOIN t ON t.image = f.image AND t.c = f.c AND t.r = CASE WHEN f.r + k < 0 THEN -(f.r + k) - 1 WHEN f.r + k > 63 THEN 127 - f.r - k ELSE f.r + k END GROUP BY ALL)
+SELECT image, r, c, CASE WHEN sq - mean * mean > 1e-12 * sq THEN round((v - mean) / (sqrt(sq - mean * mean) + 1e-10), 4) + 0.0 ELSE 0 END AS z FROM b""")
 def local_normalisation(spark, sf):
-    return ops.box_normalise(grid(spark, sf), 3).select("image", "r", "c", (F.round("z", 4) + 0.0).alias("z"))
+    """Each pixel against the mean and spread of the 7 x 7 around it, mirrored at the border; holes at the image's median."""
+    return structure.local_normalise(ops.filled(grid(spark, sf)), 7, 64).select("image", "r", "c", (F.round("z", 4) + 0.0).alias("z"))
 
 
 @query(f"""WITH {_DENSE}, a AS (SELECT *, max(v) OVER (PARTITION BY image, r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS t FROM d),
