@@ -34,3 +34,23 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
+
+
+def _tables(spark, folder, **rows):
+    for name, (given, schema) in rows.items():
+        spark.createDataFrame(given, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    con = duckdb.connect()
+    for name in rows:
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    return con
+
+
+def test_tiles_beyond_the_eighth_column_have_their_own_places(spark, tmp_path):
+    from datetime import datetime
+
+    # 25 points in row 0, column 8, and 25 in row 1, column 0: one number, two tiles.
+    given = [(k, datetime(2024, 1, 1, 1 if k < 25 else 4), "view", 510.0 if k < 25 else 10.0, '{"k": 1}') for k in range(50)]
+    con = _tables(spark, tmp_path, events=(given, "event_id long, ts timestamp_ntz, event_type string, value double, props string"))
+    got = catalogue.QUERIES["tile_cap"](spark, str(tmp_path)).select("place", "tid", "tile")
+    assert rows(got.collect()) == rows(con.sql(catalogue.ORACLE_SQL["tile_cap"]).select("place", "tid", "tile").fetchall())
+    assert got.count() == 40

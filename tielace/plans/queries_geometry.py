@@ -239,9 +239,10 @@ def tile_pairs(spark, sf):
 @query(f"""WITH {POINTS}, k AS (SELECT tid, CAST(floor(y / 64) * 8 + floor(x / 64) AS INTEGER) AS tile, row_number() OVER (PARTITION BY track, floor(y / 64), floor(x / 64) ORDER BY conf DESC, tid) AS place FROM points)
 SELECT tid, tile, CAST(place AS INTEGER) AS place FROM k WHERE place <= 20""")
 def tile_cap(spark, sf):
-    """The best points of each tile and track."""
-    tile = (F.floor(F.col("y") / 64) * 8 + F.floor(F.col("x") / 64)).cast("int")
-    place = F.row_number().over(Window.partitionBy("track", tile).orderBy(F.desc("conf"), "tid"))
+    """The best points of each tile and track. Points beyond the eighth column share numbers with tiles of the next row, but not their places."""
+    row, col = F.floor(F.col("y") / 64), F.floor(F.col("x") / 64)
+    tile = (row * 8 + col).cast("int")
+    place = F.row_number().over(Window.partitionBy("track", row, col).orderBy(F.desc("conf"), "tid"))
     return points(spark, sf).select("tid", tile.alias("tile"), place.alias("place")).filter("place <= 20")
 
 
