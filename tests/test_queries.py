@@ -54,3 +54,12 @@ def test_tiles_beyond_the_eighth_column_have_their_own_places(spark, tmp_path):
     got = catalogue.QUERIES["tile_cap"](spark, str(tmp_path)).select("place", "tid", "tile")
     assert rows(got.collect()) == rows(con.sql(catalogue.ORACLE_SQL["tile_cap"]).select("place", "tid", "tile").fetchall())
     assert got.count() == 40
+
+
+def test_the_order_of_a_mean_decides_no_cell(spark, tmp_path):
+    # Means of 0.03 to rounding, whatever the order of their terms: none is above it.
+    taxes = ([0.01, 0.05], [0.0, 0.02, 0.07], [0.03, 0.03, 0.03], [0.08, 0.01, 0.0])
+    given = [(r, c, 30.0, t) for r in range(4) for c, own in enumerate(taxes) for t in own]
+    con = _tables(spark, tmp_path, lineitem=(given, "l_orderkey long, l_partkey long, l_quantity double, l_tax double"))
+    got = catalogue.QUERIES["valid_cells"](spark, str(tmp_path)).select("cell", "image", "share", "valid")
+    assert rows(got.collect()) == rows(con.sql(catalogue.ORACLE_SQL["valid_cells"]).select("cell", "image", "share", "valid").fetchall()) == [(0, 0, 0.0, False)]

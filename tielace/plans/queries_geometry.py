@@ -194,14 +194,14 @@ def inlier_write_back(spark, sf):
     return points(spark, sf).select("tid").join(found, "tid").select("tid", F.round("dx", 4).alias("residual_x"), F.round("dy", 4).alias("residual_y"), "inlier")
 
 
-@query(f"""WITH {RASTER}, {raster_sql("other", "l_tax")}, m AS (SELECT image, r // 8 * 8 + c // 8 AS cell, avg(CAST(raster.v > 22 AND other.v > 0.03 AS INTEGER)) AS share FROM raster JOIN other USING (image, r, c) GROUP BY 1, 2)
+@query(f"""WITH {RASTER}, {raster_sql("other", "l_tax")}, m AS (SELECT image, r // 8 * 8 + c // 8 AS cell, avg(CAST(round(raster.v, 9) > 22 AND round(other.v, 9) > 0.03 AS INTEGER)) AS share FROM raster JOIN other USING (image, r, c) GROUP BY 1, 2)
 SELECT image, cell, round(share, 6) AS share, share >= 0.25 AS valid FROM m""")
 def valid_cells(spark, sf):
-    """Lattice cells of each image of which enough is valid in both of two rasters."""
+    """Lattice cells of each image of which enough is valid in both of two rasters. Means are taken to nine places: the order of their terms decides no more than that."""
     other = raster(spark, sf, "l_tax").withColumnRenamed("v", "w")
     both = raster(spark, sf).join(other, ["image", "r", "c"])
     cell = (F.floor(F.col("r") / 8) * 8 + F.floor(F.col("c") / 8)).cast("int").alias("cell")
-    share = F.avg(((F.col("v") > 22) & (F.col("w") > 0.03)).cast("int"))
+    share = F.avg(((F.round("v", 9) > 22) & (F.round("w", 9) > 0.03)).cast("int"))
     return both.groupBy("image", cell).agg(r6(share).alias("share"), (share >= 0.25).alias("valid"))
 
 
