@@ -224,3 +224,23 @@ def test_local_normalisation_by_tiles(spark):
             got[r["r"], r["c"]] = r["z"]
         assert np.allclose(got, want, atol=1e-6)
     assert structure.local_normalise(imaged(spark, np.ones((5, 5))), 9, 16).filter("abs(z) > 1e-9").count() == 0
+
+
+def test_ratio_matches_in_chunks_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((60, 8)).round(2)
+    v[40:50] = v[:10]  # equal vectors: ties to the smaller vec_id
+    rows = [(k, k % 3, [float(x) for x in a]) for k, a in enumerate(v / np.linalg.norm(v, axis=1, keepdims=True))]
+    d = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    found = {}
+    for chunk in (7, 512):
+        monkeypatch.setattr(descriptors, "CHUNK", chunk)
+        found[chunk] = sorted(map(tuple, descriptors.ratio_matches(d.filter("vec_id % 2 = 0"), d.filter("vec_id % 2 = 1"), 0.9).collect()))
+    assert found[7] == found[512]
+    e = np.array([[np.float32(x) for x in r[2]] for r in rows], float)
+    want = []
+    for s in range(0, 60, 2):
+        order = sorted((-round(float(e[s] @ e[r]), 12), r) for r in range(1, 60, 2))
+        if 1 + order[0][0] < 0.9 * max(1 + order[1][0], 1e-9):
+            want.append((s, order[0][1]))
+    assert [r[:2] for r in found[7]] == want

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block on either side.
-BLOCK = 4096
+#: Rows of a block on either side, and those compared with the other side at once.
+BLOCK, CHUNK = 4096, 512
 
 
 def best_two(distances: np.ndarray) -> np.ndarray:
@@ -37,10 +37,10 @@ def hamming_matches(source: DataFrame, reference: DataFrame, ratio: float) -> Da
             y = y.sort_by("ref")
             a, b = (t.column("code").to_numpy().view(np.uint64) for t in (x, y))
             src, ref, parts = x.column("src").to_numpy(), y.column("ref").to_numpy(), []
-            for at in range(0, len(a), 512):
-                far = np.bitwise_count(a[at : at + 512, None] ^ b)
+            for at in range(0, len(a), CHUNK):
+                far = np.bitwise_count(a[at : at + CHUNK, None] ^ b)
                 top = best_two(far)
-                parts.append((np.repeat(src[at : at + 512], top.shape[1]), ref[top].ravel(), np.take_along_axis(far, top, 1).ravel().astype(np.int64)))
+                parts.append((np.repeat(src[at : at + CHUNK], top.shape[1]), ref[top].ravel(), np.take_along_axis(far, top, 1).ravel().astype(np.int64)))
             found = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table([pa.array(c, pa.int64()) for c in found], names=["src", "ref", "d"])
 
@@ -68,11 +68,13 @@ def ratio_matches(source: DataFrame, reference: DataFrame, ratio: float) -> Data
         if x.num_rows and y.num_rows:
             vectors = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
             y = y.sort_by("ref")
-            cosines = vectors(x, "u") @ vectors(y, "w").T
-            top = best_two(-cosines)
+            u, w = vectors(x, "u"), vectors(y, "w").T
             src, a = x.column("src").to_pylist(), x.column("a").to_pylist()
             ref, b = y.column("ref").to_pylist(), y.column("b").to_pylist()
-            rows = [(src[k], ref[t], float(cosines[k, t]), a[k] == b[t]) for k in range(len(src)) for t in top[k].tolist()]
+            for at in range(0, len(u), CHUNK):
+                cosines = np.round(u[at : at + CHUNK] @ w, 12)  # equal vectors tie wherever they stand in a block
+                top = best_two(-cosines)
+                rows += [(src[at + k], ref[t], float(cosines[k, t]), a[at + k] == b[t]) for k in range(len(top)) for t in top[k].tolist()]
         columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["src", "ref", "cosine", "correct"])
 
