@@ -276,3 +276,25 @@ def test_windows_are_pushed_into_the_source(spark, tmp_path, monkeypatch):
     (tmp_path / "one.img").unlink()
     with pytest.raises(Exception, match="no raster"):
         spark.read.format("raster").load(str(tmp_path / "one.lbl")).collect()
+
+
+def test_tiles_reach_python_as_numbers_in_small_batches(spark):
+    import pyarrow as pa
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    a = terrain(40)
+    (row,) = [r for r in tiles.cut(imaged(spark, a), 32, 4).collect() if (r["tile_row"], r["tile_col"]) == (1, 0)]
+    assert np.array_equal(np.array(row["v"]).reshape(40, 40)[:12, 4:40], a[28:40, :36])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= tiles.IN_BYTES
+    places = tiles.plain(pa.array([[1, 2], None, [3]], pa.list_(pa.int32())))
+    assert isinstance(places[0], np.ndarray) and places[1] is None
+    # What is made of a row counts whole, arrays in structs included, so that a batch ends in time.
+    assert tiles._bytes([{"key": 1, "template": np.zeros(1000)}] * 3) > 24_000
+
+
+def test_maps_are_made_by_many_tasks_and_once(spark):
+    targets = spark.createDataFrame([(k, 200, 200, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for k in range(20)], "image long, rows int, cols int, h array<double>")
+    assert resample.output_tiles(targets, 64).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = resample.to_pixels(resample.homography_maps(targets, 64), 64, "xs")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == 20 * 200 * 200

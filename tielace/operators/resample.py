@@ -74,8 +74,12 @@ def remap(maps: DataFrame, source: DataFrame, tile: int, kernel: str = "cubic",
         x, y = row["xs"], row["ys"]
         known = np.isfinite(x) & np.isfinite(y)
         x0, y0 = first_taps(kernel, x[known]), first_taps(kernel, y[known])
-        corners = {(int(a), int(b)) for dy in (0, n - 1) for dx in (0, n - 1) for a, b in set(zip(np.floor((y0 + dy) / tile), np.floor((x0 + dx) / tile), strict=True))}
-        return [[{"s_row": a, "s_col": b} for a, b in sorted(corners) if abs(a) < 1 << 30 and abs(b) < 1 << 30 and a >= 0 and b >= 0]]
+        codes = []
+        for a in (np.floor((y0 + d) / tile) for d in (0, n - 1)):
+            for b in (np.floor((x0 + d) / tile) for d in (0, n - 1)):
+                within = (a >= 0) & (b >= 0) & (a < 1 << 30) & (b < 1 << 30)
+                codes.append((a[within].astype(np.int64) << 30) + b[within].astype(np.int64))
+        return [[{"s_row": int(k) >> 30, "s_col": int(k) & (1 << 30) - 1} for k in np.unique(np.concatenate(codes))]]
 
     asked = tiles.each(maps.select(*keys, "xs", "ys"), touched, "asked array<struct<s_row:int,s_col:int>>", drop=["xs", "ys"])
     asked = asked.select(*keys, F.explode("asked").alias("a")).select(*keys, F.col("a.s_row").alias("s_row"), F.col("a.s_col").alias("s_col"))
@@ -97,10 +101,13 @@ def remap(maps: DataFrame, source: DataFrame, tile: int, kernel: str = "cubic",
 
 
 def output_tiles(targets: DataFrame, tile: int) -> DataFrame:
-    """A row for each tile of each target (image, rows, cols of the output, further columns), dealt out by tile."""
+    """A row for each tile of each target (image, rows, cols of the output, further columns), dealt out by tile.
+
+    The number of parts is given, as adaptive execution would put such short rows together into one task, which then makes all maps.
+    """
     across = lambda n: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / tile).cast("int"))
     rows = targets.withColumn("tile_row", F.explode(across("rows"))).withColumn("tile_col", F.explode(across("cols")))
-    return rows.repartition("image", "tile_row", "tile_col")
+    return rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
 
 
 def grid_of(row: dict, tile: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +163,7 @@ def node_maps(targets: DataFrame, nodes: DataFrame, tile: int, step: int) -> Dat
 
 def to_pixels(tiled: DataFrame, tile: int, *columns: str) -> DataFrame:
     """Pixels of output tiles within rows and cols of their target."""
-    own = tiled.select("image", F.col("rows").alias("_rows"), F.col("cols").alias("_cols")).distinct()
-    flat = tiles.pixels(tiled, tile, *columns)
-    return flat.join(own, "image").filter("r < _rows AND c < _cols").drop("_rows", "_cols")
+    return tiles.pixels(tiled, tile, *columns, keep=("rows", "cols")).filter("r < rows AND c < cols").drop("rows", "cols")
 
 
 def covered(maps: DataFrame, shapes: DataFrame) -> DataFrame:

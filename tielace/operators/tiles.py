@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Bytes of arrays that become one Arrow batch.
-OUT_BYTES = 16 << 20
+#: Bytes of an Arrow batch of rows on their way to Python, and of values on their way back, about.
+IN_BYTES, OUT_BYTES = 4 << 20, 4 << 20
 
 
 def with_borders(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
@@ -39,27 +39,37 @@ def cut(pixels: DataFrame, tile: int, halo: int = 0) -> DataFrame:
     place = (F.col("r") - F.col("tile_row") * tile + halo) * side + F.col("c") - F.col("tile_col") * tile + halo
     own = with_borders(pixels, tile, halo).select("image", F.col("tile_row").cast("int"), F.col("tile_col").cast("int"), place.cast("int").alias("p"), F.col("v").cast("double").alias("v"))
     # Only tiles of the image itself: a border reaches beyond the last one.
-    own = own.groupBy("image", "tile_row", "tile_col").agg(F.collect_list(F.struct("p", "v")).alias("at"), F.max(_inside(side, halo)).alias("own"))
+    own = own.filter("v IS NOT NULL OR " + _inside(side, halo)).groupBy("image", "tile_row", "tile_col").agg(F.collect_list(F.struct("p", "v")).alias("at"), F.max(F.expr(_inside(side, halo))).alias("own"))
 
-    def dense(rows: dict) -> list:
+    def dense(row: dict) -> list:
         out = np.full(side * side, np.nan)
-        for p in rows["at"]:
-            out[p["p"]] = np.nan if p["v"] is None else p["v"]
+        out[row["p"]] = row["x"]
         return [out]
 
-    return each(own.filter("own").drop("own"), dense, "v array<double>", drop=["at"])
+    # Two arrays of numbers instead of one of structs: Python gets them without an object a pixel.
+    flat = own.filter("own").select("image", "tile_row", "tile_col", F.col("at.p").alias("p"), F.col("at.v").alias("x"))
+    return each(flat, dense, "v array<double>", drop=["p", "x"])
 
 
-def _inside(side: int, halo: int):
-    r, c = F.floor(F.col("p") / side), F.col("p") % side
-    return (r >= halo) & (r < side - halo) & (c >= halo) & (c < side - halo)
+def _inside(side: int, halo: int) -> str:
+    return f"(p DIV {side} BETWEEN {halo} AND {side - halo - 1} AND p % {side} BETWEEN {halo} AND {side - halo - 1})"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's size of Arrow batches to IN_BYTES: a row is a tile, and ten thousand of them are too many for a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > IN_BYTES:
+        spark.conf.set(name, str(IN_BYTES))
 
 
 def each(rows: DataFrame, f: Callable[[dict], list | None], added: str, drop: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows with what f makes of each of them (a list of values for the added columns, or None: no row), a task's rows one by one.
 
+    A worker holds a batch of about IN_BYTES and what is made of it up to OUT_BYTES, or a single row, however many rows a task has.
+
     f gets a row as a dictionary; arrays of numbers come as NumPy arrays. drop or keep say which columns stay.
     """
+    small_batches(rows.sparkSession)
     more = _parse_datatype_string(added)
     names = [c for c in rows.columns if (c in keep if keep is not None else c not in (drop or []))]
     schema = StructType([*(rows.schema[c] for c in names), *more.fields])
@@ -76,7 +86,7 @@ def each(rows: DataFrame, f: Callable[[dict], list | None], added: str, drop: li
                 if made is not None:
                     found.append(made)
                     at.append(i)
-                    held += sum(v.nbytes for v in made if isinstance(v, np.ndarray))
+                    held += sum(map(_bytes, made))
                 if held > OUT_BYTES:
                     yield _batch(batch, names, at, found, target)
                     found, at, held = [], [], 0
@@ -86,6 +96,15 @@ def each(rows: DataFrame, f: Callable[[dict], list | None], added: str, drop: li
     return rows.mapInArrow(run, schema)
 
 
+def _bytes(value) -> int:
+    """About the memory of a value: arrays, and lists and structs of them."""
+    if isinstance(value, np.ndarray):
+        return value.nbytes
+    if isinstance(value, (list, dict)):
+        return 64 + sum(map(_bytes, value.values() if isinstance(value, dict) else value))
+    return 32
+
+
 def _batch(batch: pa.RecordBatch, names: list[str], at: list[int], found: list[list], target: pa.Schema) -> pa.RecordBatch:
     kept = batch.take(pa.array(at, pa.int64()))
     arrays = [kept.column(c).cast(target.field(c).type) for c in names]
@@ -95,8 +114,9 @@ def _batch(batch: pa.RecordBatch, names: list[str], at: list[int], found: list[l
 
 
 def plain(column: pa.Array) -> list:
-    """A column's values; arrays of numbers as NumPy arrays (null: NaN)."""
-    if pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type):
+    """A column's values; arrays of numbers as NumPy arrays (null: NaN; integers with nulls: lists)."""
+    whole = pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.values.null_count
+    if whole or (pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type)):
         flat = column.values.to_numpy(zero_copy_only=False)
         ends = column.offsets.to_numpy()
         nulls = column.is_null().to_numpy(zero_copy_only=False)
@@ -110,8 +130,8 @@ def plain(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def pixels(tiled: DataFrame, tile: int, *columns: str) -> DataFrame:
-    """image, r, c and the columns (arrays of tile^2 values each), one row a pixel."""
-    at = tiled.select("image", "tile_row", "tile_col", F.posexplode(F.arrays_zip(*columns)).alias("p", "x"))
+def pixels(tiled: DataFrame, tile: int, *columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """image, r, c and the columns (arrays of tile^2 values each), one row a pixel; further columns of the tile to keep as they are."""
+    at = tiled.select("image", "tile_row", "tile_col", *keep, F.posexplode(F.arrays_zip(*columns)).alias("p", "x"))
     r, c = F.col("tile_row") * tile + F.floor(F.col("p") / tile), F.col("tile_col") * tile + F.col("p") % tile
-    return at.select("image", r.cast("int").alias("r"), c.cast("int").alias("c"), *[F.col("x")[x].alias(x) for x in columns])
+    return at.select("image", r.cast("int").alias("r"), c.cast("int").alias("c"), *[F.col("x")[x].alias(x) for x in columns], *keep)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tielace.operators import raster as ops
 from tielace.operators import shadow, structure
+from tielace.operators.lineage import cut
 
 from .registry import query
-from .views import IMAGE, RASTER, raster, raster_sql, table
+from .views import IMAGE, RASTER, images, raster, raster_sql, table
 
 
 def r6(c):
@@ -99,8 +100,8 @@ shade AS (SELECT raster.image, raster.r, raster.c, coalesce(s, FALSE) AS shadowe
 
 def shade(spark, sf):
     """Each image lit from a direction of its own."""
-    heights = raster(spark, sf)
-    suns = heights.select("image").distinct().select("image", ((F.col("image") * 40 + 15) % 360).cast("double").alias("azimuth"), (12 + F.col("image") % 20).cast("double").alias("elevation"))
+    heights = cut(raster(spark, sf))
+    suns = images(spark, sf).select("image", ((F.col("image") * 40 + 15) % 360).cast("double").alias("azimuth"), (12 + F.col("image") % 20).cast("double").alias("elevation"))
     return shadow.cast_shadows(heights, suns, 1.0, 64)
 
 

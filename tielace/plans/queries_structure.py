@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tielace.operators import raster as ops
 from tielace.operators import refine, reseed, structure
+from tielace.operators.lineage import cut
 
 from .queries_warp import _FILLED, filled
 from .registry import query
-from .views import raster
+from .views import images
 
 _MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 63 THEN 126 - ({0}) ELSE {0} END"
 
@@ -47,7 +48,7 @@ def moved(pixels):
 
 def lattice(spark, sf):
     """Nine points of each image, and the same place as where they are expected."""
-    at = raster(spark, sf).select("image").distinct()
+    at = images(spark, sf)
     at = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
     x, y = F.col("j") * 12 + 20.25, F.col("i") * 12 + 19.75
     return at.select("image", (F.col("i") * 3 + F.col("j")).alias("key"), x.alias("xs"), y.alias("ys"), x.alias("xr"), y.alias("yr"))
@@ -129,7 +130,7 @@ def _described(name: str, moved: int, turned: int) -> str:
 
 def index_map(spark, sf):
     """Which of six directions the brightness changes along most, by pixel."""
-    return ops.orientation_energy(filled(spark, sf), 6).select("image", "r", "c", F.col("strongest").alias("v"))
+    return cut(ops.orientation_energy(filled(spark, sf), 6).select("image", "r", "c", F.col("strongest").alias("v")))
 
 
 def keypoints(spark, sf, moved: int = 0):
@@ -178,7 +179,7 @@ def reseeded(spark, sf):
     source = filled(spark, sf)
     peaks = ops.local_maxima(source, 2, 16, 4).select("image", (F.col("r") * 64 + F.col("c")).alias("key"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), F.col("v").alias("strength"))
     own = peaks.filter(((F.col("x") + F.col("y") + F.col("image")) % 3 == 0) & (F.col("x") < 40))
-    at = raster(spark, sf).select("image").distinct()
+    at = images(spark, sf)
     shapes = at.select("image", F.lit(64).alias("rows"), F.lit(64).alias("cols"))
     h = at.select("image", F.array(*[F.lit(float(v)) for v in (1, 0, -2, 0, 1, 1, 0, 0, 1)]).alias("h"))
     return own, reseed.reseed(own, peaks, h, source, moved(source), shapes, _CELLS, _CELLS, patch=_PATCH, window=_WINDOW // 2, most=_MOST, tile=32), shapes

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tielace.operators import raster as ops
 from tielace.operators import resample
+from tielace.operators.lineage import cut
 
-from .queries_raster import _DENSE, grid
+from .queries_raster import _DENSE
 from .registry import query
-from .views import raster, raster_sql
+from .views import images, raster, raster_sql
 
 #: The output of the warps, in pixels.
 ROWS, COLS = 72, 80
@@ -17,7 +18,8 @@ _FILLED = f"""{_DENSE}, mid AS (SELECT image, median(v) AS m FROM d GROUP BY ima
 
 
 def filled(spark, sf):
-    return ops.filled(grid(spark, sf))
+    """The raster with its holes at the image's median, worked out once: operators by tile read it several times."""
+    return cut(ops.filled(ops.dense(cut(raster(spark, sf)), 64, 64)))
 
 
 def _taps(places: str, n: int, weight: str, border: str) -> str:
@@ -39,7 +41,7 @@ _INVERSE = """((e - f0 * h) * {x} + (c0 * h - b) * {y} + b * f0 - c0 * e) / ((d
 def transforms(spark, sf):
     """A homography from source to output for each image."""
     k = F.col("image")
-    own = raster(spark, sf).select("image").distinct()
+    own = images(spark, sf)
     h = F.array(1 + 0.002 * (k % 7), -0.03 * (k % 3), 1.25 + k % 4, F.lit(0.02), F.lit(0.98), F.lit(-0.75), F.lit(0.0001), F.lit(0.00005), F.lit(1.0))
     return own.select("image", F.lit(ROWS).alias("rows"), F.lit(COLS).alias("cols"), h.alias("h"))
 
@@ -94,9 +96,9 @@ SELECT image, r, c, CASE WHEN n = 16 THEN round(q.v, 4) + 0.0 END AS v, n = 16 A
 def orthorectified(spark, sf):
     """Each image on a north-up grid, with the parallax of heights seen ten degrees off the vertical."""
     k = F.col("image")
-    high = ops.filled(ops.dense(raster(spark, sf, F.col("l_extendedprice") / 1024), 64, 64))
+    high = ops.filled(ops.dense(cut(raster(spark, sf, F.col("l_extendedprice") / 1024)), 64, 64))
     h = F.array(F.lit(2.1), F.lit(0.02), -214 + 0.3 * (k % 3), F.lit(-0.01), F.lit(-1.9), F.lit(381.0), F.lit(0.0002), F.lit(0.0), F.lit(0.98))
-    own = raster(spark, sf).select("image").distinct()
+    own = images(spark, sf)
     grids = own.select("image", F.lit(_OROWS).alias("rows"), F.lit(_OCOLS).alias("cols"), F.lit(100.0).alias("x0"), F.lit(200.0).alias("y1"), F.lit(0.5).alias("gsd"), h.alias("h"), F.lit(10.0).alias("emission"), (30.0 * (k % 4)).alias("azimuth"))
-    found = resample.orthorectify(filled(spark, sf), grids, ops.decimate(high, 2).select("image", "r", "c", "v"))
+    found = resample.orthorectify(filled(spark, sf), grids, cut(ops.decimate(high, 2).select("image", "r", "c", "v")))
     return found.select("image", "r", "c", (F.round("v", 4) + 0.0).alias("v"), "covered")

@@ -49,6 +49,11 @@ def raster(spark: SparkSession, sf_dir: str, value: str = "l_quantity") -> DataF
     return table(spark, sf_dir, "lineitem").groupBy(*place).agg(F.avg(value).alias("v"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image: those of the raster, without its pixels."""
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / IMAGE).alias("image")).distinct()
+
+
 def raster_sql(name: str = "raster", value: str = "l_quantity") -> str:
     return f"{name} AS (SELECT l_orderkey // {IMAGE} AS image, CAST(l_orderkey % 64 AS INTEGER) AS r, CAST(l_partkey % 64 AS INTEGER) AS c, avg({value}) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
