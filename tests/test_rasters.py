@@ -298,3 +298,49 @@ def test_maps_are_made_by_many_tasks_and_once(spark):
     found = resample.to_pixels(resample.homography_maps(targets, 64), 64, "xs")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert found.count() == 20 * 200 * 200
+
+
+def test_splines_are_the_least_squares_solutions():
+    """Distinct places, some twice, on a line, and all at one place: each against its whole system."""
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(-0.1, 0.1, (40, 24, 2))
+    xy[10:20, 12:] = xy[10:20, :12]
+    xy[20:30, :, 0] = np.linspace(-0.1, 0.1, 24)  # apart from each other: the whole system is solved to few digits where they are not
+    xy[20:30, :, 1] = 2 * xy[20:30, :, 0]
+    xy[30:] = xy[30:, :1]
+    values, at, smoothings = rng.standard_normal((40, 24, 2)), rng.uniform(-0.1, 0.1, (40, 2)), (0.0, 0.01, 1.0)
+    at[30:] = xy[30:, 0]
+    got = localmodel.splines(xy, values, at, smoothings)
+
+    def kernel(a, b):
+        r2 = ((a[:, None] - b[None]) ** 2).sum(-1)
+        return np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0.0)
+
+    for m in range(40):
+        for s, smoothing in enumerate(smoothings):
+            p = np.c_[np.ones(24), xy[m]]
+            system = np.block([[kernel(xy[m], xy[m]) + smoothing * np.eye(24), p], [p.T, np.zeros((3, 3))]])
+            w = np.linalg.lstsq(system, np.r_[values[m], np.zeros((3, 2))], rcond=None)[0]
+            want = kernel(at[m : m + 1], xy[m]) @ w[:24] + np.r_[1, at[m]] @ w[24:]
+            assert np.allclose(got[m, s], want[0], rtol=1e-7, atol=1e-8), (m, s)
+
+
+def test_what_is_made_of_neighbours_is_that_of_all_pairs(spark, monkeypatch):
+    """Across tiles, in whichever task it is made; only the rows at borders go through a second one."""
+    import pyarrow as pa
+
+    from tielace.operators import nearest
+
+    monkeypatch.setattr(nearest, "TILE", 64)
+    rng = np.random.default_rng(5)
+    xy = rng.uniform(0, 10, (700, 2)).round(1)
+    points = spark.createDataFrame([(k, "a" if k < 600 else "b", float(x), float(y)) for k, (x, y) in enumerate(xy)], "tid long, g string, x double, y double")
+
+    def made(own, near, counts):
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), near.column("tid").combine_chunks().cast(pa.float64()))
+
+    got = {r["tid"]: [int(v) for v in r["found"]] for r in nearest.nearest(points, points, 6, keys=("g",), made=made).collect()}
+    assert len(got) == 700
+    for k in range(700):
+        others = [j for j in range(*((0, 600) if k < 600 else (600, 700))) if j != k]
+        assert got[k] == sorted(others, key=lambda j: (np.hypot(*(xy[j] - xy[k])), j))[:6]

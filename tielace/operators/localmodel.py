@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,38 +44,63 @@ def quadratic(points: DataFrame, key: str, ridge: float = 1e-3) -> DataFrame:
     return moments.mapInPandas(solve, f"{key} string, n long, cx array<double>, cy array<double>")
 
 
-def spline(xy: np.ndarray, values: np.ndarray, at: np.ndarray, smoothing: float) -> np.ndarray:
-    """A thin-plate spline through values at xy, smoothing on the diagonal, evaluated at other places."""
-    kernel = lambda a, b: (lambda r2: np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0.0))(((a[:, None] - b[None]) ** 2).sum(-1))
-    n, p = len(xy), np.c_[np.ones(len(xy)), xy]
-    system = np.block([[kernel(xy, xy) + smoothing * np.eye(n), p], [p.T, np.zeros((3, 3))]])
-    w = np.linalg.lstsq(system, np.r_[values, np.zeros((3, values.shape[1]))], rcond=None)[0]
-    return kernel(at, xy) @ w[:n] + np.c_[np.ones(len(at)), at] @ w[n:]
+#: Splines that are solved together.
+TOGETHER = 512
+
+
+def splines(xy: np.ndarray, values: np.ndarray, at: np.ndarray, smoothings: tuple[float, ...]) -> np.ndarray:
+    """[spline, smoothing, value]: m thin-plate splines through values (m, n, values) at xy (m, n, 2), smoothing on the diagonal, each at one place (m, 2).
+
+    The kernel between weights that the plane can't express is parted into its eigenvectors once for all smoothings. What is
+    singular (equal or collinear places) has the least-squares solution of least norm.
+    """
+    kernel = lambda d: (lambda r2: np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0.0))((d**2).sum(-1))
+    m, n = xy.shape[:2]
+    k, k_at = kernel(xy[:, :, None] - xy[:, None]), kernel(at[:, None] - xy)
+    left, size, right = np.linalg.svd(np.concatenate([np.ones((m, n, 1)), xy], 2))
+    least = np.finfo(float).eps * (n + 3) * size[:, :1]
+    rank = (size > least).sum(axis=1)
+    out = np.empty((m, len(smoothings), values.shape[2]))
+    for r in np.unique(rank):
+        own = rank == r
+        plane, free, kern, v = left[own, :, :r], left[own, :, r:], k[own], values[own]
+        bend, turn = np.linalg.eigh(free.transpose(0, 2, 1) @ kern @ free)
+        free = free @ turn
+        on_plane = (np.c_[np.ones(own.sum()), at[own]][:, None] @ right[own, :r].transpose(0, 2, 1)) / size[own, None, :r] @ plane.transpose(0, 2, 1)
+        beside = (k_at[own, None] - on_plane @ kern) @ free
+        shares = free.transpose(0, 2, 1) @ v
+        for s, smoothing in enumerate(smoothings):
+            stiff = bend + smoothing
+            known = np.abs(stiff) > least[own]
+            out[own, s] = ((on_plane @ v) + (beside * np.where(known, 1 / np.where(known, stiff, 1), 0.0)[:, None]) @ shares)[:, 0]
+    return out
 
 
 def spline_choice(points: DataFrame, key: str, smoothings: tuple[float, ...] = (0.0, 0.01, 0.1, 1.0, 10.0), around: int = 24) -> DataFrame:
     """key, smoothing, n, loocv: the smoothing with the least leave-one-out error of each group, the first of equal ones.
 
     Every point is predicted by splines through its nearest others, around of them, so all points take part, each with a
-    small system of its own, and a group of any size is dealt to all tasks. Points need u, v, dx, dy, tid; groups of fewer
+    small system of its own, and a group of any size is dealt to all tasks. A task solves the systems of the points whose neighbours it has
+    found, many at once, and hands on their errors alone. Points need u, v, dx, dy, tid; groups of fewer
     than five points have no row.
     """
     place = points.select(key, "tid", F.col("u").alias("x"), F.col("v").alias("y"), "dx", "dy")
-    near = nearest(place, place, around, keys=(key,))
-    row = F.struct("rank", "n_x", "n_y", "n_dx", "n_dy")
-    lists = near.groupBy(key, "tid").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("dx").alias("dx"), F.first("dy").alias("dy"), F.sort_array(F.collect_list(row)).alias("near"))
-    lists = lists.filter(F.size("near") >= 4)
 
-    def predict(frames):
-        for f in frames:
-            errors = []
-            for x, y, dx, dy, near_ in zip(f["x"], f["y"], f["dx"], f["dy"], f["near"], strict=True):
-                xy, d = np.array([[r["n_x"], r["n_y"]] for r in near_]), np.array([[r["n_dx"], r["n_dy"]] for r in near_])
-                errors.append([float(((spline(xy, d, np.array([[x, y]]), s)[0] - (dx, dy)) ** 2).sum()) for s in smoothings])
-            yield pd.DataFrame({key: f[key], "errors": errors})
-
-    found = lists.mapInPandas(predict, f"{key} string, errors array<double>").select(key, F.posexplode("errors").alias("at", "e"))
-    tried = found.groupBy(key, "at").agg(F.count("*").alias("n"), F.sqrt(F.avg("e")).alias("loocv"))
+    def predict(own: pa.Table, near: pa.Table, counts: np.ndarray) -> pa.Array:
+        columns = lambda t, *names: np.stack([t.column(c).to_numpy().astype(float) for c in names], 1)
+        at, known, xy, d = columns(own, "x", "y"), columns(own, "dx", "dy"), columns(near, "x", "y"), columns(near, "dx", "dy")
+        starts, errors = np.cumsum(counts) - counts, np.zeros((len(counts), len(smoothings)))
+        for n in np.unique(counts[counts >= 4]):
+            same = np.flatnonzero(counts == n)
+            for rows in (same[k : k + TOGETHER] for k in range(0, len(same), TOGETHER)):
+                of = starts[rows][:, None] + np.arange(n)
+                errors[rows] = ((splines(xy[of], d[of], at[rows], smoothings) - known[rows, None]) ** 2).sum(2)
+        ends = np.r_[0, np.cumsum((counts >= 4) * len(smoothings))]  # fewer neighbours: no errors
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(errors[counts >= 4].ravel()))
+
+    found = nearest(place, place, around, keys=(key,), made=predict).filter(F.size("found") > 0)
+    sums = found.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.sqrt(F.avg(F.get("found", F.lit(k)))) for k in range(len(smoothings))]).alias("e"))
+    tried = sums.select(key, "n", F.posexplode("e").alias("at", "loocv"))
     values = F.array(*[F.lit(float(s)) for s in smoothings])
     best = tried.groupBy(key).agg(F.min_by(F.struct("at", "n", "loocv"), F.struct(F.round("loocv", 12), "at")).alias("b"))
     return best.select(key, F.get(values, F.col("b.at")).alias("smoothing"), "b.n", "b.loocv")
