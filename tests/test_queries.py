@@ -63,3 +63,13 @@ def test_the_order_of_a_mean_decides_no_cell(spark, tmp_path):
     con = _tables(spark, tmp_path, lineitem=(given, "l_orderkey long, l_partkey long, l_quantity double, l_tax double"))
     got = catalogue.QUERIES["valid_cells"](spark, str(tmp_path)).select("cell", "image", "share", "valid")
     assert rows(got.collect()) == rows(con.sql(catalogue.ORACLE_SQL["valid_cells"]).select("cell", "image", "share", "valid").fetchall()) == [(0, 0, 0.0, False)]
+
+
+def test_a_crowded_cell_of_footprints_is_joined_in_parts(spark, sql, small, monkeypatch):
+    from tielace.plans import queries_raster
+
+    monkeypatch.setattr(queries_raster, "CROWD", 7)
+    want = sql.sql(catalogue.ORACLE_SQL["footprint_overlap"])
+    got = catalogue.QUERIES["footprint_overlap"](spark, small)
+    keys = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_part" in keys and rows(got.select(*sorted(want.columns)).collect()) == rows(want.select(*sorted(want.columns)).fetchall())

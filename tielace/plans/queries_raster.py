@@ -198,6 +198,8 @@ def tile_shift(spark, sf):
     return ops.best_shift(p, moved, 32, 2).select("image", "tile_row", "tile_col", "dr", "dc", r6(F.col("ncc")).alias("ncc"), "n")
 
 
+#: Footprints of a cell that one part of it takes from one side.
+CROWD = 512
 _BOXES = """b AS (SELECT o_custkey % 50 + 50 * (o_orderkey // 20000) AS product, min(o_totalprice) AS x0, min(o_totalprice) + 20000 + (o_custkey % 50) * 100 AS x1,
   min(o_custkey) AS y0, min(o_custkey) + 300 AS y1 FROM orders GROUP BY product, o_custkey % 50)"""
 
@@ -207,18 +209,22 @@ SELECT a.product AS a, c.product AS b, round(least(a.x1, c.x1) - greatest(a.x0,
   round((least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)), 2) AS area
 FROM b a JOIN b c ON a.product < c.product AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1""")
 def footprint_overlap(spark, sf):
-    """Footprints that overlap, by joining the grid cells that each covers; a pair counts in its first shared cell."""
+    """Footprints that overlap, by joining the grid cells that each covers; a pair counts in its first shared cell. A crowded cell is joined in parts."""
     o, side, high = table(spark, sf, "orders"), 10_000.0, 100.0
     product = (F.col("o_custkey") % 50 + 50 * F.floor(F.col("o_orderkey") / 20000)).alias("product")
     boxes = o.groupBy(product, (F.col("o_custkey") % 50).alias("k")).agg(F.min("o_totalprice").alias("x0"), F.min("o_custkey").alias("y0"))
     boxes = boxes.select("product", "x0", (F.col("x0") + 20000 + F.col("k") * 100).alias("x1"), "y0", (F.col("y0") + 300).alias("y1"))
     at = lambda c, size: F.floor(F.col(c) / size)
     cells = boxes.withColumn("i", F.explode(F.sequence(at("x0", side), at("x1", side)))).withColumn("j", F.explode(F.sequence(at("y0", high), at("y1", high))))
-    other = cells.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns])
+    parts = cells.groupBy("i", "j").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    cells = cells.join(parts, ["i", "j"])
+    other = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("product"), "parts").cast("int")).drop("parts")
+    other = other.select(*[F.col(c).alias(f"o_{c}") for c in other.columns])
     low_x, low_y = F.greatest("x0", "o_x0"), F.greatest("y0", "o_y0")
     first = (F.floor(low_x / side) == F.col("i")) & (F.floor(low_y / high) == F.col("j"))
     near = (F.col("x0") <= F.col("o_x1")) & (F.col("o_x0") <= F.col("x1")) & (F.col("y0") <= F.col("o_y1")) & (F.col("o_y0") <= F.col("y1"))
-    met = cells.join(other, (F.col("i") == F.col("o_i")) & (F.col("j") == F.col("o_j")) & (F.col("product") < F.col("o_product")) & near & first)
+    met = cells.join(other, (F.col("i") == F.col("o_i")) & (F.col("j") == F.col("o_j")) & (F.col("part") == F.col("o_part")) & (F.col("product") < F.col("o_product")) & near & first)
     width, height = F.least("x1", "o_x1") - low_x, F.least("y1", "o_y1") - low_y
     return met.select(F.col("product").alias("a"), F.col("o_product").alias("b"), F.round(width, 4).alias("width"), height.cast("double").alias("height"), F.round(width * height, 2).alias("area"))
 
