@@ -155,8 +155,9 @@ def turned_match(spark, sf):
 
     index = index_map(spark, sf)
     turned = index.select("image", "r", "c", ((F.col("v") + 2) % 6).alias("v"))
-    own = structure.index_descriptors(index, keypoints(spark, sf), 36, tile=32).withColumnRenamed("image", "pair")
-    other = structure.index_descriptors(turned, keypoints(spark, sf, 1), 36, tile=32).withColumnRenamed("image", "pair")
+    # Both are counted and then joined.
+    own = cut(structure.index_descriptors(index, keypoints(spark, sf), 36, tile=32).withColumnRenamed("image", "pair"))
+    other = cut(structure.index_descriptors(turned, keypoints(spark, sf, 1), 36, tile=32).withColumnRenamed("image", "pair"))
     return pair_matches(own, other, 0.85, 6).select("pair", "src", "ref", F.round("cosine", 6).alias("cosine"))
 
 
