@@ -300,6 +300,17 @@ def test_maps_are_made_by_many_tasks_and_once(spark):
     assert found.count() == 20 * 200 * 200
 
 
+def test_a_warp_runs_few_python_steps(spark):
+    """Each step has a worker of its own in every task; what lies in the source is said where the map is made, not in a step after it."""
+    a = terrain(40)
+    targets = spark.createDataFrame([(1, 40, 40, np.eye(3).ravel().tolist())], "image int, rows int, cols int, h array<double>")
+    nodes = resample.nodes_of(targets.drop("h"), 8, F.col("gx"), F.col("gy"))
+    for found in (resample.warp(imaged(spark, a), targets, "linear", tile=16), resample.warp_by_nodes(imaged(spark, a), targets.drop("h"), nodes, "linear", tile=16, step=8)):
+        # The maps twice (what they ask for, what they weigh), that, the source's tiles, and the weighing.
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5
+        assert found.filter("covered").count() == 1600
+
+
 def test_splines_are_the_least_squares_solutions():
     """Distinct places, some twice, on a line, and all at one place: each against its whole system."""
     rng = np.random.default_rng(3)

@@ -7,6 +7,8 @@ an output tile touches a bounded number of source tiles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,18 +126,32 @@ def applied(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
     return (h[0, 0] * x + h[0, 1] * y + h[0, 2]) / w, (h[1, 0] * x + h[1, 1] * y + h[1, 2]) / w
 
 
+def map_tiles(rows: DataFrame, place: Callable[[dict], tuple[np.ndarray, np.ndarray]], drop: list[str]) -> DataFrame:
+    """Rows of output tiles with xs and ys of place; and where they have src_rows and src_cols, inside (array<double>: 1 where a place lies in
+    a source of so many pixels, else 0) in place of those, made in the same step: each step has a Python worker of its own in every task."""
+    known = "src_rows" in rows.columns
+
+    def made(row: dict) -> list:
+        x, y = (a.ravel() for a in place(row))
+        if not known:
+            return [x, y]
+        with np.errstate(invalid="ignore"):
+            return [x, y, ((x >= 0) & (y >= 0) & (x < row["src_cols"]) & (y < row["src_rows"])).astype(float)]
+
+    return tiles.each(rows, made, "xs array<double>, ys array<double>" + ", inside array<double>" * known, drop=[*drop, "src_rows", "src_cols"])
+
+
 def homography_maps(targets: DataFrame, tile: int) -> DataFrame:
-    """Map tiles of targets (image, rows, cols, h: the homography from source to output, 9 numbers by rows)."""
+    """Map tiles of targets (image, rows, cols, h: the homography from source to output, 9 numbers by rows; src_rows, src_cols: see map_tiles)."""
 
-    def mapped(row: dict) -> list:
-        xs, ys = applied(np.linalg.inv(row["h"].reshape(3, 3)), *grid_of(row, tile))
-        return [xs.ravel(), ys.ravel()]
+    def place(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return applied(np.linalg.inv(row["h"].reshape(3, 3)), *grid_of(row, tile))
 
-    return tiles.each(output_tiles(targets, tile), mapped, "xs array<double>, ys array<double>", drop=["h"])
+    return map_tiles(output_tiles(targets, tile), place, ["h"])
 
 
 def node_maps(targets: DataFrame, nodes: DataFrame, tile: int, step: int) -> DataFrame:
-    """Map tiles of targets (image, rows, cols) from places at every step-th output pixel, linear between them.
+    """Map tiles of targets (image, rows, cols; src_rows, src_cols: see map_tiles) from places at every step-th output pixel, linear between them.
 
     nodes: image, i, j (the node at output row i * step, column j * step), x, y. They have to reach beyond the last row and column;
     a pixel without its four nodes has no place. A tile is a multiple of step, and a node goes to the up to four tiles it borders.
@@ -147,7 +163,7 @@ def node_maps(targets: DataFrame, nodes: DataFrame, tile: int, step: int) -> Dat
     dealt = nodes.withColumn("tile_row", F.explode(around("i"))).withColumn("tile_col", F.explode(around("j")))
     held = dealt.groupBy(*KEYS).agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in "ij"], *[F.col(c).cast("double").alias(c) for c in "xy"])).alias("nodes"))
 
-    def mapped(row: dict) -> list:
+    def place(row: dict) -> tuple[np.ndarray, np.ndarray]:
         at = np.full((2, per + 1, per + 1), np.nan)
         for n in row["nodes"] or []:
             at[:, n["i"] - row["tile_row"] * per, n["j"] - row["tile_col"] * per] = n["x"], n["y"]
@@ -156,9 +172,9 @@ def node_maps(targets: DataFrame, nodes: DataFrame, tile: int, step: int) -> Dat
         t = k - low
         rows = at[:, low] * (1 - t)[:, None] + at[:, low + 1] * t[:, None]
         full = rows[:, :, low] * (1 - t) + rows[:, :, low + 1] * t
-        return [full[0].ravel(), full[1].ravel()]
+        return full[0], full[1]
 
-    return tiles.each(output_tiles(targets, tile).join(held, list(KEYS), "left"), mapped, "xs array<double>, ys array<double>", drop=["nodes"])
+    return map_tiles(output_tiles(targets, tile).join(held, list(KEYS), "left"), place, ["nodes"])
 
 
 def to_pixels(tiled: DataFrame, tile: int, *columns: str) -> DataFrame:
@@ -166,16 +182,9 @@ def to_pixels(tiled: DataFrame, tile: int, *columns: str) -> DataFrame:
     return tiles.pixels(tiled, tile, *columns, keep=("rows", "cols")).filter("r < rows AND c < cols").drop("rows", "cols")
 
 
-def covered(maps: DataFrame, shapes: DataFrame) -> DataFrame:
-    """The maps with inside (array<double>: 1 where a place lies in the source, of src_rows by src_cols pixels, else 0)."""
-    own = shapes.select("image", F.col("rows").alias("src_rows"), F.col("cols").alias("src_cols"))
-
-    def inside(row: dict) -> list:
-        x, y = row["xs"], row["ys"]
-        with np.errstate(invalid="ignore"):
-            return [((x >= 0) & (y >= 0) & (x < row["src_cols"]) & (y < row["src_rows"])).astype(float)]
-
-    return tiles.each(maps.join(own, "image"), inside, "inside array<double>", drop=["src_rows", "src_cols"])
+def sized(targets: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The targets whose image has pixels, with src_rows and src_cols: rows are joined that are still short."""
+    return targets.join(tiles.sizes(pixels).select("image", F.col("rows").alias("src_rows"), F.col("cols").alias("src_cols")), "image")
 
 
 def warp(pixels: DataFrame, targets: DataFrame, kernel: str = "lanczos", border: float | None = 0.0, tile: int = 64) -> DataFrame:
@@ -184,13 +193,13 @@ def warp(pixels: DataFrame, targets: DataFrame, kernel: str = "lanczos", border:
     v takes border for pixels beyond the source (null without one); covered says whether the place itself is in the source. Images of
     the targets without pixels give no rows.
     """
-    maps = covered(homography_maps(targets, tile), tiles.sizes(pixels))
+    maps = homography_maps(sized(targets, pixels), tile)
     return _finished(remap(maps, tiles.cut(pixels, tile), tile, kernel, border), tile)
 
 
 def warp_by_nodes(pixels: DataFrame, targets: DataFrame, nodes: DataFrame, kernel: str = "lanczos", border: float | None = 0.0, tile: int = 64, step: int = 16) -> DataFrame:
     """The same where the places come from nodes: a homography with local corrections and jitter, worked out every step pixels."""
-    maps = covered(node_maps(targets, nodes, tile, step), tiles.sizes(pixels))
+    maps = node_maps(sized(targets, pixels), nodes, tile, step)
     return _finished(remap(maps, tiles.cut(pixels, tile), tile, kernel, border), tile)
 
 
