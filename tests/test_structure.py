@@ -142,6 +142,15 @@ def test_matches_are_refined_across_tiles(spark):
     assert refine.refine(points.limit(0), imaged(spark, source), imaged(spark, reference), 40).count() == 0
 
 
+def test_a_task_holds_few_tiles_however_many_it_has(spark):
+    """Forty tiles of a MB in one task, with a session whose batches have no bound: a row's array is a part of its batch's."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("image"), F.array_repeat(F.lit(0.5), 1 << 17).alias("v"))
+    got = tiles.each(rows, lambda row: [row["v"].base.nbytes, float(row["v"].sum())], "held long, total double", keep=["image"]).collect()
+    assert len(got) == 40 and all(r["total"] == 1 << 16 for r in got)
+    assert max(r["held"] for r in got) <= tiles.IN_BYTES + (1 << 20)
+
+
 def test_the_query_finds_the_moved_place(spark, small):
     from tielace.plans.queries_structure import lattice, refined_matches
 
