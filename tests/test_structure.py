@@ -1,6 +1,7 @@
 """Structural matching and refinement on small images with known answers."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_rasters import imaged, terrain
@@ -61,6 +62,25 @@ def test_a_patch_is_found_again_whatever_the_contrast(spark, light):
         assert all((got[k]["peak"], got[k]["sharpness"], got[k]["x"]) == (0, 0, x) for k, x in ((90, 5), (91, 115), (92, 60), (93, 60)))
 
 
+def test_templates_of_many_points_leave_python_in_small_batches(spark):
+    """What templates of sixty tiles' points come to, 64 KB each, is given back as it is made."""
+    rows = spark.range(0, 60, 1, 1).selectExpr("id image", "cast(0 as double) v")
+    taken = []
+
+    class Rows:
+        """A table whose step is run here."""
+
+        columns, schema, sparkSession = rows.columns, rows.schema, spark
+
+        def mapInArrow(self, run, schema):
+            taken.extend(run(iter([pa.RecordBatch.from_pydict({"image": list(range(60)), "v": [0.0] * 60})])))
+
+    made = lambda row: [[{"key": k, "template": np.full(1 << 13, float(row["image"]))} for k in range(16)]]
+    tiles.each(Rows(), made, "found array<struct<key:int,template:array<double>>>", keep=["image"])
+    assert [i for b in taken for i in b.column(0).to_pylist()] == list(range(60))
+    assert max(b.nbytes for b in taken) <= tiles.OUT_BYTES + (2 << 20)
+
+
 def test_crowded_tiles_become_several_rows(spark):
     a = terrain(40)
     points = spark.range(1000).selectExpr("1 image", "id key", "20.0D x", "20.0D y")
