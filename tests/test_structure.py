@@ -88,6 +88,17 @@ def test_crowded_tiles_become_several_rows(spark):
     assert sum(r["n"] for r in held) == 1000 and len(held) == 8 and max(r["n"] for r in held) < 200
 
 
+@pytest.mark.parametrize("run", [lambda p, a: refine.refine(p, a, a, 24, 4.0, tile=32)], ids=["refine"])
+def test_patches_are_cut_once(spark, run):
+    """Four Python steps: both sides' tiles, the patches of the source, and what is found with them; points are counted by tile before that."""
+    rows = [(1, k, 30.0 + k, 30.0, 30.0 + k, 30.0) for k in range(300)] + [(2, 300, 30.0, 30.0, 30.0, 30.0)]
+    points = spark.createDataFrame(rows, "image int, key int, xs double, ys double, xr double, yr double")
+    found = run(points, imaged(spark, terrain(70)).localCheckpoint())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4
+    assert sorted(r["key"] for r in found.select("key").collect()) == list(range(301))
+
+
 def shifted(a, dx, dy):
     """A periodic image whose content lies (dx, dy) further, by its spectrum."""
     fy, fx = np.meshgrid(np.fft.fftfreq(a.shape[0]), np.fft.fftfreq(a.shape[1]), indexing="ij")

@@ -246,7 +246,7 @@ def refine(matches: DataFrame, source: DataFrame, reference: DataFrame, patch: i
         return [out]
 
     added = "x double, y double, var_x double, var_y double, cov_xy double, method string, reason string, shift double"
-    return structure.each_point(structure.met(cut, structure.bordered(reference, tile, far), "xr", "yr", tile, "key"), refined, added, key_type)
+    return structure.each_point(structure.met(cut, structure.bordered(reference, tile, far), "xr", "yr", tile, "key", own), refined, added, key_type)
 
 
 def paraboloids(pixels: DataFrame, peaks: DataFrame) -> DataFrame:

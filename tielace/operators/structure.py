@@ -127,16 +127,17 @@ def local_normalise(pixels: DataFrame, window: int = 31, tile: int = 256) -> Dat
     return tiles.pixels(found, tile, "z").filter(~F.isnan("z"))
 
 
-def met(points: DataFrame, tiled: DataFrame, x: str, y: str, tile: int, key: str) -> DataFrame:
+def met(points: DataFrame, tiled: DataFrame, x: str, y: str, tile: int, key: str, counted: DataFrame | None = None) -> DataFrame:
     """The tile of each point with points (array of structs of all their columns), at most about POINTS to a row.
 
     Points of a tile are counted first and dealt by a hash of their key, so that a crowded tile becomes several rows. A point
-    whose tile isn't there comes with v null.
+    whose tile isn't there comes with v null. counted: the same points at the same places before what was made of them in Python, which would
+    be made twice if it were counted.
     """
     at = lambda c: F.floor(F.rint(c) / tile).cast("int")
-    placed = points.withColumns({"tile_row": at(y), "tile_col": at(x)})
-    many = placed.groupBy(*KEYS).agg(F.ceil(F.count("*") / POINTS).alias("chunks"))
-    dealt = placed.join(many, list(KEYS)).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")))
+    placed = lambda p: p.withColumns({"tile_row": at(y), "tile_col": at(x)})
+    many = placed(points if counted is None else counted).groupBy(*KEYS).agg(F.ceil(F.count("*") / POINTS).alias("chunks"))
+    dealt = placed(points).join(many, list(KEYS)).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")))
     held = dealt.groupBy(*KEYS, "chunk").agg(F.collect_list(F.struct(*[c for c in points.columns if c != "image"])).alias("points"))
     return held.join(tiled, list(KEYS), "left")
 
