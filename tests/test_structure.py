@@ -88,7 +88,7 @@ def test_crowded_tiles_become_several_rows(spark):
     assert sum(r["n"] for r in held) == 1000 and len(held) == 8 and max(r["n"] for r in held) < 200
 
 
-@pytest.mark.parametrize("run", [lambda p, a: refine.refine(p, a, a, 24, 4.0, tile=32)], ids=["refine"])
+@pytest.mark.parametrize("run", [lambda p, a: structure.template_match(p, a, a, 24, 16, 32), lambda p, a: refine.refine(p, a, a, 24, 4.0, tile=32)], ids=["template_match", "refine"])
 def test_patches_are_cut_once(spark, run):
     """Four Python steps: both sides' tiles, the patches of the source, and what is found with them; points are counted by tile before that."""
     rows = [(1, k, 30.0 + k, 30.0, 30.0 + k, 30.0) for k in range(300)] + [(2, 300, 30.0, 30.0, 30.0, 30.0)]

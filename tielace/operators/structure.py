@@ -233,7 +233,7 @@ def template_match(points: DataFrame, source: DataFrame, reference: DataFrame, p
             out.append({"key": p["key"], "x": np.rint(p["xr"]) - far + c, "y": np.rint(p["yr"]) - far + r, "peak": top, "sharpness": sharp})
         return [out]
 
-    return each_point(met(cut, bordered(reference, tile, wide), "xr", "yr", tile, "key"), searched, "x double, y double, peak double, sharpness double", key_type)
+    return each_point(met(cut, bordered(reference, tile, wide), "xr", "yr", tile, "key", own), searched, "x double, y double, peak double, sharpness double", key_type)
 
 
 def index_descriptors(indices: DataFrame, keypoints: DataFrame, patch: int = 96, grid: int = 6, n: int = 6, tile: int = 256) -> DataFrame:
