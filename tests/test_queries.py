@@ -56,6 +56,15 @@ def test_tiles_beyond_the_eighth_column_have_their_own_places(spark, tmp_path):
     assert got.count() == 40
 
 
+def test_a_place_on_the_edge_of_the_source_is_covered(spark, tmp_path):
+    # In images 4, 16, 28 and 76 of every 84 row 40, column 0 comes from x = 0 exactly; a rounding error put it beside the source.
+    given = [(image * 4096 + k, 7 * k, float(k % 50)) for image in (4, 16, 28, 40, 76, 88) for k in range(40)]
+    con = _tables(spark, tmp_path, lineitem=(given, "l_orderkey long, l_partkey long, l_quantity double"))
+    got = catalogue.QUERIES["warp_cubic"](spark, str(tmp_path)).select("image", "r", "c", "v", "covered")
+    want = con.sql(catalogue.ORACLE_SQL["warp_cubic"]).select("image", "r", "c", "v", "covered").fetchall()
+    assert len(want) == 6 * 72 * 80 and not {tuple(r) for r in got.collect()} ^ set(want)
+
+
 def test_the_order_of_a_mean_decides_no_cell(spark, tmp_path):
     # Means of 0.03 to rounding, whatever the order of their terms: none is above it.
     taxes = ([0.01, 0.05], [0.0, 0.02, 0.07], [0.03, 0.03, 0.03], [0.08, 0.01, 0.0])

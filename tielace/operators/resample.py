@@ -127,16 +127,18 @@ def applied(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
 
 
 def map_tiles(rows: DataFrame, place: Callable[[dict], tuple[np.ndarray, np.ndarray]], drop: list[str]) -> DataFrame:
-    """Rows of output tiles with xs and ys of place; and where they have src_rows and src_cols, inside (array<double>: 1 where a place lies in
-    a source of so many pixels, else 0) in place of those, made in the same step: each step has a Python worker of its own in every task."""
+    """Rows of output tiles with xs and ys of place; and where they have src_rows and src_cols, inside (array<double>: 1 where a place, to nine decimals,
+    lies in a source of so many pixels, else 0) in place of those, made in the same step: each step has a Python worker of its own in every task."""
     known = "src_rows" in rows.columns
 
     def made(row: dict) -> list:
         x, y = (a.ravel() for a in place(row))
         if not known:
             return [x, y]
+        # A place on the source's edge comes out a rounding error beside it: nine decimals put it back.
+        px, py = np.round(x, 9), np.round(y, 9)
         with np.errstate(invalid="ignore"):
-            return [x, y, ((x >= 0) & (y >= 0) & (x < row["src_cols"]) & (y < row["src_rows"])).astype(float)]
+            return [x, y, ((px >= 0) & (py >= 0) & (px < row["src_cols"]) & (py < row["src_rows"])).astype(float)]
 
     return tiles.each(rows, made, "xs array<double>, ys array<double>" + ", inside array<double>" * known, drop=[*drop, "src_rows", "src_cols"])
 
