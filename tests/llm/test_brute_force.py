@@ -682,6 +682,46 @@ def test_similar_copies_that_repeat_a_line(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 24, 2))
 
 
+def kept_of_all_pairs(texts):
+    """The documents that stay if all pairs of texts (by doc_id) are compared."""
+    sets, groups = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}, Sets()
+    for i in sets:
+        groups.find(i)
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                groups.join(i, j)
+    return {i for i in sets if groups.find(i) == i}
+
+
+@pytest.mark.parametrize("radius", [32, -1])
+def test_similar_pairs_are_never_missed(spark, radius, monkeypatch):
+    """Pairs at 0.8, 8 of 10 shingles, that no 20 bands of 4 least values have in common; with any difference of the bits."""
+    monkeypatch.setattr(similar, "RADIUS", radius)
+    texts = {}
+    for k in (16728, 44820, 61700, 76317, 103188, 104241):
+        words = [f"w{k}x{i}" for i in range(13)]
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join([*words[:-1], f"v{k}"])}
+    got = similar.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == kept_of_all_pairs(texts) == set(list(texts)[::2])
+
+
+@pytest.mark.parametrize("bucket, block, deal, part", [(64, 256, 1 << 18, 1 << 21), (2, 8, 300, 500)])
+def test_similar_documents_of_common_lines(spark, bucket, block, deal, part, monkeypatch):
+    """Documents that consist of the same few lines but for some words, so that buckets are crowded and overlap."""
+    for name, value in (("BUCKET", bucket), ("BLOCK", block), ("DEAL", deal), ("PART", part)):
+        monkeypatch.setattr(similar, name, value)
+    rng = np.random.default_rng(8)
+    lines, texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 30)) for _ in range(5)], {}
+    for i in range(400):
+        words = " ".join(lines[k] for k in sorted(rng.choice(5, 3, replace=False))).split()
+        for at in rng.choice(len(words), rng.integers(1, 5), replace=False):
+            words[at] = f"v{rng.integers(0, 40)}"
+        texts[i] = " ".join(words)
+    want = kept_of_all_pairs(texts)
+    got = similar.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in got.collect()} == want and 20 < len(want) < 350
+
+
 # 8 and 10
 
 
